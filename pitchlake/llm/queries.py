@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, minhash, packing, sharding, token_counts, wavelet
+from . import cap_filters, common, minhash, packing, sharding, token_counts, wavelet
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,5 +30,9 @@ def op7_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.read(spark, out)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_sharding, op3_minhash, op4_packing, op7_wavelet)}
+def op10_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cap_filters.near_vectors(common.table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_sharding, op3_minhash, op4_packing, op7_wavelet, op10_cap_filters)}
 ORACLE_SQL: dict[str, str] = {}
