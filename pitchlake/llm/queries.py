@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cap_filters, common, minhash, packing, sharding, token_counts, wavelet
+from . import cap_filters, common, minhash, packing, quality, secrets, sharding, token_counts, wavelet
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +24,14 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(secrets.find_secrets(common.table(spark, sf_dir, "documents")), secrets.BASE)
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+
+
 def op7_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = common.Scratch(spark, "wavelet").path("files")
     wavelet.write(common.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), out)
@@ -34,5 +42,5 @@ def op10_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cap_filters.near_vectors(common.table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_sharding, op3_minhash, op4_packing, op7_wavelet, op10_cap_filters)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_sharding, op3_minhash, op4_packing, op5_secrets, op6_quality, op7_wavelet, op10_cap_filters)}
 ORACLE_SQL: dict[str, str] = {}

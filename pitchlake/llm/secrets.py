@@ -1,0 +1,223 @@
+"""Secrets in texts: fixed rules, and formats learned by grammar inference.
+
+For each credential format, a prefix tree is built from labelled examples; states whose counts are statistically compatible
+(Hoeffding's bound, in all that follows them) are merged into a probabilistic automaton. Every long run of credential
+characters is then scored by how much likelier the best automaton makes it than a model of ordinary text.
+"""
+
+from __future__ import annotations
+
+import math
+import random
+import re
+import string
+from collections.abc import Iterator
+from functools import lru_cache
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from . import common
+
+# Fixed rules of the base kinds.
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
+ACCESS = re.compile(r"AKIA[A-Z0-9]+")
+HEX = re.compile(r"[0-9a-f]+")
+BASE = ("assign", "access", "hex")
+KINDS = (*BASE, "format")
+#: Every access, hex and format span lies in one of these runs.
+RUN = re.compile(r"[A-Za-z0-9+/_=.-]{16,}")
+DIGIT = re.compile(r"[0-9]")
+
+#: Shortest run that is scored, and the log-likelihood ratio it needs, in all and for each character.
+SHORTEST, RATIO, RATIO_EACH = 20, 12.0, 0.25
+#: Confidence of the merging test, and probability of a character that an automaton never saw at a state.
+ALPHA, UNSEEN = 0.05, 1e-9
+
+_LOWER, _UPPER, _DIGITS = string.ascii_lowercase, string.ascii_uppercase, string.digits
+# Fixed public formats: prefix, alphabet and lengths of the rest.
+FORMATS = {
+    "cloud access key": ("AKIA", _UPPER + "234567", (16, 16)),
+    "code host token": ("ghp_", _LOWER + _UPPER + _DIGITS, (36, 36)),
+    "chat token": ("xoxb-", _DIGITS + "-" + _LOWER + _UPPER, (40, 56)),
+    "map service key": ("AIza", _LOWER + _UPPER + _DIGITS + "_-", (35, 35)),
+    "payment key": ("sk_live_", _LOWER + _UPPER + _DIGITS, (24, 32)),
+    "signed web token": ("eyJ", _LOWER + _UPPER + _DIGITS + "_-", (60, 120)),
+    "hexadecimal key": ("", _DIGITS + "abcdef", (24, 64)),
+    "base-64 secret": ("", _LOWER + _UPPER + _DIGITS + "+/", (40, 40)),
+}
+
+
+def labelled_credentials(each: int = 150, seed: int = 20_261) -> dict[str, list[str]]:
+    """Examples of the public formats, drawn from their definitions."""
+    rng = random.Random(seed)
+    return {
+        name: [prefix + "".join(rng.choices(alphabet, k=rng.randint(*lengths))) for _ in range(each)] for name, (prefix, alphabet, lengths) in FORMATS.items()
+    }
+
+
+class Automaton:
+    """A probabilistic automaton inferred from strings by state merging."""
+
+    def __init__(self, examples: list[str], alpha: float = ALPHA):
+        self.bound = math.sqrt(0.5 * math.log(2 / alpha))
+        self.passes, self.ends, self.next = [0], [0], [{}]
+        for text in examples:
+            state = 0
+            self.passes[0] += 1
+            for c in text:
+                if c not in self.next[state]:
+                    self.next[state][c] = len(self.passes)
+                    self.passes.append(0)
+                    self.ends.append(0)
+                    self.next.append({})
+                state = self.next[state][c]
+                self.passes[state] += 1
+            self.ends[state] += 1
+        self._merge()
+        self.log = {
+            s: {c: math.log(self.flow[s, c] / self.passes[s]) for c in self.next[s]} | {"": math.log(max(self.ends[s], 0.01) / self.passes[s])} for s in self.kept
+        }
+
+    def _merge(self) -> None:
+        # How often each edge was taken; in a tree, as often as its target was passed.
+        self.flow = {(s, c): self.passes[t] for s in range(len(self.next)) for c, t in self.next[s].items()}
+        self.kept = [0]
+        border = [(0, c) for c in sorted(self.next[0])]
+        while border:
+            border.sort(key=lambda e: (-self.flow[e], e))
+            source, c = border.pop(0)
+            new = self.next[source][c]
+            if new in self.kept:
+                continue
+            into = next((s for s in self.kept if self._compatible(s, new)), None)
+            if into is None:
+                self.kept.append(new)
+            else:
+                self.next[source][c] = into
+                self._fold(into, new)
+            known = set(self.kept)
+            border = [(s, x) for s in self.kept for x in sorted(self.next[s]) if self.next[s][x] not in known]
+
+    def _differ(self, a: int, n: int, b: int, m: int) -> bool:
+        return abs(a / n - b / m) > self.bound * (1 / math.sqrt(n) + 1 / math.sqrt(m))
+
+    def _compatible(self, s: int, t: int) -> bool:
+        todo, seen = [(s, t)], set()
+        while todo:
+            s, t = todo.pop()
+            if (s, t) in seen or s == t:
+                continue
+            seen.add((s, t))
+            n, m = self.passes[s], self.passes[t]
+            if self._differ(self.ends[s], n, self.ends[t], m):
+                return False
+            for c in self.next[s].keys() | self.next[t].keys():
+                if self._differ(self.flow.get((s, c), 0), n, self.flow.get((t, c), 0), m):
+                    return False
+                if c in self.next[s] and c in self.next[t]:
+                    todo.append((self.next[s][c], self.next[t][c]))
+        return True
+
+    def _fold(self, into: int, new: int) -> None:
+        """Add the tree below ``new`` to what follows ``into``."""
+        todo = [(into, new)]
+        while todo:
+            s, t = todo.pop()
+            self.passes[s] += self.passes[t]
+            self.ends[s] += self.ends[t]
+            for c, target in self.next[t].items():
+                self.flow[s, c] = self.flow.get((s, c), 0) + self.flow[t, c]
+                if c in self.next[s]:
+                    todo.append((self.next[s][c], target))
+                else:
+                    self.next[s][c] = target
+
+    def likelihood(self, text: str) -> float:
+        """Log-probability; a character unseen at a state costs UNSEEN and stays there."""
+        state, total, unseen = 0, 0.0, math.log(UNSEEN)
+        for c in text:
+            log = self.log[state].get(c)
+            if log is None:
+                total += unseen
+            else:
+                total += log
+                state = self.next[state][c]
+        return total + self.log[state][""]
+
+
+def _ordinary() -> dict[str, float]:
+    """Log-probabilities of characters in ordinary long runs: mostly small letters."""
+    shares = {_LOWER: 0.75, _UPPER: 0.1, _DIGITS: 0.07, "+/_=.-": 0.08}
+    return {c: math.log(share / len(chars)) for chars, share in shares.items() for c in chars}
+
+
+class Formats:
+    def __init__(self, labelled: dict[str, list[str]]):
+        self.automata = [Automaton(examples) for _, examples in sorted(labelled.items()) if examples]
+        self.ordinary = _ordinary()
+
+    def ratio(self, run: str) -> float:
+        """How much likelier, as a log-ratio, the best automaton makes the run than ordinary text does."""
+        return max((a.likelihood(run) for a in self.automata), default=-math.inf) - sum(map(self.ordinary.__getitem__, run))
+
+
+@lru_cache(maxsize=2)
+def _formats(labelled: tuple) -> Formats:
+    return Formats({name: list(examples) for name, examples in labelled})
+
+
+def spans(text: str, formats: Formats) -> list[tuple[str, int, int, float]]:
+    """(kind, start, end, score), by start, then kind as in KINDS; base kinds score 1."""
+    found = []
+    if "=" in text or ":" in text:
+        found += [("assign", *m.span(), 1.0) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
+    runs = list(RUN.finditer(text))
+    for run in runs:
+        at, part = run.start(), run[0]
+        if "AKIA" in part:
+            found += [("access", at + m.start(), at + m.end(), 1.0) for m in ACCESS.finditer(part) if len(m[0]) >= 16]
+        if len(part) >= 32:
+            found += [("hex", at + m.start(), at + m.end(), 1.0) for m in HEX.finditer(part) if len(m[0]) >= 32]
+    base = list(found)
+    for run in runs:
+        part = run[0].strip(".=-/")
+        if len(part) < SHORTEST or not DIGIT.search(part) or part.isdigit():
+            continue
+        start = run.start() + run[0].index(part)
+        if any(s < start + len(part) and start < e for _, s, e, _ in base):
+            continue
+        ratio = formats.ratio(part)
+        if ratio >= RATIO and ratio >= RATIO_EACH * len(part):
+            found.append(("format", start, start + len(part), ratio))
+    found.sort(key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
+    return found
+
+
+def find_secrets(docs: DataFrame, labelled: dict[str, list[str]] | None = None, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id and spans (array of kind, start, end in code points, end exclusive, score) for each row.
+
+    ``labelled``: credentials by format to learn from (bounded: it is sent to every task); the public formats by default.
+    Null and empty texts have no spans; null ids and repeated rows are kept. Other columns are ignored.
+    """
+    common.ship(docs.sparkSession)
+    examples = tuple((k, tuple(v)) for k, v in sorted((labelled or labelled_credentials()).items()))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    out = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        formats = _formats(examples)
+        for batch in batches:
+            found = [[dict(zip(("kind", "start", "end", "score"), s, strict=True)) for s in spans(t.as_py() or "", formats)] for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, out)], ["doc_id", "spans"])
+
+    return rows.mapInArrow(find, f"doc_id {kind}, spans array<struct<kind: string, start: int, end: int, score: double>>")
+
+
+def digests(found: DataFrame, base: tuple[str, ...]) -> DataFrame:
+    """Counts of the base kinds, a digest of their spans, and all spans as one string, from (doc_id, spans)."""
+    written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in base]
+    return found.select("doc_id", *counts, F.sha2(written(F.filter("spans", lambda s: s["kind"].isin(*base))), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
