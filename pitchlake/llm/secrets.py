@@ -219,5 +219,6 @@ def find_secrets(docs: DataFrame, labelled: dict[str, list[str]] | None = None,
 def digests(found: DataFrame, base: tuple[str, ...]) -> DataFrame:
     """Counts of the base kinds, a digest of their spans, and all spans as one string, from (doc_id, spans)."""
     written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in base]
+    of_kind = lambda kind: F.filter("spans", lambda s: s["kind"] == kind)
+    counts = [F.size(of_kind(k)).cast("long").alias(f"n_{k}") for k in base]
     return found.select("doc_id", *counts, F.sha2(written(F.filter("spans", lambda s: s["kind"].isin(*base))), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
