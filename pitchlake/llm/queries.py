@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cap_filters, common, minhash, packing, quality, secrets, sharding, token_counts, wavelet
+from . import cap_filters, common, credentials, decontaminate, minhash, packing, pii, quality, sharding, token_counts, wavelet
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,7 +25,7 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.digests(secrets.find_secrets(common.table(spark, sf_dir, "documents")), secrets.BASE)
+    return credentials.digests(credentials.find_secrets(common.table(spark, sf_dir, "documents")), credentials.BASE)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,9 +38,17 @@ def op7_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.read(spark, out)
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return credentials.digests(pii.find_pii(common.table(spark, sf_dir, "documents")), pii.KINDS)
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark")).drop("_key")
+
+
 def op10_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cap_filters.near_vectors(common.table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_sharding, op3_minhash, op4_packing, op5_secrets, op6_quality, op7_wavelet, op10_cap_filters)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_sharding, op3_minhash, op4_packing, op5_secrets, op6_quality, op7_wavelet, op8_pii, op9_decontamination, op10_cap_filters)}
 ORACLE_SQL: dict[str, str] = {}
