@@ -163,6 +163,15 @@ def near_duplicates(docs: DataFrame, percent: int = 85, *, doc_id: str = "doc_id
     )
 
 
+def deduplicated(docs: DataFrame, percent: int = 80, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all columns, of which each group of near-duplicates keeps the one with the smallest id.
+
+    Rows with a null id stay; of rows that share an id, one stays.
+    """
+    kept = near_duplicates(docs, percent, doc_id=doc_id, text=text).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias(doc_id)).distinct()
+    return docs.where(F.col(doc_id).isNotNull()).join(kept, doc_id, "left_semi").dropDuplicates([doc_id]).unionByName(docs.where(F.col(doc_id).isNull()))
+
+
 def _unique_shingles(sets: DataFrame, nodes: DataFrame) -> DataFrame:
     """(a, alone): how many shingles of each of ``nodes`` no other of them has."""
     kind = sets.schema["a"].dataType.simpleString()

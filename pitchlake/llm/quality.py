@@ -12,8 +12,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -146,30 +146,35 @@ def held_out(doc_id: str):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "quality", per_class: int = PER_CLASS, cut: float = 0.3) -> DataFrame:
-    """doc_id, held_out, score (0 to 1), predicted (1 if score >= ``cut``) for each row of ``docs``.
-
-    Learned from labelled documents that aren't held out. Null and empty texts have no terms and get the share of label 1 among
-    all labelled documents. Labels that are null or neither 0 nor 1, and of ids without a document, teach nothing; with none left, each score is 0.5. Rows with a null id
-    aren't held out.
-    """
+def score_column(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "quality", per_class: int = PER_CLASS) -> Column:
+    """A column with the score of ``text``, learned from the labelled rows of ``docs`` that aren't held out."""
     spark = docs.sparkSession
     common.ship(spark)
     texts, y, shares = sample(docs, labels, doc_id=doc_id, text=text, label=label, per_class=per_class)
     model = spark.sparkContext.broadcast(fit(texts, y, shares) if texts else None)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(held_out(doc_id), F.lit(False)).alias("held_out"), F.col(text).alias("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.pandas_udf("double")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         m = model.value
-        for whole in batches:
-            for s in range(0, len(whole), 512):
-                batch = whole.slice(s, 512)
-                found = [t.as_py() for t in batch.column(2)]
-                if m is None:
-                    scores = np.full(len(found), 0.5)
-                else:
-                    scores = np.where([not t for t in found], m.prior, m.score(np.stack([terms(t) for t in found])))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(np.clip(scores, 0.0, 1.0))], ["doc_id", "held_out", "score"])
-
-    return rows.mapInArrow(score, f"doc_id {kind}, held_out boolean, score double").withColumn("predicted", (F.col("score") >= cut).cast("int"))
+        for found in batches:
+            out = np.full(len(found), 0.5 if m is None else m.prior)
+            full = [k for k, t in enumerate(found) if t] if m else []
+            for s in range(0, len(full), 512):
+                at = full[s : s + 512]
+                out[at] = m.score(np.stack([terms(found.iat[k]) for k in at]))
+            yield pd.Series(np.clip(out, 0.0, 1.0))
+
+    return score(F.col(text))
+
+
+def quality_scores(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "quality", per_class: int = PER_CLASS, cut: float = 0.3) -> DataFrame:
+    """doc_id, held_out, score (0 to 1), predicted (1 if score >= ``cut``) for each row of ``docs``.
+
+    Learned from labelled documents that aren't held out. Null and empty texts have no terms and get the share of label 1 among all
+    labelled documents. Labels that are null or neither 0 nor 1, and of ids without a document, teach nothing; with none left, each
+    score is 0.5. Rows with a null id aren't held out. Other columns are ignored.
+    """
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(held_out(doc_id), F.lit(False)).alias("held_out"), F.col(text).alias("text"))
+    labelled = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).alias("label"))
+    score = score_column(rows, labelled, label="label", per_class=per_class)
+    return rows.select("doc_id", "held_out", score.alias("score")).withColumn("predicted", (F.col("score") >= cut).cast("int"))
