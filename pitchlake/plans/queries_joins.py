@@ -1,0 +1,283 @@
+"""Joins, linkage, as-of look-ups and event sequences."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions.numbers import count_if, round_even
+from ..functions.text import words
+from ..operators import aggregates, joins, ranking
+from .adapters import EV, PS, ordered_events, player_seasons, table
+from .catalog import query
+
+
+@query(
+    "latest_value",
+    "SELECT o_custkey AS player_id, arg_max(o_totalprice, ROW(o_orderdate, o_orderkey)) AS latest_value, CAST(CAST(MAX(o_orderdate) AS DATE) AS VARCHAR) AS latest_date FROM orders GROUP BY o_custkey",
+)
+def latest_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    last = F.struct("o_orderdate", "o_orderkey")
+    return o.groupBy(F.col("o_custkey").alias("player_id")).agg(F.max_by("o_totalprice", last).alias("latest_value"), F.to_date(F.max("o_orderdate")).cast("string").alias("latest_date"))
+
+
+@query(
+    "asof_value",
+    """WITH p AS (SELECT c_custkey AS player_id, y AS season, make_date(y + 1, 7, 1) AS probed FROM customer, (SELECT unnest([1995, 1996, 1997, 1998, 1999, 2000]) AS y)),
+    h AS (SELECT o_custkey AS k, CAST(o_orderdate AS DATE) AS d, MAX(o_totalprice) AS v FROM orders GROUP BY ALL)
+    SELECT player_id, CAST(season AS INT) AS season, CASE WHEN date_diff('day', d, probed) <= 548 THEN v END AS value FROM p ASOF LEFT JOIN h ON player_id = k AND probed >= d""",
+)
+def asof_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    years = spark.range(1995, 2001).select(F.col("id").cast("int").alias("season"))
+    probes = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("player_id")).crossJoin(F.broadcast(years)).withColumn("at", F.make_date(F.col("season") + 1, F.lit(7), F.lit(1)))  # six years
+    history = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("player_id"), "o_orderdate", "o_totalprice")
+    return joins.as_of(probes, history, "player_id", "at", "o_orderdate", "o_totalprice", "value").select("player_id", "season", "value")
+
+
+@query(
+    "fill_forward_back",
+    f"""WITH {PS}, g AS (SELECT player_id, season, CASE WHEN (player_id + season) % 3 = 0 THEN shots END AS s FROM ps) SELECT player_id, season,
+    COALESCE(last_value(s IGNORE NULLS) OVER (PARTITION BY player_id ORDER BY season ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+    first_value(s IGNORE NULLS) OVER (PARTITION BY player_id ORDER BY season ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS filled FROM g""",
+)
+def fill_forward_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ps = player_seasons(spark, sf_dir).select("player_id", "season", F.when((F.col("player_id") + F.col("season")) % 3 == 0, F.col("shots")).alias("s"))
+    return ranking.carried(ps, "s", ["player_id"], ["season"], "filled").drop("s")
+
+
+@query(
+    "left_join_chain",
+    """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, p_brand, s_name, o_orderpriority, n_name FROM lineitem LEFT JOIN part ON l_partkey = p_partkey AND p_size > 20
+    LEFT JOIN supplier ON l_suppkey = s_suppkey LEFT JOIN orders ON l_orderkey = o_orderkey AND o_orderstatus = 'F' LEFT JOIN nation ON s_nationkey = n_nationkey""",
+)
+def left_join_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = lambda n: table(spark, sf_dir, n)
+    return (
+        t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+        .join(t("part").where("p_size > 20"), F.col("l_partkey") == F.col("p_partkey"), "left")
+        .join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey"), "left")
+        .join(t("orders").where("o_orderstatus = 'F'"), F.col("l_orderkey") == F.col("o_orderkey"), "left")
+        .join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey"), "left")
+        .select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "p_brand", "s_name", "o_orderpriority", "n_name")
+    )
+
+
+@query("anti_join", "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
+def anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    urgent = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'")
+    return table(spark, sf_dir, "customer").join(urgent, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
+
+
+@query("semi_join", "SELECT p_partkey, p_brand FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_discount >= 0.1::DOUBLE)")
+def semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cheap = table(spark, sf_dir, "lineitem").where(F.col("l_discount") >= 0.1)
+    return table(spark, sf_dir, "part").join(cheap, F.col("p_partkey") == F.col("l_partkey"), "left_semi").select("p_partkey", "p_brand")
+
+
+@query(
+    "full_outer",
+    """WITH a AS (SELECT c_nationkey AS k, CAST(COUNT(*) AS BIGINT) AS customers FROM customer WHERE c_acctbal > 0 GROUP BY k), b AS (SELECT s_nationkey AS k, CAST(COUNT(*) AS BIGINT) AS suppliers FROM supplier WHERE s_acctbal > 5000 GROUP BY k)
+    SELECT COALESCE(a.k, b.k) AS k, customers, suppliers FROM a FULL OUTER JOIN b ON a.k = b.k""",
+)
+def full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = table(spark, sf_dir, "customer").where("c_acctbal > 0").groupBy(F.col("c_nationkey").alias("k")).agg(F.count("*").alias("customers"))
+    b = table(spark, sf_dir, "supplier").where("s_acctbal > 5000").groupBy(F.col("s_nationkey").alias("k")).agg(F.count("*").alias("suppliers"))
+    return joins.full_outer(a, b, ["k"])
+
+
+@query("self_join_consecutive", f"WITH {PS} SELECT a.player_id, a.season, a.shots AS shots_now, b.shots AS shots_next FROM ps a JOIN ps b ON a.player_id = b.player_id AND b.season = a.season + 1")
+def self_join_consecutive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ps = player_seasons(spark, sf_dir).select("player_id", "season", "shots")
+    w = Window.partitionBy("player_id").orderBy("season")
+    paired = ps.withColumn("shots_next", F.lead("shots").over(w)).withColumn("_s", F.lead("season").over(w))
+    return paired.where("_s = season + 1").select("player_id", "season", F.col("shots").alias("shots_now"), "shots_next")
+
+
+@query(
+    "unique_both_sides",
+    """WITH a AS (SELECT c_nationkey AS n, c_mktsegment AS s, c_acctbal AS x FROM customer WHERE c_custkey % 7 = 0), b AS (SELECT c_nationkey AS n, c_mktsegment AS s, c_acctbal AS y FROM customer WHERE c_custkey % 11 = 3)
+    SELECT n, s, x, y FROM (SELECT n, s, ANY_VALUE(x) AS x FROM a GROUP BY n, s HAVING COUNT(*) = 1) JOIN (SELECT n, s, ANY_VALUE(y) AS y FROM b GROUP BY n, s HAVING COUNT(*) = 1) USING (n, s)""",
+)
+def unique_both_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("n"), F.col("c_mktsegment").alias("s"), "c_acctbal", "c_custkey")
+    a = c.where("c_custkey % 7 = 0").select("n", "s", F.col("c_acctbal").alias("x"))
+    b = c.where("c_custkey % 11 = 3").select("n", "s", F.col("c_acctbal").alias("y"))
+    return joins.unique_both_sides(a, b, ["n", "s"])
+
+
+@query(
+    "replacing_union",
+    "SELECT o_orderkey, o_orderstatus FROM orders WHERE year(o_orderdate) NOT IN (2000, 2001) UNION ALL SELECT o_orderkey, 'live' FROM orders WHERE year(o_orderdate) >= 2000",
+)
+def replacing_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", F.year("o_orderdate").alias("y"))
+    live = o.where("y >= 2000").withColumn("o_orderstatus", F.lit("live"))
+    return joins.replacing_union(o, live, ["y"]).drop("y")
+
+
+@query(
+    "merge_eras",
+    """SELECT o_orderkey, CAST(year(o_orderdate) AS INT) AS season, CASE WHEN year(o_orderdate) < 1998 THEN o_totalprice ELSE o_totalprice * 2 END AS old_name, CASE WHEN year(o_orderdate) >= 1998 THEN o_orderstatus END AS extra FROM orders""",
+)
+def merge_eras(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.year("o_orderdate").alias("season"), "o_totalprice", "o_orderstatus")
+    archive = o.select("o_orderkey", "season", F.col("o_totalprice").alias("old_name"))
+    release = o.select("o_orderkey", "season", (F.col("o_totalprice") * 2).alias("new_name"), F.col("o_orderstatus").alias("extra"))
+    return joins.merge_eras(archive, release, {"old_name": "new_name"}, "season", 1998)
+
+
+@query(
+    "token_overlap_join",
+    """WITH p AS (SELECT p_partkey, p_type, p_size, string_split(p_name, ' ') AS w FROM part) SELECT a.p_partkey AS a, b.p_partkey AS b FROM p a JOIN p b ON a.p_type = b.p_type AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey AND list_has_any(a.w, b.w)""",
+)
+def token_overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_size", words(F.col("p_name")).alias("w"))
+    a, b = p.withColumnsRenamed({"p_partkey": "a", "w": "wa"}), p.withColumnsRenamed({"p_partkey": "b", "w": "wb"})
+    return a.join(b, ["p_type", "p_size"]).where((F.col("a") < F.col("b")) & F.arrays_overlap("wa", "wb")).select("a", "b")
+
+
+@query(
+    "token_subset_join",
+    """WITH p AS (SELECT p_partkey, p_type, p_brand, string_split(p_name, ' ') AS w FROM part) SELECT a.p_partkey AS a, b.p_partkey AS b FROM p a JOIN p b ON a.p_type = b.p_type AND a.p_brand = b.p_brand AND a.p_partkey <> b.p_partkey AND list_has_all(b.w, a.w)""",
+)
+def token_subset_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_brand", words(F.col("p_name")).alias("w"))
+    a, b = p.withColumnsRenamed({"p_partkey": "a", "w": "wa"}), p.withColumnsRenamed({"p_partkey": "b", "w": "wb"})
+    return a.join(b, ["p_type", "p_brand"]).where((F.col("a") != F.col("b")) & (F.size(F.array_except("wa", "wb")) == 0)).select("a", "b")
+
+
+SPELLS = """sp AS (SELECT user_id AS keeper, CAST(ts AS DATE) AS day, epoch_us(ts) AS s, epoch_us(ts) + 1800000000 AS e FROM events WHERE event_type = 'signup')"""
+
+
+@query(
+    "interval_join",
+    f"""WITH {EV}, {SPELLS} SELECT event_id, arg_min(keeper, ROW(s, keeper)) AS keeper FROM ev JOIN sp USING (day) WHERE event_type = 'purchase' AND us >= s AND us < e GROUP BY event_id""",
+)
+def interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = ordered_events(spark, sf_dir)
+    spells = ev.where("event_type = 'signup'").select("day", F.col("user_id").alias("keeper"), F.col("us").alias("s"), (F.col("us") + 1_800_000_000).alias("e"))
+    shots = ev.where("event_type = 'purchase'").select("event_id", "day", "us")
+    return joins.within(shots, spells, ["day"], "us", "s", "e", pick=F.struct("s", "keeper")).select("event_id", "keeper")
+
+
+@query(
+    "within_window",
+    f"""WITH {EV} SELECT DISTINCT a.event_id FROM ev a JOIN ev b ON a.day = b.day AND b.event_type = 'purchase' AND b.user_id <> a.user_id AND b.us > a.us AND b.us <= a.us + 300000000 WHERE a.event_type = 'error'""",
+)
+def within_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors that somebody else's purchase follows within five minutes; both sides meet in five-minute cells."""
+    ev, wide = ordered_events(spark, sf_dir), 300_000_000
+    errors = ev.where("event_type = 'error'").select("event_id", "user_id", "us").withColumn("cell", F.explode(F.array(F.floor(F.col("us") / wide), F.floor(F.col("us") / wide) + 1)))
+    bought = ev.where("event_type = 'purchase'").select(F.col("user_id").alias("other"), F.col("us").alias("at"), F.floor(F.col("us") / wide).alias("cell"))
+    return errors.join(bought, "cell").where((F.col("other") != F.col("user_id")) & (F.col("at") > F.col("us")) & (F.col("at") <= F.col("us") + wide)).select("event_id").distinct()
+
+
+@query(
+    "possession_gap",
+    f"""WITH {EV}, g AS (SELECT day, event_type, lead(us) OVER (PARTITION BY day ORDER BY us, event_id) - us AS gap FROM ev) SELECT CAST(day AS VARCHAR) AS day, event_type, CAST(SUM(gap) AS BIGINT) AS held FROM g WHERE gap > 0 AND gap <= 600000000 GROUP BY ALL""",
+)
+def possession_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("day").orderBy("us", "event_id")
+    gaps = ordered_events(spark, sf_dir).select("day", "event_type", (F.lead("us").over(w) - F.col("us")).alias("gap"))
+    return gaps.where("gap > 0 AND gap <= 600000000").groupBy(F.col("day").cast("string").alias("day"), "event_type").agg(F.sum("gap").alias("held"))
+
+
+@query(
+    "last_two_creators",
+    f"""WITH {EV}, n AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY us, event_id) AS i FROM ev), near AS (SELECT s.event_id, a.user_id, MAX(a.i) AS last FROM n s JOIN n a ON s.day = a.day AND a.i < s.i AND s.i - a.i <= 10
+    AND a.event_type IN ('click', 'view') WHERE s.event_type = 'purchase' GROUP BY ALL), t AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY last DESC) AS r FROM near)
+    SELECT user_id, CAST(COUNT(*) AS BIGINT) AS sca FROM t WHERE r <= 2 GROUP BY user_id""",
+)
+def last_two_creators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last two users with a view or click among the ten events before each purchase of a day; found by a look back of ten rows, without a join."""
+    day = Window.partitionBy("day").orderBy("us", "event_id")
+    made = F.when(F.col("event_type").isin("click", "view"), F.struct(F.row_number().over(day).alias("i"), "user_id"))
+    seen = ordered_events(spark, sf_dir).withColumn("made", made).withColumn("before", F.collect_list("made").over(day.rowsBetween(-10, -1)))
+    acts = seen.where("event_type = 'purchase'").select("event_id", F.explode("before").alias("b"))
+    last = acts.groupBy("event_id", F.col("b.user_id").alias("user_id")).agg(F.max("b.i").alias("last"))
+    top = last.withColumn("r", F.row_number().over(Window.partitionBy("event_id").orderBy(F.desc("last")))).where("r <= 2")
+    return top.groupBy("user_id").agg(F.count("*").alias("sca"))
+
+
+@query(
+    "conditional_counters",
+    "SELECT user_id, CAST(COUNT(*) FILTER (event_type = 'view') AS DOUBLE) AS views, CAST(COUNT(*) FILTER (event_type = 'click' AND value >= 10) AS DOUBLE) AS clicks, CAST(COUNT(*) FILTER (event_type <> 'error') AS DOUBLE) AS touches, round_even(SUM(value) FILTER (event_type = 'purchase'), 4) AS xg FROM events GROUP BY user_id",
+)
+def conditional_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.col("event_type")
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(
+        count_if(kind == "view").alias("views"), count_if((kind == "click") & (F.col("value") >= 10)).alias("clicks"), count_if(kind != "error").alias("touches"),
+        round_even(F.sum(F.when(kind == "purchase", F.col("value"))), 4).alias("xg"),
+    )
+
+
+SP = "t AS (SELECT o_custkey AS player_id, CAST(year(o_orderdate) AS INT) AS season, p_type FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey)"
+
+
+def _typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = lambda n: table(spark, sf_dir, n)
+    lines = t("lineitem").select("l_orderkey", "l_partkey").join(t("orders").select("o_orderkey", F.col("o_custkey").alias("player_id"), F.year("o_orderdate").alias("season")), F.col("l_orderkey") == F.col("o_orderkey"))
+    return lines.join(t("part").select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey")).select("player_id", "season", "p_type")
+
+
+@query(
+    "season_positions",
+    f"""WITH {SP}, n AS (SELECT *, CAST(COUNT(*) AS BIGINT) AS n FROM t GROUP BY ALL), s AS (SELECT *, n / SUM(n) OVER (PARTITION BY player_id, season) AS share FROM n)
+    SELECT player_id, season, arg_min(p_type, ROW(-n, p_type)) AS p_type, MAX(n) AS n, round_even(MAX(share), 6) AS share FROM s GROUP BY ALL""",
+)
+def season_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregates.most_frequent(_typed(spark, sf_dir), ["player_id", "season"], "p_type").withColumn("share", round_even(F.col("share"), 6))
+
+
+@query(
+    "positions_packed",
+    f"WITH {SP}, n AS (SELECT *, COUNT(*) AS n FROM t GROUP BY ALL) SELECT player_id, season, string_agg(p_type || ':' || n, '|' ORDER BY n DESC, p_type) AS positions FROM n GROUP BY ALL",
+)
+def positions_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregates.packed_counts(_typed(spark, sf_dir), ["player_id", "season"], "p_type", "positions")
+
+
+@query(
+    "stale_seasons",
+    """WITH a AS (SELECT l_orderkey AS k, l_linenumber AS n, year(l_shipdate) AS season, MIN(l_quantity) AS r FROM lineitem GROUP BY ALL), b AS (SELECT *, r * CASE WHEN season = 1997 THEN 0.5::DOUBLE ELSE 1 END AS m FROM a), s AS (SELECT season FROM b GROUP BY season HAVING SUM(m) / SUM(r) < 0.95)
+    SELECT k, n, CAST(season AS INT) AS season FROM b WHERE season NOT IN (SELECT season FROM s)""",
+)
+def stale_seasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.year("l_shipdate").alias("season")).agg(F.min("l_quantity").alias("r"))
+    block = lines.withColumn("m", F.col("r") * F.when(F.col("season") == 1997, 0.5).otherwise(1.0))
+    return aggregates.drop_stale_seasons(block.drop("r"), lines.withColumnRenamed("r", "m"), ["k", "n", "season"], "m", "season").select("k", "n", "season")
+
+
+@query(
+    "defensive_bar",
+    """WITH e AS (SELECT user_id, CASE user_id % 3 WHEN 0 THEN 'DEF' WHEN 1 THEN 'MID' ELSE 'FWD' END AS position, CAST(floor(value) AS BIGINT) AS acts FROM events WHERE event_type = 'view')
+    SELECT user_id, CAST(SUM(CASE WHEN acts >= CASE position WHEN 'DEF' THEN 10 ELSE 12 END THEN 1 ELSE 0 END) AS BIGINT) AS dc_hits, CAST(COUNT(*) AS BIGINT) AS dc_matches,
+    round(100.0::DOUBLE * SUM(CASE WHEN acts >= CASE position WHEN 'DEF' THEN 10 ELSE 12 END THEN 1 ELSE 0 END) / COUNT(*), 2) AS dc_bar_pct FROM e GROUP BY user_id HAVING SUM(acts) > 0""",
+)
+def defensive_bar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = table(spark, sf_dir, "events").where("event_type = 'view'")
+    place = F.when(F.col("user_id") % 3 == 0, "DEF").when(F.col("user_id") % 3 == 1, "MID").otherwise("FWD")
+    rows = ev.select("user_id", place.alias("position"), F.lit(90).alias("minutes"), F.floor("value").alias("acts"))
+    return aggregates.defensive_bar(rows, ["user_id"], "acts", {"DEF": 10, "MID": 12, "FWD": 12})
+
+
+@query(
+    "rollup_minutes",
+    f"WITH {PS} SELECT league, team, season, SUM(mins) AS minutes FROM ps GROUP BY ROLLUP (league, team, season)",
+)
+def rollup_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return player_seasons(spark, sf_dir).rollup("league", "team", "season").agg(F.sum("minutes").alias("minutes"))
+
+
+@query("season_pivot", f"WITH {PS} SELECT league, CAST(COUNT(*) FILTER (season = 1999) AS BIGINT) AS s1999, CAST(COUNT(*) FILTER (season = 2000) AS BIGINT) AS s2000, CAST(COUNT(*) FILTER (season = 2001) AS BIGINT) AS s2001 FROM ps GROUP BY league")
+def season_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wide = player_seasons(spark, sf_dir).groupBy("league").pivot("season", [1999, 2000, 2001]).count()
+    return wide.select("league", *[F.coalesce(f"{y}", F.lit(0)).alias(f"s{y}") for y in (1999, 2000, 2001)])
+
+
+@query("other_seasons", f"WITH {PS} SELECT player_id, season, array_to_string(list_sort(list_filter(list(season) OVER (PARTITION BY player_id), lambda x: x <> season)), ',') AS others FROM ps")
+def other_seasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ps = player_seasons(spark, sf_dir).select("player_id", "season")
+    every = F.collect_set("season").over(Window.partitionBy("player_id"))
+    return ps.withColumn("others", F.array_join(F.transform(F.array_sort(F.array_except(every, F.array("season"))), lambda y: y.cast("string")), ","))
