@@ -32,8 +32,9 @@ DIGIT = re.compile(r"[0-9]")
 
 #: Shortest run that is scored, and the log-likelihood ratio it needs, in all and for each character.
 SHORTEST, RATIO, RATIO_EACH = 20, 12.0, 0.25
-#: Confidence of the merging test, and probability of a character that an automaton never saw at a state.
-ALPHA, UNSEEN = 0.05, 1e-9
+#: Confidence of the merging test; how many observations a character's overall share stands for at each state; probability of a
+#: character that an automaton never saw.
+ALPHA, SHARED, UNSEEN = 0.05, 4.0, 1e-9
 
 _LOWER, _UPPER, _DIGITS = string.ascii_lowercase, string.ascii_uppercase, string.digits
 # Fixed public formats: prefix, alphabet and lengths of the rest.
@@ -76,9 +77,16 @@ class Automaton:
                 self.passes[state] += 1
             self.ends[state] += 1
         self._merge()
-        self.log = {
-            s: {c: math.log(self.flow[s, c] / self.passes[s]) for c in self.next[s]} | {"": math.log(max(self.ends[s], 0.01) / self.passes[s])} for s in self.kept
-        }
+        seen: dict[str, int] = {}
+        for text in examples:
+            for c in text:
+                seen[c] = seen.get(c, 0) + 1
+        share = {c: n / sum(seen.values()) for c, n in seen.items()}
+        self.log = {}
+        for s in self.kept:
+            weight = self.passes[s] + SHARED
+            self.log[s] = {c: math.log((self.flow.get((s, c), 0) + SHARED * p) / weight) for c, p in share.items()}
+            self.log[s][""] = math.log(max(self.ends[s], 0.01) / weight)
 
     def _merge(self) -> None:
         # How often each edge was taken; in a tree, as often as its target was passed.
@@ -135,15 +143,12 @@ class Automaton:
                     self.next[s][c] = target
 
     def likelihood(self, text: str) -> float:
-        """Log-probability; a character unseen at a state costs UNSEEN and stays there."""
+        """Log-probability; a character that no edge of a state takes stays there."""
         state, total, unseen = 0, 0.0, math.log(UNSEEN)
         for c in text:
             log = self.log[state].get(c)
-            if log is None:
-                total += unseen
-            else:
-                total += log
-                state = self.next[state][c]
+            total += unseen if log is None else log
+            state = self.next[state].get(c, state)
         return total + self.log[state][""]
 
 

@@ -4,7 +4,7 @@ Texts become templates: numbers, units after numbers, and names turn into typed
 are hashed; those of the documents meet those of the items in a hash join. An item is in a document if enough of its windows
 are, and if what stands in its slots there is consistent: one value of the item always became one value of the document.
 Names are told by their capital inside a sentence, which a copied passage can lose or gain at its ends; so every window is
-also hashed with names left as they are.
+first hashed with names left as they are, and again with names replaced where there are any.
 """
 
 from __future__ import annotations
@@ -41,9 +41,13 @@ class Canon:
     """Template tokens of texts, with what each distinct word gives remembered."""
 
     def __init__(self):
+        self.placeholder = {k: np.uint64(xxhash.xxh3_64_intdigest(f"\0{k}")) for k in (NUMBER, UNIT, TITLE)}
+        self._forget()
+
+    def _forget(self) -> None:
         self.memo: dict[str, int] = {}
-        self.hash, self.kind, self.ends, self.core = [], [], [], []
-        self.placeholder = {k: xxhash.xxh3_64_intdigest(f"\0{k}") for k in (NUMBER, UNIT, TITLE)}
+        self.core: list[str] = []
+        self.hash, self.kind, self.ends = np.zeros(1024, np.uint64), np.zeros(1024, np.int8), np.zeros(1024, bool)
 
     def _learn(self, word: str) -> int:
         core = word.strip("".join({c for c in word if not c.isalnum()})) if not word.isalnum() else word
@@ -58,31 +62,41 @@ class Canon:
             kind = TITLE
         else:
             kind = PLAIN
-        self.hash.append(xxhash.xxh3_64_intdigest(low))
-        self.kind.append(kind)
-        self.ends.append(word[-1] in ".!?:")
+        k = len(self.core)
+        if k == len(self.hash):
+            self.hash, self.kind, self.ends = (np.concatenate([x, np.zeros_like(x)]) for x in (self.hash, self.kind, self.ends))
+        self.hash[k], self.kind[k], self.ends[k] = xxhash.xxh3_64_intdigest(low), kind, word[-1] in ".!?:"
         self.core.append(low)
-        self.memo[word] = len(self.hash) - 1
-        return len(self.hash) - 1
-
-    def windows(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
-        """(typed, named): hashes of the windows with names left and replaced; (slots, cores): the kind and text of each token."""
-        if len(self.memo) > MEMO_ENTRIES:
-            self.__init__()
-        get, learn = self.memo.get, self._learn
-        at = [k if (k := get(w)) is not None else learn(w) for w in text.split()]
-        kind = np.array([self.kind[k] for k in at], np.int8)
-        ends = np.array([self.ends[k] for k in at], bool)
-        h = np.array([self.hash[k] for k in at], np.uint64)
-        starts = np.concatenate([[True], ends[:-1]]) if len(at) else np.empty(0, bool)
-        real = np.flatnonzero(kind >= 0)
-        kind, h, starts = kind[real], h[real], starts[real]
-        after_number = np.concatenate([[False], kind[:-1] == NUMBER])[: len(kind)]
-        slots = np.where(kind == NUMBER, NUMBER, np.where((kind == UNIT) & after_number, UNIT, np.where((kind == TITLE) & ~starts, TITLE, PLAIN))).astype(np.int8)
-        typed = np.where(slots == NUMBER, np.uint64(self.placeholder[NUMBER]), np.where(slots == UNIT, np.uint64(self.placeholder[UNIT]), h))
-        named = np.where(slots == TITLE, np.uint64(self.placeholder[TITLE]), typed)
-        cores = [self.core[at[k]] for k in real]
-        return _windows(typed, 0), _windows(named, 1), slots, cores
+        self.memo[word] = k
+        return k
+
+    def windows(self, text: str) -> tuple[list[tuple[int, np.ndarray]], np.ndarray, np.ndarray]:
+        """((variant, hashes of its windows), ...), the kind of slot that each token is, and its number in ``core``.
+
+        Variant 0 leaves names as they are. Variant 1 replaces them too; a text without any needs only variant 0.
+        """
+        if len(self.core) > MEMO_ENTRIES:
+            self._forget()
+        get, learn, words = self.memo.get, self._learn, text.split()
+        at = np.array([k if (k := get(w)) is not None else learn(w) for w in words], np.int64)
+        kind, ends = self.kind[at], self.ends[at]
+        starts = np.ones(len(at), bool)
+        starts[1:] = ends[:-1]
+        if (kind < 0).any():
+            real = np.flatnonzero(kind >= 0)
+            at, kind, starts = at[real], kind[real], starts[real]
+        h = self.hash[at]
+        slots = np.where(kind == NUMBER, kind, np.int8(PLAIN))
+        slots[1:][(kind[1:] == UNIT) & (kind[:-1] == NUMBER)] = UNIT
+        typed = h
+        if slots.any():
+            typed = np.where(slots == NUMBER, self.placeholder[NUMBER], np.where(slots == UNIT, self.placeholder[UNIT], h))
+        names = (kind == TITLE) & ~starts
+        out = [(0, _windows(typed, 0))]
+        if names.any():
+            slots[names] = TITLE
+            out.append((1, _windows(np.where(names, self.placeholder[TITLE], typed), 1)))
+        return out, slots, at
 
 
 def _windows(h: np.ndarray, variant: int) -> np.ndarray:
@@ -107,15 +121,15 @@ def _templates(rows: DataFrame, keep) -> DataFrame:
                 text = text.as_py()
                 if not text:
                     continue
-                typed, named, kinds, cores = canon.windows(text)
-                for variant, h in ((0, typed), (1, named)):
+                found, kinds, tokens = canon.windows(text)
+                for variant, h in found:
                     low = h >> np.uint64(64 - FILTER_BITS)
                     places = np.arange(len(h)) if wanted is None else np.flatnonzero(wanted[(low >> np.uint64(3)).astype(np.int64)] >> (low & np.uint64(7)).astype(np.uint8) & 1)
                     for p in places.tolist():
                         at.append(row)
                         variants.append(variant)
                         hashes.append(h[p])
-                        slots.append([f"{kinds[q]}:{q - p}:{cores[q]}" for q in range(p, min(p + WORDS, len(cores))) if kinds[q] and (variant or kinds[q] != TITLE)])
+                        slots.append([f"{kinds[q]}:{q - p}:{canon.core[tokens[q]]}" for q in range(p, min(p + WORDS, len(tokens))) if kinds[q] and (variant or kinds[q] != TITLE)])
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c).take(pa.array(at, pa.int64())) for c in (0, 1)), pa.array(variants, pa.int32()), pa.array(np.array(hashes, np.uint64).view(np.int64)), pa.array(slots, pa.list_(pa.string()))],
                 ["id", "key", "variant", "h", "slots"],

@@ -4,7 +4,7 @@ Every document keeps the k smallest hashes of its word shingles. Documents with
 the retained values generate overlaps: as a pair that is similar enough shares most retained values, a document only enters
 the lists of its rarest ones, as many as a similar partner cannot all lack. Within a list a few leaders are compared with
 all other members, members that are joined already are not compared again, and leaders that have met the whole list leave
-it; so a list of m copies costs about m comparisons, none is left out, and no list is gathered in one place. A comparison
+it; a pair is left to the first list that it shares. So a list of m copies costs about m comparisons, none is left out, and no list is gathered in one place. A comparison
 first estimates the similarity from the sketch of the union, then confirms it on the full sets.
 """
 
@@ -121,16 +121,16 @@ def similar(pairs: DataFrame, sets: DataFrame, percent: int, k: int) -> DataFram
 
 
 def _lists(reps: DataFrame, percent: int, k: int, scratch: common.Scratch) -> DataFrame:
-    """Postings (v, a, n, central) of the rarest retained values of each class that could have a partner."""
+    """Postings (v, a, n, central, vs) of the rarest retained values, vs, of each class that could have a partner."""
     share = least_overlap(k, percent) / k
     post = reps.select("a", "n", F.explode("sketch").alias("v"))
     shared = post.groupBy("v").agg(F.count("*").alias("f")).where("f > 1")
     size = F.least("n", F.lit(k))
-    need = F.greatest(F.lit(1), F.floor(size * share))
+    # Where a partner's sketch must be its whole set too, the bound on the sets is one on the sketches.
+    need = F.greatest(F.lit(1), F.when(F.col("n") * 100 <= k * percent, F.ceil(F.col("n") * percent / 100)).otherwise(F.floor(size * share)))
     mine = post.join(shared, "v").groupBy("a", "n").agg(F.array_sort(F.collect_list(F.struct("f", "v"))).alias("vs"))
-    return mine.where(F.size("vs") >= need).select(
-        "a", "n", (F.size("vs") / size).alias("central"), F.explode(F.slice("vs", 1, (F.greatest(F.size("vs") - need, F.lit(0)) + 1).cast("int"))["v"]).alias("v")
-    )
+    mine = mine.where(F.size("vs") >= need).withColumn("central", F.size("vs") / size)
+    return mine.withColumn("vs", F.slice("vs", 1, (F.size("vs") - need + 1).cast("int"))["v"]).select("a", "n", "central", "vs", F.explode("vs").alias("v"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, *, doc_id: str = "doc_id", text: str = "text", k: int = SKETCH) -> DataFrame:
@@ -207,13 +207,15 @@ def _join_lists(live: DataFrame, sets: DataFrame, percent: int, k: int, scratch:
             break
         leaders = 8**turn
         bucket = F.pmod(F.xxhash64("a", F.lit(turn)), F.lit(leaders))
-        lead = live.groupBy("v", bucket.alias("_b")).agg(F.max(F.struct("central", "a", "n", "alone", "comp")).alias("l")).select("v", F.struct("l.a", "l.n", "l.alone", "l.comp").alias("l"))
+        lead = live.groupBy("v", bucket.alias("_b")).agg(F.max(F.struct("central", "a", "n", "alone", "comp", "vs")).alias("l")).select("v", F.struct("l.a", "l.n", "l.alone", "l.comp", "l.vs").alias("l"))
         lead = scratch.write(lead, "leaders")
         most = F.least(F.col("n") - F.col("alone"), F.col("l.n") - F.col("l.alone"))
         fits = (
             (F.col("comp") != F.col("l.comp"))
             & (F.least("n", "l.n") * 100 >= F.greatest("n", "l.n") * percent)
             & (most * 100 >= (F.col("n") + F.col("l.n") - most) * percent)
+            # Only in the first list that both are in; each pair has one list that answers for it.
+            & (F.array_min(F.array_intersect("vs", "l.vs")) == F.col("v"))
         )
         pairs = live.join(lead, "v").where(fits).select(F.least("a", "l.a").alias("a"), F.greatest("a", "l.a").alias("b")).distinct()
         links = scratch.write(similar(pairs, sets, percent, k), "found")

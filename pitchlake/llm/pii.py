@@ -146,17 +146,13 @@ def find_pii(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", car
 
 
 def redacted(text: Column, spans: Column) -> Column:
-    """``text`` with each span replaced by its kind in brackets; a span that starts within an earlier one is joined to it."""
-    # Starts of spans that no earlier one covers, and how far each reaches.
-    heads = F.filter(spans, lambda s: ~F.exists(spans, lambda o: (o["start"] < s["start"]) & (o["end"] > s["start"])))
-    heads = F.filter(heads, lambda s, k: (k == 0) | (s["start"] != F.get(heads, k - 1)["start"]))
-
-    def until(k):
-        following = F.get(heads, k + 1)["start"]
-        inside = F.filter(spans, lambda s: (s["start"] >= F.get(heads, k)["start"]) & (following.isNull() | (s["start"] < following)))
-        return F.array_max(F.transform(inside, lambda s: s["end"]))
-
-    begins = F.transform(heads, lambda s, k: F.when(k == 0, F.lit(0)).otherwise(until(k - 1)))
-    parts = F.transform(heads, lambda s, k: F.concat(F.substring(text, F.get(begins, k) + 1, s["start"] - F.get(begins, k)), F.lit("["), F.upper(s["kind"]), F.lit("]")))
-    rest = F.substring(text, until(F.size(heads) - 1) + 1, F.length(text))
-    return F.when(F.size(spans) > 0, F.concat(F.array_join(parts, ""), rest)).otherwise(text)
+    """``text`` with each span (in order) replaced by its kind in brackets; a span that starts within an earlier one is joined to it."""
+
+    def step(done, s):
+        apart = s["start"] >= done["at"]
+        more = F.concat(done["out"], F.substring(text, done["at"] + 1, s["start"] - done["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
+        return F.struct(F.when(apart, more).otherwise(done["out"]).alias("out"), F.greatest(done["at"], s["end"]).alias("at"))
+
+    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+    whole = F.aggregate(spans, start, step, lambda done: F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text))))
+    return F.when(F.size(spans) > 0, whole).otherwise(text)

@@ -1,0 +1,382 @@
+"""Each operator against brute force, and on tables with nulls, empty and long texts, ties, repeated rows, clashing columns."""
+
+import array
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from pitchlake.llm import cap_filters, credentials, decontaminate, encoding, minhash, packing, pii, quality, sharding, token_counts, wavelet
+
+SF = "/root/testdata/sf0.001"
+BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
+SCHEMA = "doc_id long, text string, n long, shard string, v string, kind string, component_id string"
+ODD = [
+    (1, None), (2, ""), (3, "one two three four five six seven"), (4, "one two three four five six seven"), (4, "one two three four five six seven"), (None, "nobody's text"), (6, " \n\t "),
+    (7, "x" * 30_000), (8, "the cat sat on the mat " * 3_000), (9, "short"), (10, "naïve café İstanbul 漢字 ١٢ <|endoftext|> 🙂́"), (11, "a  b\n c\r\n\td \x1c e\x85f"),
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def texts(docs):
+    return {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame([(i, t, 1, "s", "v", "k", "c") for i, t in ODD], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def rows(df):
+    return sorted(df.collect(), key=lambda r: (r[0] is None, r[0] or 0, str(r)))
+
+
+# --- tokens -----------------------------------------------------------------
+
+
+def test_encoders_are_the_library():
+    rng = random.Random(3)
+    parts = ["a", "B", "the", " ", "  ", "\n", "\t", "'s", "'S", "é", "ß", "Σ", "ς", "İ", "ª", "²", "漢", "١", "½", "🙂", "\x1c", "\x85", "\xa0", "<|endoftext|>", "<|startoftext|>", "<", "|>", "$$", "12", "ﬁ", ".", "_", "\x00", "\r\n"]
+    for path, mine in ((BYTES, lambda f: (lambda t: f(t).astype("<u4").tobytes()) if isinstance(f, encoding.ByteEncoder) else f), (WORDS, lambda f: f)):
+        own = mine(encoding.ByteEncoder(path) if path == BYTES else encoding.WordEncoder(path))
+        library = Tokenizer.from_file(path)
+        for _ in range(3000):
+            t = "".join(rng.choice(parts) for _ in range(rng.randint(0, 12)))
+            assert array.array("I", own(t)).tolist() == library.encode(t, add_special_tokens=False).ids, t
+
+
+def test_token_counts(spark, docs, texts, odd, none):
+    library = Tokenizer.from_file(BYTES)
+    for r in token_counts.token_counts(docs, BYTES).collect():
+        n = len(library.encode(texts[r.doc_id], add_special_tokens=False).ids)
+        assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(texts[r.doc_id].encode()), n, n > 512)
+    got = Counter((r.doc_id, r.n_bytes, r.n_tokens) for r in token_counts.token_counts(odd, BYTES).collect())
+    assert got == Counter((i, len((t or "").encode()), len(library.encode(t or "", add_special_tokens=False).ids)) for i, t in ODD)
+    assert token_counts.token_counts(none, BYTES).count() == 0
+    assert " the" in (whole := token_counts.prove_whole_tokens(BYTES)) and len(whole) > 40_000
+
+
+# --- shards and packs -------------------------------------------------------
+
+
+def test_karmarkar_karp():
+    rng = random.Random(1)
+    sizes = [rng.randint(1, 10_000) for _ in range(2000)]
+    load = Counter()
+    for size, part in zip(sizes, sharding.karmarkar_karp(sizes, 16), strict=True):
+        load[part] += size
+    assert max(load.values()) - min(load.values()) <= 2 and sharding.karmarkar_karp([], 4) == []
+
+
+@pytest.mark.parametrize("which", ["docs", "odd", "none"])
+def test_shards(request, which):
+    df = request.getfixturevalue(which)
+    got = sharding.balanced_shards(df).collect()
+    assert len(got) == df.count()
+    text = Counter((r.doc_id, r.text) for r in df.select("doc_id", "text").collect())
+    want = Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for (i, t), n in text.items() for _ in range(n))
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == want
+    by = defaultdict(list)
+    for r in got:
+        by[r.shard].append(r.slot)
+        assert 0 <= r.shard < 16 and r.law == "bytes" and r.grown_shard is None
+    assert all(sorted(s) == list(range(len(s))) for s in by.values())
+    together = defaultdict(set)
+    for r in got:
+        together[r.text_crc32, r.size].add(r.shard)
+    assert all(len(s) == 1 for k, s in together.items() if k[1] > 1)
+    if which == "docs":
+        load = Counter()
+        for r in got:
+            load[r.shard] += r.size
+        assert max(load.values()) <= 1.05 * sum(load.values()) / 16 + max(r.size for r in got)
+
+
+def test_packing(docs, texts, odd, none):
+    library = Tokenizer.from_file(WORDS)
+    assert packing.pack(none, WORDS).count() == 0
+    for df, source in ((docs, list(texts.items())), (odd, ODD)):
+        got = packing.pack(df, WORDS).collect()
+        want = Counter()
+        for i, t in source:
+            ids = [*library.encode(t or "", add_special_tokens=False).ids, 1]
+            for s in range(0, len(ids), 2048):
+                part = ids[s : s + 2048]
+                want[i, s, len(part), zlib.crc32(array.array("I", part).tobytes()), len(ids)] += 1
+        assert Counter((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in got) == want
+        packs = defaultdict(list)
+        for r in got:
+            packs[r.sequence_id].append((r.offset, r.length))
+        assert sorted(packs) == list(range(len(packs)))
+        for pieces in packs.values():
+            at = 0
+            for offset, length in sorted(pieces):
+                assert offset == at
+                at += length
+            assert at <= 2048
+
+
+def test_shortest_pack_first():
+    rng = random.Random(2)
+    histogram = Counter(min(2048, int(rng.lognormvariate(6, 1)) + 1) for _ in range(50_000))
+    packs = packing.shortest_pack_first(histogram)
+    back = Counter()
+    for pattern, n in packs:
+        assert sum(pattern) <= 2048
+        for length in pattern:
+            back[length] += n
+    assert back == histogram and packing.padding_ratio(histogram) < 0.01 and packing.shortest_pack_first({}) == []
+
+
+# --- wavelet files ----------------------------------------------------------
+
+
+def test_segment_access_rank_select():
+    rng = np.random.default_rng(5)
+    ids = rng.integers(0, 300, 9000).astype(np.uint32)
+    s = wavelet.Segment.build(ids, 16)
+    assert (s.all() == ids).all()
+    for i in rng.integers(0, 9000, 60):
+        assert s.access(int(i)) == ids[i] and s.rank(int(ids[i]), int(i)) == (ids[:i] == ids[i]).sum()
+    for v in (0, 7, 299, 301):
+        at = np.flatnonzero(ids == v)
+        assert s.count(v) == len(at) and [s.select(v, k) for k in range(min(5, len(at)))] == at[:5].tolist()
+    with pytest.raises(IndexError):
+        s.select(301, 0)
+
+
+@pytest.mark.parametrize("which", ["docs", "odd", "none"])
+def test_wavelet_files(spark, request, which, tmp_path, monkeypatch):
+    monkeypatch.setattr(wavelet, "SHARD_BYTES", 100_000)
+    df, library = request.getfixturevalue(which), Tokenizer.from_file(BYTES)
+    wavelet.write(df, BYTES, str(tmp_path / "w"))
+    got = wavelet.read(spark, str(tmp_path / "w")).collect()
+    want = Counter()
+    for r in df.select("doc_id", "text").collect():
+        ids = [*library.encode(r.text or "", add_special_tokens=False).ids, 2]
+        want[r.doc_id, len(ids), zlib.crc32(array.array("I", ids).tobytes())] += 1
+    assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == want
+    at = 0
+    for r in sorted(got, key=lambda r: r.start):
+        assert r.start == at
+        at += r.n_tokens
+    order = [r.doc_id if r.doc_id is not None else -1 for r in sorted(got, key=lambda r: r.start)]
+    assert order == sorted(order)
+
+
+# --- near duplicates --------------------------------------------------------
+
+
+def brute_components(sets, percent):
+    """Components of ids over all pairs of sets."""
+    ids, label = sorted(sets), {i: i for i in sets}
+    links = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+    changed = True
+    while changed:
+        changed = False
+        for a, b in links:
+            low = min(label[a], label[b])
+            if label[a] != low or label[b] != low:
+                label[a] = label[b] = low
+                changed = True
+    return label
+
+
+def word_shingles(text):
+    words = re.findall(r"[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_near_duplicates(spark, docs, texts, percent):
+    rng = random.Random(9)
+    base = [f"w{rng.randint(0, 400)}" for _ in range(150)]
+    rows = dict(texts)
+    for k in range(160):  # copies of copies, with more and more edits
+        words = list(base)
+        for _ in range(rng.choice((0, 1, 1, 2, 3, 5))):
+            words[rng.randrange(150)] = f"x{rng.randint(0, 30)}"
+        rows[10_000 + k] = " ".join(words)
+    rows |= {20_000 + k: t for k, t in enumerate(("A b", "a B", "a b c d e f", "a b c d e", "", None, " "))}
+    got = minhash.near_duplicates(spark.createDataFrame(list(rows.items()), "doc_id long, text string"), percent).collect()
+    sets = {i: word_shingles(t) for i, t in rows.items()}
+    want = brute_components(sets, percent)
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == {i: (len(s), want[i], want[i] == i) for i, s in sets.items()}
+
+
+def test_near_duplicates_odd(odd, none, spark):
+    got = rows(minhash.near_duplicates(odd))
+    by = {r.doc_id: r for r in got}
+    assert len(got) == len(ODD) and by[4].component_id == 3 and not by[4].kept and by[2].component_id == 2 and by[None].component_id is None and by[None].kept
+    assert minhash.near_duplicates(none).count() == 0
+    kept = minhash.deduplicated(odd.where("doc_id IN (3, 4) OR doc_id IS NULL"))
+    assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 3] and kept.columns == odd.columns
+
+
+def test_least_overlap():
+    assert minhash.least_overlap(64, 85) < 0.85 * 64 and minhash.least_overlap(64, 100) == 64 and minhash.least_overlap(1, 80) == 1
+
+
+def test_near_vectors(spark):
+    rng = np.random.default_rng(4)
+    centers = rng.standard_normal((40, 24))
+    x = np.concatenate([c + rng.standard_normal((n, 24)) * s for c, n, s in zip(centers, [60, 30] + [4] * 38, [0.25] * 2 + [0.3] * 38, strict=True)]).astype(np.float32)
+    x = np.concatenate([x, x[:5], x[:1], x[:1]])
+    special = [(9001, None), (9002, []), (9003, [0.0] * 24), (9004, [float("nan")] * 24), (9005, [None] + [1.0] * 23), (9006, [1.0] * 3), (None, [1.0] * 24)]
+    df = spark.createDataFrame([(int(k), [float(v) for v in r], "a") for k, r in enumerate(x)] + [(i, v, "a") for i, v in special], "vec_id long, embedding array<float>, a string")
+    y = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    links = y @ y.T >= 0.9
+    label = np.arange(len(y))
+    for _ in range(50):
+        label = np.array([label[links[k]].min() for k in range(len(y))])
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in cap_filters.near_vectors(df, members=16).collect()}
+    # Never a link that isn't one; of those there are, the filters may miss few.
+    want = {k: int(links[k].sum()) - 1 for k in range(len(y))}
+    assert all(got[k][0] <= n for k, n in want.items()) and sum(got[k][0] for k in want) >= 0.998 * sum(want.values())
+    assert sum(got[k][1:] == (int(label[k]), bool(label[k] == k)) for k in want) >= 0.995 * len(want)
+    assert all(got[i] == (0, i, True) for i, _ in special if i is not None) and got[None] == (0, None, True)
+    assert cap_filters.near_vectors(df.where("vec_id > 9000")).count() == 6 and cap_filters.near_vectors(df.limit(0)).count() == 0
+
+
+# --- secrets and personal data ----------------------------------------------
+
+
+def digest(spans):
+    return hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in spans).encode()).hexdigest()
+
+
+def brute_secrets(t):
+    out = []
+    for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t, re.I | re.A):
+        out += [("assign", *m.span())] if len(m[2]) >= 8 else []
+    out += [("access", *m.span()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 16]
+    out += [("hex", *m.span()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 32]
+    return sorted(out, key=lambda s: (s[1], ("assign", "access", "hex").index(s[0])))
+
+
+def test_secrets(spark, odd, none):
+    rng = random.Random(6)
+    parts = ["token", "api_key", "ſecret", "Password", "=", ":", " ", '"', "'", "abc", "12345678", "AKIA", "ABCDEFGH1234", "0123456789abcdef", "é", "🙂", "x" * 9, "\n", "-"]
+    data = [(k, "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))) for k in range(800)] + [(900 + k, t) for k, (_, t) in enumerate(ODD)]
+    found = credentials.find_secrets(spark.createDataFrame(data, "doc_id long, text string"))
+    got = {r.doc_id: r for r in credentials.digests(found, credentials.BASE).collect()}
+    for i, t in data:
+        want = brute_secrets(t or "")
+        assert got[i].base_sha256 == digest(want) and got[i].n_hex == sum(k == "hex" for k, *_ in want), t
+        assert all(f"{k}:{a}:{b}" in got[i].spans.split(",") for k, a, b in want)
+    assert credentials.find_secrets(odd).count() == len(ODD) and credentials.find_secrets(none).count() == 0
+
+
+def test_formats_are_learned():
+    formats = credentials.Formats(credentials.labelled_credentials())
+    fresh = credentials.labelled_credentials(40, seed=77)
+    for name, examples in fresh.items():
+        hits = sum(formats.ratio(x) >= max(credentials.RATIO, credentials.RATIO_EACH * len(x)) for x in examples)
+        assert hits >= (0.3 if name == "base-64 secret" else 0.85) * len(examples), name
+    for plain in ("internationalisation2024", "www.example.com/page-of-2021", "version-10.2.3-beta.4-linux"):
+        assert formats.ratio(plain) < 0
+    text = "our key is ghp_" + "a1B2c3D4" * 4 + "e5F6 ok"
+    assert [(k, text[a:b]) for k, a, b, _ in credentials.spans(text, formats)] == [("format", text[11:-3])]
+
+
+def luhn(d):
+    total = 0
+    for k, c in enumerate(reversed(d)):
+        x = int(c) * (1 + k % 2)
+        total += x - 9 * (x > 9)
+    return total % 10 == 0
+
+
+def brute_pii(t):
+    digits = lambda s: re.sub("[^0-9]", "", s)
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(len(x) < 99 and int(x) <= 255 for x in m[0].split("."))]
+    out += [("card", *m.span()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 14 <= len(digits(m[0])) <= 19 and luhn(digits(m[0]))]
+    out += [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 10 <= len(digits(m[0])) <= 15]
+    return sorted(out, key=lambda s: (s[1], pii.KINDS.index(s[0])))
+
+
+def test_pii(spark, odd, none):
+    rng = random.Random(8)
+    parts = ["a", "9", "1.", "22", " ", "-", ".", "@", "+", "(", ")", "x@y.zz", "1.2.3.4", "é", "🙂", "4111 1111 1111 1111", "+1 (017) 555-7713", "@b.c", "_", " the ", "\n", "0", "256"]
+    data = [(k, "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))) for k in range(1500)]
+    data += [(5000, "1" * 40_000), (5001, "a" * 40_000 + "@" + "b.c" * 8_000), (5002, "1.2.3.4 " * 2_000), (5003, None), (5004, "")]
+    got = {r.doc_id: r for r in credentials.digests(pii.find_pii(spark.createDataFrame(data, "doc_id long, text string")), pii.KINDS).collect()}
+    for i, t in data:
+        want = brute_pii(t or "")
+        assert got[i].base_sha256 == digest(want) and got[i].n_email == sum(k == "email" for k, *_ in want), (t or "")[:80]
+    assert pii.find_pii(odd).count() == len(ODD) and pii.find_pii(none).count() == 0
+    assert pii.find_pii(odd, carry=True).columns == [*odd.columns, "_spans"]
+
+
+def test_pii_from_context(spark):
+    known = [(k, f"note passport 41111111{k:02d}4{k:06d} and more") for k in range(1)]
+    seeds = [(100 + k, f"words card {n} words") for k, n in enumerate(x for x in range(4_000_000_000_000_000, 4_000_000_000_004_000) if luhn(str(x))) if k < 30]
+    unseen = [(500, "words card 4999999999999999 words"), (501, "words seen 4999999999999998 words")]
+    assert not luhn("4999999999999999") and not luhn("4999999999999998")
+    got = {r.doc_id: r.spans for r in credentials.digests(pii.find_pii(spark.createDataFrame(known + seeds + unseen, "doc_id long, text string")), pii.KINDS).collect()}
+    assert got[500] == "context_card:11:27" and got[501] == ""
+
+
+def test_redaction(spark):
+    df = spark.createDataFrame([(1, "é a@b.cc, +1 (017) 555-7713 end"), (2, "none"), (3, "1.2.3.4")], "doc_id long, text string")
+    got = {r.doc_id: r.t for r in pii.find_pii(df, carry=True).select("doc_id", pii.redacted(F.col("text"), F.col("_spans")).alias("t")).collect()}
+    assert got == {1: "é [EMAIL], [PHONE] end", 2: "none", 3: "[IP]"}
+
+
+# --- quality, benchmark -----------------------------------------------------
+
+
+def test_quality(spark, none):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    got = quality.quality_scores(docs, labels).join(labels, "doc_id").collect()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == (r.score >= 0.3) and 0 <= r.score <= 1 for r in got)
+    held = [r for r in got if r.held_out]
+    assert sum(r.predicted == r.quality for r in held) >= 0.93 * len(held)
+    blind = quality.quality_scores(docs.withColumn("lang", F.lit("zz")).withColumn("source", F.lit(None)), labels.withColumn("toxic", F.lit(9)))
+    assert {r.doc_id: r.score for r in blind.collect()}.items() >= {r.doc_id: r.score for r in got}.items()
+    odd = spark.createDataFrame([(i, t, "s") for i, t in ODD], "doc_id long, text string, score string")
+    assert quality.quality_scores(odd, labels.limit(0)).where("score = 0.5").count() == len(ODD)
+    assert quality.quality_scores(odd, labels).count() == len(ODD) and quality.quality_scores(none, labels).count() == 0
+
+
+def test_leaks(spark, docs, texts, odd, none):
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    strip = lambda t: [w for w in (re.sub(r"^\W+|\W+$|_", "", x).lower() for x in t.split()) if w]
+    grams = lambda t: {tuple(strip(t)[k : k + 5]) for k in range(len(strip(t)) - 4)}
+    items = {r.item_id: grams(r.text) for r in bench.collect()}
+    want = {(i, j) for i, t in texts.items() for j, g in items.items() if g and len(g & grams(t)) >= 0.8 * len(g)}
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench).collect()} == want
+    assert decontaminate.decontaminated(docs, bench).count() == len(texts) - len({i for i, _ in want})
+    assert decontaminate.leaks(none, bench).count() == 0 and decontaminate.leaks(docs, bench.limit(0)).count() == 0
+    assert decontaminate.leaks(odd, odd.select(F.col("doc_id").alias("item_id"), "text")).where("doc_id = 3").count() >= 1
+
+
+def test_templates(spark):
+    item = spark.createDataFrame([(1, "A shop sells 3 kg of rice to Tom for 12 dollars and then Tom buys 3 more bags of rice from the shop")], "item_id long, text string")
+    data = [
+        (1, "Well now. A shop sells 7 kg of rice to Ana for 55 dollars and then Ana buys 7 more bags of rice from the shop. Yes."),  # other parameters, used alike
+        (2, "A shop sells 7 kg of rice to Ana for 55 dollars and then Kim buys 9 more bags of rice from the shop"),  # one value became two
+        (3, "A shop sells 3 kg of rice to Tom for 12 dollars and then Tom buys 3 more bags of rice from the shop"),
+        (4, "Nothing of that kind is said here at all, by anybody, ever, in any of these words"),
+    ]
+    got = {r.doc_id: r.kind for r in decontaminate.leaks(spark.createDataFrame(data, "doc_id long, text string"), item).collect()}
+    assert got == {1: "reparameterised", 3: "verbatim"}
