@@ -361,7 +361,8 @@ def test_quality(spark, none):
 def test_leaks(spark, docs, texts, odd, none):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     strip = lambda t: [w for w in (re.sub(r"^\W+|\W+$|_", "", x).lower() for x in t.split()) if w]
-    grams = lambda t: {tuple(strip(t)[k : k + 5]) for k in range(len(strip(t)) - 4)}
+    windows = lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    grams = lambda t: windows(strip(t))
     items = {r.item_id: grams(r.text) for r in bench.collect()}
     want = {(i, j) for i, t in texts.items() for j, g in items.items() if g and len(g & grams(t)) >= 0.8 * len(g)}
     assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench).collect()} == want
