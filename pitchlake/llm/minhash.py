@@ -172,20 +172,24 @@ def deduplicated(docs: DataFrame, percent: int = 80, *, doc_id: str = "doc_id",
     return docs.where(F.col(doc_id).isNotNull()).join(kept, doc_id, "left_semi").dropDuplicates([doc_id]).unionByName(docs.where(F.col(doc_id).isNull()))
 
 
-def _unique_shingles(sets: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(a, alone): how many shingles of each of ``nodes`` no other of them has."""
+def _own_shingles(sets: DataFrame, nodes: DataFrame, scratch: common.Scratch) -> DataFrame:
+    """(a, alone): how many shingles of each of ``nodes`` (a, comp) none of another component has."""
     kind = sets.schema["a"].dataType.simpleString()
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(1)]
+            found = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(2)]
             at = np.repeat(np.arange(len(found)), [len(x) for x in found])
             flat = np.concatenate(found) if found else np.empty(0, np.int64)
             for s in range(0, len(flat), 100_000):
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at[s : s + 100_000])), pa.array(flat[s : s + 100_000])], ["a", "s"])
+                rows = pa.array(at[s : s + 100_000])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(flat[s : s + 100_000])], ["a", "comp", "s"])
 
-    each = sets.join(nodes, "a", "left_semi").select("a", "set").mapInArrow(spread, f"a {kind}, s long")
-    return each.groupBy("s").agg(F.count("*").alias("f"), F.min("a").alias("a")).where("f = 1").groupBy("a").agg(F.count("*").alias("alone"))
+    each = scratch.write(sets.join(nodes, "a").select("a", "comp", "set").mapInArrow(spread, f"a {kind}, comp {kind}, s long"), "shingles")
+    own = each.groupBy("s").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 = c1").select("s")
+    out = scratch.write(each.join(own, "s").groupBy("a").agg(F.count("*").alias("alone")), "alone")
+    scratch.drop(each)
+    return out
 
 
 def _join_lists(live: DataFrame, sets: DataFrame, percent: int, k: int, scratch: common.Scratch) -> DataFrame:
@@ -194,15 +198,15 @@ def _join_lists(live: DataFrame, sets: DataFrame, percent: int, k: int, scratch:
     live = live.withColumns({"alone": F.lit(0).cast("long"), "comp": F.col("a")})
     known = None
     for turn in range(1_000_000):
-        if turn == 1:
-            # From here on a document's own shingles, which no other in these lists has, bound its similarity to any.
-            nodes = live.select("a").distinct()
-            alone = scratch.write(_unique_shingles(sets, nodes), "alone")
-            live = live.drop("alone").join(alone, "a", "left").withColumn("alone", F.coalesce("alone", F.lit(0)))
         lists = live.groupBy("v").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("n").alias("least")).where("c0 < c1")
-        # A partner has at least ``least`` shingles and none of those that are only here.
+        live = scratch.write(live.join(lists.select("v", "least"), "v"), "live")
+        if turn:
+            # From here on what a document has and no other component bounds its similarity to any of another.
+            alone = _own_shingles(sets, live.select("a", "comp").distinct(), scratch)
+            live = live.drop("alone").join(alone, "a", "left").withColumn("alone", F.coalesce("alone", F.lit(0)))
+        # A partner has at least ``least`` shingles and none of those.
         reach = F.lit(100) * (F.col("n") - F.col("alone")) >= F.lit(percent) * (F.col("least") + F.col("alone"))
-        live = scratch.write(live.join(lists.select("v", "least"), "v").where(reach).drop("least"), "live")
+        live = scratch.write(live.where(reach).drop("least"), "live")
         if live.isEmpty():
             break
         leaders = 8**turn
