@@ -102,7 +102,7 @@ def connected_components(spark: SparkSession, links: DataFrame, scratch: Scratch
     def large_star(e: DataFrame) -> DataFrame:
         both = e.select(F.col("lo").alias("u"), F.col("hi").alias("v")).union(e.select(F.col("hi").alias("u"), F.col("lo").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        return both.where("v > u").join(low, "u").select(F.col("m").alias("lo"), F.col("v").alias("hi")).where("lo <> hi").distinct()
+        return both.where("v > u").join(low, "u").select(F.col("m").alias("lo"), F.col("v").alias("hi")).where("lo <> hi")
 
     def small_star(e: DataFrame) -> DataFrame:
         low = e.groupBy("hi").agg(F.min("lo").alias("m"))
@@ -111,9 +111,10 @@ def connected_components(spark: SparkSession, links: DataFrame, scratch: Scratch
 
     while True:
         stepped = scratch.write(small_star(large_star(edges)), "links")
-        # All edges are stars to the smallest node once no node is at both ends and no node hangs on two.
-        state = stepped.groupBy("hi").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"]
-        if state is None or (state == 1 and stepped.join(stepped.select(F.col("hi").alias("lo")), "lo", "left_semi").isEmpty()):
+        # All edges are stars to the smallest node once no node hangs on two, or hangs on one and holds another.
+        ends = stepped.select(F.col("hi").alias("x"), F.lit(1).alias("h"), F.lit(0).alias("l")).union(stepped.select(F.col("lo").alias("x"), F.lit(0).alias("h"), F.lit(1).alias("l")))
+        per = ends.groupBy("x").agg(F.sum("h").alias("h"), F.max("l").alias("l"))
+        if per.where("h > 1 OR h = 1 AND l = 1").isEmpty():
             scratch.drop(edges)
             break
         scratch.drop(edges)

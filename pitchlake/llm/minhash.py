@@ -209,7 +209,7 @@ def _join_lists(live: DataFrame, sets: DataFrame, percent: int, k: int, scratch:
         live = scratch.write(live.where(reach).drop("least"), "live")
         if live.isEmpty():
             break
-        leaders = 8**turn
+        leaders = 32**turn
         bucket = F.pmod(F.xxhash64("a", F.lit(turn)), F.lit(leaders))
         lead = live.groupBy("v", bucket.alias("_b")).agg(F.max(F.struct("central", "a", "n", "alone", "comp", "vs")).alias("l")).select("v", F.struct("l.a", "l.n", "l.alone", "l.comp", "l.vs").alias("l"))
         lead = scratch.write(lead, "leaders")
