@@ -2,7 +2,8 @@
 
 Texts become templates: numbers, units after numbers, and names turn into typed placeholders. Windows of five template tokens
 are hashed; those of the documents meet those of the items in a hash join. An item is in a document if enough of its windows
-are, and if what stands in its slots there is consistent: one value of the item always became one value of the document.
+are, and if what stands in its slots is consistent, in the whole document or in one occurrence: one value of the item always
+became one value of the document.
 Names are told by their capital inside a sentence, which a copied passage can lose or gain at its ends; so every window is
 first hashed with names left as they are, and again with names replaced where there are any.
 """
@@ -70,10 +71,10 @@ class Canon:
         self.memo[word] = k
         return k
 
-    def windows(self, text: str) -> tuple[list[tuple[int, np.ndarray]], np.ndarray, np.ndarray]:
-        """((variant, hashes of its windows), ...), the kind of slot that each token is, and its number in ``core``.
+    def tokens(self, text: str) -> tuple[np.ndarray, list[np.ndarray]]:
+        """The hash of each word, and for each variant the hash of each template token; where they differ is a slot.
 
-        Variant 0 leaves names as they are. Variant 1 replaces them too; a text without any needs only variant 0.
+        Variant 0 leaves names as they are, variant 1 replaces them too. A variant that replaces no more than the one before is the same array.
         """
         if len(self.core) > MEMO_ENTRIES:
             self._forget()
@@ -86,56 +87,220 @@ class Canon:
             real = np.flatnonzero(kind >= 0)
             at, kind, starts = at[real], kind[real], starts[real]
         h = self.hash[at]
-        slots = np.where(kind == NUMBER, kind, np.int8(PLAIN))
-        slots[1:][(kind[1:] == UNIT) & (kind[:-1] == NUMBER)] = UNIT
-        typed = h
-        if slots.any():
-            typed = np.where(slots == NUMBER, self.placeholder[NUMBER], np.where(slots == UNIT, self.placeholder[UNIT], h))
-        names = (kind == TITLE) & ~starts
-        out = [(0, _windows(typed, 0))]
-        if names.any():
-            slots[names] = TITLE
-            out.append((1, _windows(np.where(names, self.placeholder[TITLE], typed), 1)))
-        return out, slots, at
-
-
-def _windows(h: np.ndarray, variant: int) -> np.ndarray:
-    if not len(h):
-        return h
-    n, wide = max(len(h) - WORDS + 1, 1), min(len(h), WORDS)
-    total = np.full(n, wide * 2 + variant, np.uint64)
+        number, typed = kind == NUMBER, h
+        if number.any():
+            unit = np.zeros(len(at), bool)
+            unit[1:] = (kind[1:] == UNIT) & number[:-1]
+            typed = np.where(number, self.placeholder[NUMBER], np.where(unit, self.placeholder[UNIT], h))
+        variants, title = [typed], kind == TITLE
+        for names in (title & ~starts,):
+            variants.append(np.where(names, self.placeholder[TITLE], variants[-1]) if names.any() else variants[-1])
+        return h, variants
+
+
+def _hashed(h: np.ndarray, at: np.ndarray | slice, n: int) -> np.ndarray:
+    """Hashes of the windows that start at ``at``, ``n`` of them; a text of fewer tokens is one window."""
+    wide = min(len(h), WORDS)
+    total = np.full(n, wide, np.uint64)
     for k in range(wide):
-        total += h[k : k + n] * _PLACE[k]
+        total += (h[k : k + n] if isinstance(at, slice) else h[at + k]) * _PLACE[k]
     return _mixed(total)
 
 
-def _templates(rows: DataFrame, keep) -> DataFrame:
-    """(id, key, variant, h, slots) of rows (id, key, text); slots: 'kind:place:value' of the window's placeholders."""
-    kind = rows.schema["id"].dataType.simpleString()
+def _windows(h: np.ndarray) -> np.ndarray:
+    return _hashed(h, slice(None), max(len(h) - WORDS + 1, 1)) if len(h) else h
+
+
+def _all_windows(variants: list[np.ndarray]) -> np.ndarray:
+    """Hashes of the windows of all variants; a window that a variant leaves as it was is not hashed again."""
+    out = [_windows(variants[0])]
+    for before, after in zip(variants, variants[1:], strict=False):
+        if after is not before:
+            n, touched = len(out[0]), np.zeros(len(after), bool)
+            changed = np.flatnonzero(before != after)
+            for k in range(WORDS):
+                touched[np.maximum(changed - k, 0)] = True
+            at = np.flatnonzero(touched[:n])
+            out.append(_hashed(after, at, len(at)))
+    return np.concatenate(out)
+
+
+def _item_windows(items: DataFrame) -> DataFrame:
+    """(id, key, variant, h) of rows (id, key, text)."""
+    kind = items.schema["id"].dataType.simpleString()
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        canon, wanted = Canon(), None if keep is None else np.frombuffer(keep.value, np.uint8)
+        canon = Canon()
         for batch in batches:
-            at, variants, hashes, slots = [], [], [], []
+            at, which, hashes = [], [], [np.zeros(0, np.uint64)]
+            for row, text in enumerate(batch.column(2)):
+                variants = canon.tokens(text.as_py() or "")[1]
+                for v, typed in enumerate(variants):
+                    if v == 0 or typed is not variants[v - 1]:
+                        h = np.unique(_windows(typed))
+                        at += [row] * len(h)
+                        which += [v] * len(h)
+                        hashes.append(h)
+            rows = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(rows) for c in (0, 1)), pa.array(which, pa.int32()), pa.array(np.concatenate(hashes).view(np.int64))], ["id", "key", "variant", "h"])
+
+    return items.mapInArrow(make, f"id {kind}, key long, variant int, h long")
+
+
+def _doc_windows(docs: DataFrame, keep) -> DataFrame:
+    """(id, key, h) of rows (id, key, text), of all variants, as far as they pass the filter."""
+    kind = docs.schema["id"].dataType.simpleString()
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        canon, wanted = Canon(), np.frombuffer(keep.value, np.uint8)
+        for batch in batches:
+            at, hashes = [], [np.zeros(0, np.uint64)]
             for row, text in enumerate(batch.column(2)):
                 text = text.as_py()
                 if not text:
                     continue
-                found, kinds, tokens = canon.windows(text)
-                for variant, h in found:
-                    low = h >> np.uint64(64 - FILTER_BITS)
-                    places = np.arange(len(h)) if wanted is None else np.flatnonzero(wanted[(low >> np.uint64(3)).astype(np.int64)] >> (low & np.uint64(7)).astype(np.uint8) & 1)
-                    for p in places.tolist():
-                        at.append(row)
-                        variants.append(variant)
-                        hashes.append(h[p])
-                        slots.append([f"{kinds[q]}:{q - p}:{canon.core[tokens[q]]}" for q in range(p, min(p + WORDS, len(tokens))) if kinds[q] and (variant or kinds[q] != TITLE)])
+                h = _all_windows(canon.tokens(text)[1])
+                low = h >> np.uint64(64 - FILTER_BITS)
+                h = h[(wanted[(low >> np.uint64(3)).astype(np.int64)] >> (low & np.uint64(7)).astype(np.uint8) & 1).astype(bool)]
+                if len(h):
+                    h = np.unique(h)
+                    at += [row] * len(h)
+                    hashes.append(h)
+            rows = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(rows) for c in (0, 1)), pa.array(np.concatenate(hashes).view(np.int64))], ["id", "key", "h"])
+
+    return docs.mapInArrow(make, f"id {kind}, key long, h long")
+
+
+class _Match:
+    """One item against one document, in one variant: where their windows meet, and what stands in the slots there."""
+
+    def __init__(self, item: tuple[np.ndarray, np.ndarray], doc: tuple[np.ndarray, np.ndarray], similarity: float):
+        (self.item, typed), (self.doc, theirs) = item, doc
+        self.slot, self.wide = typed != self.item, min(len(typed), WORDS)
+        a, b = _windows(typed), _windows(theirs)
+        distinct, self.group = np.unique(a, return_inverse=True)
+        near = np.minimum(np.searchsorted(distinct, b), len(distinct) - 1)
+        at = np.flatnonzero(distinct[near] == b)
+        order = np.argsort(near[at], kind="stable")
+        self.at, self.of = at[order], near[at][order]
+        self.n, self.m, self.windows = len(b), len(a), len(distinct)
+        self.found = len(np.unique(self.of))
+        self.need, self.least = (int(np.ceil(similarity * k - 1e-9)) for k in (self.windows, self.m))
+
+    def best(self) -> tuple[int, str] | None:
+        """(windows found, kind), of the whole document or else of one occurrence."""
+        if self.found < self.need:
+            return None
+        if kind := self._anywhere():
+            return self.found, kind
+        return self._occurrence()
+
+    def _anywhere(self) -> str | None:
+        """The kind if all windows of the document taken together map each value of the item to one value, or each to itself too."""
+        there: dict[tuple[int, int], set[int]] = {}
+        met = np.zeros(self.windows, bool)
+        met[self.of] = True
+        first = np.zeros(self.windows, np.int64)
+        first[self.group[::-1]] = np.arange(self.m)[::-1]
+        for k in range(self.wide):
+            slot = self.slot[first[self.of] + k]
+            for g, value in zip(self.of[slot].tolist(), self.doc[self.at[slot] + k].tolist(), strict=True):
+                there.setdefault((g, k), set()).add(value)
+        became, own, same, consistent = {}, set(), set(), True
+        for k in range(self.wide):
+            q = np.flatnonzero(met[self.group])
+            q = q[self.slot[q + k]]
+            for g, value in zip(self.group[q].tolist(), self.item[q + k].tolist(), strict=True):
+                values = there[g, k]
+                own.add(value)
+                if value in values:
+                    same.add(value)
+                if len(values) > 1 or became.setdefault(value, next(iter(values))) not in values:
+                    consistent = False
+        return "verbatim" if own == same else "reparameterised" if consistent else None
+
+    def _occurrence(self) -> tuple[int, str] | None:
+        """The same for one occurrence: an item's windows on one diagonal (place in the document less place in the item), or on those next to it.
+
+        An occurrence must hold its share of the item's windows at all their places, too. How far the diagonals may be from the first one,
+        as words were put in or left out, is doubled until something is found or the whole document is taken.
+        """
+        bounds = np.searchsorted(self.of, np.arange(self.windows + 1))
+        count = np.zeros(self.n + self.m - 1, np.int64)
+        for q, g in enumerate(self.group.tolist()):
+            count[self.at[bounds[g] : bounds[g + 1]] - q + self.m - 1] += 1
+        total = np.concatenate([[0], np.cumsum(count)])
+        places, slack, best = np.arange(len(count)), 0, None
+        while best is None:
+            inside = total[np.minimum(places + slack + 1, len(count))] - total[np.maximum(places - slack, 0)]
+            diagonals = np.flatnonzero((count > 0) & (inside >= self.least))
+            taken = np.zeros(len(count), bool)
+            for d in diagonals[np.argsort(-count[diagonals], kind="stable")].tolist():
+                if taken[d]:
+                    continue
+                taken[max(d - slack, 0) : d + slack + 1] = True
+                if (got := self._kind(*self._along(d - self.m + 1, slack))) and (best is None or got[1] == "verbatim"):
+                    best = got
+                    if got[1] == "verbatim":
+                        break
+            if slack >= len(count):
+                break
+            slack = max(2 * slack, 1)
+        return best
+
+    def _along(self, d: int, slack: int) -> tuple[np.ndarray, np.ndarray]:
+        """(places in the item, in the document) of each item window and its like nearest to diagonal ``d``, ``slack`` from it at most."""
+        q = np.arange(self.m)
+        aim, keys = q + d, self.of * (self.n + 1) + self.at
+        after = np.searchsorted(keys, self.group * (self.n + 1) + np.clip(aim, 0, self.n))
+        off = []
+        for k in (after - 1, after):
+            inside = np.clip(k, 0, len(keys) - 1)
+            good = (k >= 0) & (k < len(keys)) & (self.of[inside] == self.group)
+            off.append(np.where(good, np.abs(self.at[inside] - aim), np.iinfo(np.int64).max))
+        pick = np.clip(np.where(off[0] < off[1], after - 1, after), 0, len(keys) - 1)
+        near = np.minimum(*off) <= slack
+        return q[near], self.at[pick[near]]
+
+    def _kind(self, q: np.ndarray, p: np.ndarray) -> tuple[int, str] | None:
+        found = len(np.unique(self.group[q]))
+        if len(q) < self.least or found < self.need:
+            return None
+        slots = [(q[s] + k, p[s] + k) for k in range(self.wide) for s in [self.slot[q + k]]]
+        was, now = (np.concatenate([tokens[x[side]] for x in slots]) for side, tokens in enumerate((self.item, self.doc)))
+        if (was == now).all():
+            return found, "verbatim"
+        return (found, "reparameterised") if len(np.unique(was)) == len(np.unique(np.stack([was, now]), axis=1)[0]) else None
+
+
+def _verified(pairs: DataFrame, similarity: float) -> DataFrame:
+    """(id, item_id, found, windows, kind, key) of those rows (id, key, item_id, text, item_text) whose slots agree; the variant with most windows."""
+    kinds = [pairs.schema[c].dataType.simpleString() for c in ("id", "item_id")]
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        canon = Canon()
+        for batch in batches:
+            at, found, windows, kind = [], [], [], []
+            for row, (text, item) in enumerate(zip(batch.column(3), batch.column(4), strict=True)):
+                (words, theirs), (own, ours) = canon.tokens(text.as_py()), canon.tokens(item.as_py())
+                best = None
+                for v, (a, b) in enumerate(zip(ours, theirs, strict=True)):
+                    if v and a is ours[v - 1] and b is theirs[v - 1]:
+                        continue
+                    match = _Match((own, a), (words, b), similarity)
+                    if (got := match.best()) and (best is None or got[0] / match.windows > best[0] / best[1]):
+                        best = (got[0], match.windows, got[1])
+                if best:
+                    for to, x in zip((at, found, windows, kind), (row, *best), strict=True):
+                        to.append(x)
+            rows = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c).take(pa.array(at, pa.int64())) for c in (0, 1)), pa.array(variants, pa.int32()), pa.array(np.array(hashes, np.uint64).view(np.int64)), pa.array(slots, pa.list_(pa.string()))],
-                ["id", "key", "variant", "h", "slots"],
+                [batch.column(0).take(rows), batch.column(2).take(rows), pa.array(found, pa.int64()), pa.array(windows, pa.int64()), pa.array(kind, pa.string()), batch.column(1).take(rows)],
+                ["id", "item_id", "found", "windows", "kind", "key"],
             )
 
-    return rows.mapInArrow(make, f"id {kind}, key long, variant int, h long, slots array<string>")
+    return pairs.select("id", "key", "item_id", "text", "item_text").mapInArrow(make, f"id {kinds[0]}, item_id {kinds[1]}, found long, windows long, kind string, key long")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -148,33 +313,26 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
     common.ship(spark)
     scratch = common.Scratch(spark, "decontaminate")
     rows = lambda df, i, t: df.select(F.col(i).alias("id"), F.xxhash64(F.col(t)).alias("key"), F.col(t).alias("text"))
-    items = scratch.write(_templates(rows(benchmark, item_id, item_text), None).distinct(), "items")
-    totals = items.groupBy("id", "key", "variant").agg(F.countDistinct("h").alias("windows"))
+    items = scratch.write(_item_windows(rows(benchmark, item_id, item_text)).distinct(), "items")
+    totals = items.groupBy(F.col("id").alias("_id"), F.col("key").alias("_k"), F.col("variant").alias("_v")).agg(F.count("*").alias("windows"))
     places = items.select(F.shiftrightunsigned("h", 64 - FILTER_BITS).cast("int").alias("p")).distinct().collect()  # at most 2 ** FILTER_BITS
     bits = np.zeros(1 << FILTER_BITS - 3, np.uint8)
     for r in places:
         bits[r["p"] >> 3] |= 1 << (r["p"] & 7)
-    found = _templates(rows(docs, doc_id, text), spark.sparkContext.broadcast(bits.tobytes())).distinct()
-    theirs = items.join(totals, ["id", "key", "variant"]).select(F.col("id").alias("item_id"), F.col("key").alias("item_key"), "variant", "h", F.col("slots").alias("item_slots"), "windows")
+    found = _doc_windows(rows(docs, doc_id, text), spark.sparkContext.broadcast(bits.tobytes())).distinct()
+    same_item = F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_k")) & (F.col("variant") == F.col("_v"))
+    theirs = items.join(totals, same_item).select(F.col("id").alias("item_id"), F.col("key").alias("item_key"), "variant", "h", "windows")
     if items.count() <= BROADCAST_WINDOWS:
         theirs = F.broadcast(theirs)
-    met = found.join(theirs, ["variant", "h"])
-    # Each slot of a window: the item's value and the document's.
-    pairs = F.zip_with("item_slots", "slots", lambda i, d: F.struct(i.alias("i"), d.alias("d")))
-    value = lambda s: F.regexp_replace(s, "^([0-9]):[0-9]+:", "$1:")
-    per = met.groupBy("id", "key", "item_id", "item_key", "variant", "windows").agg(
-        F.countDistinct("h").alias("found"),
-        F.array_distinct(F.flatten(F.collect_set(F.transform(pairs, lambda p: F.struct(value(p["i"]).alias("i"), value(p["d"]).alias("d")))))).alias("became"),
-    )
-    own = F.array_distinct(F.transform("became", lambda b: b["i"]))
-    same = F.forall(own, lambda i: F.exists("became", lambda b: (b["i"] == i) & (b["d"] == i)))
-    consistent = F.size(own) == F.size("became")
-    good = per.where(F.col("found") >= F.ceil(F.lit(similarity) * F.col("windows") - 1e-9)).where(same | consistent)
-    best = good.groupBy("id", "key", "item_id", "item_key").agg(
-        F.max_by(F.struct("found", "windows", F.when(same, "verbatim").otherwise("reparameterised").alias("kind")), F.struct(F.col("found") / F.col("windows"), -F.col("variant"))).alias("b")
-    )
-    return best.select(
-        F.col("id").alias("doc_id"), "item_id", "b.found", "b.windows", (F.col("b.found") / F.col("b.windows")).alias("similarity"), "b.kind", F.col("key").alias("_key")
+    # Only documents that hold enough of an item's windows, wherever they are, are compared with it place by place.
+    per = found.join(theirs, "h").groupBy("id", "key", "item_id", "item_key", "variant", "windows").agg(F.count("*").alias("found"))
+    enough = per.where(F.col("found") >= F.ceil(F.lit(similarity) * F.col("windows") - 1e-9))
+    pairs = scratch.write(enough.select(F.col("id").alias("_id"), F.col("key").alias("_k"), "item_id", "item_key").distinct(), "pairs")
+    texts = rows(benchmark, item_id, item_text).select(F.col("id").alias("_item"), F.col("key").alias("_ik"), F.col("text").alias("item_text")).distinct()
+    pairs = pairs.join(texts, F.col("item_id").eqNullSafe(F.col("_item")) & (F.col("item_key") == F.col("_ik"))).select("_id", "_k", "item_id", "item_text")
+    both = rows(docs, doc_id, text).join(pairs, F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_k")))
+    return _verified(both, similarity).select(
+        F.col("id").alias("doc_id"), "item_id", "found", "windows", (F.col("found") / F.col("windows")).alias("similarity"), "kind", F.col("key").alias("_key")
     ).distinct()
 
 

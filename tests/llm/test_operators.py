@@ -381,3 +381,20 @@ def test_templates(spark):
     ]
     got = {r.doc_id: r.kind for r in decontaminate.leaks(spark.createDataFrame(data, "doc_id long, text string"), item).collect()}
     assert got == {1: "reparameterised", 3: "verbatim"}
+
+
+def test_leaks_by_occurrence(spark):
+    shop = "A shop sells {} kg of rice to {} for {} dollars and then {} buys {} more bags of rice from the shop"
+    first, second = shop.format(7, "Ana", 55, "Ana", 7), shop.format(8, "Kim", 90, "Kim", 8)
+    row = "The winning draws of the week were 5 8 13 21 34 55 89 144 and nobody had them"
+    item = spark.createDataFrame([(1, shop.format(3, "Tom", 12, "Tom", 3)), (2, row)], "item_id long, text string")
+    data = [
+        (1, f"{first}. Well now. {second}."),  # each alike in itself
+        (2, f"{first}. " + "and so on with many words " * 40 + "for 66 dollars and then nothing of 9 kg of rice to nobody"),  # windows that stray
+        (3, "The winning draws of the week were 6 9 14 22 35 56 90 145 and nobody had them"),  # windows that repeat in the item
+        (4, f"{first.replace('of rice to', 'of good white rice to')}. Well now. {second.replace('and then', 'and quite soon then')}."),  # words put in
+        (5, "Take 1 2 3 4 5 6 7 8 9 of them"),
+        (6, shop.format(7, "Ana", 55, "Kim", 9) + ". " + shop.format(8, "Kim", 90, "Ana", 2)),  # neither is
+    ]
+    got = {(r.doc_id, r.item_id): r.kind for r in decontaminate.leaks(spark.createDataFrame(data, "doc_id long, text string"), item, 0.7).collect()}
+    assert got == {(1, 1): "reparameterised", (2, 1): "reparameterised", (3, 2): "reparameterised", (4, 1): "reparameterised"}
