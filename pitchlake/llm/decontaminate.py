@@ -4,8 +4,9 @@ Texts become templates: numbers, units after numbers, and names turn into typed
 are hashed; those of the documents meet those of the items in a hash join. An item is in a document if enough of its windows
 are, and if what stands in its slots is consistent, in the whole document or in one occurrence: one value of the item always
 became one value of the document.
-Names are told by their capital inside a sentence, which a copied passage can lose or gain at its ends; so every window is
-first hashed with names left as they are, and again with names replaced where there are any.
+Names are told by their capital, which any word has at a sentence's start, and which a copied passage can lose or gain at its
+ends; so every window is first hashed with names left as they are, again with those inside sentences replaced, and again with
+every capitalised word replaced, where there are any.
 """
 
 from __future__ import annotations
@@ -74,7 +75,7 @@ class Canon:
     def tokens(self, text: str) -> tuple[np.ndarray, list[np.ndarray]]:
         """The hash of each word, and for each variant the hash of each template token; where they differ is a slot.
 
-        Variant 0 leaves names as they are, variant 1 replaces them too. A variant that replaces no more than the one before is the same array.
+        Variant 0 leaves names as they are, variant 1 replaces those inside sentences, variant 2 every capitalised word. A variant that replaces no more than the one before is the same array.
         """
         if len(self.core) > MEMO_ENTRIES:
             self._forget()
@@ -93,7 +94,7 @@ class Canon:
             unit[1:] = (kind[1:] == UNIT) & number[:-1]
             typed = np.where(number, self.placeholder[NUMBER], np.where(unit, self.placeholder[UNIT], h))
         variants, title = [typed], kind == TITLE
-        for names in (title & ~starts,):
+        for names in (title & ~starts, title & starts):
             variants.append(np.where(names, self.placeholder[TITLE], variants[-1]) if names.any() else variants[-1])
         return h, variants
 

@@ -398,3 +398,15 @@ def test_leaks_by_occurrence(spark):
     ]
     got = {(r.doc_id, r.item_id): r.kind for r in decontaminate.leaks(spark.createDataFrame(data, "doc_id long, text string"), item, 0.7).collect()}
     assert got == {(1, 1): "reparameterised", (2, 1): "reparameterised", (3, 2): "reparameterised", (4, 1): "reparameterised"}
+
+
+def test_names_at_sentence_starts(spark):
+    item = spark.createDataFrame([(1, "Tom has 3 apples. Tom buys 4 more apples. How many apples does Tom have now?")], "item_id long, text string")
+    data = [
+        (1, "Ana has 5 apples. Ana buys 9 more apples. How many apples does Ana have now?"),
+        (2, "So it goes here. Ana has 5 apples. Ana buys 9 more apples. How many apples does Ana have now? Nobody knows."),
+        (3, "Ana has 5 apples. Kim buys 9 more apples. How many apples does Ana have now?"),  # one name became two
+        (4, "Tom has 3 apples. Tom buys 4 more apples. How many apples does Tom have now?"),
+    ]
+    got = {r.doc_id: r.kind for r in decontaminate.leaks(spark.createDataFrame(data, "doc_id long, text string"), item).collect()}
+    assert got == {1: "reparameterised", 2: "reparameterised", 4: "verbatim"}
