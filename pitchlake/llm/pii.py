@@ -2,8 +2,8 @@
 
 Fixed rules find seed entities. The word before an entity is a lexical pattern; patterns and instances (distinct values) form a
 graph whose two sides score each other in turns: a pattern by the share of its instances that are known to be of a kind, an
-instance by the patterns it stands in. Tokens that no rule covers, but that stand in high-confidence patterns and look like
-known values of that kind, are found by it.
+instance by the patterns it stands in. What no rule covers, but stands in high-confidence patterns and is of that kind's broad
+class (about as many digits with any separators, or an @ however written; or the shape of a known value), is found by it.
 """
 
 from __future__ import annotations
@@ -23,6 +23,12 @@ CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){13,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: What may be an identifier that no rule knows: a token with digits.
 TOKEN = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
+#: More of them: groups of digits with blanks between, emails with (at) or [at], tokens with an @ and no digit.
+GROUPS = r"(?<!\S)[(]?[0-9][0-9().-]*+(?:\x20[(]?[0-9][0-9().-]*+)++"
+SPELT = r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]++\x20?(?:\(at\)|\[at\])\x20?[a-z0-9-]++(?:(?:\.|\x20?(?:\(dot\)|\[dot\])\x20?)[a-z0-9-]++)*+"
+HANDLE = r"(?<!\S)[^\s0-9@]*+@[^\s0-9]*+(?!\S)"
+#: Digits of what a pattern may find, as shares of the fewest and the most that the kind's known values have.
+FEWEST, MOST = 0.6, 1.4
 #: Distinct known values that a pattern needs, its share of them, an instance's score, and rounds of scoring.
 SUPPORT, CONFIDENCE, ACCEPT, ROUNDS = 10, 0.8, 0.9, 3
 
@@ -61,13 +67,17 @@ def _holds() -> Column:
     )
 
 
+def _digits() -> Column:
+    return F.length(F.regexp_replace("value", "[^0-9]", ""))
+
+
 def _shape(value: Column) -> Column:
     """Digits as 9, letters as a, repeats once."""
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(value, r"\p{L}+", "a"), "[0-9]{9,}", "999"), "[0-9]+", "9")
 
 
 def _spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, h, kind, start, end, value, before) of all matches of (doc_id, h, text): base ones, and tokens."""
+    """(doc_id, h, kind, start, end, value, before) of all matches of (doc_id, h, text): base ones, and candidates."""
     text, digit = F.col("text"), F.col("text").rlike("[0-9]")
     found = F.concat(
         _matches(text, EMAIL, F.contains("text", F.lit("@")), "email"),
@@ -75,6 +85,9 @@ def _spans(docs: DataFrame) -> DataFrame:
         _matches(text, CARD, digit & text.rlike(r"[0-9](?:[\x20-]?[0-9]){13}"), "card"),
         _matches(text, PHONE, F.contains("text", F.lit("+")), "phone"),
         _matches(text, TOKEN, digit, "token"),
+        _matches(text, GROUPS, digit & text.rlike(r"[0-9().-]\x20[(]?[0-9]"), "groups"),
+        _matches(text, SPELT, text.rlike(r"(?i)\(at\)|\[at\]"), "spelt"),
+        _matches(text, HANDLE, F.contains("text", F.lit("@")), "handle"),
     )
     each = docs.select("doc_id", "h", F.explode(found).alias("m")).select("doc_id", "h", "m.*").distinct()
     so_far = Window.partitionBy("doc_id", "h", "kind").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
@@ -84,32 +97,43 @@ def _spans(docs: DataFrame) -> DataFrame:
 
 
 def _discovered(spans: DataFrame, scratch: common.Scratch) -> DataFrame:
-    """Spans (doc_id, h, kind, start, end) of tokens that high-confidence patterns find."""
+    """Spans (doc_id, h, kind, start, end) of candidates that high-confidence patterns find."""
     earlier = Window.partitionBy("doc_id", "h").orderBy("start", "end", "kind").rowsBetween(Window.unboundedPreceding, -1)
     later = Window.partitionBy("doc_id", "h").orderBy("start", "end", "kind").rowsBetween(1, Window.unboundedFollowing)
-    base = F.col("kind") != "token"
+    base = F.col("kind").isin(*KINDS)
     free = (
         spans.withColumn("reached", F.max(F.when(base, F.col("end"))).over(earlier))
         .withColumn("next", F.min(F.when(base, F.col("start"))).over(later))
         .withColumn("free", (F.coalesce("reached", F.lit(0)) <= F.col("start")) & (F.coalesce("next", F.col("end")) >= F.col("end")))
     )
     free = scratch.write(free.where(base | F.col("free")).select("doc_id", "h", "kind", "start", "end", "value", "before", _shape(F.col("value")).alias("shape")), "instances")
-    edges = free.where("before <> ''").groupBy("before", "value", "shape").agg(F.max(F.when(base, F.col("kind"))).alias("seed"))
+    edges = free.where("before <> ''").groupBy("before", "value", "shape").agg(F.max(F.when(base, F.col("kind"))).alias("seed"), F.max(base | (F.col("kind") == "token")).alias("counts"))
     edges = scratch.write(edges, "edges")
     shapes = scratch.write(free.where(base).select("kind", "shape").distinct(), "shapes")
+    ranges = F.broadcast(free.where(base).groupBy("kind").agg(F.min(_digits()).alias("fewest"), F.max(_digits()).alias("most")))  # a row a kind
+
+    def alike(rows: DataFrame) -> DataFrame:
+        """Those rows (kind, shape, value, ...) of the kind's broad class, or with a known value's shape."""
+        near = F.when(F.col("kind") == "email", F.col("value").rlike(r"(?i)@|\(at\)|\[at\]")).otherwise(
+            ~F.col("value").rlike(r"\p{L}") & _digits().between(F.col("fewest") * FEWEST, F.col("most") * MOST)
+        )
+        return rows.join(shapes.withColumn("same", F.lit(True)), ["kind", "shape"], "left").join(ranges, "kind").where(near | F.col("same")).drop("same", "fewest", "most")
+
+    # Groups and the like begin where a token does or have no digit, so a pattern's share counts tokens only.
+    counted = edges.where("counts")
     known = scratch.write(edges.where("seed IS NOT NULL").select("value", F.col("seed").alias("kind")).distinct(), "known")
     patterns = None
     for _ in range(ROUNDS):
-        totals = edges.groupBy("before").agg(F.count("*").alias("n"))
+        totals = counted.groupBy("before").agg(F.count("*").alias("n"))
         scored = (
-            edges.select("before", "value").join(known, "value").groupBy("before", "kind").agg(F.count("*").alias("k")).where(F.col("k") >= SUPPORT)
+            counted.select("before", "value").join(known, "value").groupBy("before", "kind").agg(F.count("*").alias("k")).where(F.col("k") >= SUPPORT)
             .join(totals, "before").select("before", "kind", (F.col("k") / F.col("n")).alias("confidence")).where(F.col("confidence") >= CONFIDENCE)
         )
         patterns = scratch.write(scored, "patterns")
         if patterns.isEmpty():
             break
         better = (
-            edges.where("seed IS NULL").join(patterns, "before").join(shapes, ["kind", "shape"]).groupBy("value", "kind")
+            alike(edges.where("seed IS NULL").join(patterns, "before")).groupBy("value", "kind")
             .agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-6)))))).alias("score")).where(F.col("score") >= ACCEPT)
         )
         grown = scratch.write(known.union(better.select("value", "kind")).distinct(), "known")
@@ -117,11 +141,14 @@ def _discovered(spans: DataFrame, scratch: common.Scratch) -> DataFrame:
         known = grown
         if settled:
             break
-    tokens = free.where("kind = 'token'").drop("kind")
-    return (
-        tokens.join(patterns, "before").join(shapes, ["kind", "shape"]).join(known, ["value", "kind"])
+    tokens = free.where(~base).drop("kind")
+    met = (
+        alike(tokens.join(patterns, "before")).join(known, ["value", "kind"])
         .select("doc_id", "h", F.concat(F.lit("context_"), "kind").alias("kind"), "start", "end").distinct()
     )
+    # Of candidates within each other, the longest.
+    outer = Window.partitionBy("doc_id", "h", "kind").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
+    return met.withColumn("reached", F.max("end").over(outer)).where(F.coalesce("reached", F.lit(0)) < F.col("end")).drop("reached")
 
 
 def find_pii(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", carry: bool = False) -> DataFrame:
@@ -135,7 +162,7 @@ def find_pii(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", car
     keyed = docs.select("*" if carry else F.col(doc_id).alias("doc_id"), *key)
     rows = docs.select(key[0].alias("doc_id"), key[1].alias("h"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     spans = scratch.write(_spans(rows), "spans")
-    all_spans = spans.where("kind <> 'token'").select("doc_id", "h", "kind", "start", "end").union(_discovered(spans, scratch))
+    all_spans = spans.where(F.col("kind").isin(*KINDS)).select("doc_id", "h", "kind", "start", "end").union(_discovered(spans, scratch))
     order = F.array_position(F.array(*[F.lit(k) for k in (*KINDS, *(f"context_{k}" for k in KINDS))]), F.col("kind"))
     per = all_spans.groupBy(F.col("doc_id").alias("_key"), F.col("h").alias("_h")).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("start", order.alias("o"), "end", "kind"))), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("_found")

@@ -410,3 +410,15 @@ def test_names_at_sentence_starts(spark):
     ]
     got = {r.doc_id: r.kind for r in decontaminate.leaks(spark.createDataFrame(data, "doc_id long, text string"), item).collect()}
     assert got == {1: "reparameterised", 2: "reparameterised", 4: "verbatim"}
+
+
+def test_pii_of_other_forms(spark):
+    seeds = [(k, f"words phone +1 (017) 555-{7000 + k} words") for k in range(30)] + [(100 + k, f"words mail n{k}@host.example.com words") for k in range(30)]
+    texts = {
+        500: ("words phone ", "555-0134-77", "context_phone"), 501: ("words phone ", "(017) 555 0134", "context_phone"), 502: ("words mail ", "name(at)host", "context_email"),
+        503: ("words mail ", "name [at] host [dot] org", "context_email"), 504: ("words mail ", "name@host", "context_email"),
+        510: ("words phone ", "12", None), 511: ("words seen ", "555-0134-77", None), 512: ("words mail ", "names", None),
+    }
+    data = seeds + [(k, f"{a}{b} words") for k, (a, b, _) in texts.items()]
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in pii.find_pii(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert {k: got[k] for k in texts} == {k: [(kind, len(a), len(a) + len(b))] if kind else [] for k, (a, b, kind) in texts.items()}
