@@ -2,12 +2,13 @@
 
 For each credential format, a prefix tree is built from labelled examples; states whose counts are statistically compatible
 (Hoeffding's bound, in all that follows them) are merged into a probabilistic automaton. Every long run of credential
-characters is then scored by how much likelier the best automaton makes it than a model of ordinary text.
+characters, and its parts where the whole is none, is then scored by how much likelier the best automaton makes it than a model of ordinary text.
 """
 
 from __future__ import annotations
 
 import math
+import os
 import random
 import re
 import string
@@ -162,6 +163,8 @@ class Formats:
     def __init__(self, labelled: dict[str, list[str]]):
         self.automata = [Automaton(examples) for _, examples in sorted(labelled.items()) if examples]
         self.ordinary = _ordinary()
+        # What all examples of a format begin with.
+        self.prefixes = sorted({p for examples in labelled.values() if len(p := os.path.commonprefix(list(examples))) >= 3})
 
     def ratio(self, run: str) -> float:
         """How much likelier, as a log-ratio, the best automaton makes the run than ordinary text does."""
@@ -173,6 +176,36 @@ def _formats(labelled: tuple) -> Formats:
     return Formats({name: list(examples) for name, examples in labelled})
 
 
+def _parts(text: str, start: int, end: int, formats: Formats) -> list[tuple[str, int, int, float]]:
+    """The format spans of a run or a part of it: the whole, or else those of its parts, cut at a separator or at known prefixes."""
+    todo, found = [(start, end, "=/.")], []
+    while todo:
+        start, end, separators = todo.pop()
+        while start < end and text[start] in ".=-/":
+            start += 1
+        while start < end and text[end - 1] in ".=-/":
+            end -= 1
+        part = text[start:end]
+        if len(part) < SHORTEST or not DIGIT.search(part) or part.isdigit():
+            continue
+        ratio = formats.ratio(part)
+        if ratio >= RATIO and ratio >= RATIO_EACH * len(part):
+            found.append(("format", start, end, ratio))
+            continue
+        separator = next((c for c in separators if c in part), None)
+        if separator:
+            at, rest = start, separators[separators.index(separator) + 1 :]
+            for piece in part.split(separator):
+                todo.append((at, at + len(piece), rest))
+                at += len(piece) + 1
+        else:
+            cuts = sorted({m.start() for p in formats.prefixes for m in re.finditer(re.escape(p), part)} - {0})
+            bounds = [0, *cuts, len(part)]
+            if cuts:
+                todo += [(start + a, start + b, "") for a, b in zip(bounds, bounds[1:], strict=False)]
+    return found
+
+
 def spans(text: str, formats: Formats) -> list[tuple[str, int, int, float]]:
     """(kind, start, end, score), by start, then kind as in KINDS; base kinds score 1."""
     found = []
@@ -187,15 +220,12 @@ def spans(text: str, formats: Formats) -> list[tuple[str, int, int, float]]:
             found += [("hex", at + m.start(), at + m.end(), 1.0) for m in HEX.finditer(part) if len(m[0]) >= 32]
     base = list(found)
     for run in runs:
-        part = run[0].strip(".=-/")
-        if len(part) < SHORTEST or not DIGIT.search(part) or part.isdigit():
-            continue
-        start = run.start() + run[0].index(part)
-        if any(s < start + len(part) and start < e for _, s, e, _ in base):
-            continue
-        ratio = formats.ratio(part)
-        if ratio >= RATIO and ratio >= RATIO_EACH * len(part):
-            found.append(("format", start, start + len(part), ratio))
+        at = run.start()
+        for s, e in sorted((s, e) for _, s, e, _ in base if s < run.end() and run.start() < e):
+            if at < s:
+                found += _parts(text, at, s, formats)
+            at = max(at, e)
+        found += _parts(text, at, run.end(), formats)
     found.sort(key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
     return found
 
