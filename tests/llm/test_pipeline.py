@@ -3,7 +3,7 @@
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
-from test_operators import brute_components, brute_pii, word_shingles
+from test_corpus_operators import brute_components, brute_pii, word_shingles
 from tokenizers import Tokenizer
 
 import corpus_pipeline as P
