@@ -6,22 +6,24 @@ import atexit
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
-from pyspark import StorageLevel  # noqa: F401  (re-exported for callers that persist)
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _shipped: set[str] = set()
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; set here only where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, a local session gets one; a cluster must name its own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if not root:
         root = sc.getCheckpointDir()
     if not root:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="pitchlake-")
         sc.setCheckpointDir(root)
     return root.rstrip("/")
@@ -88,11 +90,29 @@ def partitions(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+#: Parts that the rows of one key are dealt into where a join has to meet them all.
+SALTS = 32
+
+
+def salt(column: str) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(SALTS)).cast("int")
+
+
+def by_salted_key(rows: DataFrame, key: str, salted: str, aggregates: dict[str, tuple[Column, Callable[[str], Column]]]) -> DataFrame:
+    """(key, _s, aggregates): what all rows of a key give, once for each salt that its rows have, so that a hot key's rows can be joined with it in parts.
+
+    ``aggregates``: {name: (over rows, over the parts' results)}. Two steps: a part of a key, then the key.
+    """
+    parts = rows.groupBy(key, salt(salted).alias("_s")).agg(*[inner.alias(name) for name, (inner, _) in aggregates.items()])
+    whole = parts.groupBy(key).agg(*[outer(name).alias(name) for name, (_, outer) in aggregates.items()], F.collect_set("_s").alias("_ss"))  # SALTS at most
+    return whole.withColumn("_s", F.explode("_ss")).drop("_ss")
+
+
 def connected_components(spark: SparkSession, links: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, component): the smallest node reachable over ``links`` (a, b), for each node in them.
 
-    Alternates large-star and small-star steps until nothing changes: each step keeps the number of rows and a step
-    needs no more of a node than its smallest neighbour, so a hub is never gathered. Steps are written to the shared folder.
+    Alternates large-star and small-star steps until nothing changes: each step keeps the number of rows and needs no more of
+    a node than its smallest neighbour; a hub's edges meet it in parts. Steps are written to the shared folder.
     """
     edges = scratch.write(
         links.where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct(),
@@ -101,13 +121,14 @@ def connected_components(spark: SparkSession, links: DataFrame, scratch: Scratch
 
     def large_star(e: DataFrame) -> DataFrame:
         both = e.select(F.col("lo").alias("u"), F.col("hi").alias("v")).union(e.select(F.col("hi").alias("u"), F.col("lo").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        return both.where("v > u").join(low, "u").select(F.col("m").alias("lo"), F.col("v").alias("hi")).where("lo <> hi")
+        low = by_salted_key(both, "u", "v", {"m": (F.min("v"), F.min)}).withColumn("m", F.least("m", "u"))
+        return both.where("v > u").withColumn("_s", salt("v")).join(low, ["u", "_s"]).select(F.col("m").alias("lo"), F.col("v").alias("hi")).where("lo <> hi")
 
     def small_star(e: DataFrame) -> DataFrame:
-        low = e.groupBy("hi").agg(F.min("lo").alias("m"))
-        moved = e.join(low, "hi").where("lo <> m").select(F.col("m").alias("lo"), F.col("lo").alias("hi"))
-        return moved.union(low.select(F.col("m").alias("lo"), "hi")).where("lo <> hi").distinct()
+        low = by_salted_key(e, "hi", "lo", {"m": (F.min("lo"), F.min)})
+        met = e.withColumn("_s", salt("lo")).join(low, ["hi", "_s"])
+        moved = met.where("lo <> m").select(F.col("m").alias("lo"), F.col("lo").alias("hi"))
+        return moved.union(met.select(F.col("m").alias("lo"), "hi")).where("lo <> hi").distinct()
 
     while True:
         stepped = scratch.write(small_star(large_star(edges)), "links")

@@ -4,19 +4,21 @@ Every document keeps the k smallest hashes of its word shingles. Documents with
 the retained values generate overlaps: as a pair that is similar enough shares most retained values, a document only enters
 the lists of its rarest ones, as many as a similar partner cannot all lack. Within a list a few leaders are compared with
 all other members, members that are joined already are not compared again, and leaders that have met the whole list leave
-it; a pair is left to the first list that it shares. So a list of m copies costs about m comparisons, none is left out, and no list is gathered in one place. A comparison
-first estimates the similarity from the sketch of the union, then confirms it on the full sets.
+it; a pair is left to the first list that it shares. So a list of m copies costs about m comparisons, none is left out, and no
+list is gathered in one place: members meet its leaders in parts. The sketch of a candidate pair's union first estimates its
+similarity; only pairs that pass fetch their full sets, on which links are confirmed.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from math import comb
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -59,9 +61,9 @@ def least_overlap(k: int, percent: int, miss: float = MISS) -> int:
 
 
 def sketches(docs: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
-    """doc_id, n (distinct shingles), h1, h2 (of the whole set), sketch (its k smallest hashes)."""
+    """doc_id, key (a hash of the text), n (distinct shingles), h1, h2 (of the whole set), sketch (its k smallest hashes)."""
     common.ship(docs.sparkSession)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("key"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,10 +79,10 @@ def sketches(docs: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
             flat = np.concatenate(kept).view(np.int64) if kept else np.empty(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), lists], ["doc_id", "n", "h1", "h2", "sketch"]
+                [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), lists], ["doc_id", "key", "n", "h1", "h2", "sketch"]
             )
 
-    return rows.mapInArrow(make, f"doc_id {kind}, n long, h1 long, h2 long, sketch array<long>")
+    return rows.mapInArrow(make, f"doc_id {kind}, key long, n long, h1 long, h2 long, sketch array<long>")
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
@@ -94,82 +96,112 @@ def full_sets(docs: DataFrame) -> DataFrame:
     return docs.select("a", "text").mapInArrow(make, f"a {kind}, set binary")
 
 
-def similar(pairs: DataFrame, sets: DataFrame, percent: int, k: int) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= percent * union."""
+def estimated(pairs: DataFrame, sketched: DataFrame, percent: int, k: int) -> DataFrame:
+    """The pairs (a, b) that the sketches of their unions don't rule out; ``sketched``: (a, n, sketch)."""
+    kind, least = pairs.schema["a"].dataType.simpleString(), least_overlap(k, percent)
+
+    def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right, good = batch.column(2), batch.column(3), []
+            for x, y in zip(left, right, strict=True):
+                x, y = (v.values.to_numpy(zero_copy_only=False).view(np.uint64) for v in (x, y))
+                union = np.union1d(x, y)
+                if max(len(x), len(y)) < k:  # both are whole sets
+                    need = int(np.ceil(len(union) * percent / 100))
+                else:  # the k smallest of the union are known either way
+                    union, need = union[:k], least
+                shared = (np.isin(union, x, assume_unique=True) & np.isin(union, y, assume_unique=True)).sum()
+                good.append(bool(shared >= need))
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(good, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
+
+    right = sketched.select(F.col("a").alias("b"), F.col("sketch").alias("other"))
+    return pairs.join(sketched.select("a", "sketch"), "a").join(right, "b").select("a", "b", "sketch", "other").mapInArrow(estimate, f"a {kind}, b {kind}")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) with 100 * intersection >= percent * union, on full sets."""
     kind = pairs.schema["a"].dataType.simpleString()
-    least = least_overlap(k, percent)
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if min(len(x), len(y)) * 100 < percent * max(len(x), len(y)):
-                    good.append(False)
-                    continue
-                if min(len(x), len(y)) > k:  # else the sketches are the sets
-                    union = np.union1d(x[:k], y[:k])[:k]
-                    if (np.isin(union, x[:k], assume_unique=True) & np.isin(union, y[:k], assume_unique=True)).sum() < least:
-                        good.append(False)
-                        continue
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 good.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(good)) for c in batch.columns[:2]], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(good, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
 
     right = sets.select(F.col("a").alias("b"), F.col("set").alias("set_b"))
     return pairs.join(sets, "a").join(right, "b").select("a", "b", "set", "set_b").mapInArrow(confirm, f"a {kind}, b {kind}")
 
 
-def _lists(reps: DataFrame, percent: int, k: int, scratch: common.Scratch) -> DataFrame:
+def _lists(reps: DataFrame, percent: int, k: int) -> DataFrame:
     """Postings (v, a, n, central, vs) of the rarest retained values, vs, of each class that could have a partner."""
     share = least_overlap(k, percent) / k
     post = reps.select("a", "n", F.explode("sketch").alias("v"))
-    shared = post.groupBy("v").agg(F.count("*").alias("f")).where("f > 1")
+    shared = common.by_salted_key(post, "v", "a", {"f": (F.count("*"), F.sum)}).where("f > 1")
     size = F.least("n", F.lit(k))
     # Where a partner's sketch must be its whole set too, the bound on the sets is one on the sketches.
     need = F.greatest(F.lit(1), F.when(F.col("n") * 100 <= k * percent, F.ceil(F.col("n") * percent / 100)).otherwise(F.floor(size * share)))
-    mine = post.join(shared, "v").groupBy("a", "n").agg(F.array_sort(F.collect_list(F.struct("f", "v"))).alias("vs"))
+    mine = post.withColumn("_s", common.salt("a")).join(shared, ["v", "_s"]).groupBy("a", "n").agg(F.array_sort(F.collect_list(F.struct("f", "v"))).alias("vs"))
     mine = mine.where(F.size("vs") >= need).withColumn("central", F.size("vs") / size)
     return mine.withColumn("vs", F.slice("vs", 1, (F.size("vs") - need + 1).cast("int"))["v"]).select("a", "n", "central", "vs", F.explode("vs").alias("v"))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, *, doc_id: str = "doc_id", text: str = "text", k: int = SKETCH) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row: links are pairs with 100 * intersection >= percent * union.
+def _components(docs: DataFrame, percent: int, doc_id: str, text: str, k: int) -> DataFrame:
+    """(doc_id, key, n, first): for each row its text's hash, the size of its set, and the smallest (doc_id, h1, h2) of its component.
 
-    Null or blank text: an empty set, linked with nothing. Rows with a null id are kept, with a null component. Ids are taken
-    as unique; rows that share one count as copies of each other. Other columns are ignored. No rows in, none out.
+    A class of equal sets is a node (doc_id, h1, h2) with its smallest id, so that unlike texts under one id stay apart.
     """
     spark = docs.sparkSession
     scratch = common.Scratch(spark, "minhash")
     made = scratch.write(sketches(docs, doc_id, text, k), "sketches")
     some = made.where("n > 0 AND doc_id IS NOT NULL")
-    classes = scratch.write(some.groupBy("h1", "h2").agg(F.min("doc_id").alias("a")), "classes")
-    reps = scratch.write(some.join(classes, ["h1", "h2"]).where("doc_id = a").select("a", "n", "sketch"), "representatives")
-    live = scratch.write(_lists(reps, percent, k, scratch), "postings")
-    scratch.drop(reps)
-    texts = docs.select(F.col(doc_id).alias("a"), F.col(text).alias("text"))
-    sets = scratch.write(full_sets(texts.join(live.select("a").distinct(), "a", "left_semi").dropDuplicates(["a"])), "sets")
-    component = _join_lists(live, sets, percent, k, scratch)
-    of_class = classes.join(component, F.col("a") == F.col("node"), "left").select("h1", "h2", F.coalesce("component", "a").alias("_component"))
-    return (
-        made.select("doc_id", "n", "h1", "h2")
-        .join(of_class, ["h1", "h2"], "left")
-        .select(
-            "doc_id",
-            F.col("n").alias("n_shingles"),
-            F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("_component")).alias("component_id"),
-        )
-        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
-    )
+    of_class = some.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "key")).alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    classes = scratch.write(of_class.select("h1", "h2", F.struct(F.col("least.doc_id").alias("doc_id"), "h1", "h2").alias("a"), F.col("least.key").alias("key"), "n", "sketch"), "classes")
+    reps = classes.select("a", "n", "sketch")
+    live = scratch.write(_lists(reps, percent, k), "postings")
+    wanted = classes.join(live.select("a").distinct(), "a", "left_semi").select("a", F.col("a.doc_id").alias("_id"), F.col("key").alias("_key"))
+    texts = docs.select(F.col(doc_id).alias("_id"), F.xxhash64(F.col(text)).alias("_key"), F.col(text).alias("text"))
+    # One row of each representative's text: rows with the same id and text are alike.
+    sets = scratch.write(full_sets(texts.join(wanted, ["_id", "_key"]).groupBy("_id", "_key").agg(F.first("a").alias("a"), F.first("text").alias("text"))), "sets")
+    component = _join_lists(live, reps, sets, percent, k, scratch)
+    first = classes.join(component, F.col("a") == F.col("node"), "left").select("h1", "h2", F.coalesce("component", "a").alias("first"))
+    alone = F.struct(F.col("doc_id"), F.col("h1"), F.col("h2"))
+    # A class may hold any share of all rows; its rows meet it in parts.
+    parts = made.where("doc_id IS NOT NULL").select("h1", "h2", F.pmod(F.xxhash64("doc_id"), F.lit(common.SALTS)).cast("int").alias("_s")).distinct()
+    first = parts.join(first, ["h1", "h2"])
+    rows = made.select("doc_id", "key", "n", "h1", "h2").withColumn("_s", F.pmod(F.xxhash64("doc_id"), F.lit(common.SALTS)).cast("int")).join(first, ["h1", "h2", "_s"], "left")
+    return rows.select("doc_id", "key", "n", F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.when(F.col("n") == 0, alone).otherwise(F.col("first"))).alias("first"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85, *, doc_id: str = "doc_id", text: str = "text", k: int = SKETCH) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for each row: links are pairs with 100 * intersection >= percent * union.
+
+    Null or blank text: an empty set, linked with nothing. Rows with a null id are kept, with a null component. Rows that share an
+    id are compared each by its own text. Other columns are ignored. No rows in, none out.
+    """
+    found = _components(docs, percent, doc_id, text, k)
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.col("first.doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def deduplicated(docs: DataFrame, percent: int = 80, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs``, with all columns, of which each group of near-duplicates keeps the one with the smallest id.
 
-    Rows with a null id stay; of rows that share an id, one stays.
+    Rows with a null id and different blank texts stay. Of rows that share both id and text, and of those that share an id and a
+    group, one stays; rows that share an id only are told apart by their texts.
     """
-    kept = near_duplicates(docs, percent, doc_id=doc_id, text=text).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias(doc_id)).distinct()
-    return docs.where(F.col(doc_id).isNotNull()).join(kept, doc_id, "left_semi").dropDuplicates([doc_id]).unionByName(docs.where(F.col(doc_id).isNull()))
+    found = _components(docs, percent, doc_id, text, SKETCH).where("doc_id IS NOT NULL")
+    # The one text of a group that its smallest id names; blank texts (no group) all stay.
+    grouped = found.where("n > 0").groupBy("first").agg(F.min(F.struct("doc_id", "key")).alias("least")).select("least.doc_id", "least.key")
+    blank = found.where("n = 0").select("doc_id", "key")
+    names = {c: f"_{c}_{uuid.uuid4().hex}" for c in ("id", "key", "turn")}
+    kept = grouped.union(blank).distinct().select(F.col("doc_id").alias(names["id"]), F.col("key").alias(names["key"]))
+    same = (F.col(names["id"]) == docs[doc_id]) & (F.col(names["key"]) == F.xxhash64(docs[text]))
+    some = docs.where(F.col(doc_id).isNotNull()).join(kept, same, "left_semi")
+    of_text = Window.partitionBy(doc_id, F.xxhash64(F.col(text))).orderBy(F.xxhash64(*docs.columns))
+    one = some.withColumn(names["turn"], F.row_number().over(of_text)).where(F.col(names["turn"]) == 1).drop(names["turn"])
+    return one.unionByName(docs.where(F.col(doc_id).isNull()))
 
 
 def _own_shingles(sets: DataFrame, nodes: DataFrame, scratch: common.Scratch) -> DataFrame:
@@ -192,14 +224,15 @@ def _own_shingles(sets: DataFrame, nodes: DataFrame, scratch: common.Scratch) ->
     return out
 
 
-def _join_lists(live: DataFrame, sets: DataFrame, percent: int, k: int, scratch: common.Scratch) -> DataFrame:
+def _join_lists(live: DataFrame, sketched: DataFrame, sets: DataFrame, percent: int, k: int, scratch: common.Scratch) -> DataFrame:
     """(node, component) from the links among members of the same list."""
     spark = live.sparkSession
-    live = live.withColumns({"alone": F.lit(0).cast("long"), "comp": F.col("a")})
+    live = live.withColumns({"alone": F.lit(0).cast("long"), "comp": F.col("a"), "_s": common.salt("a")})
     known = None
     for turn in range(1_000_000):
-        lists = live.groupBy("v").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("n").alias("least")).where("c0 < c1")
-        live = scratch.write(live.join(lists.select("v", "least"), "v"), "live")
+        every = {"c0": (F.min("comp"), F.min), "c1": (F.max("comp"), F.max), "least": (F.min("n"), F.min)}
+        lists = common.by_salted_key(live, "v", "a", every).where("c0 < c1").select("v", "_s", "least")
+        live = scratch.write(live.join(lists, ["v", "_s"]), "live")
         if turn:
             # From here on what a document has and no other component bounds its similarity to any of another.
             alone = _own_shingles(sets, live.select("a", "comp").distinct(), scratch)
@@ -212,7 +245,8 @@ def _join_lists(live: DataFrame, sets: DataFrame, percent: int, k: int, scratch:
         leaders = 32**turn
         bucket = F.pmod(F.xxhash64("a", F.lit(turn)), F.lit(leaders))
         lead = live.groupBy("v", bucket.alias("_b")).agg(F.max(F.struct("central", "a", "n", "alone", "comp", "vs")).alias("l")).select("v", F.struct("l.a", "l.n", "l.alone", "l.comp", "l.vs").alias("l"))
-        lead = scratch.write(lead, "leaders")
+        # A copy of each leader for each part that its list is dealt into.
+        lead = scratch.write(lead.join(live.select("v", "_s").distinct(), "v"), "leaders")
         most = F.least(F.col("n") - F.col("alone"), F.col("l.n") - F.col("l.alone"))
         fits = (
             (F.col("comp") != F.col("l.comp"))
@@ -221,9 +255,9 @@ def _join_lists(live: DataFrame, sets: DataFrame, percent: int, k: int, scratch:
             # Only in the first list that both are in; each pair has one list that answers for it.
             & (F.array_min(F.array_intersect("vs", "l.vs")) == F.col("v"))
         )
-        pairs = live.join(lead, "v").where(fits).select(F.least("a", "l.a").alias("a"), F.greatest("a", "l.a").alias("b")).distinct()
-        links = scratch.write(similar(pairs, sets, percent, k), "found")
-        live = live.join(lead.select("v", F.col("l.a").alias("a")), ["v", "a"], "left_anti")
+        pairs = live.join(lead, ["v", "_s"]).where(fits).select(F.least("a", "l.a").alias("a"), F.greatest("a", "l.a").alias("b")).distinct()
+        links = scratch.write(confirmed(estimated(pairs, sketched, percent, k), sets, percent), "found")
+        live = live.join(lead.select("v", F.col("l.a").alias("a")).distinct(), ["v", "a"], "left_anti")
         if links.isEmpty():
             continue
         edges = links if known is None else links.union(known.select(F.col("node").alias("a"), F.col("component").alias("b")))

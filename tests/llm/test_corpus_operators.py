@@ -102,11 +102,20 @@ def test_shards(request, which):
     for r in got:
         together[r.text_crc32, r.size].add(r.shard)
     assert all(len(s) == 1 for k, s in together.items() if k[1] > 1)
-    if which == "docs":
+
+
+def test_shards_are_differenced(docs):
+    """In one task the loads differ by next to nothing; in tasks of few groups, and with partial partitions combined in tasks again, by little."""
+    for settings, spread in (({}, 1e-4), ({"per_task": 20}, 0.01), ({"per_task": 10, "fan": 3}, 0.01)):
         load = Counter()
-        for r in got:
+        for r in sharding.balanced_shards(docs, 4, **settings).collect():
             load[r.shard] += r.size
-        assert max(load.values()) <= 1.05 * sum(load.values()) / 16 + max(r.size for r in got)
+        assert len(load) == 4 and max(load.values()) - min(load.values()) <= spread * sum(load.values()), (settings, load)
+
+
+def test_combined():
+    sums, to = sharding.combined([[5, 0], [3, 2], [4, 4]], 2)
+    assert sums == [11, 7] and [5 * (to[0][0] == j) + 3 * (to[1][0] == j) + 2 * (to[1][1] == j) + 4 * (to[2][0] == j) + 4 * (to[2][1] == j) for j in (0, 1)] == sums
 
 
 def test_packing(docs, texts, odd, none):
@@ -230,6 +239,23 @@ def test_near_duplicates_odd(odd, none, spark):
     assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 3] and kept.columns == odd.columns
 
 
+def test_rows_that_share_an_id(spark):
+    long = "a b c d e f g h i j k l m n o p"
+    df = spark.createDataFrame([(1, long), (1, "quite another text of more than five words"), (1, long), (2, long), (3, ""), (3, None)], "doc_id long, text string")
+    got = sorted(minhash.near_duplicates(df).select("doc_id", "n_shingles", "component_id").collect())
+    assert got == [(1, 4, 1), (1, 12, 1), (1, 12, 1), (2, 12, 1), (3, 0, 3), (3, 0, 3)]
+    kept = sorted((r.doc_id, r.text) for r in minhash.deduplicated(df).where("text <> ''").collect())
+    assert kept == [(1, long), (1, "quite another text of more than five words")]
+
+
+def test_components_of_a_hub(spark, tmp_path):
+    from pitchlake.llm import common
+
+    links = [(0, k) for k in range(1, 400)] + [(k, k + 400) for k in range(1, 400)] + [(2000, 2001), (2001, 1999)]
+    got = dict(common.connected_components(spark, spark.createDataFrame(links, "a long, b long"), common.Scratch(spark, "t")).collect())
+    assert all(got[k] == 0 for k in range(800) if k != 400) and {got[1999], got[2000], got[2001]} == {1999} and len(got) == 802
+
+
 def test_least_overlap():
     assert minhash.least_overlap(64, 85) < 0.85 * 64 and minhash.least_overlap(64, 100) == 64 and minhash.least_overlap(1, 80) == 1
 
