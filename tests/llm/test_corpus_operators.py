@@ -281,6 +281,29 @@ def test_near_vectors(spark):
     assert cap_filters.near_vectors(df.where("vec_id > 9000")).count() == 6 and cap_filters.near_vectors(df.limit(0)).count() == 0
 
 
+def test_vectors_of_other_lengths(spark):
+    rows = [(1, [1.0, 0.0, 0.0]), (2, [1.0, 0.1, 0.0]), (3, [1.0, 0.0]), (4, [2.0, 0.0]), (5, [0.0, 1.0]), (6, [3.0]), (7, [0.5]), (8, [-1.0])] + [(k, [float((k * j) % 11 - 5) for j in range(1, 9)]) for k in range(20, 40)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in cap_filters.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert [got[k] for k in range(1, 9)] == [(1, 1), (1, 1), (1, 3), (1, 3), (0, 5), (1, 6), (1, 6), (0, 8)]
+
+
+def test_code_follows_the_input():
+    assert [cap_filters.code_words(n, 16) for n in (0, 10_000, 51_000, 10**9)] == [32, 32, 64, 1024]
+    rng = np.random.default_rng(8)
+    x, away = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in rng.standard_normal((2, 1500, 32)))
+    away -= (away * x).sum(axis=1, keepdims=True) * x
+    away /= np.linalg.norm(away, axis=1, keepdims=True)
+    for words in (32, 64):
+        code = cap_filters._code(32, 16, words)
+        cap = code.cap(0.9)
+        a, b = code.decode(x, cap), code.decode(0.9 * x + np.sqrt(0.19) * away, cap)
+        assert np.mean([len(np.intersect1d(p, q)) > 0 for p, q in zip(a, b, strict=True)]) >= 0.995
+        # Decoding gives exactly the filters above the cap.
+        (s, t), k = code._scores(np.pad(x, ((0, 0), (0, code.wide - 32))), 3), 7
+        above = np.flatnonzero((s[k][:, None] + t[k][None, :]).reshape(-1) >= cap) + 3 * words * words
+        assert above.tolist() == [f for f in a[k].tolist() if f // (words * words) == 3]
+
+
 # --- secrets and personal data ----------------------------------------------
 
 
