@@ -1,20 +1,22 @@
 """Secrets in texts: fixed rules, and formats learned by grammar inference.
 
 For each credential format, a prefix tree is built from labelled examples; states whose counts are statistically compatible
-(Hoeffding's bound, in all that follows them) are merged into a probabilistic automaton. Every long run of credential
-characters, and its parts where the whole is none, is then scored by how much likelier the best automaton makes it than a model of ordinary text.
+(Hoeffding's bound, in all that follows them) are merged into a probabilistic automaton. Labelled are the public formats'
+examples and values that the fixed rules confirm in the documents themselves. Every run of credential characters is then read
+once by all automata beside a model of ordinary text, the pairs of characters counted over all documents: the spans of a run
+that the automata make likeliest against it, by enough, are its credentials.
 """
 
 from __future__ import annotations
 
 import math
-import os
 import random
 import re
 import string
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,13 +31,20 @@ BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "format")
 #: Every access, hex and format span lies in one of these runs.
 RUN = re.compile(r"[A-Za-z0-9+/_=.-]{16,}")
-DIGIT = re.compile(r"[0-9]")
+#: Where a credential may begin after, or end before, within a run; it may begin with what all examples of a format begin with, too.
+BREAKS = frozenset("+/_=.-")
 
-#: Shortest run that is scored, and the log-likelihood ratio it needs, in all and for each character.
-SHORTEST, RATIO, RATIO_EACH = 20, 12.0, 0.25
+#: The log-likelihood ratio that a span needs, in all and for each character.
+RATIO, RATIO_EACH = 12.0, 0.25
 #: Confidence of the merging test; how many observations a character's overall share stands for at each state; probability of a
 #: character that an automaton never saw.
 ALPHA, SHARED, UNSEEN = 0.05, 4.0, 1e-9
+#: How far a reading may fall behind before it is given up, as a log-ratio: no more can be won back by a format's certain prefix.
+BEHIND = 45.0
+#: Confirmed values of each base kind that are learned from, at most: those of least hash.
+CONFIRMED = 200
+#: Weight of fixed shares of characters beside what is counted, in the model of ordinary text: words that the documents lack are ordinary too.
+PRIOR = 0.3
 
 _LOWER, _UPPER, _DIGITS = string.ascii_lowercase, string.ascii_uppercase, string.digits
 # Fixed public formats: prefix, alphabet and lengths of the rest.
@@ -143,107 +152,187 @@ class Automaton:
                 else:
                     self.next[s][c] = target
 
-    def likelihood(self, text: str) -> float:
-        """Log-probability; a character that no edge of a state takes stays there."""
-        state, total, unseen = 0, 0.0, math.log(UNSEEN)
-        for c in text:
-            log = self.log[state].get(c)
-            total += unseen if log is None else log
-            state = self.next[state].get(c, state)
-        return total + self.log[state][""]
 
+CHARACTERS = _LOWER + _UPPER + _DIGITS + "+/_=.-"
+#: 0: what is no character of a run.
+_CLASS = np.zeros(256, np.uint8)
+_CLASS[np.frombuffer(CHARACTERS.encode(), np.uint8)] = np.arange(1, len(CHARACTERS) + 1)
+_KINDS_OF_PAIR = len(CHARACTERS) + 1
 
-def _ordinary() -> dict[str, float]:
-    """Log-probabilities of characters in ordinary long runs: mostly small letters."""
-    shares = {_LOWER: 0.75, _UPPER: 0.1, _DIGITS: 0.07, "+/_=.-": 0.08}
-    return {c: math.log(share / len(chars)) for chars, share in shares.items() for c in chars}
+
+def pair_counts(docs: DataFrame, text: str, longest: int) -> np.ndarray:
+    """How often each credential character follows each other, or none, in the runs of up to ``longest`` characters of all documents."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(_KINDS_OF_PAIR**2, np.int64)
+        for batch in batches:
+            for t in batch.column(0):
+                if not (t := t.as_py()):
+                    continue
+                c = _CLASS[np.frombuffer(f" {t} ".encode("utf-8", "surrogatepass"), np.uint8)].astype(np.int32)
+                gaps = np.flatnonzero(c == 0)
+                long = np.flatnonzero(np.diff(gaps) > longest + 1)
+                pairs = c[:-1] * _KINDS_OF_PAIR + c[1:]
+                total += np.bincount(pairs, minlength=len(total))
+                for k in long:  # such runs are candidates, not ordinary text
+                    total -= np.bincount(pairs[gaps[k] : gaps[k + 1]], minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], ["pair", "n"])
+
+    out = np.zeros(_KINDS_OF_PAIR**2, np.int64)
+    for r in docs.select(F.col(text).alias("text")).mapInArrow(count, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():  # a row a pair of characters
+        out[r["pair"]] = r["n"]
+    return out.reshape(_KINDS_OF_PAIR, _KINDS_OF_PAIR)
+
+
+def _ordinary(counts: np.ndarray | None) -> dict[str, dict[str, float]]:
+    """Log-probability of each character after another, or after none (""), in ordinary runs: as counted, with fixed shares as the prior; digits follow digits."""
+    usual, number = {_LOWER: 0.75, _UPPER: 0.1, _DIGITS: 0.07, "+/_=.-": 0.08}, {_LOWER: 0.08, _UPPER: 0.02, _DIGITS: 0.75, "+/_=.-": 0.15}
+    counts = np.zeros((_KINDS_OF_PAIR, _KINDS_OF_PAIR)) if counts is None else counts
+    out = {}
+    for before in ("", *CHARACTERS):
+        row = counts[CHARACTERS.index(before) + 1 if before else 0, 1:]
+        total = row.sum()
+        known = (1 - PRIOR) / total if total else 0.0
+        prior = {c: share / len(chars) for chars, share in (number if before and before in _DIGITS else usual).items() for c in chars}
+        out[before] = {c: math.log(row[k] * known + (PRIOR if total else 1.0) * prior[c]) for k, c in enumerate(CHARACTERS)}
+    return out
 
 
 class Formats:
-    def __init__(self, labelled: dict[str, list[str]]):
-        self.automata = [Automaton(examples) for _, examples in sorted(labelled.items()) if examples]
-        self.ordinary = _ordinary()
-        # What all examples of a format begin with.
-        self.prefixes = sorted({p for examples in labelled.values() if len(p := os.path.commonprefix(list(examples))) >= 3})
+    """The automata of all formats, and the model of ordinary text that they are held against."""
+
+    def __init__(self, labelled: dict[str, list[str]], counts: np.ndarray | None = None):
+        examples = [list(v) for _, v in sorted(labelled.items()) if v]
+        self.automata = [Automaton(v) for v in examples]
+        self.ordinary = _ordinary(counts)
+        #: What is shorter than every example is no candidate.
+        self.shortest = min((len(x) for v in examples for x in v), default=0)
+        #: Characters that a credential may begin with in the midst of a run, where no separator is before them.
+        self.prefixes = tuple(sorted({p for v in examples if len(p := _common_prefix(v)) >= 3}))
+
+    def spans(self, run: str, start: int, end: int) -> list[tuple[int, int, float]]:
+        """(start, end, log-ratio) of the spans between ``start`` and ``end`` that together are likeliest to be credentials.
+
+        One reading: at each place, each state of an automaton keeps its best beginning. A span must win ``RATIO`` and
+        ``RATIO_EACH`` for each character, so that those chosen are the ones of the largest total.
+        """
+        best, back = [0.0], [None]  # of what lies before each place: the total won, the last span
+        readings: dict[tuple[int, int], tuple[float, int]] = {}
+        unseen, found = math.log(UNSEEN), []
+        for at in range(start, end):
+            c = run[at]
+            if at == start or run[at - 1] in BREAKS or (c not in BREAKS and run.startswith(self.prefixes, at)):
+                for k in range(len(self.automata)):
+                    if (k, 0) not in readings or readings[k, 0][0] < best[-1] - RATIO:
+                        readings[k, 0] = (best[-1] - RATIO, at)
+            cost = self.ordinary[run[at - 1] if at and run[at - 1] in self.ordinary else ""][c] + RATIO_EACH
+            moved: dict[tuple[int, int], tuple[float, int]] = {}
+            least = best[-1] - RATIO - BEHIND
+            for (k, state), (won, begun) in readings.items():
+                automaton = self.automata[k]
+                won += automaton.log[state].get(c, unseen) - cost
+                if won >= least:
+                    to = (k, automaton.next[state].get(c, state))
+                    if to not in moved or moved[to][0] < won:
+                        moved[to] = (won, begun)
+            readings = moved
+            total, last = best[-1], None
+            if readings and (at + 1 == end or run[at + 1] in BREAKS or run.startswith(self.prefixes, at + 1)):
+                for (k, state), (won, begun) in readings.items():
+                    won += self.automata[k].log[state][""]
+                    if won > total and at + 1 - begun >= self.shortest:
+                        total, last = won, begun
+            best.append(total)
+            back.append(last)
+        at = end
+        while at > start:
+            if (begun := back[at - start]) is None:
+                at -= 1
+            else:
+                found.append((begun, at, best[at - start] - best[begun - start] + RATIO + RATIO_EACH * (at - begun)))
+                at = begun
+        return found[::-1]
+
 
-    def ratio(self, run: str) -> float:
-        """How much likelier, as a log-ratio, the best automaton makes the run than ordinary text does."""
-        return max((a.likelihood(run) for a in self.automata), default=-math.inf) - sum(map(self.ordinary.__getitem__, run))
+def _common_prefix(examples: list[str]) -> str:
+    low, high = min(examples), max(examples)
+    return low[: next((k for k, (a, b) in enumerate(zip(low, high, strict=False)) if a != b), min(len(low), len(high)))]
 
 
 @lru_cache(maxsize=2)
-def _formats(labelled: tuple) -> Formats:
-    return Formats({name: list(examples) for name, examples in labelled})
-
-
-def _parts(text: str, start: int, end: int, formats: Formats) -> list[tuple[str, int, int, float]]:
-    """The format spans of a run or a part of it: the whole, or else those of its parts, cut at a separator or at known prefixes."""
-    todo, found = [(start, end, "=/.")], []
-    while todo:
-        start, end, separators = todo.pop()
-        while start < end and text[start] in ".=-/":
-            start += 1
-        while start < end and text[end - 1] in ".=-/":
-            end -= 1
-        part = text[start:end]
-        if len(part) < SHORTEST or not DIGIT.search(part) or part.isdigit():
-            continue
-        ratio = formats.ratio(part)
-        if ratio >= RATIO and ratio >= RATIO_EACH * len(part):
-            found.append(("format", start, end, ratio))
-            continue
-        separator = next((c for c in separators if c in part), None)
-        if separator:
-            at, rest = start, separators[separators.index(separator) + 1 :]
-            for piece in part.split(separator):
-                todo.append((at, at + len(piece), rest))
-                at += len(piece) + 1
-        else:
-            cuts = sorted({m.start() for p in formats.prefixes for m in re.finditer(re.escape(p), part)} - {0})
-            bounds = [0, *cuts, len(part)]
-            if cuts:
-                todo += [(start + a, start + b, "") for a, b in zip(bounds, bounds[1:], strict=False)]
-    return found
+def _formats(labelled: tuple, counts: bytes | None) -> Formats:
+    table = None if counts is None else np.frombuffer(counts, np.int64).reshape(_KINDS_OF_PAIR, _KINDS_OF_PAIR)
+    return Formats({name: list(examples) for name, examples in labelled}, table)
 
 
-def spans(text: str, formats: Formats) -> list[tuple[str, int, int, float]]:
-    """(kind, start, end, score), by start, then kind as in KINDS; base kinds score 1."""
+def base_spans(text: str) -> list[tuple[str, int, int, str]]:
+    """(kind, start, end, credential) of the fixed rules."""
     found = []
     if "=" in text or ":" in text:
-        found += [("assign", *m.span(), 1.0) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
-    runs = list(RUN.finditer(text))
-    for run in runs:
+        found += [("assign", *m.span(), m[2]) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
+    for run in RUN.finditer(text):
         at, part = run.start(), run[0]
         if "AKIA" in part:
-            found += [("access", at + m.start(), at + m.end(), 1.0) for m in ACCESS.finditer(part) if len(m[0]) >= 16]
+            found += [("access", at + m.start(), at + m.end(), m[0]) for m in ACCESS.finditer(part) if len(m[0]) >= 16]
         if len(part) >= 32:
-            found += [("hex", at + m.start(), at + m.end(), 1.0) for m in HEX.finditer(part) if len(m[0]) >= 32]
-    base = list(found)
-    for run in runs:
+            found += [("hex", at + m.start(), at + m.end(), m[0]) for m in HEX.finditer(part) if len(m[0]) >= 32]
+    return found
+
+
+def spans(text: str, formats: Formats) -> list[tuple[str, int, int, float]]:
+    """(kind, start, end, score), by start, then kind as in KINDS; base kinds score 1. Format spans lie beside base ones."""
+    base = base_spans(text)
+    found = [(kind, s, e, 1.0) for kind, s, e, _ in base]
+    for run in RUN.finditer(text):
+        if run.end() - run.start() < formats.shortest:
+            continue
         at = run.start()
-        for s, e in sorted((s, e) for _, s, e, _ in base if s < run.end() and run.start() < e):
-            if at < s:
-                found += _parts(text, at, s, formats)
+        bounds = sorted((s, e) for _, s, e, _ in base if s < run.end() and run.start() < e)
+        for s, e in [*bounds, (run.end(), run.end())]:
+            if s - at >= formats.shortest:
+                found += [("format", a, b, score) for a, b, score in formats.spans(text, at, s)]
             at = max(at, e)
-        found += _parts(text, at, run.end(), formats)
     found.sort(key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
     return found
 
 
+def confirmed_credentials(docs: DataFrame, each: int = CONFIRMED, *, text: str = "text") -> dict[str, list[str]]:
+    """Values that the fixed rules confirm in the documents, by kind; at most ``each`` of a kind, those of least hash."""
+    common.ship(docs.sparkSession)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = sorted({(kind, value) for t in batch.column(0) for kind, _, _, value in base_spans(t.as_py() or "")})
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.string()) for k in (0, 1)], ["kind", "value"])
+
+    # A value is a label by the rule that names it, not by its shape alone.
+    values = docs.select(F.col(text).alias("text")).mapInArrow(find, "kind string, value string").where("length(value) >= 16").distinct()
+    chosen = [values.where(F.col("kind") == k).orderBy(F.xxhash64("value"), "value").limit(each) for k in BASE]
+    out: dict[str, list[str]] = {}
+    for r in chosen[0].union(chosen[1]).union(chosen[2]).collect():  # ``each`` of a kind at most
+        out.setdefault(f"confirmed {r['kind']}", []).append(r["value"])
+    return out
+
+
 def find_secrets(docs: DataFrame, labelled: dict[str, list[str]] | None = None, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and spans (array of kind, start, end in code points, end exclusive, score) for each row.
 
-    ``labelled``: credentials by format to learn from (bounded: it is sent to every task); the public formats by default.
-    Null and empty texts have no spans; null ids and repeated rows are kept. Other columns are ignored.
+    ``labelled``: credentials by format to learn from (bounded: it is sent to every task); by default the public formats, and what
+    the fixed rules confirm in ``docs``. Null and empty texts have no spans; null ids and repeated rows are kept. Other columns are ignored.
     """
     common.ship(docs.sparkSession)
-    examples = tuple((k, tuple(v)) for k, v in sorted((labelled or labelled_credentials()).items()))
+    if labelled is None:
+        labelled = labelled_credentials() | confirmed_credentials(docs, text=text)
+    examples = tuple((k, tuple(sorted(v))) for k, v in sorted(labelled.items()) if v)
+    shortest = min((len(x) for _, v in examples for x in v), default=0)
+    counts = pair_counts(docs, text, max(shortest - 1, 0)).tobytes()
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     out = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        formats = _formats(examples)
+        formats = _formats(examples, counts)
         for batch in batches:
             found = [[dict(zip(("kind", "start", "end", "score"), s, strict=True)) for s in spans(t.as_py() or "", formats)] for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, out)], ["doc_id", "spans"])
