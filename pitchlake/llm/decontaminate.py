@@ -3,7 +3,7 @@
 Texts become templates: numbers, units after numbers, and names turn into typed placeholders. Windows of five template tokens
 are hashed; those of the documents meet those of the items in a hash join. An item is in a document if enough of its windows
 are, and if what stands in its slots is consistent, in the whole document or in one occurrence: one value of the item always
-became one value of the document.
+became one value of the document, and two values two.
 Names are told by their capital, which any word has at a sentence's start, and which a copied passage can lose or gain at its
 ends; so every window is first hashed with names left as they are, again with those inside sentences replaced, and again with
 every capitalised word replaced, where there are any.
@@ -11,6 +11,8 @@ every capitalised word replaced, where there are any.
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +39,10 @@ UNITS = frozenset(
 )
 NUMERALS = frozenset("one two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty hundred thousand".split())
 PLAIN, NUMBER, UNIT, TITLE = 0, 1, 2, 3
+#: A number with its unit in one word.
+JOINED = re.compile(r"([0-9][0-9.,]*)([A-Za-z]+)")
+#: A name: a capital, and small letters, with further capitals, hyphens and apostrophes between.
+NAME = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 
 
 class Canon:
@@ -49,27 +55,37 @@ class Canon:
     def _forget(self) -> None:
         self.memo: dict[str, int] = {}
         self.core: list[str] = []
-        self.hash, self.kind, self.ends = np.zeros(1024, np.uint64), np.zeros(1024, np.int8), np.zeros(1024, bool)
+        self.hash, self.kind, self.ends, self.unit = np.zeros(1024, np.uint64), np.zeros(1024, np.int8), np.zeros(1024, bool), np.full(1024, -1, np.int64)
+
+    def _kind(self, core: str, low: str) -> int:
+        if not core:
+            return -1
+        if (core[0].isdigit() and core.translate(str.maketrans("", "", ".,")).isdigit()) or low in NUMERALS:
+            return NUMBER
+        if low in UNITS:
+            return UNIT
+        return TITLE if len(core) > 1 and core[0].isupper() and not core.isupper() and NAME.fullmatch(core) else PLAIN
 
     def _learn(self, word: str) -> int:
         core = word.strip("".join({c for c in word if not c.isalnum()})) if not word.isalnum() else word
+        joined = JOINED.fullmatch(core)
+        if joined and joined[2].lower() in UNITS:
+            # Two tokens: the number's, which points to the unit's.
+            number, unit = self._add(joined[1], joined[1], NUMBER, False), self._add(joined[2], joined[2].lower(), UNIT, word[-1] in ".!?:")
+            self.unit[number] = unit
+            self.memo[word] = number
+            return number
         low = core.lower()
-        if not core:
-            kind = -1
-        elif (core[0].isdigit() and core.translate(str.maketrans("", "", ".,")).isdigit()) or low in NUMERALS:
-            kind = NUMBER
-        elif low in UNITS:
-            kind = UNIT
-        elif len(core) > 1 and core[0].isupper() and core[1:].islower():
-            kind = TITLE
-        else:
-            kind = PLAIN
+        self.memo[word] = k = self._add(core, low, self._kind(core, low), word[-1] in ".!?:")
+        return k
+
+    def _add(self, core: str, low: str, kind: int, ends: bool) -> int:
         k = len(self.core)
         if k == len(self.hash):
             self.hash, self.kind, self.ends = (np.concatenate([x, np.zeros_like(x)]) for x in (self.hash, self.kind, self.ends))
-        self.hash[k], self.kind[k], self.ends[k] = xxhash.xxh3_64_intdigest(low), kind, word[-1] in ".!?:"
+            self.unit = np.concatenate([self.unit, np.full(k, -1, np.int64)])
+        self.hash[k], self.kind[k], self.ends[k] = xxhash.xxh3_64_intdigest(low), kind, ends
         self.core.append(low)
-        self.memo[word] = k
         return k
 
     def tokens(self, text: str) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -81,6 +97,9 @@ class Canon:
             self._forget()
         get, learn, words = self.memo.get, self._learn, text.split()
         at = np.array([k if (k := get(w)) is not None else learn(w) for w in words], np.int64)
+        joined = np.flatnonzero(self.unit[at] >= 0)
+        if len(joined):
+            at = np.insert(at, joined + 1, self.unit[at[joined]])
         kind, ends = self.kind[at], self.ends[at]
         starts = np.ones(len(at), bool)
         starts[1:] = ends[:-1]
@@ -219,6 +238,8 @@ class _Match:
                     same.add(value)
                 if len(values) > 1 or became.setdefault(value, next(iter(values))) not in values:
                     consistent = False
+        # Of values that each became one, no two may have become the same.
+        consistent = consistent and len(set(became.values())) == len(became)
         return "verbatim" if own == same else "reparameterised" if consistent else None
 
     def _occurrence(self) -> tuple[int, str] | None:
@@ -272,7 +293,9 @@ class _Match:
         was, now = (np.concatenate([tokens[x[side]] for x in slots]) for side, tokens in enumerate((self.item, self.doc)))
         if (was == now).all():
             return found, "verbatim"
-        return (found, "reparameterised") if len(np.unique(was)) == len(np.unique(np.stack([was, now]), axis=1)[0]) else None
+        pairs = np.unique(np.stack([was, now]), axis=1)
+        one_to_one = len(np.unique(was)) == pairs.shape[1] == len(np.unique(now))
+        return (found, "reparameterised") if one_to_one else None
 
 
 def _verified(pairs: DataFrame, similarity: float) -> DataFrame:
@@ -316,10 +339,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
     rows = lambda df, i, t: df.select(F.col(i).alias("id"), F.xxhash64(F.col(t)).alias("key"), F.col(t).alias("text"))
     items = scratch.write(_item_windows(rows(benchmark, item_id, item_text)).distinct(), "items")
     totals = items.groupBy(F.col("id").alias("_id"), F.col("key").alias("_k"), F.col("variant").alias("_v")).agg(F.count("*").alias("windows"))
-    places = items.select(F.shiftrightunsigned("h", 64 - FILTER_BITS).cast("int").alias("p")).distinct().collect()  # at most 2 ** FILTER_BITS
-    bits = np.zeros(1 << FILTER_BITS - 3, np.uint8)
-    for r in places:
-        bits[r["p"] >> 3] |= 1 << (r["p"] & 7)
+    # The filter in words of 64 bits, put together in Spark: 2 ** (FILTER_BITS - 6) rows at most.
+    place = F.shiftrightunsigned("h", 64 - FILTER_BITS).cast("int")
+    words = items.groupBy(F.shiftright(place, 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(63))).alias("bits")).collect()
+    bits = np.zeros(1 << FILTER_BITS - 6, np.int64)
+    for r in words:
+        bits[r["w"]] = r["bits"]
     found = _doc_windows(rows(docs, doc_id, text), spark.sparkContext.broadcast(bits.tobytes())).distinct()
     same_item = F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_k")) & (F.col("variant") == F.col("_v"))
     theirs = items.join(totals, same_item).select(F.col("id").alias("item_id"), F.col("key").alias("item_key"), "variant", "h", "windows")
@@ -339,5 +364,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs``, with all columns, that hold no item."""
-    bad = leaks(docs, benchmark, similarity, doc_id=doc_id, text=text).select(F.col("doc_id").alias("_bad_id"), F.col("_key").alias("_bad_key")).distinct()
-    return docs.join(bad, docs[doc_id].eqNullSafe(F.col("_bad_id")) & (F.xxhash64(docs[text]) == F.col("_bad_key")), "left_anti")
+    # Names that no column of the caller's has.
+    bad_id, bad_key = f"_id_{uuid.uuid4().hex}", f"_key_{uuid.uuid4().hex}"
+    bad = leaks(docs, benchmark, similarity, doc_id=doc_id, text=text).select(F.col("doc_id").alias(bad_id), F.col("_key").alias(bad_key)).distinct()
+    return docs.join(bad, docs[doc_id].eqNullSafe(F.col(bad_id)) & (F.xxhash64(docs[text]) == F.col(bad_key)), "left_anti")

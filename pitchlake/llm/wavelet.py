@@ -1,10 +1,11 @@
 """Token ids of a corpus in wavelet matrices, one file a shard.
 
-A shard's file is a Parquet file (compressed, readable wherever Spark reads) whose rows are segments of whole documents, in
-ascending order of ids. A segment holds one bit-plane for each bit of an id, highest first: the bits of all its ids in the
-order of that plane, packed, with the count of ones before each block of 2,048 bits and the number of zeros. Every plane's
-order is the one before, parted stably into zeros and ones. From these, ``Segment`` answers access, rank, count and select
-without undoing the file; ``Segment.all`` undoes it plane by plane.
+A shard is a range of whole documents, in ascending order of their ids, closed when it holds so many bytes of text. Its one file is
+a Parquet file (compressed, readable wherever Spark reads) of one row: the shard's wavelet matrix, with the documents' ids and
+lengths. The matrix holds one bit-plane for each bit of a token id, highest first: the bits of all ids in the order of that plane,
+packed, with the count of ones before each block of 2,048 bits and the number of zeros. Every plane's order is the one before,
+parted stably into zeros and ones. From these, ``Matrix`` answers access, rank, count and select without undoing the file, and
+``token_at``, ``token_totals`` and ``occurrences`` answer them over all files; ``Matrix.all`` undoes one plane by plane.
 """
 
 from __future__ import annotations
@@ -15,29 +16,32 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 from . import common
 from .encoding import ByteEncoder
 
 BLOCK = 2048
-#: Ids in a segment, unless one document alone has more: what a task holds at once.
-SEGMENT = 1 << 20
-#: UTF-8 bytes of text in a shard, about.
-SHARD_BYTES = 32 << 20
+#: UTF-8 bytes of text in a shard, unless one document alone has more: what a task holds at once.
+SHARD_BYTES = 16 << 20
 END_ID = 2
-FORMAT = "segment int, bits int, docs array<{kind}>, lengths array<long>, planes array<binary>, ones array<binary>, zeros array<long>"
+FORMAT = "shard long, bits int, docs array<{kind}>, lengths array<long>, planes array<binary>, ones array<binary>, zeros array<long>"
 
 
-class Segment:
+class Matrix:
     """A wavelet matrix over ids below 2 ** bits."""
 
     def __init__(self, n: int, planes: list[np.ndarray], ones: list[np.ndarray], zeros: list[int]):
         self.n, self.planes, self.ones, self.zeros = n, planes, ones, zeros
 
     @classmethod
-    def build(cls, ids: np.ndarray, bits: int) -> Segment:
+    def build(cls, ids: np.ndarray, bits: int) -> Matrix:
+        if len(ids) and int(ids.max()) >> bits:
+            raise ValueError(f"an id of {int(ids.max())} needs more than {bits} bits")
         now = ids.astype(np.uint32 if bits > 16 else np.uint16)
         planes, ones, zeros = [], [], []
         for b in range(bits - 1, -1, -1):
@@ -134,81 +138,139 @@ def _encoder(path: str) -> ByteEncoder:
     return ByteEncoder(path)
 
 
-def write(docs: DataFrame, tokenizer: str, out: str, *, doc_id: str = "doc_id", text: str = "text", bits: int = 16, end_id: int = END_ID) -> None:
-    """Encode every text, append the end id, and write the ids to files under ``out``, one a shard, in ascending order of ids.
+def write(docs: DataFrame, tokenizer: str, out: str, *, doc_id: str = "doc_id", text: str = "text", bits: int = 16, end_id: int = END_ID, shard_bytes: int = SHARD_BYTES) -> None:
+    """Encode every text, append the end id, and write the ids to files under ``out``, one a shard, in ascending order of document ids.
 
-    Null texts are empty. Rows without an id come first; rows that share one follow each other.
+    Null texts are empty. Rows without an id come first; rows that share one follow each other. Ids are of any type that Arrow and
+    Parquet know. A token id of 2 ** ``bits`` or more is an error.
     """
     common.ship(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
+    schema = _format(rows)
+    arrow = to_arrow_schema(schema)
     size = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 8)).first()[0] or 0
-    # Dealing whole ranges of ids to shards; an id that very many rows share is dealt on by text.
-    ordered = rows.repartitionByRange(max(1, -(-size // SHARD_BYTES)), "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
+    # Ranges of ids by rows, each cut into shards by bytes in its task; an id that very many rows share is dealt on by text.
+    ordered = rows.repartitionByRange(max(1, -(-size // shard_bytes)), "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = _encoder(tokenizer), np.array([end_id], np.uint32)
-        at, held, ids, lengths, docs_held = 0, 0, [], [], []
+        # Partitions come in the order of ids, and so do the shards of one.
+        shard, held, ids, lengths, keys = TaskContext.get().partitionId() << 32, 0, [], [], []
 
-        def segment() -> pa.RecordBatch:
-            s = Segment.build(np.concatenate(ids), bits)
-            row = [[at], [bits], [docs_held], [lengths], [[p.tobytes() for p in s.planes]], [[o.tobytes() for o in s.ones]], [s.zeros]]
-            return pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(row, _schema(kind), strict=True)], schema=_schema(kind))
+        def closed() -> pa.RecordBatch:
+            m = Matrix.build(np.concatenate(ids), bits)
+            row = [[shard], [bits], [pa.concat_arrays(keys)], [lengths], [[p.tobytes() for p in m.planes]], [[o.tobytes() for o in m.ones]], [m.zeros]]
+            columns = [pa.ListArray.from_arrays(pa.array([0, len(x[0])], pa.int32()), x[0]).cast(t.type) if t.name == "docs" else pa.array(x, t.type) for x, t in zip(row, arrow, strict=True)]
+            return pa.RecordBatch.from_arrays(columns, schema=arrow)
 
         for batch in batches:
-            for key, t in zip(batch.column(0), batch.column(1), strict=True):
-                now = np.concatenate([encode(t.as_py()), end])
-                if held and held + len(now) > SEGMENT:
-                    yield segment()
-                    at, held, ids, lengths, docs_held = at + 1, 0, [], [], []
-                ids.append(now)
-                lengths.append(len(now))
-                docs_held.append(key.as_py())
-                held += len(now)
-        if held:
-            yield segment()
+            for k, t in enumerate(batch.column(1)):
+                t = t.as_py() or ""
+                now = len(t.encode("utf-8", "surrogatepass"))
+                if ids and held + now > shard_bytes:
+                    yield closed()
+                    shard, held, ids, lengths, keys = shard + 1, 0, [], [], []
+                ids += [encode(t), end]
+                lengths.append(len(ids[-2]) + 1)
+                keys.append(batch.column(0).slice(k, 1))
+                held += now
+        if ids:
+            yield closed()
 
-    shards = ordered.mapInArrow(build, FORMAT.format(kind=kind)).withColumn("shard", F.spark_partition_id())
-    shards.write.option("compression", "zstd").option("parquet.block.size", str(8 << 20)).parquet(out)
+    ordered.mapInArrow(build, schema).write.option("compression", "zstd").option("parquet.block.size", str(8 << 20)).option("maxRecordsPerFile", 1).parquet(out)
 
 
-def _schema(kind: str) -> pa.Schema:
-    of = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-    return pa.schema(
-        [("segment", pa.int32()), ("bits", pa.int32()), ("docs", pa.list_(of)), ("lengths", pa.list_(pa.int64())), ("planes", pa.list_(pa.binary())), ("ones", pa.list_(pa.binary())), ("zeros", pa.list_(pa.int64()))]
-    )
+def _format(rows: DataFrame) -> StructType:
+    return StructType([StructField(f.name, ArrayType(rows.schema["doc_id"].dataType) if f.name == "docs" else f.dataType) for f in StructType.fromDDL(FORMAT.format(kind="int"))])
 
 
-def open_segment(n: int, planes: list[bytes], ones: list[bytes], zeros: list[int]) -> Segment:
-    return Segment(n, [np.frombuffer(p, np.uint8) for p in planes], [np.frombuffer(o, "<u4") for o in ones], zeros)
+def opened(row: pa.RecordBatch, at: int = 0) -> Matrix:
+    """The matrix in a row of (lengths, planes, ones, zeros)."""
+    lengths, planes, ones, zeros = (row.column(row.schema.names.index(c))[at].as_py() for c in ("lengths", "planes", "ones", "zeros"))
+    return Matrix(sum(lengths), [np.frombuffer(p, np.uint8) for p in planes], [np.frombuffer(o, "<u4") for o in ones], zeros)
 
 
-def read(spark: SparkSession, out: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of each document, from the files alone."""
+def _files(spark: SparkSession, out: str) -> DataFrame:
+    """The shards of the folder, each with ``base``: the ids of all shards before it.
+
+    Counts are added up by a bounded number of ranges of shards first, so that no task sees them all.
+    """
     common.ship(spark)
     files = spark.read.parquet(out)
-    kind = files.schema["docs"].dataType.elementType.simpleString()
+    sizes = files.select("shard", F.shiftright("shard", 42).alias("_r"), F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"))  # 1,024 partitions a range
+    ranges = sizes.groupBy("_r").agg(F.sum("n").alias("n"))
+    ranges = ranges.select("_r", F.coalesce(F.sum("n").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row a range
+    inside = Window.partitionBy("_r").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sizes.join(ranges, "_r").select("shard", (F.col("before") + F.coalesce(F.sum("n").over(inside), F.lit(0))).alias("base"))
+    return files.join(bases, "shard")
+
+
+def read(spark: SparkSession, out: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of each document, from the files alone."""
+    files = _files(spark, out)
+    schema = StructType([StructField("doc_id", files.schema["docs"].dataType.elementType), *StructType.fromDDL("start long, n_tokens long, ids_crc32 long")])
 
     def undo(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(len(batch)):
-                shard, segment, docs, lengths, planes, ones, zeros = (batch.column(k)[row].as_py() for k in range(7))
-                ids = open_segment(sum(lengths), planes, ones, zeros).all().astype("<u4")
+                lengths = batch.column(1)[row].values.to_numpy(zero_copy_only=False)
+                ids = opened(batch, row).all().astype("<u4")
                 ends = np.cumsum(lengths)
                 starts = ends - lengths
-                crc = [zlib.crc32(ids[a:b]) for a, b in zip(starts, ends, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([shard] * len(docs), pa.int32()), pa.array([segment] * len(docs), pa.int32()), pa.array(docs, _schema(kind).field("docs").type.value_type), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(crc, pa.int64())],
-                    ["shard", "segment", "doc_id", "local", "n_tokens", "ids_crc32"],
-                )
-
-    each = files.select("shard", "segment", "docs", "lengths", "planes", "ones", "zeros").mapInArrow(
-        undo, f"shard int, segment int, doc_id {kind}, local long, n_tokens long, ids_crc32 long"
-    )
-    # Segments count in millions of ids each, shards in tens of millions: first within shards, then over shards.
-    sizes = files.select("shard", "segment", F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"))
-    in_shard = Window.partitionBy("shard").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
-    over = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    shards = sizes.groupBy("shard").agg(F.sum("n").alias("n")).select("shard", F.coalesce(F.sum("n").over(over), F.lit(0)).alias("before"))
-    bases = sizes.join(shards, "shard").select("shard", "segment", (F.col("before") + F.coalesce(F.sum("n").over(in_shard), F.lit(0))).alias("base"))
-    return each.join(bases, ["shard", "segment"]).select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
+                crc = [zlib.crc32(ids[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+                base = batch.column(5)[row].as_py()
+                yield pa.RecordBatch.from_arrays([batch.column(0)[row].values, pa.array(starts + base, pa.int64()), pa.array(lengths, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+
+    return files.select("docs", "lengths", "planes", "ones", "zeros", "base").mapInArrow(undo, schema)
+
+
+def token_at(spark: SparkSession, out: str, places: DataFrame) -> DataFrame:
+    """(place, token) for the places (long, over all documents in order) that exist; read off the planes of the shards they lie in."""
+    files = _files(spark, out).withColumn("n", F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x))
+    # Places meet shards in cells of a fixed width; a cell holds about a thousand shards.
+    cell = 1 << 34
+    spread = files.select(F.explode(F.sequence(F.floor(F.col("base") / cell), F.floor((F.col("base") + F.col("n") - 1) / cell))).alias("cell"), "shard", "base", (F.col("base") + F.col("n")).alias("end"))
+    asked = places.select(F.col("place").cast("long").alias("p")).distinct().withColumn("cell", F.floor(F.col("p") / cell))
+    met = asked.join(spread, "cell").where("p >= base AND p < end").groupBy("shard").agg(F.collect_list(F.col("p") - F.col("base")).alias("at"))
+    here = files.join(met, "shard").select("at", "lengths", "planes", "ones", "zeros", "base")
+
+    def access(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(len(batch)):
+                m, at, base = opened(batch, row), batch.column(0)[row].as_py(), batch.column(5)[row].as_py()
+                yield pa.RecordBatch.from_arrays([pa.array([base + i for i in at], pa.int64()), pa.array([m.access(i) for i in at], pa.int64())], ["place", "token"])
+
+    return here.mapInArrow(access, "place long, token long")
+
+
+def token_totals(spark: SparkSession, out: str, tokens: list[int]) -> DataFrame:
+    """(token, n): how often each of a few tokens occurs, from ranks alone."""
+    common.ship(spark)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(len(batch)):
+                m = opened(batch, row)
+                yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.int64()), pa.array([m.count(t) for t in tokens], pa.int64())], ["token", "n"])
+
+    each = spark.read.parquet(out).select("lengths", "planes", "ones", "zeros").mapInArrow(count, "token long, n long")
+    return each.groupBy("token").agg(F.sum("n").alias("n"))
+
+
+def occurrences(spark: SparkSession, out: str, token: int) -> DataFrame:
+    """(doc_id, place, offset) of each occurrence of a token: its place over all documents, and in its own; by select on the planes."""
+    files = _files(spark, out)
+    schema = StructType([StructField("doc_id", files.schema["docs"].dataType.elementType), *StructType.fromDDL("place long, offset long")])
+
+    def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(len(batch)):
+                m = opened(batch, row)
+                at = np.array([m.select(token, k) for k in range(m.count(token))], np.int64)
+                ends = np.cumsum(batch.column(1)[row].values.to_numpy(zero_copy_only=False))
+                doc = np.searchsorted(ends, at, side="right")
+                starts = np.concatenate([[0], ends[:-1]])
+                base = batch.column(5)[row].as_py()
+                yield pa.RecordBatch.from_arrays([batch.column(0)[row].values.take(pa.array(doc)), pa.array(at + base), pa.array(at - starts[doc], pa.int64())], ["doc_id", "place", "offset"])
+
+    return files.select("docs", "lengths", "planes", "ones", "zeros", "base").mapInArrow(locate, schema)

@@ -160,7 +160,7 @@ def test_shortest_pack_first():
 def test_segment_access_rank_select():
     rng = np.random.default_rng(5)
     ids = rng.integers(0, 300, 9000).astype(np.uint32)
-    s = wavelet.Segment.build(ids, 16)
+    s = wavelet.Matrix.build(ids, 16)
     assert (s.all() == ids).all()
     for i in rng.integers(0, 9000, 60):
         assert s.access(int(i)) == ids[i] and s.rank(int(ids[i]), int(i)) == (ids[:i] == ids[i]).sum()
@@ -169,13 +169,17 @@ def test_segment_access_rank_select():
         assert s.count(v) == len(at) and [s.select(v, k) for k in range(min(5, len(at)))] == at[:5].tolist()
     with pytest.raises(IndexError):
         s.select(301, 0)
+    with pytest.raises(ValueError, match="more than 16 bits"):
+        wavelet.Matrix.build(np.array([65_536], np.uint32), 16)
+    assert wavelet.Matrix.build(np.array([65_536, 3], np.uint32), 17).all().tolist() == [65_536, 3]
 
 
 @pytest.mark.parametrize("which", ["docs", "odd", "none"])
-def test_wavelet_files(spark, request, which, tmp_path, monkeypatch):
-    monkeypatch.setattr(wavelet, "SHARD_BYTES", 100_000)
+def test_wavelet_files(spark, request, which, tmp_path):
     df, library = request.getfixturevalue(which), Tokenizer.from_file(BYTES)
-    wavelet.write(df, BYTES, str(tmp_path / "w"))
+    wavelet.write(df, BYTES, str(tmp_path / "w"), shard_bytes=100_000)
+    files = spark.read.parquet(str(tmp_path / "w"))
+    assert files.select(F.input_file_name()).distinct().count() == files.select("shard").distinct().count() == files.count() >= (which == "docs") * 4
     got = wavelet.read(spark, str(tmp_path / "w")).collect()
     want = Counter()
     for r in df.select("doc_id", "text").collect():
@@ -190,6 +194,33 @@ def test_wavelet_files(spark, request, which, tmp_path, monkeypatch):
     assert order == sorted(order)
 
 
+def test_wavelet_questions(spark, docs, texts, tmp_path):
+    """Access, counts and occurrences, answered from the files."""
+    out, library = str(tmp_path / "w"), Tokenizer.from_file(BYTES)
+    wavelet.write(docs, BYTES, out, shard_bytes=60_000)
+    stream, where = [], []
+    for i in sorted(texts):
+        ids = [*library.encode(texts[i] or "", add_special_tokens=False).ids, 2]
+        stream += ids
+        where += [(i, k) for k in range(len(ids))]
+    rng = random.Random(2)
+    asked = [0, len(stream) - 1, *(rng.randrange(len(stream)) for _ in range(40))]
+    got = dict(wavelet.token_at(spark, out, spark.createDataFrame([(p,) for p in [*asked, len(stream), -1]], "place long")).collect())
+    assert got == {p: stream[p] for p in asked}
+    common_one = Counter(stream).most_common(3)[-1][0]
+    assert dict(wavelet.token_totals(spark, out, [2, common_one, 49_999]).collect()) == {t: stream.count(t) for t in (2, common_one, 49_999)}
+    found = sorted((r.place, r.doc_id, r.offset) for r in wavelet.occurrences(spark, out, common_one).collect())
+    assert found == [(p, *where[p]) for p, t in enumerate(stream) if t == common_one]
+
+
+def test_wavelet_ids_of_other_types(spark, tmp_path):
+    for k, (kind, ids) in enumerate((("string", ["b", "a"]), ("short", [2, 1]), ("date", [None, __import__("datetime").date(2020, 1, 2)]), ("decimal(20,0)", [None, __import__("decimal").Decimal(7)]))):
+        df = spark.createDataFrame([(i, "some text") for i in ids], f"doc_id {kind}, text string")
+        wavelet.write(df, BYTES, str(tmp_path / f"w{k}"))
+        got = wavelet.read(spark, str(tmp_path / f"w{k}")).orderBy("start").collect()
+        assert [r.doc_id for r in got] == sorted(ids, key=lambda i: (i is not None, str(i)))
+
+
 # --- near duplicates --------------------------------------------------------
 
 
@@ -441,6 +472,26 @@ def test_quality(spark, none):
     assert quality.quality_scores(odd, labels).count() == len(ODD) and quality.quality_scores(none, labels).count() == 0
 
 
+def test_votes_by_brute_force(spark):
+    """Scores against a plain vote: every cosine of a document with the sample, the nearest sorted out one by one."""
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    rows = docs.select("doc_id", "text").collect()
+    learned, y, shares = quality.sample(docs, labels, doc_id="doc_id", text="text", label="quality", per_class=quality.PER_CLASS)
+    model = quality.fit(learned, y, shares)
+    n = Counter(y)
+    got = {r.doc_id: r.score for r in quality.quality_scores(docs, labels).collect()}
+    for r in rows:
+        if not r.text:
+            assert got[r.doc_id] == pytest.approx(shares[1])
+            continue
+        x = model.latent(quality.terms(r.text)[None, :])[0]
+        cosines = [float(x @ v / max(np.linalg.norm(x) * np.linalg.norm(v), 1e-12)) for v in model.vectors]
+        nearest = sorted(range(len(y)), key=lambda k: -cosines[k])[: quality.NEIGHBOURS]
+        votes = [(max(0.0, cosines[k]) ** quality.SHARPNESS * shares[y[k]] / n[y[k]], y[k]) for k in nearest]
+        assert got[r.doc_id] == pytest.approx(sum(v for v, c in votes if c) / sum(v for v, _ in votes), abs=2e-3), r.doc_id
+
+
 def test_leaks(spark, docs, texts, odd, none):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     strip = lambda t: [w for w in (re.sub(r"^\W+|\W+$|_", "", x).lower() for x in t.split()) if w]
@@ -466,6 +517,52 @@ def test_templates(spark):
     assert got == {1: "reparameterised", 3: "verbatim"}
 
 
+def test_reparameterised_by_brute_force(spark):
+    """Items made from patterns with slots, filled anew in documents: found if the filling is one-to-one, and only then."""
+    rng = random.Random(12)
+    names = ["Tom", "Ana", "Kim", "Lea", "Max", "Ida", "McKay", "O'Neil", "Jean-Luc", "Zoe"]
+    plain = "river table green walk stone paper light round small music garden window letter simple quiet broad".split()
+    patterns = []
+    for _ in range(12):
+        words = [rng.choice(plain) for _ in range(24)]
+        for at, slot in zip(sorted(rng.sample(range(2, 23), 6)), ["N0", "P0", "N1", "P1", "N0", "P0"], strict=True):
+            words[at] = slot
+        patterns.append(words)
+    fill = lambda words, n, p: " ".join({"N0": n[0], "N1": n[1], "P0": p[0], "P1": p[1]}.get(w, w) for w in words)
+    items = [(k, fill(w, ("3", "14"), ("Tom", "Ana"))) for k, w in enumerate(patterns)]
+    data, want = [], {}
+    for k, w in enumerate(patterns):
+        n, p = rng.sample(["5", "70", "812", "9.5", "1,200"], 2), rng.sample(names[2:], 2)
+        once = fill(w, n, p).split()
+        last = max(i for i, x in enumerate(w) if x == "N0")
+        broken = [*once[:last], "41", *once[last + 1 :]]
+        for text, kind in ((items[k][1], "verbatim"), (" ".join(once), "reparameterised"), (" ".join(broken), None), (fill(w, (n[0], n[0]), p), None), (" ".join(reversed(once)), None)):
+            i = len(data)
+            data.append((i, f"{' '.join(rng.choice(plain) for _ in range(30))}. {text} {' '.join(rng.choice(plain) for _ in range(30))}"))
+            if kind:
+                want[i, k] = kind
+    for broadcast in (decontaminate.BROADCAST_WINDOWS, 0):
+        held, decontaminate.BROADCAST_WINDOWS = decontaminate.BROADCAST_WINDOWS, broadcast
+        try:
+            found = decontaminate.leaks(spark.createDataFrame(data, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+        finally:
+            decontaminate.BROADCAST_WINDOWS = held
+        assert {(r.doc_id, r.item_id): r.kind for r in found} == want
+
+
+def test_numbers_joined_to_units(spark):
+    item = spark.createDataFrame([(1, "She carries 3kg of flour and 12 litres of milk from the mill to the old bakery")], "item_id long, text string")
+    data = [(1, "she carries 7 kg of flour and 5l of milk from the mill to the old bakery"), (2, "she carries kg of flour and litres of milk from a mill to some bakery")]
+    assert {r.doc_id: r.kind for r in decontaminate.leaks(spark.createDataFrame(data, "doc_id long, text string"), item).collect()} == {1: "reparameterised"}
+
+
+def test_decontaminated_keeps_clashing_columns(spark):
+    item = spark.createDataFrame([(1, "one two three four five six seven eight nine")], "item_id long, text string")
+    df = spark.createDataFrame([(1, "say one two three four five six seven eight nine", 7, "x"), (2, "clean", 8, "y"), (None, None, 9, "z")], "doc_id long, text string, _bad_id long, _bad_key string")
+    got = decontaminate.decontaminated(df, item)
+    assert got.columns == df.columns and sorted(r["_bad_id"] for r in got.collect()) == [8, 9]
+
+
 def test_leaks_by_occurrence(spark):
     shop = "A shop sells {} kg of rice to {} for {} dollars and then {} buys {} more bags of rice from the shop"
     first, second = shop.format(7, "Ana", 55, "Ana", 7), shop.format(8, "Kim", 90, "Kim", 8)
