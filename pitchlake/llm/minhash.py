@@ -149,30 +149,32 @@ def _lists(reps: DataFrame, percent: int, k: int) -> DataFrame:
 
 
 def _components(docs: DataFrame, percent: int, doc_id: str, text: str, k: int) -> DataFrame:
-    """(doc_id, key, n, first): for each row its text's hash, the size of its set, and the smallest (doc_id, h1, h2) of its component.
+    """(doc_id, key, n, first, component_id): for each row its text's hash, the size of its set, the first node of its component and that node's id.
 
-    A class of equal sets is a node (doc_id, h1, h2) with its smallest id, so that unlike texts under one id stay apart.
+    A class of equal sets is a node named by its smallest id; where unlike classes have the same, by (id, h1, h2), so that they stay apart.
     """
     spark = docs.sparkSession
     scratch = common.Scratch(spark, "minhash")
     made = scratch.write(sketches(docs, doc_id, text, k), "sketches")
     some = made.where("n > 0 AND doc_id IS NOT NULL")
     of_class = some.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "key")).alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    classes = scratch.write(of_class.select("h1", "h2", F.struct(F.col("least.doc_id").alias("doc_id"), "h1", "h2").alias("a"), F.col("least.key").alias("key"), "n", "sketch"), "classes")
+    classes = scratch.write(of_class.select("h1", "h2", F.col("least.doc_id").alias("id"), F.col("least.key").alias("key"), "n", "sketch"), "classes")
+    shared = not classes.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    classes = classes.withColumn("a", F.struct("id", "h1", "h2") if shared else F.col("id"))
     reps = classes.select("a", "n", "sketch")
     live = scratch.write(_lists(reps, percent, k), "postings")
-    wanted = classes.join(live.select("a").distinct(), "a", "left_semi").select("a", F.col("a.doc_id").alias("_id"), F.col("key").alias("_key"))
+    wanted = classes.join(live.select("a").distinct(), "a", "left_semi").select("a", F.col("id").alias("_id"), F.col("key").alias("_key"))
     texts = docs.select(F.col(doc_id).alias("_id"), F.xxhash64(F.col(text)).alias("_key"), F.col(text).alias("text"))
     # One row of each representative's text: rows with the same id and text are alike.
     sets = scratch.write(full_sets(texts.join(wanted, ["_id", "_key"]).groupBy("_id", "_key").agg(F.first("a").alias("a"), F.first("text").alias("text"))), "sets")
     component = _join_lists(live, reps, sets, percent, k, scratch)
     first = classes.join(component, F.col("a") == F.col("node"), "left").select("h1", "h2", F.coalesce("component", "a").alias("first"))
-    alone = F.struct(F.col("doc_id"), F.col("h1"), F.col("h2"))
     # A class may hold any share of all rows; its rows meet it in parts.
-    parts = made.where("doc_id IS NOT NULL").select("h1", "h2", F.pmod(F.xxhash64("doc_id"), F.lit(common.SALTS)).cast("int").alias("_s")).distinct()
-    first = parts.join(first, ["h1", "h2"])
-    rows = made.select("doc_id", "key", "n", "h1", "h2").withColumn("_s", F.pmod(F.xxhash64("doc_id"), F.lit(common.SALTS)).cast("int")).join(first, ["h1", "h2", "_s"], "left")
-    return rows.select("doc_id", "key", "n", F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.when(F.col("n") == 0, alone).otherwise(F.col("first"))).alias("first"))
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(common.SALTS)).cast("int").alias("_s")
+    parts = some.select("h1", "h2", part).distinct().join(first, ["h1", "h2"])
+    rows = made.select("doc_id", "key", "n", "h1", "h2", part).join(parts, ["h1", "h2", "_s"], "left")
+    rows = rows.select("doc_id", "key", "n", F.when(F.col("doc_id").isNotNull(), F.col("first")).alias("first"))
+    return rows.withColumn("component_id", F.coalesce("first.id" if shared else "first", "doc_id"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, *, doc_id: str = "doc_id", text: str = "text", k: int = SKETCH) -> DataFrame:
@@ -182,7 +184,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, *, doc_id: str = "doc_id
     id are compared each by its own text. Other columns are ignored. No rows in, none out.
     """
     found = _components(docs, percent, doc_id, text, k)
-    return found.select("doc_id", F.col("n").alias("n_shingles"), F.col("first.doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return found.select("doc_id", F.col("n").alias("n_shingles"), "component_id").withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def deduplicated(docs: DataFrame, percent: int = 80, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -228,7 +230,18 @@ def _join_lists(live: DataFrame, sketched: DataFrame, sets: DataFrame, percent:
     """(node, component) from the links among members of the same list."""
     spark = live.sparkSession
     live = live.withColumns({"alone": F.lit(0).cast("long"), "comp": F.col("a"), "_s": common.salt("a")})
+    # To begin with, each member meets the leader of one list only, the most common of its own: copies of one text are mostly joined
+    # by that, at a comparison each, and need not be compared in all the other lists that they share.
+    own = live.where(F.col("v") == F.element_at("vs", -1))
+    first = own.groupBy("v").agg(F.max(F.struct("central", "a", "n")).alias("l")).select("v", "l")
+    first = first.join(own.select("v", "_s").distinct(), "v")
+    close = F.least("n", "l.n") * 100 >= F.greatest("n", "l.n") * percent
+    pairs = own.join(first, ["v", "_s"]).where((F.col("a") != F.col("l.a")) & close).select(F.least("a", "l.a").alias("a"), F.greatest("a", "l.a").alias("b")).distinct()
+    links = scratch.write(confirmed(estimated(pairs, sketched, percent, k), sets, percent), "found")
     known = None
+    if not links.isEmpty():
+        known = scratch.write(common.connected_components(spark, links, scratch), "components")
+        live = live.drop("comp").join(known.select(F.col("node").alias("a"), F.col("component").alias("comp")), "a", "left").withColumn("comp", F.coalesce("comp", "a"))
     for turn in range(1_000_000):
         every = {"c0": (F.min("comp"), F.min), "c1": (F.max("comp"), F.max), "least": (F.min("n"), F.min)}
         lists = common.by_salted_key(live, "v", "a", every).where("c0 < c1").select("v", "_s", "least")

@@ -47,6 +47,35 @@ def test_run_is_the_stages(spark, kept):
     assert P.ORACLE_SQL is None
 
 
+ODD = [
+    (1, None, "en", "s", None), (2, "", "en", "s", 0), (3, " \n\t ", None, None, 4), (4, "short", "en", "s", 5), (4, "short", "en", "s", 5), (5, "one two three four five six seven", "de", "s", 33),
+    (6, "one two three four five six seven", "de", "s", 33), (7, "x" * 30_000, "en", "s", 30_000), (8, "the cat sat on the mat " * 2_000, "en", "s", 46_000), (None, "nobody's own text", "en", "s", 17), (9, "mail a@b.cc now", "en", "s", 15),
+]
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.mark.parametrize("stage", [n for n, _ in P.STAGES])
+def test_stages_on_odd_tables(spark, stage):
+    """Nulls in every column, empty and very long texts, repeated rows, further columns of any name, no rows."""
+    f = dict(P.STAGES)[stage]
+    df = spark.createDataFrame(ODD, DOCS)
+    clash = df.withColumns({c: F.lit(7) for c in ("a", "b", "n", "h", "key", "kind", "first", "component_id", "_id", "_key", "_h", "_found", "_spans", "_score", "_s", "_turn", "shard", "label", "start", "filter", "id", "v")})
+    for one in (df, clash):
+        got = f(spark, one, SF).collect()
+        if stage == "packing":
+            assert sum(r.length for r in got if r.start == 0) > 0 and {r.doc_id for r in got} == {r[0] for r in ODD}
+            continue
+        assert list(got[0].asDict()) == list(P.COLUMNS)
+        ids = sorted((r.doc_id for r in got), key=lambda i: (i is not None, i or 0))
+        if stage == "near_duplicates":
+            assert ids == [None, 1, 2, 3, 4, 5, 7, 8, 9]
+        elif stage != "quality":
+            assert ids == [None, 1, 2, 3, 4, 4, 5, 6, 7, 8, 9]
+        if stage == "personal_data":
+            assert {r.doc_id: r.text for r in got}[9] == "mail [EMAIL] now"
+    assert f(spark, spark.createDataFrame([], DOCS), SF).count() == 0
+
+
 def test_entry_registers_all():
     import __spark_entry__
 
