@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numbers import weighted_mean
+from ..functions.numbers import round_even, weighted_mean
 
 
 def collapse_transfers(df: DataFrame, key: list[str], counts: list[str], means: list[str], labels: list[str], club: str = "team") -> DataFrame:
@@ -60,4 +60,4 @@ def defensive_bar(df: DataFrame, key: list[str], actions: str, bars: dict[str, i
     bar = F.create_map(*[F.lit(x) for kv in bars.items() for x in kv])[F.col(position)]
     played = df.where((F.col("minutes") > 0) & bar.isNotNull())
     per = played.groupBy(*key).agg(F.sum(F.when(F.col(actions) >= bar, 1).otherwise(0)).alias("dc_hits"), F.count("*").alias("dc_matches"), F.sum(actions).alias("_any"))
-    return per.where("_any > 0").withColumn("dc_bar_pct", F.round(100.0 * F.col("dc_hits") / F.col("dc_matches"), 2)).drop("_any")
+    return per.where("_any > 0").withColumn("dc_bar_pct", round_even(100.0 * F.col("dc_hits") / F.col("dc_matches"), 2)).drop("_any")

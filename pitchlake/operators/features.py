@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import clip, ratio, round_even
@@ -21,19 +21,10 @@ def per90(df: DataFrame, stats: Iterable[str]) -> DataFrame:
     return df.withColumns({f"{s}_per90": F.col(s) / _exposure() for s in stats if s in df.columns and s not in M.NOT_PER90})
 
 
-def shrunk(success: Column, attempts: Column, by: list[str], prior: float) -> Column:
-    """(s + prior * pooled) / (a + prior), with the group's pooled rate, or that of all where the group has no attempts.
-
-    A row without a success has no rate, but its attempts count in the pool. Null throughout if nobody attempted anything.
-    """
-    group, everyone = Window.partitionBy(*by), Window.partitionBy(F.lit(0))
-    sums = [(F.sum(success).over(w), F.sum(attempts).over(w)) for w in (group, everyone)]
-    pooled = F.coalesce(*[s / F.when(a > 0, a) for s, a in sums])
-    return F.when(sums[1][1] > 0, (success + prior * pooled) / (attempts + prior))
-
-
 def shrunk_by_table(df: DataFrame, specs: dict[str, tuple[str, str, float]], by: list[str], scale: float = 100.0, digits: int = 2) -> DataFrame:
     """Shrunken ratios {out: (success, attempts, prior)}: one small aggregate over groups, joined back, so rows aren't sorted."""
+    if not specs:
+        return df
     pools = [x for out, (s, a, _) in specs.items() for x in (F.sum(s).alias(f"_s_{out}"), F.sum(a).alias(f"_a_{out}"))]
     groups = df.groupBy(*by).agg(*pools)
     total = df.agg(*pools).select(*[F.col(f"_{k}_{out}").alias(f"_all_{k}_{out}") for out in specs for k in "sa"])
@@ -119,6 +110,42 @@ def ratios(df: DataFrame, by: list[str]) -> DataFrame:
     return out
 
 
+def shrunken(df: DataFrame, by: list[str], shots_include_penalties: bool = False) -> DataFrame:
+    """Shrunken rates: goals a shot and the like. Penalties come out of conversion where the feed lets them, as its shots hold them or not."""
+    has = set(df.columns)
+    specs = {out: spec for out, spec in M.SHRUNKEN.items() if {spec[0], spec[1]} <= has}
+    base = df
+    if {"shots", "np_goals"} <= has and (not shots_include_penalties or has & {"pens_taken", "goals"}):
+        goals, shots = F.col("np_goals"), F.col("shots")
+        if shots_include_penalties and "pens_taken" in has:
+            shots = F.col("shots") - F.coalesce("pens_taken", F.lit(0))
+        elif shots_include_penalties:
+            goals = F.col("goals")
+        base = df.withColumns({"_goals": goals, "_shots": shots})
+        specs["shot_conversion_pct"] = ("_goals", "_shots", M.BOUNDS.conversion_prior, 100, 2)
+    for scale, digits in sorted({(s[3], s[4]) for s in specs.values()}):
+        base = shrunk_by_table(base, {o: (s, a, float(k)) for o, (s, a, k, x, d) in specs.items() if (x, d) == (scale, digits)}, by, float(scale), digits)
+    out = base.select(*df.columns, *specs)
+    if "gk_psxg_per_sot" in specs and "position_group" in has:
+        out = out.withColumn("gk_psxg_per_sot", F.when(F.col("position_group") == "GK", F.col("gk_psxg_per_sot")))
+    return out
+
+
+def build(df: DataFrame, stats: Iterable[str], by: list[str] | None = None, shots_include_penalties: bool = False) -> DataFrame:
+    """All metrics of a player-season table, step by step: rates, ratios, composites, shrunken rates, team shares, possession."""
+    by = by or ["position_group"]
+    out = shrunken(derived(ratios(per90(df, stats), by)), by, shots_include_penalties)
+    helper = {"tackles", "interceptions"} <= set(out.columns)
+    if helper:
+        out = out.withColumn("_tackles_interceptions", F.col("tackles") + F.col("interceptions"))
+    for name, (mine, theirs) in M.TEAM_SHARES.items():
+        if {mine, theirs, "season", "league", "team"} <= set(out.columns):
+            out = team_share(out, mine, theirs, name)
+    if "team_possession" in out.columns:
+        out = possession_adjusted(out)
+    return out.drop("_tackles_interceptions") if helper else out
+
+
 def possession_adjusted(df: DataFrame, possession: str = "team_possession") -> DataFrame:
     """Defensive rates as if the opponent had the ball half the time."""
     factor = 50.0 / F.greatest(100.0 - F.col(possession), F.lit(20.0))

@@ -22,14 +22,18 @@ def as_of(probes: DataFrame, history: DataFrame, key: str, at: str, date: str, v
     return both.where("_probe = 1").withColumn(out, F.when(fresh, F.col("_last.v"))).select(*probes.columns, out)
 
 
-def within(left: DataFrame, right: DataFrame, keys: list[str], at: str, start: str, end: str, pick: Column | None = None) -> DataFrame:
-    """Rows of ``left`` with the right row whose [start, end) holds ``at``; with ``pick``, only the first such by it."""
+def within(left: DataFrame, right: DataFrame, keys: list[str], at: str, start: str, end: str, cell: float, pick: Column | None = None, row: list[str] | None = None) -> DataFrame:
+    """Rows of ``left`` with the right row whose [start, end) holds ``at``; with ``pick``, only the first such by it, one for each ``row`` (its key).
+
+    Both meet in cells of that width (about an interval's length), so an interval costs the cells it spans and a key's rows are never all in one place.
+    """
     right_columns = [c for c in right.columns if c not in keys]
-    joined = left.withColumn("_row", F.monotonically_increasing_id()) if pick is not None else left
-    met = joined.join(right, keys).where((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end)))
+    spread = right.where(F.col(end) > F.col(start)).withColumn("_cell", F.explode(F.sequence(F.floor(F.col(start) / cell), F.floor(F.col(end) / cell))))
+    met = left.withColumn("_cell", F.floor(F.col(at) / cell)).join(spread, [*keys, "_cell"]).where((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).drop("_cell")
     if pick is None:
         return met
-    return met.groupBy("_row").agg(F.min_by(F.struct(*[c for c in met.columns if c != "_row"]), pick).alias("_r")).select("_r.*").select(*left.columns, *right_columns)
+    rest = [c for c in met.columns if c not in row]
+    return met.groupBy(*row).agg(F.min_by(F.struct(*rest), pick).alias("_r")).select(*row, "_r.*").select(*left.columns, *right_columns)
 
 
 def unique_on(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -22,11 +24,23 @@ def long_form(df: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
 
 def scaled(df: DataFrame, features: list[str], by: list[str]) -> DataFrame:
     """Population z-scores within groups: gaps get the group's median (0 if it has none), no spread counts as 1."""
-    middle = df.groupBy(*by).agg(*[F.median(f).alias(f"_m_{f}") for f in features])
-    filled = df.join(F.broadcast(middle), by).withColumns({f: F.coalesce(F.col(f), F.col(f"_m_{f}"), F.lit(0.0)) for f in features})
-    w = Window.partitionBy(*by)
-    z = {f"z_{f}": (F.col(f) - F.avg(f).over(w)) / F.coalesce(F.nullif(F.stddev_pop(f).over(w), F.lit(0.0)), F.lit(1.0)) for f in features}
-    return filled.withColumns(z).drop(*[f"_m_{f}" for f in features])
+    scaler = fitted_scaler(df, features, by)
+    return apply_scaler(df, scaler, features, by)
+
+
+def fitted_scaler(df: DataFrame, features: list[str], by: list[str]) -> DataFrame:
+    """(by, _n, and for each feature _m_ median, _a_ mean, _s_ deviation once gaps hold the median): two small aggregates, no sort of the rows."""
+    middle = df.groupBy(*by).agg(*[F.coalesce(F.median(f), F.lit(0.0)).alias(f"_m_{f}") for f in features])
+    filled = df.join(middle, by).select(*by, *[F.coalesce(F.col(f), F.col(f"_m_{f}")).alias(f) for f in features])
+    spread = [x for f in features for x in (F.avg(f).alias(f"_a_{f}"), F.coalesce(F.nullif(F.stddev_pop(f), F.lit(0.0)), F.lit(1.0)).alias(f"_s_{f}"))]
+    return middle.join(filled.groupBy(*by).agg(*spread), by)
+
+
+def apply_scaler(df: DataFrame, scaler: DataFrame, features: list[str], by: list[str]) -> DataFrame:
+    """z_<feature> on the scale of ``fitted_scaler``'s groups; also for rows that it wasn't fitted on. Rows of no group there go."""
+    filled = df.join(scaler, by).withColumns({f: F.coalesce(F.col(f), F.col(f"_m_{f}")) for f in features})
+    z = {f"z_{f}": (F.col(f) - F.col(f"_a_{f}")) / F.col(f"_s_{f}") for f in features}
+    return filled.withColumns(z).drop(*[f"_{k}_{f}" for f in features for k in "mas"])
 
 
 def reliability(df: DataFrame, metrics: list[str], group: str = "position_group", player: str = "player_id", season: str = "season") -> DataFrame:
@@ -101,15 +115,50 @@ def explained(pair: DataFrame, a: str, b: str, names: list[str], weights: list[f
 def uniqueness(df: DataFrame, key: str, vector: str, by: str, k: int = 15) -> DataFrame:
     """(key, mean_distance) to the k nearest of the group; null in groups of k + 1 rows and fewer.
 
-    All pairs within a peer group are met, so groups must be bounded, as peer groups of a season are.
+    Groups are dealt into blocks; a task compares two blocks and keeps each row's k least distances, which are then merged. So the work is that of an
+    exact search, but no pair is written and no group is gathered.
     """
-    left = df.select(by, F.col(key).alias("a"), F.col(vector).alias("x"))
-    right = df.select(by, F.col(key).alias("b"), F.col(vector).alias("y"))
-    met = left.join(right, by).where("a <> b").select(by, "a", "b", euclid(F.col("x"), F.col("y")).alias("d"))
-    near = met.withColumn("_r", F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))).where(F.col("_r") <= k)
+    kind = df.schema[key].dataType.simpleString()
+
+    def nearest(left: np.ndarray, right: np.ndarray, same: bool) -> list[list[float]]:
+        out = []
+        for s in range(0, len(left), 256):
+            d = np.sqrt(((left[s : s + 256, None, :] - right[None, :, :]) ** 2).sum(axis=2))
+            if same:
+                d[np.arange(len(d)), np.arange(s, s + len(d))] = np.inf
+            n = min(k, d.shape[1] - 1 if same else d.shape[1])
+            out += np.sort(np.partition(d, max(n - 1, 0), axis=1)[:, :n], axis=1).tolist() if n else [[] for _ in d]
+        return out
+
+    def meet(block: pd.DataFrame) -> pd.DataFrame:
+        one = int(block["q"].iat[0]) == int(block["p"].iat[0])
+        sides = [block[block["side"] == s] for s in ((3,) if one else (1, 2))]
+        xs = [np.array(s["x"].tolist(), np.float64).reshape(len(s), -1) for s in sides]
+        if one:
+            found = [(sides[0], nearest(xs[0], xs[0], True))]
+        elif all(len(x) for x in xs):
+            found = [(sides[0], nearest(xs[0], xs[1], False)), (sides[1], nearest(xs[1], xs[0], False))]
+        else:
+            found = []
+        return pd.DataFrame({"a": [a for s, _ in found for a in s["a"]], "d": [d for _, ds in found for d in ds]}, columns=["a", "d"])
+
+    blocks = in_blocks(df.select(by, F.col(key).alias("a"), F.transform(vector, lambda v: v.cast("double")).alias("x")), by, "a")
+    part = blocks.groupBy(by, "p", "q").applyInPandas(lambda block: meet(block), f"a {kind}, d array<double>")
+    means = part.groupBy("a").agg(F.slice(F.array_sort(F.flatten(F.collect_list("d"))), 1, k).alias("d"))
+    means = means.select(F.col("a").alias(key), (F.aggregate("d", F.lit(0.0), lambda s, v: s + v) / F.size("d")).alias("m"))
     sizes = df.groupBy(by).agg(F.count("*").alias("_n"))
-    means = near.groupBy(by, "a").agg(F.avg("d").alias("m"))
-    return df.select(by, F.col(key)).join(sizes, by).join(means.select(F.col("a").alias(key), "m"), key, "left").select(key, F.when(F.col("_n") > k + 1, F.col("m")).alias("mean_distance"))
+    return df.select(by, F.col(key)).join(sizes, by).join(means, key, "left").select(key, F.when(F.col("_n") > k + 1, F.col("m")).alias("mean_distance"))
+
+
+def in_blocks(rows: DataFrame, by: str, key: str, size: int = 1024) -> DataFrame:
+    """Rows with p, q and side: a group's rows dealt by hash into blocks of about ``size``, once for each pair of blocks (p <= q) that theirs is in.
+
+    side: 1 where a row is of block p, 2 of q, 3 where both are one.
+    """
+    counts = rows.groupBy(by).agg(F.greatest(F.lit(1), F.ceil(F.count("*") / size)).cast("int").alias("_blocks"))
+    dealt = rows.join(counts, by).withColumn("_b", F.pmod(F.xxhash64(key), F.col("_blocks")).cast("int"))
+    pair = lambda o: F.struct(F.least("_b", o).alias("p"), F.greatest("_b", o).alias("q"), F.when(F.col("_b") == o, 3).when(F.col("_b") < o, 1).otherwise(2).alias("side"))
+    return dealt.select(*rows.columns, F.inline(F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), pair)))
 
 
 @dataclass
@@ -123,8 +172,12 @@ class Clusters:
 
     def assign(self, df: DataFrame, vector: str, out: str = "cluster") -> DataFrame:
         """Nearest centre; its number is by the order of the centres, so equal fits give equal numbers."""
+        return df.withColumn(out, self.nearest(vector))
+
+    def nearest(self, vector: str) -> Column:
+        """The number of the nearest centre; of equally near ones the first."""
         far = F.array(*[F.struct(euclid(F.col(vector), F.array(*[F.lit(float(v)) for v in c])).alias("d"), F.lit(i).alias("k")) for i, c in enumerate(self.centers)])
-        return df.withColumn(out, F.array_min(far)["k"])
+        return F.array_min(far)["k"]
 
 
 def simple_silhouette(df: DataFrame, vector: str, cluster: str) -> DataFrame:
@@ -138,11 +191,30 @@ def simple_silhouette(df: DataFrame, vector: str, cluster: str) -> DataFrame:
     ).drop("_a", "_b")
 
 
-def exact_silhouette(df: DataFrame, key: str, vector: str, cluster: str) -> DataFrame:
-    """(key, cluster, silhouette) with Euclidean distances between all rows of a (bounded) group; 0 for a row alone in its cluster."""
-    left = df.select(F.col(key).alias("a"), F.col(cluster).alias("ca"), F.col(vector).alias("x"))
-    right = df.select(F.col(key).alias("b"), F.col(cluster).alias("cb"), F.col(vector).alias("y"))
-    per = left.crossJoin(right).where("a <> b").groupBy("a", "ca", "cb").agg(F.avg(euclid(F.col("x"), F.col("y"))).alias("d"))
+def exact_silhouette(df: DataFrame, key: str, vector: str, cluster: str, queries: Column | None = None, size: int = 1024) -> DataFrame:
+    """(key, cluster, silhouette) of the rows that ``queries`` names (all by default), by Euclidean distances to all rows; 0 for a row alone in its cluster.
+
+    Queries and rows are dealt into blocks; a task compares a block of either and adds up distances by cluster, so no pair is written.
+    """
+    kinds = {c: df.schema[c].dataType.simpleString() for c in (key, cluster)}
+    rows = df.select(F.col(key).alias("a"), F.col(cluster).alias("c"), F.transform(vector, lambda v: v.cast("double")).alias("x"), (F.coalesce(queries, F.lit(False)) if queries is not None else F.lit(True)).alias("_asked"))
+    counts = rows.agg(F.greatest(F.lit(1), F.ceil(F.count_if("_asked") / size)).cast("int").alias("_p"), F.greatest(F.lit(1), F.ceil(F.count("*") / size)).cast("int").alias("_q"))
+    dealt = rows.crossJoin(F.broadcast(counts))  # one row
+    asked = dealt.where("_asked").select("a", "c", "x", F.lit(1).alias("side"), F.pmod(F.xxhash64("a"), F.col("_p")).cast("int").alias("p"), F.explode(F.sequence(F.lit(0), F.col("_q") - 1)).alias("q"))
+    every = dealt.select("a", "c", "x", F.lit(2).alias("side"), F.explode(F.sequence(F.lit(0), F.col("_p") - 1)).alias("p"), F.pmod(F.xxhash64("a"), F.col("_q")).cast("int").alias("q"))
+
+    def sums(block: pd.DataFrame) -> pd.DataFrame:
+        mine, theirs = block[block["side"] == 1], block[block["side"] == 2]
+        out = []
+        if len(mine) and len(theirs):
+            y, classes = np.array(theirs["x"].tolist(), np.float64), theirs["c"].to_numpy()
+            for a, ca, x in zip(mine["a"], mine["c"], mine["x"], strict=True):
+                d = pd.DataFrame({"cb": classes, "d": np.sqrt(((y - np.array(x, np.float64)) ** 2).sum(axis=1)), "n": (theirs["a"] != a).to_numpy().astype("int64")})
+                out += [(a, ca, cb, float(g["d"].sum()), int(g["n"].sum())) for cb, g in d.groupby("cb")]
+        return pd.DataFrame(out, columns=["a", "ca", "cb", "d", "n"])
+
+    each = asked.union(every).groupBy("p", "q").applyInPandas(lambda block: sums(block), f"a {kinds[key]}, ca {kinds[cluster]}, cb {kinds[cluster]}, d double, n long")
+    per = each.groupBy("a", "ca", "cb").agg((F.sum("d") / F.nullif(F.sum("n"), F.lit(0))).alias("d"))
     s = per.groupBy("a", "ca").agg(F.min(F.when(F.col("ca") == F.col("cb"), F.col("d"))).alias("own"), F.min(F.when(F.col("ca") != F.col("cb"), F.col("d"))).alias("other"))
     return s.select(F.col("a").alias(key), F.col("ca").alias(cluster), F.coalesce((F.col("other") - F.col("own")) / F.nullif(F.greatest("own", "other"), F.lit(0.0)), F.lit(0.0)).alias("silhouette"))
 

@@ -24,6 +24,38 @@ def rank_share(df: DataFrame, value: str, by: list[str], out: str) -> DataFrame:
     return df.withColumn(out, F.when(known, share))
 
 
+#: Ranges that all values are parted into to be ranked without one task seeing them all.
+RANGES = 1024
+
+
+def rank_share_in_ranges(df: DataFrame, value: str, out: str, by: list[str] | None = None, ranges: int = RANGES) -> DataFrame:
+    """The rank share of ``rank_share`` for groups of any size, or among all rows; null for null values and null peer keys.
+
+    Rows are counted by distinct value; values are parted into ranges between a group's least and largest (of their logarithm, as prices and
+    ratios have long tails), counts are added up within ranges and over ranges, and go back to the rows by value.
+    """
+    by = by or []
+    squeezed = F.signum(F.col("_v")) * F.log1p(F.abs(F.col("_v")))
+    known = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c")).withColumn("_q", squeezed)
+    ends = known.groupBy(*by).agg(F.min("_q").alias("_lo"), F.max("_q").alias("_hi"))
+    width = F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
+    placed = known.join(ends, by) if by else known.crossJoin(F.broadcast(ends))  # one row
+    ranged = placed.withColumn("_r", F.coalesce(F.floor((F.col("_q") - F.col("_lo")) / width * ranges), F.lit(0)).cast("int"))
+    peers = Window.partitionBy(*(by or [F.lit(0)]))  # a row a range
+    totals = ranged.groupBy(*by, "_r").agg(F.sum("_c").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(peers.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = totals.select(*by, "_r", before.alias("_below"), F.sum("_n").over(peers).alias("_all"))
+    inside = Window.partitionBy(*by, "_r").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.col("_below") + F.coalesce(F.sum("_c").over(inside), F.lit(0)) + 1
+    shares = ranged.join(totals, [*by, "_r"]).select(*by, "_v", ((first + (F.col("_c") - 1) / 2) / F.col("_all")).alias("_share_of_all"))
+    return df.withColumn("_v", F.col(value).cast("double")).join(shares, [*by, "_v"], "left").withColumn(out, F.col("_share_of_all")).drop("_v", "_share_of_all")
+
+
+def rank_share_of_all(df: DataFrame, value: str, out: str) -> DataFrame:
+    """The rank share among all rows."""
+    return rank_share_in_ranges(df, value, out)
+
+
 def percentiles(df: DataFrame, value: str, by: list[str], out: str, lower_is_better: bool | Column = False) -> DataFrame:
     """100 * rank share, turned round before rounding where lower is better; one decimal."""
     ranked = rank_share(df, value, by, "_share")
@@ -73,10 +105,17 @@ def robust_z(df: DataFrame, value: str, by: list[str], out: str) -> DataFrame:
 
 def fold_thin_groups(df: DataFrame, group: str, parents: dict[str, str], least: int = 40) -> DataFrame:
     """Groups of under ``least`` rows join their parent, in the order of ``parents``."""
+    # Sizes as they are once earlier groups have been folded, from one count of the groups concerned.
+    sizes = df.agg(*[F.count_if(F.col(group) == g).alias(g) for g in dict.fromkeys([*parents, *parents.values()])])
+    folded, size = {}, {g: F.col(f"_size.{g}") for g in dict.fromkeys([*parents, *parents.values()])}
+    for child, parent in parents.items():
+        folded[child] = size[child] < least
+        size[parent] = size[parent] + F.when(folded[child], size[child]).otherwise(0)
+    to = F.col(group)
     for child, parent in parents.items():
-        size = F.count("*").over(Window.partitionBy(group))
-        df = df.withColumn(group, F.when((F.col(group) == child) & (size < least), parent).otherwise(F.col(group)))
-    return df
+        to = F.when((to == child) & folded[child], F.lit(parent)).otherwise(to)
+    marked = df.crossJoin(F.broadcast(sizes.select(F.struct(*sizes.columns).alias("_size"))))  # one row
+    return marked.withColumn(group, to).drop("_size")
 
 
 def best_of(df: DataFrame, key: list[str], order: list) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import clip, round_even, true
 from ..registry.metrics import GEM_WEIGHTS, normalised
-from .ranking import rank_share
+from .ranking import rank_share_of_all
 
 OPERATORS = {">=": operator.ge, ">": operator.gt, "<=": operator.le, "<": operator.lt}
 AGE_FLOOR, AGE_CEILING, FULL_MINUTES, LINE_PLAYERS = 19.0, 27.0, 1800.0, 30
@@ -104,7 +104,7 @@ def exposure(df: DataFrame, strength: str, out: str) -> DataFrame:
 def value_for_money(df: DataFrame, performance: str, price: str, out: str) -> DataFrame:
     """Rank share of output per price, in percent."""
     per = df.withColumn("_v", F.when(F.col(price) > 0, F.col(performance) / F.col(price)))
-    return rank_share(per.withColumn("_all", F.lit(0)), "_v", ["_all"], "_share").withColumn(out, round_even(F.col("_share") * 100, 1)).drop("_v", "_share", "_all")
+    return rank_share_of_all(per.withColumnRenamed("_v", "_per"), "_per", "_share").withColumn(out, round_even(F.col("_share") * 100, 1)).drop("_per", "_share")
 
 
 def price_line(df: DataFrame, performance: str, price: str, group: str) -> DataFrame:
@@ -119,8 +119,25 @@ def price_line(df: DataFrame, performance: str, price: str, group: str) -> DataF
     )
     line = line.where((F.col("_n") >= LINE_PLAYERS) & (F.col("_range") > 1e-9)).select(group, "_slope", "_at0")
     fitted = known.join(F.broadcast(line), group, "left").withColumn("value_residual", F.col("_y") - (F.col("_at0") + F.col("_slope") * F.col(performance)))
-    ranked = rank_share(fitted.withColumn("_all", F.lit(0)), "value_residual", ["_all"], "_share")
-    return ranked.withColumn("value_residual_pct", round_even((1 - F.col("_share")) * 100, 1)).drop("_y", "_slope", "_at0", "_share", "_all")
+    ranked = rank_share_of_all(fitted, "value_residual", "_share")
+    return ranked.withColumn("value_residual_pct", round_even((1 - F.col("_share")) * 100, 1)).drop("_y", "_slope", "_at0", "_share")
+
+
+def price_fit(df: DataFrame, performance: str, price: str, group: str) -> DataFrame:
+    """(group, players, slope, intercept, r2) of the log price on performance; a group needs 30 priced players."""
+    known = df.where((F.col(price) > 0) & F.col(performance).isNotNull()).withColumn("_y", F.log10(price))
+    fit = known.groupBy(group).agg(
+        F.count("*").alias("players"), F.regr_slope("_y", performance).alias("slope"), F.regr_intercept("_y", performance).alias("intercept"), F.regr_r2("_y", performance).alias("r2")
+    )
+    return fit.where(F.col("players") >= LINE_PLAYERS)
+
+
+def matching_profile(pool: DataFrame, conditions: list[tuple[str, str, float]], key: list[str], n: int | None = None) -> DataFrame:
+    """Rows whose percentiles (pct_<metric>) meet all conditions (metric, operator, value), the best mean of those first; unmeasured ones fail."""
+    wanted = [true(OPERATORS[op](F.col(f"pct_{m}"), v)) for m, op, v in conditions]
+    mean = reduce(operator.add, [F.col(f"pct_{m}") for m, _, _ in conditions]) / len(conditions) if conditions else F.lit(None)
+    found = pool.where(reduce(operator.and_, wanted, F.lit(True))).withColumn("profile_mean", mean).orderBy(F.desc("profile_mean"), *key)
+    return found.limit(n) if n else found
 
 
 def gem_score(components: dict[str, str], weights: dict[str, float] | None = None) -> Column:

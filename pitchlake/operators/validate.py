@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import StandardScaler
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numbers import round_even
+from ..functions.numbers import euclid, round_even
 from .joins import unique_both_sides
-from .ranking import deciles, rank_share
+from .models import neighbours, weighted_vector
+from .ranking import deciles, rank_share, rank_share_of_all
+
+
+# Balanced accuracies from which two positions are different jobs, and up to which they are one.
+APART, ALIKE = 0.75, 0.65
 
 
 def self_recall(neighbours: DataFrame, people: DataFrame, key: str, person: str) -> DataFrame:
@@ -40,7 +49,7 @@ def growth(df: DataFrame, score: str, value: str, player: str, index: str, horiz
 
 def growth_by_decile(grown: DataFrame, score: str) -> DataFrame:
     """(decile, players, median_growth, share_up) by deciles of the score among rows followed up."""
-    known = rank_share(grown.where("log_growth IS NOT NULL").withColumn("_all", F.lit(0)), score, ["_all"], "_share").withColumn("decile", deciles(F.col("_share")))
+    known = rank_share_of_all(grown.where("log_growth IS NOT NULL"), score, "_share").withColumn("decile", deciles(F.col("_share")))
     return known.groupBy("decile").agg(F.count("*").alias("players"), round_even(F.median("log_growth"), 4).alias("median_growth"), round_even(F.avg((F.col("log_growth") > 0).cast("double")), 4).alias("share_up"))
 
 
@@ -71,6 +80,123 @@ def shrinkage_gate(before: DataFrame, after: DataFrame, season: str, allowed: fl
     return both.withColumn("refused", (F.col("before") > 0) & (F.col("after") < (1 - allowed) * F.col("before")))
 
 
+def role_agreement(neighbours: DataFrame, rows: DataFrame, key: str, role: str, group: str) -> DataFrame:
+    """(group, roles, same_role, chance, lift): how often a query's neighbours (query, rank, key) share its role, and how often anybody would."""
+    side = rows.select(F.col(key).alias("_k"), F.col(role).alias("_r"), F.col(group).alias("_g"))
+    met = neighbours.join(side.withColumnsRenamed({"_k": "query", "_r": "_qr"}), "query").join(side.select(F.col("_k").alias(key), "_r"), key)
+    per = met.groupBy("_g", "query").agg(F.avg((F.col("_r") == F.col("_qr")).cast("double")).alias("hit")).groupBy("_g").agg(F.avg("hit").alias("same_role"))
+    sizes = rows.where(F.col(role).isNotNull()).groupBy(F.col(group).alias("_g"), role).agg(F.count("*").alias("n"))
+    chance = sizes.groupBy("_g").agg(F.count("*").alias("roles"), (F.sum(F.pow("n", 2)) / F.pow(F.sum("n"), 2)).alias("chance"))
+    return per.join(chance, "_g").select(
+        F.col("_g").alias(group), "roles", round_even(F.col("same_role"), 3).alias("same_role"), round_even(F.col("chance"), 3).alias("chance"), round_even(F.col("same_role") / F.col("chance"), 2).alias("lift")
+    )
+
+
+def hashed_pairs(rows: DataFrame, key: str, vector: str, group: str, each: int = 4) -> DataFrame:
+    """(group, a, b, x, y): ``each`` partners for every row, those next to it in the order of a hash; so a sample of pairs that is the same every time.
+
+    Stands for random pairs: neighbours by a hash are unlike as any two rows are. Each group is sorted in 64 parts, none of which is gathered.
+    """
+    parts = rows.select(F.col(group).alias("_g"), F.col(key).alias("a"), F.col(vector).alias("x"), F.pmod(F.xxhash64(F.lit(1), key), F.lit(64)).alias("_part"), F.xxhash64(F.lit(2), key).alias("_h"))
+    w = Window.partitionBy("_g", "_part").orderBy("_h", "a")
+    ahead = parts.withColumn("_ahead", F.array(*[F.lead(F.struct("a", "x"), k).over(w) for k in range(1, each + 1)]))
+    met = ahead.withColumn("p", F.explode("_ahead")).where("p IS NOT NULL")
+    return met.select(F.col("_g").alias(group), "a", F.col("p.a").alias("b"), "x", F.col("p.x").alias("y"))
+
+
+def reference_distance(rows: DataFrame, key: str, vector: str, group: str) -> DataFrame:
+    """(group, reference): the median distance of pairs of the group, 1 where it is 0 or there are none."""
+    return hashed_pairs(rows, key, vector, group).groupBy(group).agg(F.median(euclid(F.col("x"), F.col("y"))).alias("_m")).select(group, F.coalesce(F.nullif("_m", F.lit(0.0)), F.lit(1.0)).alias("reference"))
+
+
+def feature_dominance(rows: DataFrame, key: str, vector: str, group: str, features: list[str], weights: list[float]) -> DataFrame:
+    """(group, feature, weight_share, distance_share, vs_even): each feature's mean share of the squared weighted distance of pairs."""
+    total = sum(weights) or 1.0
+    shares = [w / total for w in weights]
+    w = F.array(*[F.lit(float(s)) for s in shares])
+    squares = F.zip_with(F.zip_with("x", "y", lambda a, b: F.pow(a.cast("double") - b.cast("double"), 2)), w, lambda d, s: d * s)
+    each = hashed_pairs(rows, key, vector, group).select(group, squares.alias("_d")).withColumn("_t", F.aggregate("_d", F.lit(0.0), lambda s, v: s + v))
+    share = each.select(group, F.posexplode(F.transform("_d", lambda v: F.coalesce(v / F.nullif(F.col("_t"), F.lit(0.0)), F.lit(0.0)))).alias("k", "share"))
+    mean = share.groupBy(group, "k").agg(F.avg("share").alias("s"))
+    name = F.array(*[F.lit(f) for f in features])
+    return mean.select(
+        group, F.get(name, F.col("k")).alias("feature"), round_even(F.get(w, F.col("k")), 4).alias("weight_share"), round_even(F.col("s"), 4).alias("distance_share"),
+        round_even(F.col("s") * len(features), 2).alias("vs_even"),
+    )
+
+
+def compared(base: DataFrame, other: DataFrame, key: str) -> DataFrame:
+    """(top_k_overlap, rank_correlation) of two lists of neighbours (query, rank, key): mean Jaccard, and mean Spearman over at least three in both."""
+    both = base.select("query", key, F.col("rank").alias("_a")).join(other.select("query", key, F.col("rank").alias("_b")), ["query", key], "full_outer")
+    order = Window.partitionBy("query")
+    met = both.withColumn("_both", F.col("_a").isNotNull() & F.col("_b").isNotNull())
+    # Ranks among those that both lists have.
+    met = met.withColumns({c: F.when(F.col("_both"), F.rank().over(order.orderBy(F.when(F.col("_both"), F.col(c)).asc_nulls_last()))) for c in ("_a", "_b")})
+    per = met.groupBy("query").agg((F.count_if("_both") / F.count("*")).alias("overlap"), F.when(F.count_if("_both") >= 3, F.corr("_a", "_b")).alias("rho"))
+    return per.agg(round_even(F.avg("overlap"), 3).alias("top_k_overlap"), round_even(F.avg("rho"), 3).alias("rank_correlation"))
+
+
+def sensitivity(rows: DataFrame, queries: DataFrame, key: str, vector: str, group: str, features: list[str], weights: list[float], changes: dict[str, dict[str, float]], k: int = 10) -> DataFrame:
+    """(change, top_k_overlap, rank_correlation): how much of the neighbours stays if weights are multiplied; ``changes``: {name: {feature: factor}}.
+
+    A factor of 0 takes a feature out. The queries are a stated, small set.
+    """
+
+    def nearest(ws: list[float]) -> DataFrame:
+        v = rows.withColumn("_w", weighted_vector(F.col(vector), ws))
+        asked = v.join(F.broadcast(queries.select(key).distinct()), key, "left_semi")  # the stated set
+        return neighbours(v, asked, key, "_w", k, by=group)
+
+    base, out = nearest(weights), None
+    for name, factors in changes.items():
+        row = compared(base, nearest([w * factors.get(f, 1.0) for f, w in zip(features, weights, strict=True)]), key).select(F.lit(name).alias("change"), "*")
+        out = row if out is None else out.union(row)
+    return out
+
+
+def dropped(features: list[str]) -> dict[str, dict[str, float]]:
+    """Changes that take out one feature at a time."""
+    return {f: {f: 0.0} for f in features}
+
+
+def reweighted(baskets: dict[str, tuple[str, ...]], features: list[str], factor: float = 3.0) -> dict[str, dict[str, float]]:
+    """Changes that multiply the weights of one basket at a time."""
+    return {name: found for name, ms in baskets.items() if (found := {m: factor for m in ms if m in features})}
+
+
+def separability(rows: DataFrame, pairs: list[tuple[str, str, bool]], position: str, key: str, features: list[str], folds: int = 5, fewest: int = 60, seed: int = 7) -> DataFrame:
+    """(pair, players, balanced_accuracy, majority_class, verdict): whether two positions can be told apart by their own figures.
+
+    ``pairs``: (first, second, modelled apart). A logistic regression on standardised figures (gaps: the pair's medians), judged on folds dealt by a hash
+    of the key within each class; balanced accuracy is the mean of both classes' recalls. Pairs of fewer players are left out.
+    """
+    spark, out = rows.sparkSession, []
+    for first, second, apart in pairs:
+        both = rows.where(F.col(position).isin(first, second)).withColumn("label", (F.col(position) == first).cast("double"))
+        n, ones, *middle = both.agg(F.count("*"), F.sum("label"), *[F.median(f) for f in features]).first()
+        if n < fewest or not 0 < (ones or 0) < n:
+            continue
+        values = F.array(*[F.coalesce(F.col(f).cast("double"), F.lit(0.0 if m is None else float(m))) for f, m in zip(features, middle, strict=True)])
+        data = both.select("label", array_to_vector(values).alias("raw"), F.pmod(F.xxhash64(key), F.lit(folds)).alias("fold")).persist()
+        right = None
+        for fold in range(folds):
+            model = Pipeline(stages=[StandardScaler(inputCol="raw", outputCol="features", withMean=True), LogisticRegression(maxIter=100, regParam=1.0 / n, featuresCol="features", labelCol="label")]).fit(data.where(F.col("fold") != fold))
+            told = model.transform(data.where(F.col("fold") == fold)).groupBy("label").agg(F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("recall"))
+            right = told if right is None else right.union(told)
+        accuracy = right.groupBy("label").agg(F.avg("recall").alias("r")).agg(F.avg("r")).first()[0]
+        data.unpersist()
+        finding, agrees = ("different jobs", apart) if accuracy >= APART else ("the same job", not apart) if accuracy <= ALIKE else ("borderline", True)
+        out.append((f"{first} / {second}", n, round(accuracy, 3), round(max(ones, n - ones) / n, 3), finding if agrees else f"{finding}, against the taxonomy"))
+    return spark.createDataFrame(out, "pair string, players long, balanced_accuracy double, majority_class double, verdict string")
+
+
+def repeatability(rel: DataFrame, group: str = "position_group") -> DataFrame:
+    """(group, metrics, mean_r, least_r, most_r, under_half) over reliability's rows."""
+    return rel.groupBy(group).agg(
+        F.count("*").alias("metrics"), round_even(F.avg("r"), 3).alias("mean_r"), F.min("r").alias("least_r"), F.max("r").alias("most_r"), F.count_if(F.col("r") < 0.5).alias("under_half")
+    )
+
+
 def team_bias(neighbours: DataFrame, rows: DataFrame, key: str, team: list[str]) -> DataFrame:
     """(pairs, same_team, chance): share of neighbours from the query's own team, and what chance would give."""
     side = rows.select(F.col(key).alias("_k"), F.struct(*team).alias("_t"))

@@ -151,12 +151,14 @@ def knn_uniqueness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.uniqueness(_vectors(spark, sf_dir), "vec_id", "v", "label").withColumn("mean_distance", round_even(F.col("mean_distance"), 5))
 
 
-@query("jaccard_topk", "WITH p AS (SELECT p_partkey, list_distinct(string_split(p_name, ' ')) AS w FROM part WHERE p_partkey < 200) SELECT a.p_partkey AS a, b.p_partkey AS b, round_even(len(list_intersect(a.w, b.w))::DOUBLE / len(list_distinct(list_concat(a.w, b.w))), 6) AS j FROM p a JOIN p b ON a.p_partkey < b.p_partkey AND list_has_any(a.w, b.w)")
-def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of a stated set of parts; pairs meet on a shared word."""
-    p = table(spark, sf_dir, "part").where("p_partkey < 200").select("p_partkey", F.array_distinct(F.split("p_name", " ")).alias("w"))
-    left, right = p.select(F.col("p_partkey").alias("a"), F.col("w").alias("wa"), F.explode("w").alias("t")), p.select(F.col("p_partkey").alias("b"), F.col("w").alias("wb"), F.explode("w").alias("t"))
-    return left.join(right, "t").where("a < b").dropDuplicates(["a", "b"]).select("a", "b", round_even(jaccard(F.col("wa"), F.col("wb")), 6).alias("j"))
+@query("jaccard_topk", "WITH p AS (SELECT p_partkey, list_distinct(string_split(p_name, ' ')) AS w FROM part), j AS (SELECT a.p_partkey AS a, b.p_partkey AS b, round_even(len(list_intersect(a.w, b.w))::DOUBLE / len(list_distinct(list_concat(a.w, b.w))), 6) AS j FROM p a JOIN p b ON a.p_partkey % 100 = 0 AND a.p_partkey <> b.p_partkey AND list_has_any(a.w, b.w)) SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY a ORDER BY j DESC, b) <= 10")
+def jaccard_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten parts most like every hundredth one, among all; they meet on the words they share, and a pair counts at the first."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("b"), F.array_distinct(F.split("p_name", " ")).alias("wb"))
+    asked = p.where("b % 100 = 0").select(F.col("b").alias("a"), F.col("wb").alias("wa"), F.explode("wb").alias("t"))
+    met = asked.join(p.withColumn("t", F.explode("wb")), "t").where((F.col("a") != F.col("b")) & (F.array_min(F.array_intersect("wa", "wb")) == F.col("t")))
+    scores = met.select("a", "b", round_even(jaccard(F.col("wa"), F.col("wb")), 6).alias("j"))
+    return scores.withColumn("_r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("j"), "b"))).where("_r <= 10").drop("_r")
 
 
 GROW = f"""{PS}, q AS (SELECT *, dense_rank() OVER (ORDER BY season) AS s FROM ps), g AS (SELECT a.*, CASE WHEN a.attempts > 0 AND b.attempts > 0 THEN log10(b.attempts / a.attempts) END AS growth, 1 AS one FROM q a LEFT JOIN q b ON a.player_id = b.player_id AND b.s = a.s + 2)"""
@@ -229,17 +231,26 @@ def cluster_purity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.purity(table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 4).alias("c"), "label"), "c", "label")
 
 
-@query("silhouette", f"WITH {EMB}, p AS (SELECT a.vec_id, a.label AS la, b.label AS lb, AVG(list_distance(a.v, b.v)) AS d FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id < 200 AND b.vec_id < 200 GROUP BY ALL), s AS (SELECT vec_id, la, MIN(d) FILTER (la = lb) AS own, MIN(d) FILTER (la <> lb) AS other FROM p GROUP BY ALL) SELECT vec_id, round_even(COALESCE((other - own) / GREATEST(own, other), 0), 5) AS silhouette FROM s")
+@query("silhouette", f"WITH {EMB}, p AS (SELECT a.vec_id, a.label AS la, b.label AS lb, AVG(list_distance(a.v, b.v)) AS d FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0 GROUP BY ALL), s AS (SELECT vec_id, la, MIN(d) FILTER (la = lb) AS own, MIN(d) FILTER (la <> lb) AS other FROM p GROUP BY ALL) SELECT vec_id, round_even(COALESCE((other - own) / GREATEST(own, other), 0), 5) AS silhouette FROM s")
 def silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact silhouettes of a bounded group; the group is stated by its ids."""
-    out = models.exact_silhouette(_vectors(spark, sf_dir).where("vec_id < 200"), "vec_id", "v", "label")
+    """Exact silhouettes of every hundredth vector, against all of them."""
+    out = models.exact_silhouette(_vectors(spark, sf_dir), "vec_id", "v", "label", F.col("vec_id") % 100 == 0)
     return out.select("vec_id", round_even(F.col("silhouette"), 5).alias("silhouette"))
 
 
 @query("kmeans_archetypes")
 def kmeans_archetypes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One clustering, with as many clusters as suit it best among all sizes that it may have."""
     v = _vectors(spark, sf_dir)
-    return models.fit_clusters(v, "v", range(2, 5)).assign(v, "v").select("vec_id", "label", "cluster")
+    return models.fit_clusters(v, "v").assign(v, "v").select("vec_id", "label", "cluster")
+
+
+@query("nearest_archetype", f"WITH {EMB}, c AS (SELECT vec_id AS k, v AS c FROM e WHERE vec_id IN (3, 5, 8)), d AS (SELECT e.vec_id, round_even(list_distance(v, c), 9) AS d, row_number() OVER (PARTITION BY e.vec_id ORDER BY list_distance(v, c), k) - 1 AS r, CAST(CASE k WHEN 3 THEN 0 WHEN 5 THEN 1 ELSE 2 END AS INT) AS cluster FROM e, c) SELECT vec_id, cluster FROM d WHERE r = 0")
+def nearest_archetype(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows dealt to fixed centres: three of the vectors."""
+    v = _vectors(spark, sf_dir)
+    centers = [r["v"] for r in v.where("vec_id IN (3, 5, 8)").orderBy("vec_id").collect()]  # three rows
+    return models.Clusters(3, centers, 0.0, None).assign(v, "v").select("vec_id", "cluster")
 
 
 @query("pca_map")

@@ -96,13 +96,13 @@ def self_join_consecutive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "unique_both_sides",
-    """WITH a AS (SELECT c_nationkey AS n, c_mktsegment AS s, c_acctbal AS x FROM customer WHERE c_custkey % 7 = 0), b AS (SELECT c_nationkey AS n, c_mktsegment AS s, c_acctbal AS y FROM customer WHERE c_custkey % 11 = 3)
+    """WITH a AS (SELECT c_nationkey AS n, CAST(floor(c_acctbal / 25) AS BIGINT) AS s, c_custkey AS x FROM customer), b AS (SELECT s_nationkey AS n, CAST(floor(s_acctbal / 25) AS BIGINT) AS s, s_suppkey AS y FROM supplier)
     SELECT n, s, x, y FROM (SELECT n, s, ANY_VALUE(x) AS x FROM a GROUP BY n, s HAVING COUNT(*) = 1) JOIN (SELECT n, s, ANY_VALUE(y) AS y FROM b GROUP BY n, s HAVING COUNT(*) = 1) USING (n, s)""",
 )
 def unique_both_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("n"), F.col("c_mktsegment").alias("s"), "c_acctbal", "c_custkey")
-    a = c.where("c_custkey % 7 = 0").select("n", "s", F.col("c_acctbal").alias("x"))
-    b = c.where("c_custkey % 11 = 3").select("n", "s", F.col("c_acctbal").alias("y"))
+    """Two whole feeds, customers and suppliers, on a nation and a step of the balance that one row of each has."""
+    a = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("n"), F.floor(F.col("c_acctbal") / 25).alias("s"), F.col("c_custkey").alias("x"))
+    b = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("n"), F.floor(F.col("s_acctbal") / 25).alias("s"), F.col("s_suppkey").alias("y"))
     return joins.unique_both_sides(a, b, ["n", "s"])
 
 
@@ -132,9 +132,11 @@ def merge_eras(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WITH p AS (SELECT p_partkey, p_type, p_size, string_split(p_name, ' ') AS w FROM part) SELECT a.p_partkey AS a, b.p_partkey AS b FROM p a JOIN p b ON a.p_type = b.p_type AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey AND list_has_any(a.w, b.w)""",
 )
 def token_overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_size", words(F.col("p_name")).alias("w"))
+    """Rows meet on the words they share, within type and size; a pair that shares several counts at the first of them."""
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_size", words(F.col("p_name")).alias("w"), F.explode(words(F.col("p_name"))).alias("word"))
     a, b = p.withColumnsRenamed({"p_partkey": "a", "w": "wa"}), p.withColumnsRenamed({"p_partkey": "b", "w": "wb"})
-    return a.join(b, ["p_type", "p_size"]).where((F.col("a") < F.col("b")) & F.arrays_overlap("wa", "wb")).select("a", "b")
+    met = a.join(b, ["p_type", "p_size", "word"]).where(F.col("a") < F.col("b"))
+    return met.where(F.array_min(F.array_intersect("wa", "wb")) == F.col("word")).select("a", "b")
 
 
 @query(
@@ -142,9 +144,11 @@ def token_overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WITH p AS (SELECT p_partkey, p_type, p_brand, string_split(p_name, ' ') AS w FROM part) SELECT a.p_partkey AS a, b.p_partkey AS b FROM p a JOIN p b ON a.p_type = b.p_type AND a.p_brand = b.p_brand AND a.p_partkey <> b.p_partkey AND list_has_all(b.w, a.w)""",
 )
 def token_subset_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row can only be within those that have its first word, so they meet on that."""
     p = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_brand", words(F.col("p_name")).alias("w"))
-    a, b = p.withColumnsRenamed({"p_partkey": "a", "w": "wa"}), p.withColumnsRenamed({"p_partkey": "b", "w": "wb"})
-    return a.join(b, ["p_type", "p_brand"]).where((F.col("a") != F.col("b")) & (F.size(F.array_except("wa", "wb")) == 0)).select("a", "b")
+    a = p.withColumn("word", F.array_min("w")).withColumnsRenamed({"p_partkey": "a", "w": "wa"})
+    b = p.withColumn("word", F.explode("w")).withColumnsRenamed({"p_partkey": "b", "w": "wb"})
+    return a.join(b, ["p_type", "p_brand", "word"]).where((F.col("a") != F.col("b")) & (F.size(F.array_except("wa", "wb")) == 0)).select("a", "b")
 
 
 SPELLS = """sp AS (SELECT user_id AS keeper, CAST(ts AS DATE) AS day, epoch_us(ts) AS s, epoch_us(ts) + 1800000000 AS e FROM events WHERE event_type = 'signup')"""
@@ -158,7 +162,7 @@ def interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = ordered_events(spark, sf_dir)
     spells = ev.where("event_type = 'signup'").select("day", F.col("user_id").alias("keeper"), F.col("us").alias("s"), (F.col("us") + 1_800_000_000).alias("e"))
     shots = ev.where("event_type = 'purchase'").select("event_id", "day", "us")
-    return joins.within(shots, spells, ["day"], "us", "s", "e", pick=F.struct("s", "keeper")).select("event_id", "keeper")
+    return joins.within(shots, spells, ["day"], "us", "s", "e", 1_800_000_000, pick=F.struct("s", "keeper"), row=["event_id"]).select("event_id", "keeper")
 
 
 @query(
@@ -253,7 +257,7 @@ def stale_seasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     "defensive_bar",
     """WITH e AS (SELECT user_id, CASE user_id % 3 WHEN 0 THEN 'DEF' WHEN 1 THEN 'MID' ELSE 'FWD' END AS position, CAST(floor(value) AS BIGINT) AS acts FROM events WHERE event_type = 'view')
     SELECT user_id, CAST(SUM(CASE WHEN acts >= CASE position WHEN 'DEF' THEN 10 ELSE 12 END THEN 1 ELSE 0 END) AS BIGINT) AS dc_hits, CAST(COUNT(*) AS BIGINT) AS dc_matches,
-    round(100.0::DOUBLE * SUM(CASE WHEN acts >= CASE position WHEN 'DEF' THEN 10 ELSE 12 END THEN 1 ELSE 0 END) / COUNT(*), 2) AS dc_bar_pct FROM e GROUP BY user_id HAVING SUM(acts) > 0""",
+    round_even(100.0::DOUBLE * SUM(CASE WHEN acts >= CASE position WHEN 'DEF' THEN 10 ELSE 12 END THEN 1 ELSE 0 END) / COUNT(*), 2) AS dc_bar_pct FROM e GROUP BY user_id HAVING SUM(acts) > 0""",
 )
 def defensive_bar(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events").where("event_type = 'view'")

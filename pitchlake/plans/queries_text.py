@@ -11,14 +11,14 @@ from .adapters import table
 from .catalog import query
 
 
-@query("name_normalise", f"SELECT doc_id, {T.normalise_sql('text[1:200]')} AS key FROM documents")
+@query("name_normalise", f"SELECT doc_id, {T.normalise_sql('text')} AS key FROM documents")
 def name_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", T.normalise_name(F.substring("text", 1, 200)).alias("key"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.normalise_name(F.col("text")).alias("key"))
 
 
-@query("initial_surname", "SELECT doc_id, CASE WHEN k LIKE '% %' THEN k[1:1] || ' ' || split_part(k, ' ', -1) ELSE k END AS short FROM (SELECT doc_id, " + T.normalise_sql("text[1:60]") + " AS k FROM documents)")
+@query("initial_surname", "SELECT p_partkey, CASE WHEN k LIKE '% %' THEN k[1:1] || ' ' || split_part(k, ' ', -1) ELSE k END AS short FROM (SELECT p_partkey, " + T.normalise_sql("p_name") + " AS k FROM part)")
 def initial_surname(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", T.initial_and_surname(T.normalise_name(F.substring("text", 1, 60))).alias("short"))
+    return table(spark, sf_dir, "part").select("p_partkey", T.initial_and_surname(T.normalise_name(F.col("p_name"))).alias("short"))
 
 
 @query("html_unescape", "SELECT page_id, " + "replace(" * 6 + "html" + "".join(f", '{e}', '{c.replace(chr(39), chr(39) * 2)}')" for e, c in T.ENTITIES.items()) + " AS html FROM pages")

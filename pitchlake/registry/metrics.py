@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 # Fixed values. Ratios: numerator, denominator, weight of the prior.
@@ -88,7 +89,28 @@ BUCKET = {
     "Overall Rating": ("bps_per90", "ict_per90"),
     "Availability": ("starts_share", "minutes"),
 }
-# Weights of the hidden-gem components.
+BUCKET_KEEPER = {
+    "Shot Stopping": ("save_rate", "gk_saves_per90", "gk_xgc_minus_ga_per90"),
+    "Goal Prevention": ("goals_conceded_per90", "xgc_per90", "clean_sheet_rate"),
+    "Overall Rating": ("bps_per90", "influence_per90"),
+    "Availability": ("starts_share", "minutes"),
+}
+# Metrics of which less is better, and those that are mostly the team's.
+LOWER_IS_BETTER = frozenset(
+    {
+        "goals_conceded_per90", "xgc_per90", "yellow_cards_per90", "red_cards_per90", "miscontrols_per90", "dispossessed_per90", "fouls_committed_per90", "errors_per90",
+        "gk_goals_against_per90", "aerials_lost_per90", "pens_taken_per90", "offsides_per90", "pens_conceded_per90", "possession_lost_per90", "dribbled_past_per90", "turnover_rate",
+    }
+)
+TEAM_CONTEXT = frozenset({"clean_sheet_rate", "goals_conceded_per90", "xgc_per90", "gk_goals_against_per90", "gk_saves_per90"})
+# Fixed values. Shrunken rates: numerator, denominator, weight of the prior, scale, digits.
+SHRUNKEN = {
+    "npxg_per_shot": ("npxg", "shots", 15, 1, 4),
+    "xa_per_key_pass": ("xa", "key_passes", 15, 1, 4),
+    "cross_box_pct": ("crosses_into_pen_area", "crosses", 20, 100, 2),
+    "gk_psxg_per_sot": ("gk_psxg", "gk_shots_on_target_against", 30, 1, 4),
+}
+# Fixed values. Weights of the hidden-gem components.
 GEM_WEIGHTS = {
     "Performance": 40, "Age upside": 20, "Underpriced for output": 20, "Low exposure": 15, "Value for money": 15, "Statistical uniqueness": 15, "Sample size": 10,
 }
@@ -117,11 +139,48 @@ BOUNDS = Bounds()
 
 
 def categories_for(group: str, taxonomy: str = "detailed") -> dict[str, tuple[str, ...]]:
-    if taxonomy == "bucket" or group in UNKNOWN_FLANK:
+    """The baskets of a group: those of keepers are their own under either taxonomy."""
+    if taxonomy == "bucket":
+        return BUCKET_KEEPER if group == "GK" else BUCKET
+    if group in UNKNOWN_FLANK:
         return BUCKET
     return KEEPER if group == "GK" else OUTFIELD
 
 
+def percentile_metrics(have: Iterable[str], groups: Iterable[str], taxonomy: str = "detailed") -> list[str]:
+    """Every metric that some group's basket uses and the table has, in first-seen order."""
+    have = set(have)
+    wanted = (m for g in groups for ms in categories_for(g, taxonomy).values() for m in ms)
+    return [m for m in dict.fromkeys(wanted) if m in have]
+
+
+def model_features(have: dict[str, float], group: str, taxonomy: str = "detailed", features: dict[str, tuple[str, ...]] | None = None, least: float = 0.6, fewest: int = 5) -> list[str]:
+    """Features of a group's model: those of its list that enough rows measure (``have``: {metric: share}); none if too few are left.
+
+    ``features``: {group: metrics}, the analyst's own lists; without one, the metrics of the group's baskets.
+    """
+    wanted = (features or {}).get(group) or [m for ms in categories_for(group, taxonomy).values() for m in ms]
+    found = [m for m in dict.fromkeys(wanted) if have.get(m, 0.0) >= least]
+    return found if len(found) >= fewest else []
+
+
+@dataclass(frozen=True)
+class Roles:
+    """Weights of the baskets by group and role: ``templates`` {group: {role: {basket: weight}}}, ``defaults`` {group: {basket: weight}}."""
+
+    templates: dict[str, dict[str, dict[str, float]]]
+    defaults: dict[str, dict[str, float]]
+    default_role: str = "Balanced (position default)"
+
+    def weights(self, group: str, role: str | None = None, taxonomy: str = "detailed") -> dict[str, float]:
+        """The role's, else the group's, else all baskets alike."""
+        chosen = self.templates.get(group, {}).get(role) if role and role != self.default_role else None
+        return dict(chosen or self.defaults.get(group) or dict.fromkeys(categories_for(group, taxonomy), 1.0))
+
+    def names(self, group: str) -> list[str]:
+        return [self.default_role, *sorted(self.templates.get(group, {}))]
+
+
 def normalised(weights: dict[str, float]) -> dict[str, float]:
     """Non-negative weights that sum to 100; equal ones where all are 0."""
     kept = {k: max(0.0, float(v)) for k, v in weights.items()}

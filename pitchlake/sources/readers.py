@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,11 +61,41 @@ def external_table(df: DataFrame, column_map: dict[str, str]) -> DataFrame:
     defaults = {"team_possession": F.lit(50.0), "league_tier": F.lit(1), "league_strength": F.lit(1.0)}
     df = df.withColumns({c: v for c, v in defaults.items() if c not in df.columns})
     if "player_id" not in df.columns:
-        names = df.select("player").distinct().withColumn("player_id", X.padded_id("X", F.row_number().over(Window.orderBy("player")) - 1))
-        df = df.join(names, "player", "left")
+        df = df.join(numbered(df.select("player").distinct(), "player", "_n").select("player", X.padded_id("X", F.col("_n")).alias("player_id")), "player", "left")
     return df
 
 
+def numbered(names: DataFrame, name: str, out: str) -> DataFrame:
+    """Distinct names numbered from 0 in their order, without one task seeing them all: counted by their first two letters, then numbered within those."""
+    known = names.where(F.col(name).isNotNull()).withColumn("_part", F.substring(name, 1, 2))
+    counts = known.groupBy("_part").agg(F.count("*").alias("_c"))
+    before = counts.select("_part", F.coalesce(F.sum("_c").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row a beginning
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(name)) - 1
+    return known.withColumn("_in", inside).join(F.broadcast(before), "_part").select(name, (F.col("_before") + F.col("_in")).alias(out))
+
+
+@dataclass(frozen=True)
+class Source:
+    """A feed: where it lies, what its positions are, and how it counts shots."""
+
+    key: str
+    path: str
+    taxonomy: str = "detailed"
+    shots_include_penalties: bool = False
+    default_seasons: tuple = ()
+    fmt: str = "parquet"
+
+
+def load_source(spark: SparkSession, sources: dict[str, Source], key: str, stats: list[str], fallback: str | None = None) -> tuple[DataFrame, Source]:
+    """A registered feed's season table, or the fallback's where its file is missing; and which it was."""
+    for name in dict.fromkeys([key, *([fallback] if fallback else [])]):
+        source = sources[name]
+        if spark._jvm.org.apache.hadoop.fs.Path(source.path).getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(source.path)):
+            df = season_table(spark, source.path, stats, source.fmt)
+            return (df.where(F.col("season").isin(*source.default_seasons)) if source.default_seasons else df), source
+    raise FileNotFoundError(sources[key].path)
+
+
 def tolerant_csv(spark: SparkSession, path: str, schema: T.StructType, encoding: str = "UTF-8") -> DataFrame:
     """Rows that don't fit the schema are dropped."""
     return spark.read.schema(schema).option("header", True).option("encoding", encoding).option("mode", "DROPMALFORMED").csv(path)
