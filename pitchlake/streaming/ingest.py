@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numbers import count_if
+from ..operators.ranking import best_of
 
 EVENTS = T.StructType(
     [
@@ -40,17 +41,26 @@ def run_to_table(stream: DataFrame, out: str, checkpoint: str, mode: str = "appe
     return stream.writeStream.outputMode(mode).format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def upsert_batches(stream: DataFrame, out: str, keys: list[str], checkpoint: str):
-    """Each micro-batch replaces the rows of its keys: it is written beside the others under its number, and readers take the latest."""
+def upsert_batches(stream: DataFrame, out: str, keys: list[str], order: list[str], checkpoint: str):
+    """Each micro-batch replaces the rows of its keys: one row a key, the last by ``order``, is written beside the others under the batch's number.
+
+    A batch that is run again overwrites its own folder only. ``latest`` reads the newest rows; ``compacted`` folds old batches into one.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        best_of(batch, keys, [F.desc(c) for c in order]).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def latest(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
-    """The newest row of each key among the batches."""
+    """The newest row of each key among the batches; a batch has one row a key at most, so there are no ties."""
     rows = spark.read.parquet(out)
-    columns = [c for c in rows.columns if c not in ("_batch", "batch", *keys)]
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*columns), "_batch").alias("_r")).select(*keys, "_r.*")
+    columns = [c for c in rows.columns if c not in ("batch", *keys)]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*columns), "batch").alias("_r")).select(*keys, "_r.*")
+
+
+def compacted(spark: SparkSession, out: str, keys: list[str], target: str) -> None:
+    """All batches so far as the one batch of a new folder, numbered as their last, so that reads need not go over all history."""
+    last = spark.read.parquet(out).agg(F.max("batch")).first()[0]
+    latest(spark, out, keys).write.mode("overwrite").parquet(f"{target}/batch={last}")
