@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import numpy as np
-import pandas as pd
-from pyspark.ml.clustering import KMeans
+import pyarrow as pa
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numbers import clip, cosine, euclid, round_even
+from ..functions.numbers import clip, cosine, euclid, round_even  # noqa: F401  (cosine, euclid: for callers that compare vectors)
 from ..registry.metrics import BOUNDS
+from . import blocks
+from .clusters import Clusters, select_clusters
+from .moments import correlations
 from .ranking import season_index
 
 
@@ -50,8 +50,8 @@ def reliability(df: DataFrame, metrics: list[str], group: str = "position_group"
     """
     played = season_index(df.where(F.col("minutes") >= BOUNDS.reliability_minutes), season, "_s")
     each = long_form(played, [group, player, "_s"], metrics).where("value IS NOT NULL")
-    w = Window.partitionBy(group, "_s", "metric")
-    z = each.withColumn("z", (F.col("value") - F.avg("value").over(w)) / F.nullif(F.stddev_samp("value").over(w), F.lit(0.0))).where("z IS NOT NULL")
+    usual = each.groupBy(group, "_s", "metric").agg(F.avg("value").alias("_mean"), F.nullif(F.stddev_samp("value"), F.lit(0.0)).alias("_spread"))
+    z = each.join(usual, [group, "_s", "metric"]).withColumn("z", (F.col("value") - F.col("_mean")) / F.col("_spread")).where("z IS NOT NULL")
     following = Window.partitionBy(group, player, "metric").orderBy("_s")
     pairs = z.withColumn("next", F.lead("z").over(following)).withColumn("next_s", F.lead("_s").over(following)).where("next_s = _s + 1")
     return pairs.groupBy(group, "metric").agg(F.count("*").alias("pairs"), round_even(F.corr("z", "next"), 3).alias("r")).where((F.col("pairs") >= BOUNDS.reliability_pairs) & F.col("r").isNotNull())
@@ -65,12 +65,9 @@ def reliability_weights(rel: DataFrame, metrics: DataFrame, group: str = "positi
     return all_metrics.join(typical, group).select(group, "metric", F.coalesce("_own", "_typical", F.lit(1.0)).alias("weight"))
 
 
-def correlated(df: DataFrame, keys: list[str], metrics: list[str], least: float = 0.85) -> DataFrame:
-    """(a, b, r) of metric pairs with |r| of at least ``least``, over rows that measure both; one pass, no self-join."""
-    pairs = [(a, b) for i, a in enumerate(metrics) for b in metrics[i + 1 :]]
-    row = df.agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
-    long = row.unpivot([], [f"`{a}|{b}`" for a, b in pairs], "pair", "r") if pairs else row
-    return long.select(F.split("pair", r"\|")[0].alias("a"), F.split("pair", r"\|")[1].alias("b"), "r").where(F.abs("r") >= least)
+def correlated(df: DataFrame, metrics: list[str], least: float = 0.85) -> DataFrame:
+    """(a, b, n, r) of metric pairs with |r| of at least ``least``, over the n rows that measure both, from one pass of block products."""
+    return correlations(df, metrics).where(F.abs("r") >= least)
 
 
 def weighted_vector(z: Column, weights: list[float]) -> Column:
@@ -81,21 +78,13 @@ def weighted_vector(z: Column, weights: list[float]) -> Column:
 
 
 def neighbours(df: DataFrame, queries: DataFrame, key: str, vector: str, n: int, metric: str = "cosine", by: str | None = None, person: str | None = None, where: Column | None = None) -> DataFrame:
-    """(query, rank, key, distance): the n nearest rows of each query within its group.
+    """(query, rank, key, distance): the n nearest rows of each query within its group, of those that ``where`` lets through; ties go by key.
 
-    Queries are a stated, small set: they are broadcast against all rows. Candidates are filtered after scoring, the query itself and,
-    with ``person``, other rows of the same one are left out; ties go by key.
+    The query itself and, with ``person``, other rows of the same one are left out. Queries and rows meet in blocks; see ``blocks.nearest`` for all rows.
     """
-    wanted = queries.select(F.col(key).alias("query"), F.col(vector).alias("_q"), *([F.col(by).alias("_by")] if by else []), *([F.col(person).alias("_person")] if person else []))
-    on = F.col(by) == F.col("_by") if by else F.lit(True)
-    distance = 1.0 - cosine(F.col(vector), F.col("_q")) if metric == "cosine" else euclid(F.col(vector), F.col("_q"))
-    met = df.join(F.broadcast(wanted), on).where(F.col(key) != F.col("query"))
-    if person:
-        met = met.where(~F.col(person).eqNullSafe(F.col("_person")))
-    if where is not None:
-        met = met.where(where)
-    order = Window.partitionBy("query").orderBy("distance", key)
-    return met.select("query", key, distance.alias("distance")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).select("query", "rank", key, "distance")
+    asked = queries.select(F.col(key).alias("_key")).distinct().withColumn("_asked", F.lit(True))
+    marked = df.join(asked, F.col(key) == F.col("_key"), "left").withColumn("_fits", F.coalesce(where, F.lit(False)) if where is not None else F.lit(True))
+    return blocks.nearest(marked, key, vector, n, metric, by, person, F.col("_asked"), F.col("_fits"))
 
 
 def similarity_percent(distance: Column, reference: Column | float = 1.0) -> Column:
@@ -113,148 +102,46 @@ def explained(pair: DataFrame, a: str, b: str, names: list[str], weights: list[f
 
 
 def uniqueness(df: DataFrame, key: str, vector: str, by: str, k: int = 15) -> DataFrame:
-    """(key, mean_distance) to the k nearest of the group; null in groups of k + 1 rows and fewer.
-
-    Groups are dealt into blocks; a task compares two blocks and keeps each row's k least distances, which are then merged. So the work is that of an
-    exact search, but no pair is written and no group is gathered.
-    """
-    kind = df.schema[key].dataType.simpleString()
-
-    def nearest(left: np.ndarray, right: np.ndarray, same: bool) -> list[list[float]]:
-        out = []
-        for s in range(0, len(left), 256):
-            d = np.sqrt(((left[s : s + 256, None, :] - right[None, :, :]) ** 2).sum(axis=2))
-            if same:
-                d[np.arange(len(d)), np.arange(s, s + len(d))] = np.inf
-            n = min(k, d.shape[1] - 1 if same else d.shape[1])
-            out += np.sort(np.partition(d, max(n - 1, 0), axis=1)[:, :n], axis=1).tolist() if n else [[] for _ in d]
-        return out
-
-    def meet(block: pd.DataFrame) -> pd.DataFrame:
-        one = int(block["q"].iat[0]) == int(block["p"].iat[0])
-        sides = [block[block["side"] == s] for s in ((3,) if one else (1, 2))]
-        xs = [np.array(s["x"].tolist(), np.float64).reshape(len(s), -1) for s in sides]
-        if one:
-            found = [(sides[0], nearest(xs[0], xs[0], True))]
-        elif all(len(x) for x in xs):
-            found = [(sides[0], nearest(xs[0], xs[1], False)), (sides[1], nearest(xs[1], xs[0], False))]
-        else:
-            found = []
-        return pd.DataFrame({"a": [a for s, _ in found for a in s["a"]], "d": [d for _, ds in found for d in ds]}, columns=["a", "d"])
-
-    blocks = in_blocks(df.select(by, F.col(key).alias("a"), F.transform(vector, lambda v: v.cast("double")).alias("x")), by, "a")
-    part = blocks.groupBy(by, "p", "q").applyInPandas(lambda block: meet(block), f"a {kind}, d array<double>")
-    means = part.groupBy("a").agg(F.slice(F.array_sort(F.flatten(F.collect_list("d"))), 1, k).alias("d"))
-    means = means.select(F.col("a").alias(key), (F.aggregate("d", F.lit(0.0), lambda s, v: s + v) / F.size("d")).alias("m"))
+    """(key, mean_distance) to the k nearest of the group; null in groups of k + 1 rows and fewer."""
+    near = blocks.nearest(df, key, vector, k, "euclid", by)
+    means = near.groupBy("query").agg(F.avg("distance").alias("_m")).withColumnRenamed("query", key)
     sizes = df.groupBy(by).agg(F.count("*").alias("_n"))
-    return df.select(by, F.col(key)).join(sizes, by).join(means, key, "left").select(key, F.when(F.col("_n") > k + 1, F.col("m")).alias("mean_distance"))
-
-
-def in_blocks(rows: DataFrame, by: str, key: str, size: int = 1024) -> DataFrame:
-    """Rows with p, q and side: a group's rows dealt by hash into blocks of about ``size``, once for each pair of blocks (p <= q) that theirs is in.
-
-    side: 1 where a row is of block p, 2 of q, 3 where both are one.
-    """
-    counts = rows.groupBy(by).agg(F.greatest(F.lit(1), F.ceil(F.count("*") / size)).cast("int").alias("_blocks"))
-    dealt = rows.join(counts, by).withColumn("_b", F.pmod(F.xxhash64(key), F.col("_blocks")).cast("int"))
-    pair = lambda o: F.struct(F.least("_b", o).alias("p"), F.greatest("_b", o).alias("q"), F.when(F.col("_b") == o, 3).when(F.col("_b") < o, 1).otherwise(2).alias("side"))
-    return dealt.select(*rows.columns, F.inline(F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), pair)))
-
-
-@dataclass
-class Clusters:
-    """A fitted clustering of one group."""
-
-    k: int
-    centers: list[list[float]]
-    silhouette: float
-    model: object
-
-    def assign(self, df: DataFrame, vector: str, out: str = "cluster") -> DataFrame:
-        """Nearest centre; its number is by the order of the centres, so equal fits give equal numbers."""
-        return df.withColumn(out, self.nearest(vector))
-
-    def nearest(self, vector: str) -> Column:
-        """The number of the nearest centre; of equally near ones the first."""
-        far = F.array(*[F.struct(euclid(F.col(vector), F.array(*[F.lit(float(v)) for v in c])).alias("d"), F.lit(i).alias("k")) for i, c in enumerate(self.centers)])
-        return F.array_min(far)["k"]
-
-
-def simple_silhouette(df: DataFrame, vector: str, cluster: str) -> DataFrame:
-    """Per row: how much nearer its own cluster's mean is than the next one's, from -1 to 1."""
-    centers = df.select(cluster, F.posexplode(vector).alias("i", "v")).groupBy(cluster, "i").agg(F.avg("v").alias("v"))
-    centers = centers.groupBy(cluster).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda e: e["v"]).alias("_c"))
-    met = df.join(F.broadcast(centers.withColumnRenamed(cluster, "_k")))
-    d = euclid(F.col(vector), F.col("_c"))
-    return met.groupBy(*[c for c in df.columns if c != vector]).agg(F.min(F.when(F.col("_k") == F.col(cluster), d)).alias("_a"), F.min(F.when(F.col("_k") != F.col(cluster), d)).alias("_b")).withColumn(
-        "silhouette", (F.col("_b") - F.col("_a")) / F.nullif(F.greatest("_a", "_b"), F.lit(0.0))
-    ).drop("_a", "_b")
+    return df.select(by, key).join(sizes, by).join(means, key, "left").select(key, F.when(F.col("_n") > k + 1, F.col("_m")).alias("mean_distance"))
 
 
-def exact_silhouette(df: DataFrame, key: str, vector: str, cluster: str, queries: Column | None = None, size: int = 1024) -> DataFrame:
+def exact_silhouette(df: DataFrame, key: str, vector: str, cluster: str, queries: Column | None = None, size: int = blocks.SIZE) -> DataFrame:
     """(key, cluster, silhouette) of the rows that ``queries`` names (all by default), by Euclidean distances to all rows; 0 for a row alone in its cluster.
 
-    Queries and rows are dealt into blocks; a task compares a block of either and adds up distances by cluster, so no pair is written.
+    Queries and rows are dealt into blocks; a task compares a block of either by one matrix of distances, whose product with the rows' clusters adds them up, so no pair is written.
     """
     kinds = {c: df.schema[c].dataType.simpleString() for c in (key, cluster)}
-    rows = df.select(F.col(key).alias("a"), F.col(cluster).alias("c"), F.transform(vector, lambda v: v.cast("double")).alias("x"), (F.coalesce(queries, F.lit(False)) if queries is not None else F.lit(True)).alias("_asked"))
-    counts = rows.agg(F.greatest(F.lit(1), F.ceil(F.count_if("_asked") / size)).cast("int").alias("_p"), F.greatest(F.lit(1), F.ceil(F.count("*") / size)).cast("int").alias("_q"))
-    dealt = rows.crossJoin(F.broadcast(counts))  # one row
-    asked = dealt.where("_asked").select("a", "c", "x", F.lit(1).alias("side"), F.pmod(F.xxhash64("a"), F.col("_p")).cast("int").alias("p"), F.explode(F.sequence(F.lit(0), F.col("_q") - 1)).alias("q"))
-    every = dealt.select("a", "c", "x", F.lit(2).alias("side"), F.explode(F.sequence(F.lit(0), F.col("_p") - 1)).alias("p"), F.pmod(F.xxhash64("a"), F.col("_q")).cast("int").alias("q"))
-
-    def sums(block: pd.DataFrame) -> pd.DataFrame:
-        mine, theirs = block[block["side"] == 1], block[block["side"] == 2]
-        out = []
-        if len(mine) and len(theirs):
-            y, classes = np.array(theirs["x"].tolist(), np.float64), theirs["c"].to_numpy()
-            for a, ca, x in zip(mine["a"], mine["c"], mine["x"], strict=True):
-                d = pd.DataFrame({"cb": classes, "d": np.sqrt(((y - np.array(x, np.float64)) ** 2).sum(axis=1)), "n": (theirs["a"] != a).to_numpy().astype("int64")})
-                out += [(a, ca, cb, float(g["d"].sum()), int(g["n"].sum())) for cb, g in d.groupby("cb")]
-        return pd.DataFrame(out, columns=["a", "ca", "cb", "d", "n"])
-
-    each = asked.union(every).groupBy("p", "q").applyInPandas(lambda block: sums(block), f"a {kinds[key]}, ca {kinds[cluster]}, cb {kinds[cluster]}, d double, n long")
+    types = {c: pa.int64() if t == "bigint" else pa.int32() if t == "int" else pa.string() for c, t in kinds.items()}
+    asked = F.coalesce(queries, F.lit(False)) if queries is not None else F.lit(True)
+    rows = df.select(F.lit(0).alias("g"), F.col(key).alias("key"), F.col(cluster).alias("c"), F.transform(vector, lambda v: v.cast("double")).alias("x"), asked.alias("_asked")).where("x IS NOT NULL AND c IS NOT NULL")
+    schema = pa.schema([("a", types[key]), ("ca", types[cluster]), ("cb", types[cluster]), ("d", pa.float64()), ("n", pa.int64())])
+
+    def sums(mine: pa.Table, theirs: pa.Table) -> pa.Table:
+        a, b = (np.array(t.column("key").to_pylist(), dtype=object) for t in (mine, theirs))
+        d, same = blocks.distances(blocks.matrix(mine.column("x")), blocks.matrix(theirs.column("x")), "euclid"), a[:, None] == b[None, :]
+        classes = theirs.column("c").combine_chunks().dictionary_encode()
+        hot = np.zeros((len(b), len(classes.dictionary)))
+        hot[np.arange(len(b)), classes.indices.to_numpy()] = 1.0
+        d[same] = 0.0
+        total, n = d @ hot, (~same).astype(np.float64) @ hot
+        i, j = np.nonzero(np.ones_like(total))
+        at, of = pa.array(i), pa.array(j)
+        return pa.table([mine.column("key").take(at), mine.column("c").take(at), classes.dictionary.take(of), pa.array(total.ravel()), pa.array(n.ravel().astype(np.int64))], schema=schema)
+
+    met = blocks.met(rows.where("_asked").drop("_asked"), rows.drop("_asked"), "g", size)
+    each = blocks.each_block(met, "g", sums, f"a {kinds[key]}, ca {kinds[cluster]}, cb {kinds[cluster]}, d double, n long", schema)
     per = each.groupBy("a", "ca", "cb").agg((F.sum("d") / F.nullif(F.sum("n"), F.lit(0))).alias("d"))
     s = per.groupBy("a", "ca").agg(F.min(F.when(F.col("ca") == F.col("cb"), F.col("d"))).alias("own"), F.min(F.when(F.col("ca") != F.col("cb"), F.col("d"))).alias("other"))
     return s.select(F.col("a").alias(key), F.col("ca").alias(cluster), F.coalesce((F.col("other") - F.col("own")) / F.nullif(F.greatest("own", "other"), F.lit(0.0)), F.lit(0.0)).alias("silhouette"))
 
 
-def candidate_ks(n: int) -> range:
-    return range(2, max(2, min(9, n // 12)) + 1)
-
-
-def choose_k(found: dict[int, float], smallest: dict[int, int] | None = None, least_size: int = 0, tolerance: float = 0.9) -> int:
-    """The largest k whose silhouette is within 90 % of the best, among those whose clusters are all large enough (else among all)."""
-    usable = {k: s for k, s in found.items() if not smallest or smallest[k] >= least_size} or found
-    best = max(usable.values())
-    return max(k for k, s in usable.items() if s >= tolerance * best)
-
-
-def elbow(inertia: dict[int, float]) -> int:
-    """The k furthest from the chord between the ends of the normalised curve."""
-    ks = sorted(inertia)
-    if len(ks) < 3:
-        return ks[0]
-    x0, x1, y0, y1 = ks[0], ks[-1], inertia[ks[0]], inertia[ks[-1]]
-    fall = (y0 - y1) or 1.0
-    return max(ks, key=lambda k: (1 - (k - x0) / (x1 - x0)) - (inertia[k] - y1) / fall)
-
-
-def fit_clusters(df: DataFrame, vector: str, ks: range | None = None, seed: int = 7) -> Clusters:
-    """K-means with the number of clusters chosen by silhouette to the centres."""
-    data = df.withColumn("_v", array_to_vector(F.transform(vector, lambda v: v.cast("double")))).cache()
-    n = data.count()
-    fits, scores, sizes = {}, {}, {}
-    for k in ks or candidate_ks(n):
-        model = KMeans(k=k, seed=seed, featuresCol="_v", predictionCol="_p", maxIter=30).fit(data)
-        centers = sorted([float(x) for x in c] for c in model.clusterCenters())
-        fit = Clusters(len(centers), centers, 0.0, model)
-        assigned = fit.assign(data.select(F.monotonically_increasing_id().alias("_row"), vector), vector)
-        fit.silhouette = simple_silhouette(assigned, vector, "cluster").agg(F.avg("silhouette")).first()[0] or 0.0
-        fits[k], scores[k] = fit, fit.silhouette
-        sizes[k] = assigned.groupBy("cluster").count().agg(F.min("count")).first()[0] or 0
-    data.unpersist()
-    return fits[choose_k(scores, sizes, max(6, min(20, n // 4)))]
+def fit_clusters(df: DataFrame, key: str, vector: str, ks: range | None = None) -> Clusters:
+    """K-means of all rows as one group, its number of clusters chosen by exact silhouettes and sizes."""
+    return select_clusters(df, key, vector, ks=ks)[None].chosen
 
 
 def pca_map(df: DataFrame, vector: str, k: int = 2) -> tuple[DataFrame, list[list[float]], list[float]]:

@@ -6,54 +6,54 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import round_even
+from ..scratch import held
 
 
-def rank_share(df: DataFrame, value: str, by: list[str], out: str) -> DataFrame:
-    """Average rank over the number of measured values, in (0, 1]; null for null values and for null peer keys.
-
-    Ties share the mean of their ranks. One shuffle and one sort for the peer key; long tables carry the metric in the key.
-    """
-    known = F.col(value).isNotNull()
-    for k in by:
-        known = known & F.col(k).isNotNull()
-    order = Window.partitionBy(*by).orderBy(F.col(value).asc_nulls_last())
-    ties = Window.partitionBy(*by, value)
-    peers = Window.partitionBy(*by)
-    first = F.rank().over(order)
-    share = (first + (F.count("*").over(ties) - 1) / 2) / F.count(value).over(peers)
-    return df.withColumn(out, F.when(known, share))
+#: Ranges that a group's distinct values are parted into, of about as many values each.
+RANGES = 64
 
 
-#: Ranges that all values are parted into to be ranked without one task seeing them all.
-RANGES = 1024
+def _in_ranges(counts: DataFrame, by: list[str], ranges: int) -> DataFrame:
+    """``counts`` (by, _v, ...) with ``_r``, the range of the group's values that _v is in; ranges hold about as many distinct values each."""
+    cuts = F.approx_percentile("_v", [k / ranges for k in range(1, ranges)])
+    edges = counts.groupBy(*by).agg(F.array_distinct(cuts).alias("_edges"))
+    placed = counts.join(edges, by) if by else counts.crossJoin(F.broadcast(edges))  # one row
+    return placed.withColumn("_r", F.size(F.filter("_edges", lambda e: e < F.col("_v")))).drop("_edges")
 
 
-def rank_share_in_ranges(df: DataFrame, value: str, out: str, by: list[str] | None = None, ranges: int = RANGES) -> DataFrame:
-    """The rank share of ``rank_share`` for groups of any size, or among all rows; null for null values and null peer keys.
+def counted_below(counts: DataFrame, by: list[str], ranges: int = RANGES) -> DataFrame:
+    """(by, _v, _c, _below, _all): how many rows of the group have a lower value, and how many there are, from (by, _v, _c), a row a value.
 
-    Rows are counted by distinct value; values are parted into ranges between a group's least and largest (of their logarithm, as prices and
-    ratios have long tails), counts are added up within ranges and over ranges, and go back to the rows by value.
+    Counts are added up within ranges and over ranges, so that no task sees more than a range of a group's values.
     """
-    by = by or []
-    squeezed = F.signum(F.col("_v")) * F.log1p(F.abs(F.col("_v")))
-    known = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c")).withColumn("_q", squeezed)
-    ends = known.groupBy(*by).agg(F.min("_q").alias("_lo"), F.max("_q").alias("_hi"))
-    width = F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
-    placed = known.join(ends, by) if by else known.crossJoin(F.broadcast(ends))  # one row
-    ranged = placed.withColumn("_r", F.coalesce(F.floor((F.col("_q") - F.col("_lo")) / width * ranges), F.lit(0)).cast("int"))
+    ranged = _in_ranges(counts, by, ranges)
     peers = Window.partitionBy(*(by or [F.lit(0)]))  # a row a range
     totals = ranged.groupBy(*by, "_r").agg(F.sum("_c").alias("_n"))
     before = F.coalesce(F.sum("_n").over(peers.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    totals = totals.select(*by, "_r", before.alias("_below"), F.sum("_n").over(peers).alias("_all"))
+    totals = totals.select(*by, "_r", before.alias("_before"), F.sum("_n").over(peers).alias("_all"))
     inside = Window.partitionBy(*by, "_r").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    first = F.col("_below") + F.coalesce(F.sum("_c").over(inside), F.lit(0)) + 1
-    shares = ranged.join(totals, [*by, "_r"]).select(*by, "_v", ((first + (F.col("_c") - 1) / 2) / F.col("_all")).alias("_share_of_all"))
-    return df.withColumn("_v", F.col(value).cast("double")).join(shares, [*by, "_v"], "left").withColumn(out, F.col("_share_of_all")).drop("_v", "_share_of_all")
+    summed = ranged.withColumn("_inside", F.coalesce(F.sum("_c").over(inside), F.lit(0)))
+    return summed.join(totals, [*by, "_r"]).select(*by, "_v", "_c", (F.col("_before") + F.col("_inside")).alias("_below"), "_all")
+
+
+def rank_share(df: DataFrame, value: str, by: list[str], out: str, ranges: int = RANGES) -> DataFrame:
+    """Average rank over the number of measured values, in (0, 1], among the rows of a peer key or (no ``by``) among all; null for null values and null peer keys.
+
+    Ties share the mean of their ranks. The input is run once, into a held table, and its rows are counted by distinct value; values are ranked in ranges, so groups may
+    be of any size, and shares go back to the rows by value. Long tables carry the metric in the key.
+    """
+    known = F.col(value).isNotNull()
+    for k in by:
+        known = known & F.col(k).isNotNull()
+    once = held(df)
+    counts = held(once.where(known).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c")))
+    shares = counted_below(counts, by, ranges).select(*by, "_v", ((F.col("_below") + 1 + (F.col("_c") - 1) / 2) / F.col("_all")).alias("_share_of_peers"))
+    return once.withColumn("_v", F.col(value).cast("double")).join(shares, [*by, "_v"], "left").withColumn(out, F.col("_share_of_peers")).drop("_v", "_share_of_peers")
 
 
 def rank_share_of_all(df: DataFrame, value: str, out: str) -> DataFrame:
     """The rank share among all rows."""
-    return rank_share_in_ranges(df, value, out)
+    return rank_share(df, value, [], out)
 
 
 def percentiles(df: DataFrame, value: str, by: list[str], out: str, lower_is_better: bool | Column = False) -> DataFrame:
@@ -67,18 +67,39 @@ def percentiles(df: DataFrame, value: str, by: list[str], out: str, lower_is_bet
 def place_among(regulars: DataFrame, newcomers: DataFrame, value: str, by: list[str], out: str) -> DataFrame:
     """Where each newcomer would stand if it alone joined the regulars: (below + ties / 2 + 1) / (n + 1) * 100.
 
-    Both go through one sort of their union, so cost doesn't depend on how many newcomers meet how many regulars.
+    Regulars are counted by value, newcomers' values count nothing, and both are ranked in ranges; so cost doesn't depend on how many
+    newcomers meet how many regulars.
+    """
+    known = F.col("_v").isNotNull()
+    for k in by:
+        known = known & F.col(k).isNotNull()
+    each = lambda rows, n: rows.select(*by, F.col(value).cast("double").alias("_v"), F.lit(n).alias("_c")).where(known)
+    counts = held(each(regulars, 1).unionByName(each(newcomers, 0)).groupBy(*by, "_v").agg(F.sum("_c").alias("_c")))
+    pct = (F.col("_below") + F.col("_c") / 2 + 1) / (F.col("_all") + 1) * 100
+    places = counted_below(counts, by).select(*by, "_v", round_even(pct, 1).alias("_place"))
+    return newcomers.withColumn("_v", F.col(value).cast("double")).join(places, [*by, "_v"], "left").withColumn(out, F.col("_place")).drop("_v", "_place")
+
+
+def numbered(df: DataFrame, by: list[str], order: list[str | Column], out: str) -> DataFrame:
+    """``df`` with each row's place in its group (or among all), from 1, in ``order``; nulls go last, rows alike in all of it follow each other in any order.
+
+    Rows are sorted in ranges of group and order, each numbered by itself and shifted by those before; a group may be of any size.
     """
-    both = regulars.select(*by, value).withColumn("_new", F.lit(0)).unionByName(newcomers.withColumn("_new", F.lit(1)), allowMissingColumns=True)
-    old = F.when((F.col("_new") == 0) & F.col(value).isNotNull(), 1)
-    upto = Window.partitionBy(*by).orderBy(F.col(value).asc_nulls_last()).rangeBetween(Window.unboundedPreceding, 0)
-    placed = (
-        both.withColumn("_upto", F.coalesce(F.count(old).over(upto), F.lit(0)))
-        .withColumn("_ties", F.count(old).over(Window.partitionBy(*by, value)))
-        .withColumn("_n", F.count(old).over(Window.partitionBy(*by)))
-    )
-    pct = (F.col("_upto") - F.col("_ties") + F.col("_ties") / 2 + 1) / (F.col("_n") + 1) * 100
-    return placed.where("_new = 1").withColumn(out, F.when(F.col(value).isNotNull(), round_even(pct, 1))).drop("_new", "_upto", "_ties", "_n")
+    keys = [F.col(c) for c in by] + [(c if isinstance(c, Column) else F.col(c).asc_nulls_last()) for c in order]
+    once = held(df.withColumn("_tie", F.monotonically_increasing_id()))  # so that rows alike in all of the order spread as well
+    placed = held(once.repartitionByRange(*keys, F.col("_tie")).sortWithinPartitions(*keys, F.col("_tie")).drop("_tie").withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a range
+    whole = placed.withColumn("_part", part).join(F.broadcast(sizes.select("_part", before.alias("_before"))), "_part")
+    whole = whole.withColumn("_nth", F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).drop("_part", "_before", "_at")
+    if not by:
+        return whole.withColumn(out, F.col("_nth")).drop("_nth")
+    first = whole.groupBy(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)]).agg(F.min("_nth").alias("_first"))
+    same = F.lit(True)
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_by{i}"))
+    return whole.join(first, same).withColumn(out, F.col("_nth") - F.col("_first") + 1).select(*df.columns, out)
 
 
 def deciles(share: Column) -> Column:
@@ -87,10 +108,13 @@ def deciles(share: Column) -> Column:
 
 
 def quintiles(df: DataFrame, value: str, order: list[str], out: str, by: list[str] | None = None) -> DataFrame:
-    """Five bands of first-come ranks cut at linearly interpolated edges; not ntile, which differs unless 5 divides n."""
-    w = Window.partitionBy(*(by or [F.lit(0)]))
-    r, n = F.row_number().over(w.orderBy(value, *order)), F.count("*").over(w)
-    return df.withColumn(out, F.greatest(F.lit(1), F.ceil(5.0 * (r - 1) / F.nullif(n - 1, F.lit(0)))).cast("int"))
+    """Five bands of first-come ranks cut at linearly interpolated edges; not ntile, which differs unless 5 divides n. A row alone has none."""
+    by = by or []
+    placed = numbered(df, by, [value, *order], "_place")
+    sizes = placed.groupBy(*by).agg(F.count("*").alias("_size"))
+    met = placed.join(sizes, by) if by else placed.crossJoin(F.broadcast(sizes))  # one row
+    band = F.greatest(F.lit(1), F.ceil(5.0 * (F.col("_place") - 1) / F.nullif(F.col("_size") - 1, F.lit(0)))).cast("int")
+    return met.withColumn(out, F.when(F.col("_size") > 1, band)).drop("_place", "_size")
 
 
 def robust_z(df: DataFrame, value: str, by: list[str], out: str) -> DataFrame:

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from ..functions.numbers import round_even
 from ..registry.metrics import TEAM_CONTEXT
 
-#: Ages of the young and the old, and minutes of a sample that can be relied on.
-YOUNG, VETERAN, RELIABLE = 21, 30, 1350
+# Ages of the young and the old, minutes of a sample that can be relied on, percentile of the top quartile, goals over expectation worth a
+# word, coefficient of a league that has none.
+YOUNG, VETERAN, RELIABLE, TOP_QUARTILE, LUCK, UNKNOWN_STRENGTH = 21, 30, 1350, 75, 0.10, 0.8
 
 
 @dataclass(frozen=True)
@@ -78,33 +79,71 @@ def validation_report(parts: dict[str, DataFrame]) -> str:
     return "\n\n".join(out) + "\n"
 
 
-def takeaways(categories: dict[str, float | None], row: dict[str, object]) -> list[str]:
-    """Findings from a player's category scores and row (minutes, age, league_tier, league_strength, position_group, ...), each set off by a figure."""
-    known, out = {c: v for c, v in categories.items() if v is not None}, []
-    if known:
-        best, worst = max(known, key=lambda c: (known[c], c)), min(known, key=lambda c: (known[c], c))
-        out.append(f"Led by {best.lower()} ({known[best]:.0f}th percentile), limited by {worst.lower()} ({known[worst]:.0f}th percentile).")
-    age, minutes, tier = row.get("age"), row.get("minutes"), row.get("league_tier")
-    if age is not None and age <= YOUNG:
-        top = sorted(c.lower() for c, v in known.items() if v >= 75)
-        out.append(f"At {age:.1f}, in the top quartile for {', '.join(top)}." if top else f"At {age:.1f} there is room to grow, but no category is in the top quartile yet.")
-    elif age is not None and age >= VETERAN:
-        out.append(f"At {age:.1f} a signing for a short time; resale value is no part of the case.")
-    if minutes is not None and minutes < RELIABLE:
-        out.append(f"A small sample: {minutes:,.0f} minutes; rates under {RELIABLE:,} minutes are noisy, those of finishing above all.")
-    if tier is not None and tier > 1:
-        out.append(f"Plays at level {tier} (coefficient {row.get('league_strength') or 0.8:.2f}); output weighs less than in stronger leagues.")
-    over = row.get("np_goals_minus_npxg_per90")
-    if row.get("position_group") != "GK" and over is not None and abs(over) >= 0.10:
-        out.append(f"Finishing {'above' if over > 0 else 'below'} expectation by {abs(over):.2f} goals per 90, which rarely repeats.")
-    return out
+#: Findings: what sets them off, and the figures that they carry. Columns: age, minutes, league_tier, league_strength, position_group,
+#: np_goals_minus_npxg_per90; best, worst (category, pct) and top (how many categories are in the top quartile), added from the categories.
+RULES: dict[str, tuple[str, dict[str, str]]] = {
+    "profile": ("best IS NOT NULL", {"best": "best.pct", "worst": "worst.pct"}),
+    "ready_young": (f"age <= {YOUNG} AND top > 0", {"age": "age", "categories": "top"}),
+    "raw_young": (f"age <= {YOUNG} AND top = 0", {"age": "age"}),
+    "veteran": (f"age >= {VETERAN}", {"age": "age"}),
+    "small_sample": (f"minutes < {RELIABLE}", {"minutes": "minutes"}),
+    "weaker_league": ("league_tier > 1", {"tier": "league_tier", "strength": f"coalesce(league_strength, {UNKNOWN_STRENGTH})"}),
+    "finishing": (f"position_group <> 'GK' AND abs(np_goals_minus_npxg_per90) >= {LUCK}", {"over_expected": "np_goals_minus_npxg_per90"}),
+}
+
+
+def findings(rows: DataFrame, categories: dict[str, str], key: list[str], rules: dict[str, tuple[str, dict[str, str]]] = RULES) -> DataFrame:
+    """(key, finding, figures, concerning): a row for each rule that a player's row sets off, with the figures that did, for all rows at once.
+
+    ``categories``: {name: column of its score}; ``concerning``: the categories that the finding is about, best first. Columns that the rows lack, and nulls, set nothing off.
+    """
+    blank = {"age": "double", "minutes": "double", "league_tier": "int", "league_strength": "double", "position_group": "string", "np_goals_minus_npxg_per90": "double"}
+    full = rows.withColumns({c: F.lit(None).cast(t) for c, t in blank.items() if c not in rows.columns})
+    scores = F.array(*[F.struct(F.lit(name).alias("category"), F.col(column).cast("double").alias("pct")) for name, column in categories.items()])
+    known = F.array_sort(F.filter(scores, lambda s: s["pct"].isNotNull()), lambda x, y: F.when(x["pct"] > y["pct"], -1).when(x["pct"] < y["pct"], 1).when(x["category"] < y["category"], -1).otherwise(1))
+    full = full.withColumn("_known", known).withColumns({"best": F.get("_known", F.lit(0)), "worst": F.try_element_at("_known", F.lit(-1)), "_top": F.filter("_known", lambda s: s["pct"] >= TOP_QUARTILE)})
+    full = full.withColumn("top", F.size("_top"))
+    about = {"profile": F.array("best.category", "worst.category"), "ready_young": F.transform("_top", lambda s: s["category"])}
+    nothing = F.array().cast("array<string>")
+    made = [
+        F.when(
+            F.expr(condition),
+            F.struct(
+                F.lit(name).alias("finding"), F.map_from_arrays(F.array(*[F.lit(k) for k in figures]), F.array(*[F.expr(f"CAST({x} AS DOUBLE)") for x in figures.values()])).alias("figures"),
+                about.get(name, nothing).alias("concerning"),
+            ),
+        )
+        for name, (condition, figures) in rules.items()
+    ]
+    return full.select(*key, F.explode(F.filter(F.array(*made), lambda m: m.isNotNull())).alias("_m")).select(*key, "_m.*")
+
+
+#: printf templates of ``noted``: the categories concerned, then the figures in the order of the rule.
+NOTES = {
+    "profile": "Strongest and weakest categories: %1$s (%2$.0f, %3$.0f)",
+    "ready_young": "Aged %2$.1f, among the best quarter in: %1$s",
+    "raw_young": "Aged %2$.1f, in no category among the best quarter so far",
+    "veteran": "Aged %2$.1f: plan without a later sale",
+    "small_sample": "%2$,.0f minutes: too few for steady rates",
+    "weaker_league": "Level %2$.0f league: scale figures by %3$.2f",
+    "finishing": "%2$+.2f goals per 90 against expectation; seldom lasts",
+}
+
+
+def noted(found: DataFrame, templates: dict[str, str] = NOTES, rules: dict[str, tuple[str, dict[str, str]]] = RULES, out: str = "note") -> DataFrame:
+    """``findings`` with a text from the caller's templates; null for findings that have none."""
+    text = F.lit(None).cast("string")
+    for name, template in templates.items():
+        figures = [F.try_element_at("figures", F.lit(k)) for k in rules[name][1]]
+        text = F.when(F.col("finding") == name, F.format_string(template, F.array_join("concerning", ", "), *figures)).otherwise(text)
+    return found.withColumn(out, text)
 
 
 def player_report(name: str, facts: dict[str, object], categories: dict[str, float | None], strengths: DataFrame, weaknesses: DataFrame, similar: DataFrame, notes: list[str]) -> str:
     """One player's dossier; the tables are of a few rows each."""
     return "\n\n".join(
         [
-            f"# {name}", "\n".join(f"- {k}: {v}" for k, v in facts.items()), "## Key takeaways", "\n".join(f"- {n}" for n in notes), "## Categories",
+            f"# {name}", "\n".join(f"- {k}: {v}" for k, v in facts.items()), "## Findings", "\n".join(f"- {n}" for n in notes), "## Categories",
             "\n".join(f"- {c}: {'not measured' if v is None else f'{v:.1f}'}" for c, v in categories.items()), "## Strengths", markdown_table(strengths), "## Weaknesses", markdown_table(weaknesses),
             "## Similar players", markdown_table(similar),
         ]

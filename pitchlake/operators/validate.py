@@ -10,22 +10,29 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import euclid, round_even
+from ..scratch import held
+from . import blocks
 from .joins import unique_both_sides
 from .models import neighbours, weighted_vector
-from .ranking import deciles, rank_share, rank_share_of_all
+from .ranking import deciles, quintiles, rank_share, rank_share_of_all
 
 
 # Balanced accuracies from which two positions are different jobs, and up to which they are one.
 APART, ALIKE = 0.75, 0.65
 
 
-def self_recall(neighbours: DataFrame, people: DataFrame, key: str, person: str) -> DataFrame:
-    """(queries, hits, recall): how often a query's own other season is among its neighbours (query, rank, key)."""
-    who = people.select(F.col(key).alias("_k"), F.col(person).alias("_p"))
-    asked = neighbours.join(who.select(F.col("_k").alias("query"), F.col("_p").alias("_qp")), "query")
-    met = asked.join(who.select(F.col("_k").alias(key), "_p"), key)
-    per = met.groupBy("query").agg(F.max((F.col("_p") == F.col("_qp")).cast("int")).alias("hit"))
-    return per.agg(F.count("*").alias("queries"), F.sum("hit").alias("hits"), round_even(F.avg("hit"), 4).alias("recall"))
+def own_season_report(df: DataFrame, key: str, vector: str, by: str, person: str, k: int = 10, metric: str = "cosine") -> DataFrame:
+    """(by, tested, candidates, hit_rate, chance, lift, median_rank): how often a player's other season is among the k nearest of his group, against chance.
+
+    Each ordered pair of a player's rows is tested by its exact rank among all rows of the group; ranks are counted in blocks, no list of neighbours is made.
+    """
+    ranks = blocks.own_ranks(df, key, vector, by, person, metric)
+    sizes = df.where(F.col(vector).isNotNull() & F.col(key).isNotNull()).groupBy(by).agg((F.count("*") - 1).alias("candidates"))
+    per = ranks.groupBy(by).agg(F.count("*").alias("tested"), F.avg((F.col("rank") <= k).cast("double")).alias("_hit"), F.floor(F.median("rank")).cast("int").alias("median_rank"))
+    chance = F.lit(float(k)) / F.greatest(F.col("candidates"), F.lit(1))
+    return per.join(sizes, by).select(
+        by, "tested", "candidates", round_even(F.col("_hit"), 3).alias("hit_rate"), round_even(chance, 3).alias("chance"), round_even(F.col("_hit") / chance, 1).alias("lift"), "median_rank"
+    )
 
 
 def agreement(left: DataFrame, right: DataFrame, keys: list[str], value: str, minutes: str = "minutes", least: float = 900.0) -> DataFrame:
@@ -47,10 +54,60 @@ def growth(df: DataFrame, score: str, value: str, player: str, index: str, horiz
     return joined.withColumn("log_growth", F.when((F.col(value) > 0) & (F.col("_later") > 0), F.log10(F.col("_later") / F.col(value))))
 
 
-def growth_by_decile(grown: DataFrame, score: str) -> DataFrame:
-    """(decile, players, median_growth, share_up) by deciles of the score among rows followed up."""
+def growth_by_decile(grown: DataFrame, score: str, value: str) -> DataFrame:
+    """(decile, players, median_score, median_value, growth_x, share_up) by deciles of the score among rows followed up; growth as a factor."""
     known = rank_share_of_all(grown.where("log_growth IS NOT NULL"), score, "_share").withColumn("decile", deciles(F.col("_share")))
-    return known.groupBy("decile").agg(F.count("*").alias("players"), round_even(F.median("log_growth"), 4).alias("median_growth"), round_even(F.avg((F.col("log_growth") > 0).cast("double")), 4).alias("share_up"))
+    return known.groupBy("decile").agg(
+        F.count("*").alias("players"), F.median(score).alias("median_score"), F.median(value).alias("median_value"), round_even(F.pow(F.lit(10.0), F.median("log_growth")), 2).alias("growth_x"),
+        round_even(F.avg((F.col("log_growth") > 0).cast("double")), 3).alias("share_up"),
+    )
+
+
+# Rows that a backtest and a cell of it need, different scores that a cell needs, ages from which bands begin.
+BACKTEST_ROWS, CELL_ROWS, CELL_SCORES = 100, 40, 5
+AGE_BANDS = {"under 21": 0, "21-23": 21, "24-27": 24, "28+": 28}
+
+
+def growth_summary(grown: DataFrame, score: str, top_share: float = 0.10) -> DataFrame:
+    """(candidates, tested, coverage, top_growth_x, rest_growth_x, top_up, rest_up, rank_correlation) of the rows with a score; no row under ``BACKTEST_ROWS`` tested.
+
+    The top are the rows from the linearly interpolated quantile of the score on.
+    """
+    candidates = held(grown.where(F.col(score).isNotNull()))
+    tested = candidates.where("log_growth IS NOT NULL")
+    cut = tested.agg(F.percentile(score, F.lit(1 - top_share)).alias("_cut"))
+    marked = tested.crossJoin(F.broadcast(cut)).withColumn("_top", F.col(score) >= F.col("_cut"))  # one row
+    side = lambda top: F.when(F.col("_top") if top else ~F.col("_top"), F.col("log_growth"))
+    factor = lambda top: round_even(F.pow(F.lit(10.0), F.median(side(top))), 2)
+    up = lambda top: round_even(F.avg((side(top) > 0).cast("double")), 3)
+    whole = marked.agg(F.count("*").alias("tested"), factor(True).alias("top_growth_x"), factor(False).alias("rest_growth_x"), up(True).alias("top_up"), up(False).alias("rest_up"))
+    rho = spearman(tested.withColumn("_one", F.lit(1)), score, "log_growth", ["_one"]).select(round_even(F.col("rho"), 3).alias("rank_correlation"))
+    every = candidates.agg(F.count("*").alias("candidates")).crossJoin(whole).crossJoin(rho)  # one row each
+    return every.where(F.col("tested") >= BACKTEST_ROWS).select(
+        "candidates", "tested", round_even(F.col("tested") / F.col("candidates"), 3).alias("coverage"), "top_growth_x", "rest_growth_x", "top_up", "rest_up", "rank_correlation"
+    )
+
+
+def growth_cells(grown: DataFrame, score: str, value: str, age: str, ties: list[str]) -> DataFrame:
+    """(age_band, value_band, n, rho): the score's rank correlation with growth within cells of age and of fifths of the price at the start.
+
+    Fifths are of first-come ranks of the price among the rows followed up of known age; ``ties`` order equal prices. Cells of too few rows or scores are left out.
+    """
+    known = grown.where(F.col("log_growth").isNotNull() & F.col(score).isNotNull() & (F.col(age) >= 0) & (F.col(age) < 99))
+    band = F.lit(None).cast("string")
+    for name, least in AGE_BANDS.items():
+        band = F.when(F.col(age) >= least, name).otherwise(band)
+    banded = held(quintiles(known, value, ties, "value_band").withColumn("age_band", band))
+    cells = ["age_band", "value_band"]
+    enough = banded.groupBy(*cells).agg(F.count("*").alias("_n"), F.countDistinct(score).alias("_scores")).where((F.col("_n") >= CELL_ROWS) & (F.col("_scores") >= CELL_SCORES)).select(*cells)
+    return spearman(banded.join(enough, cells, "left_semi"), score, "log_growth", cells).where("rho IS NOT NULL AND NOT isnan(rho)")
+
+
+def growth_strata(cells: DataFrame) -> DataFrame:
+    """(cells, players, rank_correlation, positive): the mean of ``growth_cells`` weighted by rows, and how many are positive; no row if there are none."""
+    return cells.agg(
+        F.count("*").alias("cells"), F.sum("n").alias("players"), round_even(F.sum(F.col("rho") * F.col("n")) / F.sum("n"), 3).alias("rank_correlation"), F.count_if(F.col("rho") > 0).alias("positive")
+    ).where("cells > 0")
 
 
 def spearman(df: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
@@ -139,15 +196,13 @@ def compared(base: DataFrame, other: DataFrame, key: str) -> DataFrame:
 def sensitivity(rows: DataFrame, queries: DataFrame, key: str, vector: str, group: str, features: list[str], weights: list[float], changes: dict[str, dict[str, float]], k: int = 10) -> DataFrame:
     """(change, top_k_overlap, rank_correlation): how much of the neighbours stays if weights are multiplied; ``changes``: {name: {feature: factor}}.
 
-    A factor of 0 takes a feature out. The queries are a stated, small set.
+    A factor of 0 takes a feature out. ``queries`` are rows of the table, all of them if wanted; they meet it in blocks, once a change.
     """
 
     def nearest(ws: list[float]) -> DataFrame:
-        v = rows.withColumn("_w", weighted_vector(F.col(vector), ws))
-        asked = v.join(F.broadcast(queries.select(key).distinct()), key, "left_semi")  # the stated set
-        return neighbours(v, asked, key, "_w", k, by=group)
+        return neighbours(rows.withColumn("_w", weighted_vector(F.col(vector), ws)), queries, key, "_w", k, by=group)
 
-    base, out = nearest(weights), None
+    base, out = held(nearest(weights)), None
     for name, factors in changes.items():
         row = compared(base, nearest([w * factors.get(f, 1.0) for f, w in zip(features, weights, strict=True)]), key).select(F.lit(name).alias("change"), "*")
         out = row if out is None else out.union(row)

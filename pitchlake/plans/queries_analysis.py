@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.numbers import cosine, euclid, jaccard, round_even
-from ..operators import models, ranking, recruit, validate
+from ..functions.numbers import cosine, jaccard, round_even
+from ..operators import blocks, clusters, models, moments, ranking, recruit, validate
 from .adapters import PS, player_seasons, table
 from .catalog import query
 from .queries_features import CATS, FIT, PCT, WEIGHTS, scored
@@ -83,8 +83,28 @@ def reliability_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("corr_pairs", f"WITH {PS} SELECT a, b, round_even(r, 4) AS r FROM (SELECT 'attempts' AS a, 'completed' AS b, corr(attempts, completed) AS r FROM ps UNION ALL SELECT 'attempts', 'tackles', corr(attempts, tackles) FROM ps UNION ALL SELECT 'completed', 'tackles', corr(completed, tackles) FROM ps) WHERE abs(r) >= 0.5")
 def corr_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = models.correlated(player_seasons(spark, sf_dir), [], ["attempts", "completed", "tackles"], 0.5)
-    return found.withColumn("r", round_even(F.col("r"), 4))
+    found = models.correlated(player_seasons(spark, sf_dir), ["attempts", "completed", "tackles"], 0.5)
+    return found.select("a", "b", round_even(F.col("r"), 4).alias("r"))
+
+
+def _wide(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
+    """120 metrics of the vectors, some of them measured in some rows only: the 64 numbers, and 56 products of neighbours where the first is above -0.1."""
+    v = _vectors(spark, sf_dir)
+    at = lambda i: F.get("v", F.lit(i))
+    columns = [at(i).alias(f"f{i}") for i in range(64)] + [F.when(at(i) > -0.1, at(i) * at(i + 1) + 1000).alias(f"p{i}") for i in range(56)]
+    return v.select(*columns), [f"f{i}" for i in range(64)] + [f"p{i}" for i in range(56)]
+
+
+@query(
+    "corr_matrix",
+    """WITH m AS (SELECT vec_id, 'f' || i AS metric, i AS k, CAST(embedding[i + 1] AS DOUBLE) AS x FROM embeddings, range(64) r(i) UNION ALL
+      SELECT vec_id, 'p' || i, 64 + i, CASE WHEN CAST(embedding[i + 1] AS DOUBLE) > -0.1::DOUBLE THEN CAST(embedding[i + 1] AS DOUBLE) * CAST(embedding[i + 2] AS DOUBLE) END FROM embeddings, range(56) r(i)),
+    k AS (SELECT * FROM m WHERE x IS NOT NULL)
+    SELECT a.metric AS a, b.metric AS b, CAST(COUNT(*) AS BIGINT) AS n, round_even(corr(a.x, b.x), 5) + 0.0 AS r FROM k a JOIN k b ON a.vec_id = b.vec_id AND a.k < b.k GROUP BY ALL""",
+)
+def corr_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All 7,140 pairs of 120 metrics, each over the rows that measure both."""
+    return moments.correlations(*_wide(spark, sf_dir)).withColumn("r", round_even(F.col("r"), 5) + 0.0)
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,36 +116,30 @@ EMB = "e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddi
 
 
 def _topk(distance: str, k: int) -> str:
-    return f"""WITH {EMB}, d AS (SELECT b.vec_id AS query, a.vec_id, {distance} AS distance FROM e b JOIN e a ON a.label = b.label AND a.vec_id <> b.vec_id WHERE b.vec_id % 50 = 0)
+    return f"""WITH {EMB}, d AS (SELECT b.vec_id AS query, a.vec_id, {distance} AS distance FROM e b JOIN e a ON a.label = b.label AND a.vec_id <> b.vec_id)
     SELECT query, CAST(row_number() OVER (PARTITION BY query ORDER BY distance, vec_id) AS INT) AS rank, vec_id, distance FROM d QUALIFY rank <= {k}"""
 
 
-def _neighbours(spark: SparkSession, sf_dir: str, k: int, metric: str) -> DataFrame:
-    """Distances are rounded before they are ranked, so that equal ones tie alike everywhere."""
-    v = _vectors(spark, sf_dir)
-    asked = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("label").alias("_l"), F.col("v").alias("q"))
-    d = 1.0 - cosine(F.col("v"), F.col("q")) if metric == "cosine" else euclid(F.col("v"), F.col("q"))
-    met = v.join(asked, F.col("label") == F.col("_l")).where("vec_id <> query").select("query", "vec_id", round_even(d, 6).alias("distance"))
-    order = Window.partitionBy("query").orderBy("distance", "vec_id")
-    return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query", "rank", "vec_id", "distance")
-
-
 @query("cosine_topk", _topk(COS, 10))
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _neighbours(spark, sf_dir, 10, "cosine")
+    """The ten nearest of its label, for every vector."""
+    return blocks.nearest(_vectors(spark, sf_dir), "vec_id", "v", 10, "cosine", "label")
 
 
 @query("euclid_topk", _topk("round_even(list_distance(a.v, b.v), 6)", 10))
 def euclid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _neighbours(spark, sf_dir, 10, "euclid")
+    return blocks.nearest(_vectors(spark, sf_dir), "vec_id", "v", 10, "euclid", "label")
 
 
-@query("weighted_cosine", f"WITH {EMB}, w AS (SELECT vec_id, label, list_transform(v, lambda x, i: x * sqrt(CAST(i AS DOUBLE) / 2080)) AS v FROM e) SELECT b.vec_id AS a, a.vec_id AS b, round_even(GREATEST(LEAST((1 - {COS}) * 100, 100), 0), 2) AS similarity FROM w b JOIN w a ON a.label = b.label AND a.vec_id > b.vec_id WHERE b.vec_id % 50 = 0")
+@query(
+    "weighted_cosine",
+    f"""WITH {EMB}, w AS (SELECT vec_id, label, list_transform(v, lambda x, i: x * sqrt(CAST(i AS DOUBLE) / 2080)) AS v FROM e), d AS (SELECT b.vec_id AS query, a.vec_id, {COS} AS distance FROM w b JOIN w a ON a.label = b.label AND a.vec_id <> b.vec_id)
+    SELECT query, vec_id, round_even(GREATEST(LEAST((1 - distance) * 100, 100), 0), 1) AS similarity FROM d QUALIFY row_number() OVER (PARTITION BY query ORDER BY distance, vec_id) <= 5""",
+)
 def weighted_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _vectors(spark, sf_dir).withColumn("v", models.weighted_vector(F.col("v"), [float(i) for i in range(1, 65)]))
-    asked = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("a"), F.col("label"), F.col("v").alias("q"))
-    d = round_even(1.0 - cosine(F.col("v"), F.col("q")), 6)
-    return v.join(asked, "label").where("vec_id > a").select("a", F.col("vec_id").alias("b"), round_even(F.greatest(F.least((1.0 - d) * 100.0, F.lit(100.0)), F.lit(0.0)), 2).alias("similarity"))
+    near = blocks.nearest(v, "vec_id", "v", 5, "cosine", "label")
+    return near.select("query", "vec_id", models.similarity_percent(F.col("distance")).alias("similarity"))
 
 
 @query("explain_pair", f"WITH {EMB}, p AS (SELECT unnest(range(0, 64)) AS k, unnest(a.v) AS x, unnest(b.v) AS y FROM e a, e b WHERE a.vec_id = 0 AND b.vec_id = 1) SELECT 'f' || k AS feature, round_even(abs(x - y), 6) AS gap, round_even(pow(abs(x - y), 2) / SUM(pow(abs(x - y), 2)) OVER (), 6) AS share FROM p")
@@ -168,15 +182,56 @@ def _grown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.growth(ranking.season_index(player_seasons(spark, sf_dir), "season", "s"), "shots", "attempts", "player_id", "s")
 
 
-@query("growth_deciles", f"WITH {GROW}, k AS (SELECT * FROM g WHERE growth IS NOT NULL), d AS (SELECT *, CAST(floor(LEAST({SHARE.format(by='one', x='shots')} * 10, 9.999::DOUBLE)) + 1 AS INT) AS decile FROM k) SELECT decile, CAST(COUNT(*) AS BIGINT) AS players, round_even(median(growth), 4) AS median_growth, round_even(AVG(CAST(growth > 0 AS DOUBLE)), 4) AS share_up FROM d GROUP BY decile")
+@query(
+    "growth_deciles",
+    f"""WITH {GROW}, k AS (SELECT * FROM g WHERE growth IS NOT NULL), d AS (SELECT *, CAST(floor(LEAST({SHARE.format(by='one', x='shots')} * 10, 9.999::DOUBLE)) + 1 AS INT) AS decile FROM k)
+    SELECT decile, CAST(COUNT(*) AS BIGINT) AS players, median(shots) AS median_score, median(attempts) AS median_value, round_even(pow(10.0::DOUBLE, median(growth)), 2) AS growth_x, round_even(AVG(CAST(growth > 0 AS DOUBLE)), 3) AS share_up FROM d GROUP BY decile""",
+)
 def growth_deciles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validate.growth_by_decile(_grown(spark, sf_dir), "shots")
+    return validate.growth_by_decile(_grown(spark, sf_dir), "shots", "attempts")
+
+
+@query(
+    "growth_summary",
+    f"""WITH {GROW}, k AS (SELECT * FROM g WHERE growth IS NOT NULL), c AS (SELECT quantile_cont(shots, 0.9) AS cut FROM k), m AS (SELECT *, shots >= cut AS top FROM k, c),
+    r AS (SELECT corr({SHARE.format(by='one', x='shots')}, {SHARE.format(by='one', x='growth')}) OVER () AS rho FROM k LIMIT 0), rr AS (SELECT corr(a, b) AS rho FROM (SELECT {SHARE.format(by='one', x='shots')} AS a, {SHARE.format(by='one', x='growth')} AS b FROM k))
+    SELECT (SELECT CAST(COUNT(*) AS BIGINT) FROM g) AS candidates, CAST(COUNT(*) AS BIGINT) AS tested, round_even(COUNT(*)::DOUBLE / (SELECT COUNT(*) FROM g), 3) AS coverage, round_even(pow(10.0::DOUBLE, median(growth) FILTER (top)), 2) AS top_growth_x,
+      round_even(pow(10.0::DOUBLE, median(growth) FILTER (NOT top)), 2) AS rest_growth_x, round_even(AVG(CAST(growth > 0 AS DOUBLE)) FILTER (top), 3) AS top_up, round_even(AVG(CAST(growth > 0 AS DOUBLE)) FILTER (NOT top), 3) AS rest_up,
+      (SELECT round_even(round_even(rho, 4), 3) FROM rr) AS rank_correlation FROM m HAVING COUNT(*) >= 100""".replace(
+        f"r AS (SELECT corr({SHARE.format(by='one', x='shots')}, {SHARE.format(by='one', x='growth')}) OVER () AS rho FROM k LIMIT 0), ", ""
+    ),
+)
+def growth_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best tenth by score against the rest, two seasons on."""
+    return validate.growth_summary(_grown(spark, sf_dir), "shots")
 
 
-@query("growth_strata", f"WITH {GROW}, b AS (SELECT *, CASE WHEN age < 21 THEN 'u21' WHEN age < 24 THEN 'u24' WHEN age < 28 THEN 'u28' ELSE 'o28' END AS band FROM g WHERE growth IS NOT NULL), r AS (SELECT band, {SHARE.format(by='band', x='shots')} AS a, {SHARE.format(by='band', x='growth')} AS c FROM b) SELECT band, CAST(COUNT(*) AS BIGINT) AS n, round_even(corr(a, c), 4) AS rho FROM r GROUP BY band")
+CELLS = f"""{GROW}, b AS (SELECT *, CASE WHEN age < 21 THEN 'under 21' WHEN age < 24 THEN '21-23' WHEN age < 28 THEN '24-27' ELSE '28+' END AS age_band, row_number() OVER (ORDER BY attempts, player_id, season) AS r, COUNT(*) OVER () AS n FROM g WHERE growth IS NOT NULL),
+    c AS (SELECT *, CAST(GREATEST(1, ceil(5.0::DOUBLE * (r - 1) / (n - 1))) AS INT) AS value_band FROM b), k AS (SELECT age_band, value_band, {SHARE.format(by='age_band, value_band', x='shots')} AS x, {SHARE.format(by='age_band, value_band', x='growth')} AS y, shots FROM c),
+    cells AS (SELECT age_band, value_band, CAST(COUNT(*) AS BIGINT) AS n, round_even(corr(x, y), 4) AS rho FROM k GROUP BY ALL HAVING COUNT(*) >= 40 AND COUNT(DISTINCT shots) >= 5 AND corr(x, y) IS NOT NULL AND NOT isnan(corr(x, y)))"""
+
+
+def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validate.growth_cells(_grown(spark, sf_dir), "shots", "attempts", "age", ["player_id", "season"])
+
+
+@query("growth_cells", f"WITH {CELLS} SELECT * FROM cells")
+def growth_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cells(spark, sf_dir)
+
+
+@query("growth_strata", f"WITH {CELLS} SELECT CAST(COUNT(*) AS BIGINT) AS cells, CAST(SUM(n) AS BIGINT) AS players, round_even(SUM(rho * n) / SUM(n), 3) AS rank_correlation, CAST(COUNT(*) FILTER (rho > 0) AS BIGINT) AS positive FROM cells HAVING COUNT(*) > 0")
 def growth_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    band = F.when(F.col("age") < 21, "u21").when(F.col("age") < 24, "u24").when(F.col("age") < 28, "u28").otherwise("o28")
-    return validate.spearman(_grown(spark, sf_dir).withColumn("band", band), "shots", "log_growth", ["band"])
+    """Whether the score foretells growth within cells of age and price."""
+    return validate.growth_strata(_cells(spark, sf_dir))
+
+
+@query("place_bands", f"WITH {PS}, r AS (SELECT player_id, season, row_number() OVER (ORDER BY shots, player_id, season) AS place, COUNT(*) OVER () AS n FROM ps) SELECT player_id, season, place, CAST(GREATEST(1, ceil(5.0::DOUBLE * (place - 1) / (n - 1))) AS INT) AS band FROM r")
+def place_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every player-season's place and fifth among all."""
+    ps = player_seasons(spark, sf_dir).select("player_id", "season", "shots")
+    placed = ranking.numbered(ps, [], ["shots", "player_id", "season"], "place")
+    return ranking.quintiles(placed, "shots", ["player_id", "season"], "band").select("player_id", "season", "place", "band")
 
 
 @query("quintile_bands", f"WITH {PS}, r AS (SELECT player_id, season, row_number() OVER (PARTITION BY season ORDER BY shots, player_id) AS r, COUNT(*) OVER (PARTITION BY season) AS n FROM ps) SELECT player_id, season, CAST(GREATEST(1, ceil(5.0::DOUBLE * (r - 1) / (n - 1))) AS INT) AS band FROM r")
@@ -192,17 +247,31 @@ def feed_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.agreement(c, c.withColumn("v", F.col("v") - F.col("k") % 3), ["k", "s"], "v")
 
 
-@query("team_mate_bias", f"WITH {EMB}, d AS (SELECT b.vec_id AS query, a.vec_id, b.vec_id % 5 = a.vec_id % 5 AS mate, {COS} AS distance FROM e b JOIN e a ON a.label = b.label AND a.vec_id <> b.vec_id WHERE b.vec_id % 50 = 0), t AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY query ORDER BY distance, vec_id) <= 10), s AS (SELECT vec_id % 5 AS t, COUNT(*) AS n FROM e GROUP BY t) SELECT CAST(COUNT(*) AS BIGINT) AS pairs, round_even(AVG(CAST(mate AS DOUBLE)), 6) AS same_team, round_even((SELECT SUM(n * (n - 1)) / (SUM(n) * (SUM(n) - 1)) FROM s), 6) AS chance FROM t")
+NEAREST = f"{EMB}, d AS (SELECT b.vec_id AS query, a.vec_id, a.label, {COS} AS distance FROM e b JOIN e a ON a.label = b.label AND a.vec_id <> b.vec_id), t AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY query ORDER BY distance, vec_id) <= 10)"
+
+
+def nearest_ten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocks.nearest(_vectors(spark, sf_dir), "vec_id", "v", 10, "cosine", "label")
+
+
+@query("team_mate_bias", f"WITH {NEAREST}, s AS (SELECT vec_id % 5 AS t, COUNT(*) AS n FROM e GROUP BY t) SELECT CAST(COUNT(*) AS BIGINT) AS pairs, round_even(AVG(CAST(query % 5 = vec_id % 5 AS DOUBLE)), 6) AS same_team, round_even((SELECT SUM(n * (n - 1)) / (SUM(n) * (SUM(n) - 1)) FROM s), 6) AS chance FROM t")
 def team_mate_bias(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", (F.col("vec_id") % 5).alias("team"))
-    out = validate.team_bias(_neighbours(spark, sf_dir, 10, "cosine"), rows, "vec_id", ["team"])
+    out = validate.team_bias(nearest_ten(spark, sf_dir), rows, "vec_id", ["team"])
     return out.select("pairs", round_even(F.col("same_team"), 6).alias("same_team"), round_even(F.col("chance"), 6).alias("chance"))
 
 
-@query("self_season_recall", f"WITH {EMB}, d AS (SELECT b.vec_id AS query, b.vec_id // 2 = a.vec_id // 2 AS own, {COS} AS distance, a.vec_id FROM e b JOIN e a ON a.label = b.label AND a.vec_id <> b.vec_id WHERE b.vec_id % 50 = 0), t AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY query ORDER BY distance, vec_id) <= 10), q AS (SELECT query, MAX(CAST(own AS INT)) AS hit FROM t GROUP BY query) SELECT CAST(COUNT(*) AS BIGINT) AS queries, CAST(SUM(hit) AS BIGINT) AS hits, round_even(AVG(hit), 4) AS recall FROM q")
+@query(
+    "self_season_recall",
+    f"""WITH {EMB}, d AS (SELECT b.label, b.vec_id AS query, a.vec_id, {COS} AS distance FROM e b JOIN e a ON a.label = b.label AND a.vec_id <> b.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, vec_id) AS rank FROM d),
+    o AS (SELECT * FROM r WHERE query // 40 = vec_id // 40), n AS (SELECT label, CAST(COUNT(*) - 1 AS BIGINT) AS candidates FROM e GROUP BY label)
+    SELECT label, CAST(COUNT(*) AS BIGINT) AS tested, candidates, round_even(AVG(CAST(rank <= 10 AS DOUBLE)), 3) AS hit_rate, round_even(10.0::DOUBLE / candidates, 3) AS chance, round_even(AVG(CAST(rank <= 10 AS DOUBLE)) / (10.0::DOUBLE / candidates), 1) AS lift,
+      CAST(floor(median(rank)) AS INT) AS median_rank FROM o JOIN n USING (label) GROUP BY label, candidates""",
+)
 def self_season_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    people = table(spark, sf_dir, "embeddings").select("vec_id", F.floor(F.col("vec_id") / 2).alias("person"))
-    return validate.self_recall(_neighbours(spark, sf_dir, 10, "cosine"), people, "vec_id", "person")
+    """How well rows of one person (forty vectors in a row) find each other within their label: all of them, by exact ranks."""
+    people = _vectors(spark, sf_dir).withColumn("person", F.floor(F.col("vec_id") / 40))
+    return validate.own_season_report(people, "vec_id", "v", "label", "person")
 
 
 @query("squad_profile", f"WITH {CATS}, t AS (SELECT team, league, season, SUM(cat_attack * mins) / SUM(mins) AS attack FROM ca GROUP BY ALL), l AS (SELECT league, season, median(cat_attack) AS mid FROM ca GROUP BY ALL) SELECT team, season, round_even(attack, 3) AS attack, round_even(mid, 3) AS league_median FROM t JOIN l USING (league, season)")
@@ -240,9 +309,18 @@ def silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("kmeans_archetypes")
 def kmeans_archetypes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One clustering, with as many clusters as suit it best among all sizes that it may have."""
-    v = _vectors(spark, sf_dir)
-    return models.fit_clusters(v, "v").assign(v, "v").select("vec_id", "label", "cluster")
+    """Every label clustered, each into as many clusters as suit it best among all numbers that it may have."""
+    v = _vectors(spark, sf_dir).withColumn("grp", F.col("label").cast("int"))
+    choices = clusters.select_clusters(v, "vec_id", "v", "grp")
+    return clusters.assigned(v, "v", "grp", choices).select("vec_id", "label", "cluster")
+
+
+@query("cluster_choice")
+def cluster_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was held against each other: silhouette, inertia and least cluster of each number of clusters of each label."""
+    v = _vectors(spark, sf_dir).withColumn("grp", F.col("label").cast("int"))
+    rows = [(g, k, fit.silhouette, fit.inertia, min(fit.sizes), k == c.k, k == c.elbow) for g, c in clusters.select_clusters(v, "vec_id", "v", "grp").items() for k, fit in c.fits.items()]
+    return spark.createDataFrame(rows, "label int, k int, silhouette double, inertia double, smallest int, chosen boolean, elbow boolean")  # a row a number
 
 
 @query("nearest_archetype", f"WITH {EMB}, c AS (SELECT vec_id AS k, v AS c FROM e WHERE vec_id IN (3, 5, 8)), d AS (SELECT e.vec_id, round_even(list_distance(v, c), 9) AS d, row_number() OVER (PARTITION BY e.vec_id ORDER BY list_distance(v, c), k) - 1 AS r, CAST(CASE k WHEN 3 THEN 0 WHEN 5 THEN 1 ELSE 2 END AS INT) AS cluster FROM e, c) SELECT vec_id, cluster FROM d WHERE r = 0")
@@ -250,7 +328,7 @@ def nearest_archetype(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows dealt to fixed centres: three of the vectors."""
     v = _vectors(spark, sf_dir)
     centers = [r["v"] for r in v.where("vec_id IN (3, 5, 8)").orderBy("vec_id").collect()]  # three rows
-    return models.Clusters(3, centers, 0.0, None).assign(v, "v").select("vec_id", "cluster")
+    return clusters.Clusters(3, centers, 0.0).assign(v, "v").select("vec_id", "cluster")
 
 
 @query("pca_map")

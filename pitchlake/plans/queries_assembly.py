@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.numbers import cosine, round_even
+from ..functions.numbers import round_even
 from ..functions.text import mapped
-from ..operators import assembly, events, features, positions, recruit, report, validate
-from ..operators.models import long_form, weighted_vector
+from ..operators import assembly, events, features, naming, positions, recruit, report, validate
+from ..operators.models import long_form
 from .adapters import PS, player_seasons, table
 from .catalog import query
-from .queries_analysis import COS, EMB, _vectors
+from .queries_analysis import EMB, NEAREST, _vectors, nearest_ten
 from .queries_features import CATS, FIT, METRICS, WEIGHTS, scored
 
 # --- appearances, logs, keepers ----------------------------------------------
@@ -463,28 +463,16 @@ def strengths_and_weaknesses(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- checks of the models ----------------------------------------------------------------
 
 
-def _near(spark: SparkSession, sf_dir: str, weights: list[float] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(neighbours of every hundredth vector among those of its label, all vectors)."""
-    v = _vectors(spark, sf_dir)
-    v = v.withColumn("v", weighted_vector(F.col("v"), weights)) if weights else v
-    asked = v.where("vec_id % 100 = 0").select("vec_id", F.col("label").alias("_l"), F.col("v").alias("_q"))
-    met = v.join(asked.withColumnRenamed("vec_id", "query"), F.col("label") == F.col("_l")).where("vec_id <> query").select("query", "vec_id", round_even(1.0 - cosine(F.col("v"), F.col("_q")), 6).alias("distance"))
-    return met.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("distance", "vec_id"))).where("rank <= 10"), v
-
-
-NEAR = f"""{EMB}, d AS (SELECT b.vec_id AS query, a.vec_id, {COS} AS distance FROM e b JOIN e a ON a.label = b.label AND a.vec_id <> b.vec_id WHERE b.vec_id % 100 = 0),
-  t AS (SELECT query, vec_id FROM d QUALIFY row_number() OVER (PARTITION BY query ORDER BY distance, vec_id) <= 10)"""
-
-
 @query(
     "role_agreement",
-    f"""WITH {NEAR}, h AS (SELECT t.query, AVG(CAST(t.query % 3 = t.vec_id % 3 AS DOUBLE)) AS hit FROM t GROUP BY t.query), g AS (SELECT label, AVG(hit) AS s FROM h JOIN e ON query = vec_id GROUP BY label),
+    f"""WITH {NEAREST}, h AS (SELECT t.query, AVG(CAST(t.query % 3 = t.vec_id % 3 AS DOUBLE)) AS hit FROM t GROUP BY t.query), g AS (SELECT label, AVG(hit) AS s FROM h JOIN e ON query = vec_id GROUP BY label),
     n AS (SELECT label, vec_id % 3 AS r, COUNT(*) AS n FROM e GROUP BY ALL), c AS (SELECT label, CAST(COUNT(*) AS BIGINT) AS roles, SUM(n * n)::DOUBLE / pow(SUM(n), 2) AS c FROM n GROUP BY label)
     SELECT label, roles, round_even(s, 3) AS same_role, round_even(c, 3) AS chance, round_even(s / c, 2) AS lift FROM g JOIN c USING (label)""",
 )
 def role_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near, v = _near(spark, sf_dir)
-    return validate.role_agreement(near, v.select("vec_id", "label", (F.col("vec_id") % 3).alias("role")), "vec_id", "role", "label")
+    """How often the neighbours of all vectors share their role."""
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "label", (F.col("vec_id") % 3).alias("role"))
+    return validate.role_agreement(nearest_ten(spark, sf_dir), v, "vec_id", "role", "label")
 
 
 @query("feature_dominance")
@@ -500,10 +488,10 @@ def reference_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("metric_sensitivity")
 def metric_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How neighbours of every hundredth vector change if one of the first features goes, or a group of them weighs thrice."""
+    """How the neighbours of all vectors change if one of the first features goes, or a group of them weighs thrice."""
     v, names = _vectors(spark, sf_dir), [f"f{i}" for i in range(64)]
     changes = validate.dropped(names[:2]) | validate.reweighted({"first eight": tuple(names[:8])}, names)
-    return validate.sensitivity(v, v.where("vec_id % 100 = 0"), "vec_id", "v", "label", names, [1.0] * 64, changes)
+    return validate.sensitivity(v, v, "vec_id", "v", "label", names, [1.0] * 64, changes)
 
 
 @query("separability")
@@ -513,6 +501,70 @@ def separability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.separability(rows, [("L0", "L1", True), ("L2", "L3", False)], "position", "vec_id", [f"f{i}" for i in range(8)])
 
 
+# --- what sets clusters and players apart ---------------------------------------------------
+
+CONCEPTS = {f"c{k}": tuple(f"f{4 * k + i}" for i in range(4)) for k in range(6)}
+CENTERS = f"""{EMB}, l AS (SELECT label, i, AVG(v[i + 1]) AS m FROM e, range(24) r(i) GROUP BY label, i), s AS (SELECT CAST(label % 2 AS INT) AS grp, CAST(label AS INT) AS cluster, 'c' || i // 4 AS concept, round_even(AVG(m * 20 * CASE WHEN i IN (2, 9) THEN -1 ELSE 1 END), 3) AS z FROM l GROUP BY ALL),
+  one AS (SELECT grp, cluster, concept || ':' || CAST(sign(z) AS INT) AS label, concept || ':' || CAST(sign(z) AS INT) AS traits, abs(z) AS score FROM s WHERE abs(z) >= 0.3::DOUBLE),
+  two AS (SELECT a.grp, a.cluster, list_aggregate(list_sort([a.concept || ':1', b.concept || ':1']), 'string_agg', ',') AS label, a.concept || ':1,' || b.concept || ':1' AS traits, a.z + b.z AS score FROM s a JOIN s b ON a.grp = b.grp AND a.cluster = b.cluster AND a.z >= 0.3::DOUBLE AND b.z >= 0.25::DOUBLE AND (a.z > b.z OR a.z = b.z AND a.concept < b.concept)),
+  w AS (SELECT * FROM (SELECT * FROM one UNION ALL SELECT * FROM two) QUALIFY row_number() OVER (PARTITION BY grp, label ORDER BY score DESC, cluster) = 1), best AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY grp, cluster ORDER BY score DESC, string_split(label, ',')) = 1),
+  every AS (SELECT grp, cluster, MAX(abs(z)) AS m FROM s GROUP BY ALL)"""
+
+
+@query(
+    "cluster_traits",
+    f"""WITH {CENTERS} SELECT every.grp, every.cluster, COALESCE(traits, '') AS traits, round_even(score, 4) AS score,
+    CASE WHEN traits IS NULL THEN CAST(row_number() OVER (PARTITION BY every.grp, traits IS NULL ORDER BY m DESC, every.cluster) AS INT) END AS place FROM every LEFT JOIN best USING (grp, cluster)""",
+)
+def cluster_traits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What tells the labels' mean vectors apart, odd and even labels being two groups of clusters."""
+    v = _vectors(spark, sf_dir).select(F.col("label").cast("int").alias("cluster"), F.posexplode(F.slice("v", 1, 24)).alias("i", "x"))
+    centers = v.groupBy((F.col("cluster") % 2).alias("grp"), "cluster", F.concat(F.lit("f"), F.col("i").cast("string")).alias("feature")).agg((F.avg("x") * 20).alias("z"))
+    scores = naming.concept_scores(centers, naming.concept_table(spark, CONCEPTS, frozenset({"f2", "f9"})), ["grp", "cluster"])
+    spelt = F.array_join(F.transform("traits", lambda t: F.concat_ws(":", t["concept"], t["direction"].cast("string"))), ",")
+    return naming.distinct_traits(scores, ["grp"], "cluster").select("grp", "cluster", spelt.alias("traits"), round_even(F.col("score"), 4).alias("score"), "place")
+
+
+PAIRS = f"""{CATS}, l AS (SELECT player_id, season, f, x FROM (SELECT player_id, season, pct_shots AS shots, pct_goals AS goals, pct_passes AS passes, pct_assists AS assists, pct_completed AS completed, pct_tackles AS tackles FROM ca) UNPIVOT (x FOR f IN (shots, goals, passes, assists, completed, tackles))),
+  p AS (SELECT a.player_id, a.season, a.f, a.x AS value_a, b.x AS value_b, (a.x - 50) / 30.0::DOUBLE AS za, (b.x - 50) / 30.0::DOUBLE AS zb FROM l a JOIN l b ON a.player_id = b.player_id AND a.f = b.f AND b.season = a.season + 1),
+  g AS (SELECT *, abs(za - zb) AS gap, CASE WHEN abs(za - zb) >= 0.6::DOUBLE THEN 'apart' ELSE 'shared' END AS kind FROM p), u AS (SELECT *, kind = 'shared' AND LEAST(abs(za), abs(zb)) >= 0.4::DOUBLE AS unusual FROM g),
+  k AS (SELECT * FROM (SELECT *, SUM(CAST(unusual AS INT)) OVER (PARTITION BY player_id, season) >= 3 AS enough FROM u) WHERE kind = 'apart' OR NOT enough OR unusual)"""
+
+
+@query(
+    "season_contrasts",
+    f"""WITH {PAIRS} SELECT player_id, season, kind, CAST(row_number() OVER (PARTITION BY player_id, season, kind ORDER BY CASE WHEN kind = 'shared' THEN gap ELSE -gap END, f) AS INT) AS rank, f AS feature, CASE WHEN kind = 'apart' THEN CASE WHEN za > zb THEN 'a' ELSE 'b' END END AS more,
+    round_even(gap, 6) AS gap, value_a, value_b FROM k QUALIFY rank <= 3""",
+)
+def season_contrasts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each player's season shares with his next one, and where they differ; percentiles stand for z-scores."""
+    long = long_form(scored(spark, sf_dir).select("player_id", "season", *[F.col(f"pct_{m}").alias(m) for m in METRICS]), ["player_id", "season"], METRICS).withColumnRenamed("metric", "feature")
+    z = lambda x: (F.col(x) - 50) / 30.0
+    one, two = long.withColumnRenamed("value", "value_a"), long.withColumnRenamed("value", "value_b").withColumn("season", F.col("season") - 1)
+    pairs = one.join(two, ["player_id", "season", "feature"]).withColumns({"z_a": z("value_a"), "z_b": z("value_b")})
+    return naming.contrasts(pairs, ["player_id", "season"], 3)
+
+
+@query(
+    "player_findings",
+    f"""WITH {CATS}, k AS (SELECT *, CAST(2 + player_id % 2 * -1 AS INT) AS tier, (goals - 2) / 10.0::DOUBLE AS luck, list_sort(list_filter([{{'p': -cat_attack, 'c': 'Attack'}}, {{'p': -cat_build_up, 'c': 'Build Up'}}, {{'p': -cat_defence, 'c': 'Defence'}}], lambda x: x.p IS NOT NULL)) AS known FROM ca),
+    t AS (SELECT *, list_filter(known, lambda x: -x.p >= 75) AS top FROM k),
+    f AS (SELECT player_id, season, 'profile' AS finding, [known[1].c, known[-1].c] AS about, ['best', 'worst'] AS n, [-known[1].p, -known[-1].p] AS v FROM t WHERE len(known) > 0
+      UNION ALL SELECT player_id, season, 'ready_young', list_transform(top, lambda x: x.c), ['age', 'categories'], [age, len(top)::DOUBLE] FROM t WHERE age <= 21 AND len(top) > 0
+      UNION ALL SELECT player_id, season, 'raw_young', [], ['age'], [age] FROM t WHERE age <= 21 AND len(top) = 0
+      UNION ALL SELECT player_id, season, 'veteran', [], ['age'], [age] FROM t WHERE age >= 30
+      UNION ALL SELECT player_id, season, 'small_sample', [], ['minutes'], [mins] FROM t WHERE mins < 1350
+      UNION ALL SELECT player_id, season, 'weaker_league', [], ['tier', 'strength'], [tier, 0.8::DOUBLE] FROM t WHERE tier > 1
+      UNION ALL SELECT player_id, season, 'finishing', [], ['over_expected'], [luck] FROM t WHERE position_group <> 'GK' AND abs(luck) >= 0.1::DOUBLE)
+    SELECT player_id, season, finding, array_to_string(about, ',') AS concerning, unnest(n) AS figure, round_even(unnest(v), 6) AS value FROM f""",
+)
+def player_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the figures of every player-season say of him, a row a figure."""
+    rows = scored(spark, sf_dir).withColumns({"league_tier": (2 - F.col("player_id") % 2).cast("int"), "np_goals_minus_npxg_per90": (F.col("goals") - 2) / 10.0})
+    found = report.findings(rows, {"Attack": "cat_attack", "Build Up": "cat_build_up", "Defence": "cat_defence"}, ["player_id", "season"])
+    return found.select("player_id", "season", "finding", F.array_join("concerning", ",").alias("concerning"), F.explode("figures").alias("figure", "value")).withColumn("value", round_even(F.col("value"), 6))
+
+
 # --- match events, through the event operators --------------------------------------------
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import ratio, round_even
 from ..operators import aggregates, cleaning, features, models, ranking, recruit
+from ..scratch import held
 from .adapters import PS, player_seasons, table
 from .catalog import query
 
@@ -247,8 +248,8 @@ FIT = "round_even(round_even(COALESCE(cat_attack, 50.0) * 0.5::DOUBLE, 2) + roun
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Player-seasons with category scores: one long window ranks all metrics, then they go back beside their rows."""
-    ps = player_seasons(spark, sf_dir)
+    """Player-seasons with category scores: all metrics are ranked in one long table, then they go back beside their rows."""
+    ps = held(player_seasons(spark, sf_dir))
     long = models.long_form(ps, ["player_id", "season", "position_group"], METRICS)
     ranked = ranking.percentiles(long, "value", ["position_group", "season", "metric"], "pct")
     wide = ranked.groupBy("player_id", "season").agg(*[F.max(F.when(F.col("metric") == m, F.col("pct"))).alias(f"pct_{m}") for m in METRICS])

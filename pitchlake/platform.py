@@ -7,10 +7,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .functions.numbers import round_even
-from .operators import assembly, models, naming, ranking, recruit, report
+from .functions.numbers import cosine, euclid, round_even
+from .operators import assembly, blocks, clusters, models, naming, ranking, recruit, report, validate
 from .operators.features import category_scores
-from .operators.validate import reference_distance
 from .registry.metrics import BOUNDS, LOWER_IS_BETTER, PARENTS
 
 KEY = ["player_id", "season"]
@@ -29,7 +28,8 @@ class Platform:
     baskets: dict[str, tuple[str, ...]]
     lower_is_better: frozenset = LOWER_IS_BETTER
     weights: dict[str, float] = field(default_factory=dict)
-    archetypes: dict[str, tuple[models.Clusters, list[str]]] = field(default_factory=dict)
+    archetypes: dict[object, clusters.Choice] = field(default_factory=dict)
+    labels_of_archetypes: DataFrame | None = None
 
     @classmethod
     def build(
@@ -82,20 +82,26 @@ class Platform:
         met = near.join(self.pool, "row_key")
         if metric == "cosine":
             return met.withColumn("similarity", models.similarity_percent(F.col("distance"))).orderBy("rank")
-        usual = reference_distance(self.pool, "row_key", "vector", "position_group")
+        usual = validate.reference_distance(self.pool, "row_key", "vector", "position_group")
         return met.join(usual, "position_group").withColumn("similarity", models.similarity_percent(F.col("distance"), F.col("reference"))).drop("reference").orderBy("rank")
 
     def pair(self, a: tuple, b: tuple, metric: str = "cosine") -> DataFrame:
         """(similarity) of two rows; null across groups."""
         one = lambda k, x: self.row(*k).select(F.col("position_group").alias(f"g{x}"), F.col("vector").alias(f"v{x}"))
-        d = 1.0 - models.cosine(F.col("va"), F.col("vb")) if metric == "cosine" else models.euclid(F.col("va"), F.col("vb"))
+        d = 1.0 - cosine(F.col("va"), F.col("vb")) if metric == "cosine" else euclid(F.col("va"), F.col("vb"))
         return one(a, "a").crossJoin(one(b, "b")).select(F.when(F.col("ga") == F.col("gb"), models.similarity_percent(d)).alias("similarity"))  # one row each
 
-    def explain(self, a: tuple, b: tuple, names: tuple[str, str] = ("the first", "the second")) -> tuple[list[str], list[str]]:
-        """Sentences on what two rows of the pool share, and where they differ."""
-        (x,), (y,) = self.row(*a).collect(), self.row(*b).collect()  # a row each
-        rows = [{"feature": m, "value_a": x[m], "value_b": y[m], "z_a": x[f"z_{m}"], "z_b": y[f"z_{m}"]} for m in self.features]
-        return naming.explanation(rows, *names)
+    def compared(self, pairs: DataFrame) -> DataFrame:
+        """(a, b, feature, value_a, value_b, z_a, z_b) for pairs of the pool's rows, by their row keys (a, b)."""
+        each = lambda x: models.long_form(self.pool, ["row_key"], self.features).withColumnsRenamed({"row_key": x, "metric": "feature", "value": f"value_{x}"}).join(
+            models.long_form(self.pool.select("row_key", *[F.col(f"z_{m}").alias(m) for m in self.features]), ["row_key"], self.features).withColumnsRenamed({"row_key": x, "metric": "feature", "value": f"z_{x}"}), [x, "feature"]
+        )
+        return pairs.join(each("a"), "a").join(each("b"), ["b", "feature"]).select("a", "b", "feature", "value_a", "value_b", "z_a", "z_b")
+
+    def explain(self, a: tuple, b: tuple, n: int = 5) -> DataFrame:
+        """What two rows of the pool share, and where they differ (``naming.contrasts``); ``naming.told`` words it."""
+        one = lambda k, x: self.row(*k).select(F.col("row_key").alias(x))
+        return naming.contrasts(self.compared(one(a, "a").crossJoin(one(b, "b"))), ["a", "b"], n)  # one row each
 
     def replacements(self, player_id, season, weights: dict[str, float], n: int = 10, similarity_weight: float = 0.6) -> DataFrame:
         """Of the max(6 n, 60) nearest, the best by similarity and fit; each player once, with how much better he fits than the one replaced."""
@@ -113,6 +119,14 @@ class Platform:
         near = models.neighbours(self.pool.crossJoin(F.broadcast(one)), self.row(player_id, season), "row_key", "vector", n, by="position_group", person="player_id", where=fits)  # one row
         return near.orderBy("rank")
 
+    def all_similar(self, n: int = 10, metric: str = "cosine") -> DataFrame:
+        """(query, rank, row_key, distance): the nearest of every row of the pool, other seasons of the same player left out."""
+        return blocks.nearest(self.pool, "row_key", "vector", n, metric, "position_group", "player_id")
+
+    def own_seasons(self, k: int = 10, metric: str = "cosine") -> DataFrame:
+        """How well a player's other seasons are found by the seasons themselves (``validate.own_season_report``)."""
+        return validate.own_season_report(self.pool, "row_key", "vector", "position_group", "player_id", k, metric)
+
     def search(self, brief: recruit.Brief, n: int = 20) -> DataFrame:
         return recruit.search(self.pool, brief, n, KEY)
 
@@ -151,24 +165,29 @@ class Platform:
     def find_label(self, label: str) -> DataFrame:
         return self.labels().where(F.col("label") == label)
 
-    def fit_archetypes(self, group: str, vocabulary: naming.Vocabulary, ks: range | None = None) -> list[str]:
-        """Cluster a group and name its clusters by their centres."""
-        fit = models.fit_clusters(self.pool.where(F.col("position_group") == group), "vector", ks)
+    def fit_archetypes(self, concepts: dict[str, tuple[str, ...]], words: DataFrame | None = None, template: str = "%s", plain: str = "plain %d", ks: range | None = None) -> DataFrame:
+        """(position_group, cluster, players, traits, score, place, label): every group clustered, in the same jobs, and each cluster told by what sets it apart.
+
+        ``concepts``: {name: metrics}; ``words``, ``template`` and ``plain`` as in ``naming.worded``.
+        """
+        spark = self.pool.sparkSession
+        self.archetypes = clusters.select_clusters(self.pool, "row_key", "vector", "position_group", ks=ks)
         total = sum(self.weights.values()) or 1.0
         roots = [(self.weights[m] / total) ** 0.5 for m in self.features]
-        centers = [{m: (v / r if r else 0.0) for m, v, r in zip(self.features, c, roots, strict=True)} for c in fit.centers]
-        names = naming.archetype_names(group, naming.concept_scores(centers, naming.concept_map(group, self.features, vocabulary)), vocabulary)
-        self.archetypes[group] = (fit, names)
-        return names
+        centers = [(g, k, m, v / r if r else 0.0) for g, choice in self.archetypes.items() for k, c in enumerate(choice.chosen.centers) for m, v, r in zip(self.features, c, roots, strict=True)]
+        long = spark.createDataFrame(centers, "position_group string, cluster int, feature string, z double")  # a row a centre and feature
+        traits = naming.distinct_traits(naming.concept_scores(long, naming.concept_table(spark, concepts), ["position_group", "cluster"]), ["position_group"], "cluster")
+        no_words = spark.createDataFrame([], "concept string, direction int, word string")
+        sizes = spark.createDataFrame([(g, k, n) for g, choice in self.archetypes.items() for k, n in enumerate(choice.chosen.sizes)], "position_group string, cluster int, players long")
+        self.labels_of_archetypes = naming.worded(traits, no_words if words is None else words, template, plain).join(sizes, ["position_group", "cluster"])
+        return self.labels_of_archetypes
 
     def with_archetypes(self, rows: DataFrame | None = None) -> DataFrame:
-        """Rows (the pool, by default) with the name of the nearest centre of their group; null for groups without clusters."""
+        """Rows (the pool, by default) with the label of the nearest centre of their group; null for groups without clusters."""
         rows = self.pool if rows is None else rows
-        out = F.lit(None).cast("string")
-        for group, (fit, names) in self.archetypes.items():
-            name = F.get(F.array(*[F.lit(n) for n in names]), fit.nearest("vector"))
-            out = F.when(F.col("position_group") == group, name).otherwise(out)
-        return rows.withColumn("archetype", out)
+        near = clusters.assigned(rows, "vector", "position_group", self.archetypes, "_cluster")
+        labels = self.labels_of_archetypes.select("position_group", F.col("cluster").alias("_cluster"), F.col("label").alias("archetype"))
+        return near.join(labels, ["position_group", "_cluster"], "left").drop("_cluster")
 
     def project(self, newcomers: DataFrame, metrics: list[str] | None = None) -> DataFrame:
         """Players outside the pool on the regulars' scale, who stay as they are: percentiles as if each alone joined them, categories, vectors.
@@ -191,13 +210,24 @@ class Platform:
         league = self.pool.where(F.col("season") == season).join(mine.select("league").distinct(), "league", "left_semi").agg(F.median(category).alias("league_median"))
         return mine.agg((F.sum(F.col(category) * F.col("minutes")) / F.sum("minutes")).alias("team_mean")).crossJoin(league)  # one row each
 
+    def findings(self, rows: DataFrame | None = None) -> DataFrame:
+        """What the figures of rows (the pool, by default) say of each player (``report.findings``)."""
+        return report.findings(self.pool if rows is None else rows, self.categories(), KEY)
+
+    def categories(self) -> dict[str, str]:
+        """{category: its column}."""
+        named = {c: f"cat_{c.lower().replace(' ', '_')}" for c in self.baskets}
+        return {c: column for c, column in named.items() if column in self.pool.columns}
+
     def report(self, player_id, season, name: str) -> str:
         """One player's dossier in Markdown."""
-        (row,) = self.row(player_id, season).collect()  # one row
-        categories = {c: row[f"cat_{c.lower().replace(' ', '_')}"] for c in self.baskets if f"cat_{c.lower().replace(' ', '_')}" in row}
+        mine = self.row(player_id, season)
+        (row,) = mine.collect()  # one row
+        categories = {c: row[column] for c, column in self.categories().items()}
         facts = {"team": row["team"], "season": row["season"], "position": row["position_group"], "minutes": f"{row['minutes']:,.0f}"}
         near = self.similar(player_id, season, 5).select("player_id", "season", "team", "similarity")
-        return report.player_report(name, facts, categories, self.strengths(player_id, season).select("metric", "pct"), self.weaknesses(player_id, season).select("metric", "pct"), near, report.takeaways(categories, row.asDict()))
+        notes = [r["note"] for r in report.noted(self.findings(mine)).collect()]  # a row a rule at most
+        return report.player_report(name, facts, categories, self.strengths(player_id, season).select("metric", "pct"), self.weaknesses(player_id, season).select("metric", "pct"), near, notes)
 
 
 def season_index(platforms: dict[str, Platform]) -> DataFrame:
