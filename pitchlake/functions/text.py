@@ -120,6 +120,21 @@ def height_cm(text: Column) -> Column:
     return F.when(h < 3, h * 100).otherwise(h)
 
 
+def without_number(name: Column) -> Column:
+    """'Ana Silva (4711)' -> 'Ana Silva'."""
+    return F.trim(F.regexp_replace(name, r"\s*\(\d+\)\s*$", ""))
+
+
+def first_of(listed: Column) -> Column:
+    """'Spain  Brazil' -> 'Spain': the first of values parted by two blanks or more."""
+    return F.nullif(F.split(listed, r"\s{2,}")[0], F.lit(""))
+
+
+def last_part(path: Column) -> Column:
+    """'Defender - Centre-Back' -> 'Centre-Back'."""
+    return F.nullif(F.element_at(F.split(path, " - "), -1), F.lit(""))
+
+
 def mapped(value: Column, table: dict[str, str]) -> Column:
     """A look-up in a small fixed table; null where it lacks the key."""
     return F.create_map(*[F.lit(x) for pair in table.items() for x in pair])[value]

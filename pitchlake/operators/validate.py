@@ -132,8 +132,12 @@ def purity(df: DataFrame, cluster: str, truth: str) -> DataFrame:
 
 def shrinkage_gate(before: DataFrame, after: DataFrame, season: str, allowed: float = 0.10) -> DataFrame:
     """Seasons that vanished or lost more than the allowed share of rows."""
-    a, b = before.groupBy(season).agg(F.count("*").alias("before")), after.groupBy(season).agg(F.count("*").alias("after"))
-    both = a.join(b, season, "full_outer").fillna(0, ["before", "after"])
+    return shrinkage(before.groupBy(season).agg(F.count("*").alias("before")), after.groupBy(season).agg(F.count("*").alias("after")), season, allowed)
+
+
+def shrinkage(before: DataFrame, after: DataFrame, key: str, allowed: float = 0.10) -> DataFrame:
+    """(key, before, after, refused) from numbers of rows by key."""
+    both = before.join(after, key, "full_outer").fillna(0, ["before", "after"])
     return both.withColumn("refused", (F.col("before") > 0) & (F.col("after") < (1 - allowed) * F.col("before")))
 
 
@@ -154,7 +158,9 @@ def hashed_pairs(rows: DataFrame, key: str, vector: str, group: str, each: int =
 
     Stands for random pairs: neighbours by a hash are unlike as any two rows are. Each group is sorted in 64 parts, none of which is gathered.
     """
-    parts = rows.select(F.col(group).alias("_g"), F.col(key).alias("a"), F.col(vector).alias("x"), F.pmod(F.xxhash64(F.lit(1), key), F.lit(64)).alias("_part"), F.xxhash64(F.lit(2), key).alias("_h"))
+    digest = lambda salt: F.md5(F.concat(F.lit(f"{salt}:"), F.col(key).cast("string")))
+    part = F.conv(F.substring(digest(1), 1, 2), 16, 10).cast("int") % 64
+    parts = rows.select(F.col(group).alias("_g"), F.col(key).alias("a"), F.col(vector).alias("x"), part.alias("_part"), digest(2).alias("_h"))
     w = Window.partitionBy("_g", "_part").orderBy("_h", "a")
     ahead = parts.withColumn("_ahead", F.array(*[F.lead(F.struct("a", "x"), k).over(w) for k in range(1, each + 1)]))
     met = ahead.withColumn("p", F.explode("_ahead")).where("p IS NOT NULL")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import cosine, jaccard, round_even
 from ..operators import blocks, clusters, models, moments, ranking, recruit, validate
+from ..sources import files
 from .adapters import PS, player_seasons, table
 from .catalog import query
 from .queries_features import CATS, FIT, PCT, WEIGHTS, scored
@@ -336,9 +337,14 @@ def pca_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.pca_map(_vectors(spark, sf_dir), "v")[0].select("vec_id", "label", "pc_1", "pc_2")
 
 
-@query("season_payload")
+LINES = f"""{CATS}, l AS (SELECT 'season=' || season AS folder, concat_ws(',', player_id, team, mins::BIGINT, matches, COALESCE(floor(cat_attack)::BIGINT::VARCHAR, ''), COALESCE(floor(cat_defence)::BIGINT::VARCHAR, '')) AS line, team, player_id FROM ca),
+  n AS (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY team, player_id, line) AS nth, floor(20000 / (MAX(strlen(line)) OVER (PARTITION BY folder) + 1))::BIGINT AS each FROM l)"""
+
+
+@query("season_payload", f"WITH {LINES} SELECT folder, CAST((nth - 1) // each AS INT) AS part, CAST(COUNT(*) AS BIGINT) AS rows, sha256(string_agg(line, chr(10) ORDER BY nth)) AS sha256 FROM n GROUP BY ALL")
 def season_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One JSON document a season and team, of its players' scores."""
-    rows = scored(spark, sf_dir)
-    player = F.struct("player_id", "minutes", "cat_attack", "cat_build_up", "cat_defence")
-    return rows.groupBy("season", "team").agg(F.to_json(F.array_sort(F.collect_list(player))).alias("players"))
+    """What an export of all seasons would write: each part's rows and digest, parts of 20,000 bytes."""
+    whole = lambda c: F.floor(c).cast("long")
+    rows = scored(spark, sf_dir).select("player_id", "team", F.col("minutes").cast("long").alias("minutes"), "matches", whole("cat_attack").alias("attack"), whole("cat_defence").alias("defence"), "season")
+    lines = rows.withColumn("line", files.csv_line(["player_id", "team", "minutes", "matches", "attack", "defence"]))
+    return files.parts_of(lines, F.concat(F.lit("season="), F.col("season").cast("string")), ["team", "player_id", "line"], 20_000).drop("text")

@@ -475,15 +475,24 @@ def role_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.role_agreement(nearest_ten(spark, sf_dir), v, "vec_id", "role", "label")
 
 
-@query("feature_dominance")
+DEALT = f"""{EMB}, h AS (SELECT vec_id, label, v, ('0x' || md5('1:' || vec_id)[1:2])::INT % 64 AS part, md5('2:' || vec_id) AS h FROM e), o AS (SELECT *, row_number() OVER (PARTITION BY label, part ORDER BY h, vec_id) AS r FROM h),
+  p AS (SELECT a.label, a.v AS x, b.v AS y FROM o a JOIN o b ON a.label = b.label AND a.part = b.part AND b.r BETWEEN a.r + 1 AND a.r + 4)"""
+
+
+@query(
+    "feature_dominance",
+    f"""WITH {DEALT}, s AS (SELECT label, row_number() OVER () AS id, x, y FROM p), d AS (SELECT label, id, i, pow(x[i + 1] - y[i + 1], 2) * (1 + i % 3) / (SELECT SUM(1.0::DOUBLE + k % 3) FROM range(64) w(k)) AS d FROM s, range(64) r(i)), t AS (SELECT *, SUM(d) OVER (PARTITION BY id) AS t FROM d)
+    SELECT label, 'f' || i AS feature, round_even((1.0::DOUBLE + i % 3) / (SELECT SUM(1.0::DOUBLE + k % 3) FROM range(64) w(k)), 4) AS weight_share, round_even(AVG(CASE WHEN t > 0 THEN d / t ELSE 0 END), 4) AS distance_share, round_even(AVG(CASE WHEN t > 0 THEN d / t ELSE 0 END) * 64, 2) AS vs_even FROM t GROUP BY label, i""",
+)
 def feature_dominance(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = [f"f{i}" for i in range(64)]
     return validate.feature_dominance(_vectors(spark, sf_dir), "vec_id", "v", "label", names, [1.0 + i % 3 for i in range(64)])
 
 
-@query("reference_distance")
+@query("reference_distance", f"WITH {DEALT} SELECT label, round_even(COALESCE(NULLIF(median(list_distance(x, y)), 0), 1), 6) AS reference FROM p GROUP BY label")
 def reference_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validate.reference_distance(_vectors(spark, sf_dir), "vec_id", "v", "label")
+    found = validate.reference_distance(_vectors(spark, sf_dir), "vec_id", "v", "label")
+    return found.withColumn("reference", round_even(F.col("reference"), 6))
 
 
 @query("metric_sensitivity")

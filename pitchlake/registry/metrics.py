@@ -164,6 +164,15 @@ def model_features(have: dict[str, float], group: str, taxonomy: str = "detailed
     return found if len(found) >= fewest else []
 
 
+def membership(features: Iterable[str], baskets: dict[str, tuple[str, ...]]) -> list[list[int]]:
+    """For each feature the numbers of the baskets that it is in, in their order: what a reader needs to weigh features by basket."""
+    places: dict[str, list[int]] = {}
+    for i, metrics in enumerate(baskets.values()):
+        for m in dict.fromkeys(metrics):
+            places.setdefault(m, []).append(i)
+    return [places.get(f, []) for f in features]
+
+
 @dataclass(frozen=True)
 class Roles:
     """Weights of the baskets by group and role: ``templates`` {group: {role: {basket: weight}}}, ``defaults`` {group: {basket: weight}}."""

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions import text as X
 from ..functions.numbers import measured, true
+from ..scratch import held
 
 IDENTITY = T.StructType(
     [T.StructField(n, T.StringType()) for n in ("player_id", "player", "position", "position_group", "team", "league", "season")]
@@ -96,9 +97,39 @@ def load_source(spark: SparkSession, sources: dict[str, Source], key: str, stats
     raise FileNotFoundError(sources[key].path)
 
 
-def tolerant_csv(spark: SparkSession, path: str, schema: T.StructType, encoding: str = "UTF-8") -> DataFrame:
-    """Rows that don't fit the schema are dropped."""
-    return spark.read.schema(schema).option("header", True).option("encoding", encoding).option("mode", "DROPMALFORMED").csv(path)
+def tolerant_csv(spark: SparkSession, path: str, schema: T.StructType, fields: int = 256) -> tuple[DataFrame, DataFrame]:
+    """(rows, audit) of CSV files that differ in encoding, in their columns' order and in care.
+
+    Each file has a header of its own; ``schema`` names the columns wanted, cast where they can be and null where a file lacks them or a cell doesn't fit. A file is read as UTF-8 if all of
+    its lines are, else as Latin-1. Lines with more fields than their file's header are left out, and counted; those with fewer end in nulls. rows: the schema's columns and ``file``.
+    audit: file, encoding, lines, too_long. A quoted line break ends its line. Headers have up to ``fields`` columns.
+    """
+    # A line comes as its bytes are, whatever they mean.
+    line = F.rtrim(F.col("value"), F.lit("\r"))
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_at"), line.cast("binary").alias("_raw"))
+    raw = held(raw)
+    cells = ", ".join(f"c{k} string" for k in range(fields + 1))
+
+    def parsed(df: DataFrame, line: Column, out: str) -> DataFrame:
+        whole = df.withColumn("_s", F.from_csv(line, cells, {"escape": '"'}))
+        return whole.withColumn(out, F.array(*[F.col(f"_s.c{k}") for k in range(fields + 1)])).drop("_s")
+
+    utf8 = F.is_valid_utf8(F.col("_raw").cast("string"))
+    heads = raw.where("_start = 0").groupBy("file").agg(F.min_by("_raw", "_at").alias("_head"), F.min("_at").alias("_first"))
+    about = held(raw.groupBy("file").agg(F.bool_and(utf8).alias("_utf8")).join(heads, "file"))  # a row a file
+    decoded = F.when(F.col("_utf8"), F.col("_raw").cast("string")).otherwise(F.decode("_raw", "ISO-8859-1"))
+    head = about.withColumn("_raw", F.col("_head")).select("file", "_utf8", "_first", F.ltrim(decoded, F.lit("\ufeff")).alias("_head"))
+    head = parsed(head, F.col("_head"), "_all").withColumn("_names", F.transform(F.array_compact("_all"), F.trim)).withColumn("_width", F.size("_names")).drop("_all")
+    lines = raw.join(head, "file").where((F.col("_at") != F.col("_first")) & (F.length("_raw") > 0)).withColumn("_line", decoded)
+    # A cell beyond the header's width is a field too many, if only an empty one: the line is read with a mark after its end.
+    marked = parsed(lines, F.concat("_line", F.lit(",\u0001")), "_cells")
+    marked = marked.withColumn("_n", F.array_position("_cells", "\u0001") - 1).withColumn("_long", (F.col("_n") > F.col("_width")) | (F.col("_n") < 0))
+    at = lambda f: F.array_position("_names", f.name).cast("int") - 1  # noqa: E731  (of columns of one name the first)
+    value = lambda f: F.when((at(f) >= 0) & (at(f) < F.col("_n")), F.get("_cells", at(f))).try_cast(f.dataType).alias(f.name)
+    rows = marked.where(~F.col("_long")).select(*[value(f) for f in schema], "file")
+    counts = marked.groupBy("file").agg(F.count("*").alias("lines"), F.count_if("_long").alias("too_long"))
+    audit = about.join(counts, "file", "left").select("file", F.when(F.col("_utf8"), "UTF-8").otherwise("ISO-8859-1").alias("encoding"), F.coalesce("lines", F.lit(0)).alias("lines"), F.coalesce("too_long", F.lit(0)).alias("too_long"))
+    return rows, audit
 
 
 def columns_of(spark: SparkSession, path: str, columns: list[str], name: str = "player") -> DataFrame:
