@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .words import PATTERN, Ids, words
+from .words import Ids, word_counts, words
 
 #: Postings of a block; the best documents of an item that are wanted.
 BLOCK, TOP = 128, 20
@@ -124,9 +124,14 @@ def build(docs: DataFrame, scratch: common.Scratch, *, doc_id: str = "doc_id", t
     spark = docs.sparkSession
     common.ship(spark)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("octet_length(text) > 0")
-    n = F.regexp_count(F.col("text"), F.lit(PATTERN))
-    held = rows.select(n.alias("n")).where("n > 0").agg(F.count("*").alias("documents"), F.coalesce(F.sum("n"), F.lit(0)).alias("terms")).first()
-    all_documents, all_terms = held["documents"], held["terms"]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = word_counts(batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array([int((n > 0).sum())]), pa.array([int(n.sum())])], ["documents", "terms"])
+
+    counted = rows.select("text").mapInArrow(count, "documents long, terms long").agg(F.coalesce(F.sum("documents"), F.lit(0)), F.coalesce(F.sum("terms"), F.lit(0))).first()
+    all_documents, all_terms = counted
     kind = rows.schema["doc_id"].dataType
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

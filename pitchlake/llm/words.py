@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import numpy as np
 
-#: For JVM functions over texts that are not lower-cased yet.
-PATTERN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _BLANKED = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
@@ -14,6 +12,16 @@ def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_BLANKED).split() if text else []
 
 
+def word_counts(texts: list[str | None]) -> np.ndarray:
+    """How many words each text has."""
+    out = np.zeros(len(texts), np.int64)
+    for k, t in enumerate(texts):
+        if t:
+            inside = np.frombuffer(t.encode("utf-8", "surrogatepass").translate(_BLANKED), np.uint8) != 32
+            out[k] = np.count_nonzero(inside[1:] > inside[:-1]) + inside[0]
+    return out
+
+
 class Ids(dict):
     """Numbers for words, in the order in which they are first asked for."""
 
