@@ -76,10 +76,9 @@ _POSTINGS = {"term": pa.string(), "df": pa.int64(), "first": pa.list_(pa.int32()
 _POSTINGS_SQL = "term string, df long, first array<int>, last array<int>, peak array<long>, at array<int>, data binary"
 
 
-def _shard_rows(shard: int, ids: pa.Array, texts: list[list[bytes]], all_documents: int, all_terms: int, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
-    """The index of one shard: a row with its documents' ids and length terms, and a row a term."""
-    vocabulary = Ids()
-    parts = [np.unique(vocabulary.of(t), return_counts=True) for t in texts]
+def _shard_rows(shard: int, ids: pa.Array, vocabulary: Ids, texts: list[np.ndarray], all_documents: int, all_terms: int, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """The index of one shard of texts (as numbers of words): a row with its documents' ids and length terms, and a row a term."""
+    parts = [np.unique(t, return_counts=True) for t in texts]
     sizes = np.array([len(t) for t in texts], np.int64)
     m = 75 + (25 * sizes * all_documents) // max(all_terms, 1)
     term = np.concatenate([p[0] for p in parts]).astype(np.int64)
@@ -135,19 +134,19 @@ def build(docs: DataFrame, scratch: common.Scratch, *, doc_id: str = "doc_id", t
     kind = rows.schema["doc_id"].dataType
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, ids, texts, size, id_kind = TaskContext.get().partitionId() << 32, [], [], 0, pa.null()
+        shard, ids, texts, size, id_kind, vocabulary = TaskContext.get().partitionId() << 32, [], [], 0, pa.null(), Ids()
         for batch in batches:
             id_kind = batch.schema.field(0).type
             for i, t in zip(batch.column(0), batch.column(1), strict=True):
                 t = t.as_py()
                 if texts and (size + len(t) > shard_bytes or len(texts) == SHARD_DOCUMENTS):
-                    yield from _shard_rows(shard, pa.array(ids, id_kind), texts, all_documents, all_terms, id_kind)
-                    shard, ids, texts, size = shard + 1, [], [], 0
+                    yield from _shard_rows(shard, pa.array(ids, id_kind), vocabulary, texts, all_documents, all_terms, id_kind)
+                    shard, ids, texts, size, vocabulary = shard + 1, [], [], 0, Ids()
                 ids.append(i.as_py())
-                texts.append(words(t))
+                texts.append(vocabulary.of(words(t)))
                 size += len(t)
         if texts:
-            yield from _shard_rows(shard, pa.array(ids, id_kind), texts, all_documents, all_terms, id_kind)
+            yield from _shard_rows(shard, pa.array(ids, id_kind), vocabulary, texts, all_documents, all_terms, id_kind)
 
     made = rows.mapInArrow(index, f"shard long, {_POSTINGS_SQL}, ids array<{kind.simpleString()}>, m array<long>")
     return Index(scratch.write(made, "index"), all_documents)
