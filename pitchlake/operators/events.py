@@ -10,7 +10,7 @@ from ..functions.text import clock_minutes
 
 # Pitch, windows, vocabularies.
 YARD = 0.9144
-GOAL_X, GOAL_Y, BOX_X, BOX_LOW, BOX_HIGH, THIRD_1, THIRD_2, HALFWAY = 120.0, 40.0, 102.0, 18.0, 62.0, 40.0, 80.0, 60.0
+GOAL_X, GOAL_Y, BOX_X, BOX_LOW, BOX_HIGH, THIRD_1, THIRD_2, HALFWAY, OWN_BOX = 120.0, 40.0, 102.0, 18.0, 62.0, 40.0, 80.0, 60.0, 18.0
 LONG_PASS, LAUNCH, WINDOW, STOPPAGE = 30.0, 40.0, 5, 60
 TERMINAL = ("Substitution - Off", "Sent Off", "Red Card", "Second Yellow")
 ON_TARGET = ("Goal", "Saved", "Saved to Post", "Saved Off Target")
@@ -19,7 +19,7 @@ SAVES = ("Shot Saved", "Save", "Penalty Saved", "Shot Saved to Post", "Shot Save
 CLAIMS = ("Collected", "Punch", "Claim", "Smother", "Keeper Sweeper")
 DUEL_WON = ("Won", "Success", "Success In Play", "Success Out")
 RECEIPTS = ("Ball Receipt*", "Ball Recovery", "Interception", "Clearance", "Block")
-CREATIVE = ("Pass", "Dribble", "Shot", "Foul Won")
+DEAD_BALLS, LOST = ("Free Kick", "Corner"), ("Lost", "Lost Out")
 ON_BALL = ("Pass", "Carry", "Ball Receipt*", "Dribble", "Shot", "Clearance", "Ball Recovery", "Interception")
 
 
@@ -104,36 +104,40 @@ def counters(events: DataFrame) -> DataFrame:
     penalty = is_("Shot") & true(F.col("shot.type.name") == "Penalty")
     open_shot = is_("Shot") & ~penalty
     goal = is_("Shot") & true(F.col("shot.outcome.name") == "Goal")
-    set_piece = F.coalesce(F.col("play_pattern.name").isin(*SET_PIECES), F.lit(False)) | true(F.col("shot.type.name") == "Free Kick")
+    set_piece = F.coalesce(F.col("play_pattern.name").isin(*SET_PIECES), F.lit(False)) | F.coalesce(F.col("shot.type.name").isin(*DEAD_BALLS), F.lit(False))
     xg = F.col("shot.statsbomb_xg")
     tackle = is_("Duel") & true(F.col("duel.type.name") == "Tackle")
     won = F.coalesce(F.col("duel.outcome.name").isin(*DUEL_WON), F.lit(False))
     pressured = true(F.col("under_pressure"))
     keeper = F.col("goalkeeper.type.name")
-    touch = kind.isin("Pass", "Carry", "Dribble", "Shot") | (kind.isin(*RECEIPTS) & ~(is_("Ball Receipt*") & true(F.col("ball_receipt.outcome.name") == "Incomplete")))
+    # Winning the ball is a touch; what is done with it is counted by itself.
+    touch = kind.isin(*RECEIPTS) & F.col("team.name").isNotNull() & ~(is_("Ball Receipt*") & F.col("ball_receipt.outcome.name").isNotNull())
+    into_third = lambda to: true(F.get(to, 0) >= THIRD_2) & ~true(F.get(here, 0) >= THIRD_2)
+    technique = F.col("pass.technique.name") == "Through Ball" if "technique" in events.schema["pass"].dataType.names else F.lit(False)
     into_box = is_("Carry") & in_box(carry) & ~in_box(here)
     sums = {
         "touches": touch, "touches_def_third": touch & true(third(here) == "def"), "touches_mid_third": touch & true(third(here) == "mid"), "touches_att_third": touch & true(third(here) == "att"),
-        "touches_att_pen": (touch & is_("Ball Receipt*") & in_box(here)) | into_box,
+        "touches_att_pen": (touch & is_("Ball Receipt*") & in_box(here)) | into_box | (is_("Shot") & in_box(here)),
         "passes_attempted": is_("Pass"), "passes_completed": complete, "passes_under_pressure": is_("Pass") & pressured, "passes_completed_under_pressure": complete & pressured,
-        "progressive_passes": complete & progressive(here, end), "passes_into_final_third": complete & true((F.get(here, 0) < THIRD_2) & (F.get(end, 0) >= THIRD_2)),
+        "progressive_passes": complete & progressive(here, end), "passes_into_final_third": complete & into_third(end),
         "passes_into_pen_area": complete & in_box(end) & ~in_box(here), "long_passes_attempted": is_("Pass") & true(F.col("pass.length") >= LONG_PASS),
-        "long_passes_completed": complete & true(F.col("pass.length") >= LONG_PASS), "crosses": is_("Pass") & true(F.col("pass.cross")), "switches": complete & true(F.col("pass.switch")),
-        "through_balls": complete & true(F.col("pass.through_ball")), "key_passes": is_("Pass") & (true(F.col("pass.shot_assist")) | true(F.col("pass.goal_assist"))),
+        "long_passes_completed": complete & true(F.col("pass.length") >= LONG_PASS), "crosses": is_("Pass") & true(F.col("pass.cross")), "switches": is_("Pass") & true(F.col("pass.switch")),
+        "through_balls": is_("Pass") & (true(F.col("pass.through_ball")) | true(technique)), "key_passes": is_("Pass") & (true(F.col("pass.shot_assist")) | true(F.col("pass.goal_assist"))),
         "assists": is_("Pass") & true(F.col("pass.goal_assist")),
         "carries": is_("Carry"), "progressive_carries": is_("Carry") & progressive(here, carry), "carries_into_pen_area": into_box,
-        "carries_into_final_third": is_("Carry") & progressive(here, carry) & true((F.get(here, 0) < THIRD_2) & (F.get(carry, 0) >= THIRD_2)),
+        "carries_into_final_third": is_("Carry") & progressive(here, carry) & into_third(carry),
         "goals": goal, "np_goals": goal & ~penalty, "pens_taken": penalty, "pens_scored": penalty & goal, "shots": open_shot,
         "shots_on_target": open_shot & F.coalesce(F.col("shot.outcome.name").isin(*ON_TARGET), F.lit(False)),
         "dribbles_attempted": is_("Dribble"), "dribbles_completed": is_("Dribble") & true(F.col("dribble.outcome.name") == "Complete"),
         "tackles": tackle, "tackles_won": tackle & won, "tackles_def_third": tackle & true(third(here) == "def"), "tackles_mid_third": tackle & true(third(here) == "mid"),
         "tackles_att_third": tackle & true(third(here) == "att"), "recoveries_opp_half": is_("Ball Recovery") & ~true(F.col("ball_recovery.recovery_failure")) & true(F.get(here, 0) >= HALFWAY),
-        "pressures_att_third": is_("Pressure") & true(third(here) == "att"), "interceptions": is_("Interception") & ~F.coalesce(F.col("interception.outcome.name").startswith("Lost"), F.lit(False)),
+        "pressures_att_third": is_("Pressure") & true(third(here) == "att"), "interceptions": is_("Interception") & ~F.coalesce(F.col("interception.outcome.name").isin(*LOST), F.lit(False)),
         "blocks": is_("Block"), "clearances": is_("Clearance"), "ball_recoveries": is_("Ball Recovery") & ~true(F.col("ball_recovery.recovery_failure")), "miscontrols": is_("Miscontrol"),
         "dispossessed": is_("Dispossessed"), "pressures": is_("Pressure"), "counterpressures": is_("Pressure") & true(F.col("counterpress")),
         "aerials_won": true(F.col("pass.aerial_won")) | true(F.col("clearance.aerial_won")) | true(F.col("miscontrol.aerial_won")) | true(F.col("shot.aerial_won")),
-        "aerials_lost": is_("Duel") & true(F.col("duel.type.name") == "Aerial Lost"), "fouls": is_("Foul Committed"), "fouled": is_("Foul Won"),
-        "gk_saves": keeper.isin(*SAVES), "gk_crosses_stopped": keeper.isin(*CLAIMS), "gk_def_actions_outside_box": is_("Goal Keeper") & true(F.get(here, 0) > 18.0),
+        "aerials_lost": is_("Duel") & true(F.col("duel.type.name") == "Aerial Lost"), "fouls_committed": is_("Foul Committed"), "fouls_won": is_("Foul Won"),
+        "gk_saves": is_("Goal Keeper") & keeper.isin(*SAVES), "gk_crosses_stopped": is_("Goal Keeper") & keeper.isin(*CLAIMS),
+        "gk_def_actions_outside_box": is_("Goal Keeper") & true(F.get(here, 0) > OWN_BOX) & ~F.coalesce(keeper.isin(*SAVES), F.lit(False)),
     }
     floats = {"xg": is_("Shot"), "npxg": open_shot, "npxg_open_play": open_shot & ~set_piece, "npxg_set_piece": open_shot & set_piece}
     return events.where("player.id IS NOT NULL").groupBy("match_id", F.col("player.id").alias("player_id")).agg(
@@ -149,15 +153,20 @@ def expected_assists(events: DataFrame) -> DataFrame:
 
 
 def shot_creation(events: DataFrame, look_back: int = 39) -> DataFrame:
-    """(match_id, player_id, sca, gca): the last two players with a creative action before each shot, in its unbroken possession."""
+    """(match_id, player_id, sca, gca): the last two players with a creative action before each shot, of the shooting team and in its unbroken possession.
+
+    Creative are completed passes and dribbles and fouls won, within ``look_back`` events. A match is cut into cells of as many events, and shots meet the actions of
+    their cell and the one before.
+    """
     w = Window.partitionBy("match_id").orderBy("index")
-    changed = F.when(F.col("possession") == F.lag("possession").over(w), 0).otherwise(1)
-    runs = events.withColumn("_new", changed).withColumn("_run", F.sum("_new").over(w))
-    shots = runs.where("type.name = 'Shot'").select("match_id", "_run", F.col("index").alias("at"), F.col("team.name").alias("team"), true(F.col("shot.outcome.name") == "Goal").alias("goal"))
-    acts = runs.where(F.col("type.name").isin(*CREATIVE) & F.col("player.id").isNotNull() & (F.col("pass.outcome.name").isNull()))
-    acts = acts.select("match_id", "_run", "index", F.col("team.name").alias("team"), F.col("player.id").alias("player_id"))
-    near = shots.join(acts, ["match_id", "_run", "team"]).where((F.col("index") < F.col("at")) & (F.col("at") - F.col("index") <= look_back))
-    per = near.groupBy("match_id", "at", "goal", "player_id").agg(F.max("index").alias("last"))
+    changed = F.when(F.col("possession").eqNullSafe(F.lag("possession").over(w)), 0).otherwise(1)
+    runs = events.select("match_id", "index", "possession", "type", "team", "player", "shot", "pass", "dribble").withColumns({"_new": changed, "_n": F.row_number().over(w)}).withColumn("_run", F.sum("_new").over(w))
+    cell = F.floor(F.col("_n") / look_back)
+    shots = runs.where("type.name = 'Shot'").select("match_id", "_run", F.col("_n").alias("at"), cell.alias("_cell"), F.col("team.name").alias("team"), true(F.col("shot.outcome.name") == "Goal").alias("goal"))
+    creative = (F.col("type.name") == "Pass") & F.col("pass.outcome.name").isNull() | (F.col("type.name") == "Dribble") & true(F.col("dribble.outcome.name") == "Complete") | (F.col("type.name") == "Foul Won")
+    acts = runs.where(creative & F.col("player.id").isNotNull()).select("match_id", "_run", "_n", F.explode(F.array(cell, cell + 1)).alias("_cell"), F.col("team.name").alias("team"), F.col("player.id").alias("player_id"))
+    near = shots.join(acts, ["match_id", "_run", "_cell", "team"]).where((F.col("_n") < F.col("at")) & (F.col("at") - F.col("_n") <= look_back))
+    per = near.groupBy("match_id", "at", "goal", "player_id").agg(F.max("_n").alias("last"))
     top = per.withColumn("_r", F.row_number().over(Window.partitionBy("match_id", "at").orderBy(F.desc("last")))).where("_r <= 2")
     return top.groupBy("match_id", "player_id").agg(F.count("*").cast("double").alias("sca"), count_if(F.col("goal")).alias("gca"))
 

@@ -151,10 +151,7 @@ def block_feed(
 
 
 def event_feed(matches: DataFrame, lineups: DataFrame, about: DataFrame, sums: list[str] | None = None) -> DataFrame:
-    """Match events and line-ups to player-seasons, in the order of league, season and minutes.
-
-    ``about``: match_id, player_id, league, season, player, nationality, team, possession, positions (map of position to minutes), started.
-    """
+    """Match events and line-ups to player-seasons; ``about``: match_id, player_id, league, season, player, nationality, team, possession of whoever was in a match."""
     per = events.player_matches(matches, lineups)
     sums = sums if sums is not None else [c for c, t in per.dtypes if t == "double" and c != "minutes"]
     return events.player_seasons(per.join(about, ["match_id", "player_id"]), [c for c in sums if c in per.columns])

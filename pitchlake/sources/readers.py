@@ -35,6 +35,7 @@ EVENT = _struct(
     **{
         "pass": _struct(
             end_location=_point, length=T.DoubleType(), outcome=_name, recipient=_person, cross=_flag, switch=_flag, through_ball=_flag, shot_assist=_flag, goal_assist=_flag, aerial_won=_flag,
+            technique=_name,
         )
     },
     carry=_struct(end_location=_point), shot=_struct(statsbomb_xg=T.DoubleType(), key_pass_id=T.StringType(), type=_name, outcome=_name, end_location=_point, aerial_won=_flag),
