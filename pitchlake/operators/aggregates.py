@@ -48,6 +48,13 @@ def most_frequent(df: DataFrame, key: list[str], value: str) -> DataFrame:
     return per.groupBy(*key).agg(F.min_by(value, first).alias(value), F.max("n").alias("n"), F.max("share").alias("share"))
 
 
+def value_counts(df: DataFrame, group: str, value: str) -> DataFrame:
+    """(group, value, n, share): how often each value occurs in each group; nulls are a value."""
+    per = df.groupBy(group, value).agg(F.count("*").alias("n"))
+    whole = per.groupBy(F.col(group).alias("_g")).agg(F.sum("n").alias("_n"))
+    return per.join(whole, F.col(group).eqNullSafe(F.col("_g"))).select(group, value, "n", (F.col("n") / F.col("_n")).alias("share"))
+
+
 def drop_stale_seasons(block: DataFrame, reference: DataFrame, key: list[str], minutes: str, season: str, least: float = 0.95) -> DataFrame:
     """Without seasons whose minutes, over rows that both tables have, are under 95 % of the reference's."""
     both = block.select(*key, F.col(minutes).alias("_mine")).join(reference.select(*key, F.col(minutes).alias("_all")), key)

@@ -118,7 +118,7 @@ def price_line(df: DataFrame, performance: str, price: str, group: str) -> DataF
         F.regr_slope("_y", performance).alias("_slope"), F.regr_intercept("_y", performance).alias("_at0"), F.count("*").alias("_n"), (F.max(performance) - F.min(performance)).alias("_range")
     )
     line = line.where((F.col("_n") >= LINE_PLAYERS) & (F.col("_range") > 1e-9)).select(group, "_slope", "_at0")
-    fitted = known.join(F.broadcast(line), group, "left").withColumn("value_residual", F.col("_y") - (F.col("_at0") + F.col("_slope") * F.col(performance)))
+    fitted = known.join(line, group, "left").withColumn("value_residual", F.col("_y") - (F.col("_at0") + F.col("_slope") * F.col(performance)))
     ranked = rank_share_of_all(fitted, "value_residual", "_share")
     return ranked.withColumn("value_residual_pct", round_even((1 - F.col("_share")) * 100, 1)).drop("_y", "_slope", "_at0", "_share")
 

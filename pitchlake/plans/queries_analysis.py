@@ -280,7 +280,7 @@ def squad_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = scored(spark, sf_dir)
     clubs = rows.groupBy("team", "league", "season").agg((F.sum(F.col("cat_attack") * F.col("minutes")) / F.sum("minutes")).alias("attack"))
     league = rows.groupBy("league", "season").agg(F.median("cat_attack").alias("mid"))
-    return clubs.join(F.broadcast(league), ["league", "season"]).select("team", "season", round_even(F.col("attack"), 3).alias("attack"), round_even(F.col("mid"), 3).alias("league_median"))
+    return clubs.join(league, ["league", "season"]).select("team", "season", round_even(F.col("attack"), 3).alias("attack"), round_even(F.col("mid"), 3).alias("league_median"))
 
 
 @query("trajectory", f"WITH {PS} SELECT player_id, season, shots, CAST(row_number() OVER (PARTITION BY player_id ORDER BY season) AS INT) AS step FROM ps QUALIFY COUNT(*) OVER (PARTITION BY player_id) >= 2")
