@@ -152,7 +152,7 @@ def _unpacked(z: pa.Scalar) -> bytes:
     return pa.Codec("zstd").decompress(data[8:], size, asbytes=True) if size else b""
 
 
-def _fetched(packed: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
+def _fetched(packed: DataFrame, wanted: DataFrame, length: int, scratch: common.Scratch) -> DataFrame:
     """(h, c, o, b, n, s): ``wanted`` (h, c, o, b, n, t, l) with its bytes, cut from the text that it is from."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,7 +166,7 @@ def _fetched(packed: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                         out.append((w["h"], w["c"], w["o"], w["b"], w["n"], bytes(s)))
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(list(zip(*out, strict=True)) or [[]] * 6, _KINDS, strict=True)], _NAMES)
 
-    lists = wanted.groupBy("t").agg(F.collect_list(F.struct("h", "c", "o", "b", "n", "l")).alias("of_text"))  # those of one text
+    lists = scratch.write(wanted.groupBy("t").agg(F.collect_list(F.struct("h", "c", "o", "b", "n", "l")).alias("of_text")), "wanted")  # those of one text
     return packed.join(lists, "t").select("z", "of_text").mapInArrow(cut, _SCHEMA).groupBy("h", "c").agg(*[F.first(x).alias(x) for x in _NAMES[2:]])
 
 
@@ -330,8 +330,8 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, mos
     live = scratch.write(found.join(shared, "h", "left_semi"), "live")
     classes = live.groupBy("h", "c", "o", "b").agg(F.sum("n").alias("n"), F.min(F.struct("t", "l")).alias("first"))
     classes = scratch.write(classes.select("h", "c", "o", "b", "n", "first.t", "first.l"), "classes")
-    several = classes.groupBy("h").agg(F.count("*").alias("g")).where("g > 1").select("h")
-    contexts = scratch.write(_fetched(_packed(long, doc_id, text), classes.join(several, "h", "left_semi"), length), "contexts")
+    several = scratch.write(classes.groupBy("h").agg(F.count("*").alias("g")).where("g > 1").select("h"), "several")
+    contexts = scratch.write(_fetched(_packed(long, doc_id, text), classes.join(several, "h", "left_semi"), length, scratch), "contexts")
     whole = classes.where("n > 1").select("h", "c", F.array(F.struct(F.lit(0).alias("f"), F.col("b").alias("e"))).cast(_RANGES_SQL).alias("r"))
     covered = whole.unionByName(_covered(contexts, length, places, most, scratch)).groupBy("h", "c").agg(F.flatten(F.collect_list("r")).alias("r"))  # a few ranges of one context
     marks = live.select("t", "h", "c").join(covered, ["h", "c"]).groupBy("t", "h", "c").agg(F.first("r").alias("r"))
