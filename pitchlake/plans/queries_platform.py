@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.numbers import round_even
-from ..operators import aggregates, assembly, joins, models, positions, ranking, recruit
+from ..operators import aggregates, assembly, joins, models, naming, positions, ranking, recruit
 from ..platform import Platform
 from ..scratch import held
 from ..sources import feeds, readers
@@ -380,3 +380,79 @@ def club_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words that tell clubs apart."""
     met = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     return met.select("n_nationkey", F.array_join(F.array_sort(X.club_tokens(F.concat(F.lit("FC "), _letters(F.col("n_nationkey")), F.lit(" A "), "r_name"))), " ").alias("tokens"))
+
+
+@query(
+    "figures",
+    "SELECT l_orderkey, l_linenumber, CASE WHEN l_extendedprice >= 100 THEN format('{:,.0f}', l_extendedprice) WHEN l_extendedprice >= 10 THEN format('{:.1f}', l_extendedprice) ELSE format('{:.2f}', l_extendedprice) END AS price, format('{:.2f}', l_discount) AS discount FROM lineitem",
+)
+def figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers as a reader wants them: more digits the smaller they are."""
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", naming.figure(F.col("l_extendedprice")).alias("price"), naming.figure(F.col("l_discount")).alias("discount"))
+
+
+@query(
+    "market_value_texts",
+    "SELECT o_orderkey, CASE WHEN v >= 1e6 THEN '€' || format('{:.1f}', v / 1e6) || 'm' WHEN v >= 1e3 THEN '€' || format('{:.0f}', v / 1e3) || 'k' ELSE '€' || format('{:.0f}', v) END AS text FROM (SELECT o_orderkey, floor(o_totalprice * (o_orderkey % 7)) + 0.25::DOUBLE AS v FROM orders)",
+)
+def market_value_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select("o_orderkey", X.market_value(F.floor(F.col("o_totalprice") * (F.col("o_orderkey") % 7)) + 0.25).alias("text"))
+
+
+@query(
+    "squad_rows",
+    "SELECT n_name AS club, c_custkey * 2 + i AS tm_id, c_name AS player, CASE WHEN c_custkey % 2 = 0 THEN 181.0::DOUBLE ELSE 190.0 END AS height_cm, c_mktsegment AS nationality, c_acctbal * 1e6 AS market_value_eur FROM customer JOIN nation ON c_nationkey = n_nationkey, range(2) r(i)",
+)
+def squad_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of nested squad payloads; heights in millimetres or centimetres."""
+    met = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    one = lambda i: F.struct(
+        (F.col("c_custkey") * 2 + i).alias("id"), F.col("c_name").alias("name"), F.when(F.col("c_custkey") % 2 == 0, 1810.0).otherwise(190.0).alias("height"), F.array("c_mktsegment", F.lit("x")).alias("nationality"), F.col("c_acctbal").alias("value")
+    )
+    return readers.squad_rows(met.select(F.col("n_name").alias("club"), F.lit("2025").alias("season"), F.array(one(0), one(1)).alias("players"))).drop("season")
+
+
+@query("cheaper_alternatives", f"WITH {POOL} SELECT p.row_key FROM pv p, me WHERE p.row_key <> me.row_key AND p.age <= me.age - 2 AND p.cat_attack < me.cat_attack")
+def cheaper_alternatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Younger players of weaker leagues than somebody's; a category stands for the league's strength."""
+    p = platform(spark, sf_dir)
+    rows = p.pool.withColumn("league_strength", F.col("cat_attack"))
+    one = rows.join(p.row(*_somebody(p)).select("row_key"), "row_key")
+    return recruit.cheaper_alternatives(rows, one, "row_key", 2.0, True).select("row_key")
+
+
+@query("external_ids", "SELECT DISTINCT p_name AS player, 'X' || lpad(CAST(dense_rank() OVER (ORDER BY p_name) - 1 AS VARCHAR), 5, '0') AS player_id, 50.0::DOUBLE AS team_possession, 1 AS league_tier FROM part")
+def external_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Somebody's own table: columns renamed, defaults filled in, ids by the order of names."""
+    rows = table(spark, sf_dir, "part").select(F.col("p_name").alias("Name"), *[F.lit("x").alias(c) for c in ("position", "team", "league", "season")], F.lit(1.0).alias("minutes"), F.lit(20.0).alias("age"))
+    return readers.external_table(rows, {"Name": "player"}).select("player", "player_id", "team_possession", "league_tier").distinct()
+
+
+@query("season_identity", f"WITH {PS} SELECT CAST(player_id AS VARCHAR) AS player_id, team, CAST(season AS VARCHAR) AS season, mins::DOUBLE AS minutes, shots, NULL::DOUBLE AS unheard FROM ps")
+def season_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A written season table read with its identity columns and statistics, of which it lacks one."""
+    once = held(player_seasons(spark, sf_dir))
+    return readers.season_table(spark, once.inputFiles()[0].rsplit("/", 1)[0], ["shots", "unheard"]).select("player_id", "team", "season", "minutes", "shots", "unheard")
+
+
+@query(
+    "fantasy_feed",
+    """WITH e AS (SELECT c_custkey AS id, 1990 + c_custkey % 3 + s AS y, c_nationkey AS t, 20 + c_custkey % 900 AS mins, c_custkey % 20 AS goals, c_name FROM customer, range(2) r(s)), w AS (SELECT o_custkey AS id, n_name AS team, COUNT(*) AS matches, SUM(o_orderkey % 90 + 1) AS m FROM orders JOIN nation ON o_orderkey % 25 = n_nationkey GROUP BY ALL),
+    a AS (SELECT id, SUM(matches) AS matches, COUNT(DISTINCT team) AS clubs, arg_min(team, (-m, team)) AS team FROM w GROUP BY id)
+    SELECT e.id, y || '-' || lpad(CAST((y + 1) % 100 AS VARCHAR), 2, '0') AS season, CASE WHEN y = 1991 THEN COALESCE(a.team, n_name) ELSE n_name END AS team, CAST(CASE WHEN y = 1991 THEN COALESCE(matches, 0) ELSE 0 END AS BIGINT) AS matches, CAST(CASE WHEN y = 1991 THEN COALESCE(clubs, 1) ELSE 1 END AS BIGINT) AS clubs, goals::DOUBLE AS goals
+    FROM e JOIN nation ON t = n_nationkey LEFT JOIN a USING (id)""",
+)
+def fantasy_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fantasy game's exports of several seasons with the appearances of one of them."""
+    t = lambda name: table(spark, sf_dir, name)
+    k = F.col("c_custkey")
+    rows = t("customer").withColumn("y", F.explode(F.array(1990 + k % 3, 1991 + k % 3))).select(
+        k.cast("string").alias("id"), F.col("c_name").alias("first_name"), F.lit("").alias("second_name"), F.col("c_nationkey").cast("string").alias("team"), F.lit("3").alias("element_type"), F.lit("55").alias("now_cost"), k.cast("string").alias("code"),
+        (20 + k % 900).cast("string").alias("minutes"), (k % 20).cast("string").alias("goals_scored"), "y",
+    )
+    exports = {f"{y}-{(y + 1) % 100:02d}": rows.where(F.col("y") == y).drop("y") for y in (1990, 1991, 1992, 1993)}
+    o = t("orders").join(t("nation"), F.col("o_orderkey") % 25 == F.col("n_nationkey"))
+    weeks = o.select(F.col("o_custkey").alias("element"), F.col("n_name").alias("team"), (F.col("o_orderkey") % 90 + 1).alias("minutes"))
+    teams = t("nation").select(F.explode(F.array(*[F.lit(s) for s in exports])).alias("season"), F.col("n_nationkey").alias("team"), F.col("n_name").alias("team_name"))
+    out, _ = feeds.fantasy_feed(exports, {"1991-92": weeks}, teams, {"goals_scored": "goals", "minutes": "minutes", "code": "code"}, {3: "MID"})
+    return out.select(F.substring("player_id", 4, 20).cast("long").alias("id"), "season", "team", F.col("matches").cast("long").alias("matches"), F.col("clubs_in_season").cast("long").alias("clubs"), "goals")
