@@ -45,14 +45,13 @@ class Matrix:
         now = ids.astype(np.uint32 if bits > 16 else np.uint16)
         planes, ones, zeros = [], [], []
         for b in range(bits - 1, -1, -1):
-            bit = (now >> b) & 1
-            plane = np.packbits(bit.astype(np.uint8), bitorder="little")
+            up = (now & now.dtype.type(1 << b)) != 0
+            plane = np.packbits(up, bitorder="little")
             planes.append(plane)
             ones.append(_before(plane))
-            up = bit.astype(bool)
-            low = now[~up]
+            low = np.compress(~up, now)
             zeros.append(len(low))
-            now = np.concatenate([low, now[up]])
+            now = np.concatenate([low, np.compress(up, now)])
         return cls(len(ids), planes, ones, zeros)
 
     def _ones(self, level: int, i: int) -> int:
@@ -119,10 +118,10 @@ class Matrix:
         """All ids in order."""
         now = np.zeros(self.n, np.uint32)
         for level in range(len(self.zeros) - 1, -1, -1):
-            up = np.unpackbits(self.planes[level], count=self.n, bitorder="little").astype(bool)
+            up = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
             out = np.empty_like(now)
-            out[~up] = now[: self.zeros[level]]
-            out[up] = now[self.zeros[level] :] | np.uint32(1 << (len(self.zeros) - 1 - level))
+            out[np.flatnonzero(~up)] = now[: self.zeros[level]]
+            out[np.flatnonzero(up)] = now[self.zeros[level] :] | np.uint32(1 << (len(self.zeros) - 1 - level))
             now = out
         return now
 
