@@ -1,10 +1,12 @@
 """Secrets in texts: fixed rules, and formats learned by grammar inference.
 
 For each credential format, a prefix tree is built from labelled examples; states whose counts are statistically compatible
-(Hoeffding's bound, in all that follows them) are merged into a probabilistic automaton. Labelled are the public formats'
-examples and values that the fixed rules confirm in the documents themselves. Every run of credential characters is then read
-once by all automata beside a model of ordinary text, the pairs of characters counted over all documents: the spans of a run
-that the automata make likeliest against it, by enough, are its credentials.
+(Hoeffding's bound, in all that follows them) are merged into a probabilistic automaton. As merging forgets how long the examples
+were, an automaton keeps the law of their lengths beside its states, which decides where a credential ends whose alphabet holds
+separators. Labelled are the public formats' examples and values that the fixed rules confirm in the documents themselves. Every
+run of credential characters is then read once by all automata beside a model of ordinary text, the pairs of characters counted
+over all documents: the spans of a run that the automata make likeliest against it, by enough, are its credentials. What no
+example is near in length has no likelihood, so runs shorter than every example need not be read.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "format")
-#: Every access, hex and format span lies in one of these runs.
+#: Every access and hex span lies in one of these runs.
 RUN = re.compile(r"[A-Za-z0-9+/_=.-]{16,}")
 #: Where a credential may begin after, or end before, within a run; it may begin with what all examples of a format begin with, too.
 BREAKS = frozenset("+/_=.-")
@@ -39,10 +41,13 @@ RATIO, RATIO_EACH = 12.0, 0.25
 #: Confidence of the merging test; how many observations a character's overall share stands for at each state; probability of a
 #: character that an automaton never saw.
 ALPHA, SHARED, UNSEEN = 0.05, 4.0, 1e-9
-#: How far a reading may fall behind before it is given up, as a log-ratio: no more can be won back by a format's certain prefix.
+#: How far a reading may fall behind before it is given up, as a log-ratio.
 BEHIND = 45.0
-#: Confirmed values of each base kind that are learned from, at most: those of least hash.
-CONFIRMED = 200
+#: Share of the length law that is even over all lengths up to twice the longest example; half width, as a share of the examples' range, that
+#: an example's length stands for.
+ANY_LENGTH, LENGTH_SPREAD = 0.02, 0.125
+#: Confirmed values of each base kind that are learned from, at most: those of least hash; characters that they have at least.
+CONFIRMED, CONFIRMED_LENGTH = 200, 16
 #: Weight of fixed shares of characters beside what is counted, in the model of ordinary text: words that the documents lack are ordinary too.
 PRIOR = 0.3
 
@@ -92,11 +97,12 @@ class Automaton:
             for c in text:
                 seen[c] = seen.get(c, 0) + 1
         share = {c: n / sum(seen.values()) for c, n in seen.items()}
-        self.log = {}
+        #: For each state the log-probability of each character, if one follows, and the state after it.
+        self.read = {}
         for s in self.kept:
-            weight = self.passes[s] + SHARED
-            self.log[s] = {c: math.log((self.flow.get((s, c), 0) + SHARED * p) / weight) for c, p in share.items()}
-            self.log[s][""] = math.log(max(self.ends[s], 0.01) / weight)
+            weight = self.passes[s] - self.ends[s] + SHARED
+            self.read[s] = {c: (math.log((self.flow.get((s, c), 0) + SHARED * p) / weight), self.next[s].get(c, s)) for c, p in share.items()}
+        self.ends_at, self.goes_on = length_law([len(x) for x in examples])
 
     def _merge(self) -> None:
         # How often each edge was taken; in a tree, as often as its target was passed.
@@ -109,7 +115,8 @@ class Automaton:
             new = self.next[source][c]
             if new in self.kept:
                 continue
-            into = next((s for s in self.kept if self._compatible(s, new)), None)
+            # Of the states that could be it, that which makes what follows likeliest: few observations are compatible with many.
+            into = max((s for s in self.kept if self._compatible(s, new)), key=lambda s: self._likelihood(s, new), default=None)
             if into is None:
                 self.kept.append(new)
             else:
@@ -118,6 +125,11 @@ class Automaton:
             known = set(self.kept)
             border = [(s, x) for s in self.kept for x in sorted(self.next[s]) if self.next[s][x] not in known]
 
+    def _likelihood(self, s: int, new: int) -> float:
+        weight = self.passes[s] + SHARED
+        ending = self.ends[new] * math.log((self.ends[s] + SHARED / 64) / weight)
+        return ending + sum(self.flow[new, c] * math.log((self.flow.get((s, c), 0) + SHARED / 64) / weight) for c in self.next[new])
+
     def _differ(self, a: int, n: int, b: int, m: int) -> bool:
         return abs(a / n - b / m) > self.bound * (1 / math.sqrt(n) + 1 / math.sqrt(m))
 
@@ -153,6 +165,23 @@ class Automaton:
                     self.next[s][c] = target
 
 
+def length_law(lengths: list[int]) -> tuple[list[float], list[float]]:
+    """(log-probability of ending at each length, of going on from there), from 0 to twice the longest; each given that it was reached."""
+    longest = 2 * max(lengths)
+    half = math.ceil((max(lengths) - min(lengths)) * LENGTH_SPREAD)
+    law = [0.0] + [ANY_LENGTH / longest] * longest
+    for n in lengths:
+        near = range(max(1, n - half), n + half + 1)
+        for k in near:
+            law[k] += (1 - ANY_LENGTH) / len(lengths) / len(near)
+    left, ends_at, goes_on = sum(law), [], []
+    for p in law:
+        ends_at.append(math.log(p / left) if p else -math.inf)
+        left -= p
+        goes_on.append(math.log(left / (left + p)) if left > 1e-12 else -math.inf)
+    return ends_at, goes_on
+
+
 CHARACTERS = _LOWER + _UPPER + _DIGITS + "+/_=.-"
 #: 0: what is no character of a run.
 _CLASS = np.zeros(256, np.uint8)
@@ -206,51 +235,51 @@ class Formats:
         examples = [list(v) for _, v in sorted(labelled.items()) if v]
         self.automata = [Automaton(v) for v in examples]
         self.ordinary = _ordinary(counts)
-        #: What is shorter than every example is no candidate.
+        #: Runs that may hold a candidate: none is shorter than every example.
         self.shortest = min((len(x) for v in examples for x in v), default=0)
+        self.run = re.compile(r"[A-Za-z0-9+/_=.-]{%d,}" % max(self.shortest, 1))
         #: Characters that a credential may begin with in the midst of a run, where no separator is before them.
         self.prefixes = tuple(sorted({p for v in examples if len(p := _common_prefix(v)) >= 3}))
 
-    def spans(self, run: str, start: int, end: int) -> list[tuple[int, int, float]]:
-        """(start, end, log-ratio) of the spans between ``start`` and ``end`` that together are likeliest to be credentials.
+    def spans(self, run: str) -> list[tuple[int, int, float]]:
+        """(start, end, log-ratio) of the spans of a run that together are likeliest to be credentials.
 
-        One reading: at each place, each state of an automaton keeps its best beginning. A span must win ``RATIO`` and
-        ``RATIO_EACH`` for each character, so that those chosen are the ones of the largest total.
+        One reading: at each place, each state of an automaton keeps the beginnings that are not far behind, as how a credential ends goes by
+        where it began. A span must win ``RATIO`` and ``RATIO_EACH`` for each character, so that those chosen are the ones of the largest total.
         """
         best, back = [0.0], [None]  # of what lies before each place: the total won, the last span
-        readings: dict[tuple[int, int], tuple[float, int]] = {}
+        readings: dict[tuple[int, int, int], float] = {}
         unseen, found = math.log(UNSEEN), []
-        for at in range(start, end):
-            c = run[at]
-            if at == start or run[at - 1] in BREAKS or (c not in BREAKS and run.startswith(self.prefixes, at)):
+        for at, c in enumerate(run):
+            if not at or run[at - 1] in BREAKS or (c not in BREAKS and run.startswith(self.prefixes, at)):
                 for k in range(len(self.automata)):
-                    if (k, 0) not in readings or readings[k, 0][0] < best[-1] - RATIO:
-                        readings[k, 0] = (best[-1] - RATIO, at)
+                    readings[k, 0, at] = best[-1] - RATIO
             cost = self.ordinary[run[at - 1] if at and run[at - 1] in self.ordinary else ""][c] + RATIO_EACH
-            moved: dict[tuple[int, int], tuple[float, int]] = {}
+            moved: dict[tuple[int, int, int], float] = {}
             least = best[-1] - RATIO - BEHIND
-            for (k, state), (won, begun) in readings.items():
+            for (k, state, begun), won in readings.items():
                 automaton = self.automata[k]
-                won += automaton.log[state].get(c, unseen) - cost
-                if won >= least:
-                    to = (k, automaton.next[state].get(c, state))
-                    if to not in moved or moved[to][0] < won:
-                        moved[to] = (won, begun)
+                if at - begun >= len(automaton.goes_on):
+                    continue
+                log, to = automaton.read[state].get(c) or (unseen, state)
+                won += log + automaton.goes_on[at - begun] - cost
+                if won >= least and won > moved.get((k, to, begun), -math.inf):
+                    moved[k, to, begun] = won
             readings = moved
             total, last = best[-1], None
-            if readings and (at + 1 == end or run[at + 1] in BREAKS or run.startswith(self.prefixes, at + 1)):
-                for (k, state), (won, begun) in readings.items():
-                    won += self.automata[k].log[state][""]
-                    if won > total and at + 1 - begun >= self.shortest:
-                        total, last = won, begun
+            if readings and (at + 1 == len(run) or run[at + 1] in BREAKS or run.startswith(self.prefixes, at + 1)):
+                for (k, _, begun), won in readings.items():
+                    ends_at = self.automata[k].ends_at
+                    if at + 1 - begun < len(ends_at) and won + ends_at[at + 1 - begun] > total:
+                        total, last = won + ends_at[at + 1 - begun], begun
             best.append(total)
             back.append(last)
-        at = end
-        while at > start:
-            if (begun := back[at - start]) is None:
+        at = len(run)
+        while at > 0:
+            if (begun := back[at]) is None:
                 at -= 1
             else:
-                found.append((begun, at, best[at - start] - best[begun - start] + RATIO + RATIO_EACH * (at - begun)))
+                found.append((begun, at, best[at] - best[begun] + RATIO + RATIO_EACH * (at - begun)))
                 at = begun
         return found[::-1]
 
@@ -281,24 +310,16 @@ def base_spans(text: str) -> list[tuple[str, int, int, str]]:
 
 
 def spans(text: str, formats: Formats) -> list[tuple[str, int, int, float]]:
-    """(kind, start, end, score), by start, then kind as in KINDS; base kinds score 1. Format spans lie beside base ones."""
-    base = base_spans(text)
-    found = [(kind, s, e, 1.0) for kind, s, e, _ in base]
-    for run in RUN.finditer(text):
-        if run.end() - run.start() < formats.shortest:
-            continue
-        at = run.start()
-        bounds = sorted((s, e) for _, s, e, _ in base if s < run.end() and run.start() < e)
-        for s, e in [*bounds, (run.end(), run.end())]:
-            if s - at >= formats.shortest:
-                found += [("format", a, b, score) for a, b, score in formats.spans(text, at, s)]
-            at = max(at, e)
+    """(kind, start, end, score), by start, then kind as in KINDS; base kinds score 1. All runs are read whole, so a format span may lie in a base one or reach over it."""
+    found = [(kind, s, e, 1.0) for kind, s, e, _ in base_spans(text)]
+    if formats.automata:
+        found += [("format", run.start() + a, run.start() + b, score) for run in formats.run.finditer(text) for a, b, score in formats.spans(run[0])]
     found.sort(key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
     return found
 
 
-def confirmed_credentials(docs: DataFrame, each: int = CONFIRMED, *, text: str = "text") -> dict[str, list[str]]:
-    """Values that the fixed rules confirm in the documents, by kind; at most ``each`` of a kind, those of least hash."""
+def confirmed_credentials(docs: DataFrame, each: int = CONFIRMED, least: int = CONFIRMED_LENGTH, *, text: str = "text") -> dict[str, list[str]]:
+    """Values that the fixed rules confirm in the documents, by kind: at most ``each`` of a kind, those of least hash, of ``least`` characters and more."""
     common.ship(docs.sparkSession)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,7 +328,7 @@ def confirmed_credentials(docs: DataFrame, each: int = CONFIRMED, *, text: str =
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.string()) for k in (0, 1)], ["kind", "value"])
 
     # A value is a label by the rule that names it, not by its shape alone.
-    values = docs.select(F.col(text).alias("text")).mapInArrow(find, "kind string, value string").where("length(value) >= 16").distinct()
+    values = docs.select(F.col(text).alias("text")).mapInArrow(find, "kind string, value string").where(F.length("value") >= least).distinct()
     chosen = [values.where(F.col("kind") == k).orderBy(F.xxhash64("value"), "value").limit(each) for k in BASE]
     out: dict[str, list[str]] = {}
     for r in chosen[0].union(chosen[1]).union(chosen[2]).collect():  # ``each`` of a kind at most
@@ -315,15 +336,16 @@ def confirmed_credentials(docs: DataFrame, each: int = CONFIRMED, *, text: str =
     return out
 
 
-def find_secrets(docs: DataFrame, labelled: dict[str, list[str]] | None = None, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def find_secrets(docs: DataFrame, labelled: dict[str, list[str]] | None = None, each: int = CONFIRMED, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and spans (array of kind, start, end in code points, end exclusive, score) for each row.
 
     ``labelled``: credentials by format to learn from (bounded: it is sent to every task); by default the public formats, and what
-    the fixed rules confirm in ``docs``. Null and empty texts have no spans; null ids and repeated rows are kept. Other columns are ignored.
+    the fixed rules confirm in ``docs``, ``each`` of a kind at most. Null and empty texts have no spans; texts and runs of any length are read whole; null ids and
+    repeated rows are kept. Other columns are ignored.
     """
     common.ship(docs.sparkSession)
     if labelled is None:
-        labelled = labelled_credentials() | confirmed_credentials(docs, text=text)
+        labelled = labelled_credentials() | confirmed_credentials(docs, each, text=text)
     examples = tuple((k, tuple(sorted(v))) for k, v in sorted(labelled.items()) if v)
     shortest = min((len(x) for _, v in examples for x in v), default=0)
     counts = pair_counts(docs, text, max(shortest - 1, 0)).tobytes()
