@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
+from .resampling import ranked
 
 #: Random turns of the space, and blocks of each.
 TABLES, BLOCKS = 16, 2
@@ -222,7 +223,8 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, *, vec_id: str = "vec_i
     """vec_id, n_links, component_id, kept for each row of ``vectors``; a link is a pair of one length found with cosine >= ``least``.
 
     Vectors that are null, zero, or hold null or non-finite parts, link with nothing; those of different lengths not with each other.
-    Ids are long and taken as unique; rows with a null id link with nothing and get a null component. Other columns are ignored.
+    Ids are long. Rows that share one are vectors of their own: those with equal vectors count each other as links, and the component of
+    each goes by its own vector. Rows with a null id link with nothing and get a null component. Other columns are ignored.
     """
     spark = vectors.sparkSession
     common.ship(spark)
@@ -232,6 +234,11 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, *, vec_id: str = "vec_i
     fine = F.coalesce(fine, F.lit(False))
     good = rows.where(fine).withColumn("h", F.xxhash64("x")).withColumn("g", F.xxhash64(F.lit(1), "x"))
     classes = scratch.write(good.groupBy("h", "g").agg(F.min("vec_id").alias("a"), F.count("*").alias("copies"), F.first("x").alias("x")).withColumn("d", F.size("x")), "classes")
+    # Unlike vectors of one id are nodes of their own: then nodes are numbered in the order of ids.
+    shared = not classes.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    if shared:
+        classes = scratch.write(ranked(classes.withColumnRenamed("a", "id"), [F.col("id"), F.col("h"), F.col("g")], scratch).withColumnRenamed("rank", "a"), "numbered")
+    names = classes.select(F.col("a").alias("component"), (F.col("id") if shared else F.col("a")).alias("component_id"))
     lengths = {r["d"]: r["count"] for r in classes.groupBy("d").count().where("count > 1").collect()}  # the lengths that occur
     caps = {d: (w := code_words(n, tables, d), _code(d, tables, w).cap(least, missed)) for d, n in sorted(lengths.items())}
     posts = scratch.write(_postings(classes.where(F.col("d").isin(*caps)) if caps else classes.limit(0), caps, tables), "postings")
@@ -248,8 +255,9 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, *, vec_id: str = "vec_i
         classes.select("h", "g", "a", "copies")
         .join(met.select("a", "links"), "a", "left")
         .join(component, F.col("a") == F.col("node"), "left")
-        .select("h", "g", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "a").alias("component_id"))
+        .select("h", "g", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "a").alias("component"))
     )
+    of_class = of_class.join(names, "component") if shared else of_class.withColumnRenamed("component", "component_id")
     # A class may hold any share of all rows; they meet it in parts.
     keyed = good.select("vec_id", "h", "g").withColumn("_s", F.pmod(F.xxhash64("vec_id"), F.lit(common.SALTS)).cast("int"))
     linked = keyed.join(keyed.select("h", "g", "_s").distinct().join(of_class, ["h", "g"]), ["h", "g", "_s"]).select("vec_id", "n_links", "component_id")

@@ -88,7 +88,9 @@ class Model:
         """Weighted share of label 1 among the nearest neighbours of each row of terms."""
         near = self.latent(x) @ self.vectors.T
         k = min(NEIGHBOURS, near.shape[1])
-        at = np.argpartition(-near, k - 1, axis=1)[:, :k]
+        # Of neighbours as near as each other to six digits, those first in the sample.
+        order = np.arange(near.shape[1]) * 1e-11 - np.round(near.astype(np.float64), 6)
+        at = np.argpartition(order, k - 1, axis=1)[:, :k]
         w = np.clip(np.take_along_axis(near, at, axis=1), 0, 1).astype(np.float64) ** SHARPNESS
         total = (w * self.mass[at]).sum(axis=1)
         return np.where(total > 0, (w * self.votes[at]).sum(axis=1) / np.where(total > 0, total, 1), self.prior)
@@ -125,9 +127,12 @@ def fit(texts: list[str | None], labels: list[int], shares: dict[int, float], la
 
 
 def sample(docs: DataFrame, labels: DataFrame, *, doc_id: str, text: str, label: str, per_class: int) -> tuple[list, list, dict[int, float]]:
-    """At most ``per_class`` training documents of each label (those of least hash), and the shares of the labels."""
+    """At most ``per_class`` training documents of each label (those of least hash), and the shares of the labels.
+
+    An id with two labels counts as 0; of an id's several texts that of least hash is learned from.
+    """
     usable = labels.select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_y")).where("_id IS NOT NULL AND _y IN (0, 1)")
-    usable = usable.where(~held_out("_id")).dropDuplicates(["_id"])
+    usable = usable.where(~held_out("_id")).groupBy("_id").agg(F.min("_y").alias("_y"))
     counts = {r["_y"]: r["count"] for r in usable.groupBy("_y").count().collect()}
     chosen = None
     for y in sorted(counts):
@@ -136,7 +141,8 @@ def sample(docs: DataFrame, labels: DataFrame, *, doc_id: str, text: str, label:
     if chosen is None:
         return [], [], {}
     texts = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
-    rows = texts.join(F.broadcast(chosen), "_id").dropDuplicates(["_id"]).select("_id", "_text", "_y").collect()  # at most 2 * per_class
+    least = F.min(F.struct(F.xxhash64("_text").alias("h"), F.col("_text").alias("t"))).alias("least")
+    rows = texts.join(F.broadcast(chosen), "_id").groupBy("_id", "_y").agg(least).select("_id", F.col("least.t").alias("_text"), "_y").collect()  # at most 2 * per_class
     rows.sort(key=lambda r: r["_id"])
     total = sum(counts.values())
     return [r["_text"] for r in rows], [r["_y"] for r in rows], {y: n / total for y, n in counts.items()}
@@ -172,7 +178,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id"
 
     Learned from labelled documents that aren't held out. Null and empty texts have no terms and get the share of label 1 among all
     labelled documents. Labels that are null or neither 0 nor 1, and of ids without a document, teach nothing; with none left, each
-    score is 0.5. Rows with a null id aren't held out. Other columns are ignored.
+    score is 0.5. Rows with a null id aren't held out. An id with two labels teaches the label 0, one with several texts that of least
+    hash; each of its rows is scored by its own text. Whole texts of any length are scored. Other columns are ignored.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(held_out(doc_id), F.lit(False)).alias("held_out"), F.col(text).alias("text"))
     labelled = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).alias("label"))
