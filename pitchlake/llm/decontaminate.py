@@ -331,7 +331,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
     """doc_id, item_id, found, windows, similarity, kind for each document and item in it; ``_key``, a hash of the text, tells rows with one id apart.
 
     kind: 'verbatim' if all slots hold the item's own values, else 'reparameterised'. Windows count once. An item of fewer than five tokens is
-    one window. Null or blank texts on either side hold nothing. Equal rows give one row. Null ids are kept. No rows on a side, none out.
+    one window. Null or blank texts on either side hold nothing. Of variants with the same share of windows the one that replaces least counts.
+    Whole texts of any length are searched. Equal rows give one row. Null ids are kept. No rows on a side, none out.
     """
     spark = docs.sparkSession
     common.ship(spark)

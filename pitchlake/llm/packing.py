@@ -114,7 +114,8 @@ def pieces(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str = "t
 def pack(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str = "text", room: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
     """The pieces with sequence_id and offset (both from 0 without gaps).
 
-    Null and empty texts are the end id alone. Null ids and repeated rows are packed like others. No rows in, none out.
+    Null and empty texts are the end id alone; texts of any length are cut into pieces of a sequence's length. Null ids and repeated rows are
+    packed like others; pieces of one length are dealt by their rank, which any order of equal rows gives. No rows in, none out.
     """
     spark = docs.sparkSession
     scratch = common.Scratch(spark, "packing")

@@ -32,7 +32,7 @@ SPELT = r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]++\x20?(?:\(at\)|\[at\])\x20?[a-z0-
 HANDLE = r"(?<!\S)[^\s0-9@]*+@[^\s0-9]*+(?!\S)"
 #: Digits of what a pattern may find, as shares of the fewest and the most that the kind's known values have.
 FEWEST, MOST = 0.6, 1.4
-#: Distinct known values that a pattern needs, its share of them, and an instance's score.
+#: Distinct known values that a pattern needs (so that a few chance ones prove nothing, whatever the table's size), its share of them, and an instance's score.
 SUPPORT, CONFIDENCE, ACCEPT = 10, 0.8, 0.9
 #: Words before an entity that patterns are made of.
 BEFORE = 3
@@ -118,7 +118,7 @@ def _spans(docs: DataFrame) -> DataFrame:
     return placed.where(_holds()).select("doc_id", "h", "kind", "start", "end", "value", "before", "after")
 
 
-def _discovered(spans: DataFrame, scratch: common.Scratch) -> DataFrame:
+def _discovered(spans: DataFrame, scratch: common.Scratch, support: int) -> DataFrame:
     """Spans (doc_id, h, kind, start, end) of candidates that high-confidence patterns find."""
     spark = spans.sparkSession
     earlier = Window.partitionBy("doc_id", "h").orderBy("start", "end", "kind").rowsBetween(Window.unboundedPreceding, -1)
@@ -145,14 +145,14 @@ def _discovered(spans: DataFrame, scratch: common.Scratch) -> DataFrame:
 
     # Groups and the like begin where a token does or have no digit, so a pattern's share counts tokens only.
     counted = edges.where("counts")
-    totals = counted.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= SUPPORT)
+    totals = counted.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= support)
     counted = scratch.write(counted.select("pattern", "value").join(totals, "pattern"), "counted")
     open_edges = scratch.write(alike(edges.where("seed IS NULL").crossJoin(F.broadcast(spark.createDataFrame([(k,) for k in KINDS], "kind string")))), "open")  # four rows
     known = scratch.write(edges.where("seed IS NOT NULL").select("value", F.col("seed").alias("kind")).distinct(), "known")
     new = known
     # What is known only grows, so this ends; as a rule after two or three turns.
     while True:
-        scored = counted.join(known, "value").groupBy("pattern", "kind", "n").agg(F.count("*").alias("k")).where((F.col("k") >= SUPPORT) & (F.col("k") >= CONFIDENCE * F.col("n")))
+        scored = counted.join(known, "value").groupBy("pattern", "kind", "n").agg(F.count("*").alias("k")).where((F.col("k") >= support) & (F.col("k") >= CONFIDENCE * F.col("n")))
         patterns = scratch.write(scored.select("pattern", "kind", (F.col("k") / F.col("n")).alias("confidence")), "patterns")
         # A product of chances, rounded, so that it doesn't hang on the order of its factors.
         doubt = F.round(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-6)))), 9)
@@ -168,10 +168,11 @@ def _discovered(spans: DataFrame, scratch: common.Scratch) -> DataFrame:
     return met.withColumn("reached", F.max("end").over(outer)).where(F.coalesce("reached", F.lit(0)) < F.col("end")).drop("reached")
 
 
-def find_pii(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", carry: bool = False) -> DataFrame:
+def find_pii(docs: DataFrame, support: int = SUPPORT, *, doc_id: str = "doc_id", text: str = "text", carry: bool = False) -> DataFrame:
     """doc_id and spans (array of kind, start, end; code points, end exclusive; by start, then kind) for each row of ``docs``.
 
-    Kinds: email, ip, card, phone by rule, and context_<kind> by context. Null and empty texts have no spans; null ids and repeated rows
+    Kinds: email, ip, card, phone by rule, and context_<kind> by context: patterns with ``support`` distinct known values and more; a table with
+    fewer teaches none. Whole texts of any length are searched. Null and empty texts have no spans; null ids and repeated rows
     are kept. Other columns are ignored. With ``carry``, all columns are kept and ``_spans`` is added instead, or replaced.
     """
     scratch = common.Scratch(docs.sparkSession, "pii")
@@ -181,7 +182,7 @@ def find_pii(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", car
     keyed = docs.select("*" if carry else F.col(doc_id).alias("doc_id"), *key)
     rows = docs.select(key[0].alias("doc_id"), key[1].alias("h"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     spans = scratch.write(_spans(rows), "spans")
-    all_spans = spans.where(F.col("kind").isin(*KINDS)).select("doc_id", "h", "kind", "start", "end").union(_discovered(spans, scratch))
+    all_spans = spans.where(F.col("kind").isin(*KINDS)).select("doc_id", "h", "kind", "start", "end").union(_discovered(spans, scratch, support))
     order = F.array_position(F.array(*[F.lit(k) for k in (*KINDS, *(f"context_{k}" for k in KINDS))]), F.col("kind"))
     per = all_spans.groupBy(F.col("doc_id").alias(key_name), F.col("h").alias(h_name)).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("start", order.alias("o"), "end", "kind"))), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias(found_name)

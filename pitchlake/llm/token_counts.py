@@ -63,7 +63,7 @@ def count_tokens(docs: DataFrame, path: str, *, text: str = "text") -> Column:
 def token_counts(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str = "text", limit: int = 512) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for each row of ``docs``.
 
-    Null text: 0 bytes and tokens. Null ids and repeated rows are kept as they are; other columns are ignored.
+    Null text: 0 bytes and tokens. Whole texts of any length are counted, a word at a time. Null ids and repeated rows are kept as they are; other columns are ignored.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"))
     return rows.select(
