@@ -9,7 +9,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numbers import clip, cosine, euclid, round_even  # noqa: F401  (cosine, euclid: for callers that compare vectors)
+from ..functions.numbers import clip, round_even
 from ..registry.metrics import BOUNDS
 from . import blocks
 from .clusters import Clusters, select_clusters

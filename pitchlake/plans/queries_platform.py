@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.numbers import round_even
+from ..functions.numbers import cosine, round_even
 from ..operators import aggregates, assembly, joins, models, naming, positions, ranking, recruit
 from ..platform import Platform
 from ..scratch import held
@@ -63,7 +63,7 @@ def platform_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = platform(spark, sf_dir)
     me = p.row(*_somebody(p)).select(F.col("row_key").alias("_me"), F.col("vector").alias("_v"), G, "season", "team")
     mates = p.pool.join(me, [G, "season", "team"]).where("row_key <> _me")
-    return mates.select("row_key", models.similarity_percent(round_even(1.0 - models.cosine(F.col("vector"), F.col("_v")), 6)).alias("similarity"))
+    return mates.select("row_key", models.similarity_percent(round_even(1.0 - cosine(F.col("vector"), F.col("_v")), 6)).alias("similarity"))
 
 
 @query(
