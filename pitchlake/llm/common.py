@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _shipped: set[str] = set()
+_libc = ctypes.CDLL(None)
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -85,6 +88,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def in_pieces(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of few rows, so that what is made of a piece is small beside the batch; in the end the task's memory is given back."""
+    for batch in batches:
+        for s in range(0, max(len(batch), 1), rows):
+            yield batch.slice(s, rows)
+    give_back()
+
+
+def give_back() -> None:
+    """Return what a worker has freed to the system: it stays for the next task, which may need its memory elsewhere."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(_libc, "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def partitions(spark: SparkSession, least: int = 1) -> int:
     """As many partitions as the session shuffles into."""
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -169,6 +169,7 @@ def score_column(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id",
                 at = full[s : s + 512]
                 out[at] = m.score(np.stack([terms(found.iat[k]) for k in at]))
             yield pd.Series(np.clip(out, 0.0, 1.0))
+        common.give_back()
 
     return score(F.col(text))
 
