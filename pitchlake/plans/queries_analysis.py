@@ -163,7 +163,8 @@ def replacements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("knn_uniqueness", f"WITH {EMB}, d AS (SELECT a.vec_id, list_distance(a.v, b.v) AS d FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id), n AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d) AS r FROM d) SELECT vec_id, round_even(AVG(d), 5) AS mean_distance FROM n WHERE r <= 15 GROUP BY vec_id")
 def knn_uniqueness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return models.uniqueness(_vectors(spark, sf_dir), "vec_id", "v", "label").withColumn("mean_distance", round_even(F.col("mean_distance"), 5))
+    means = models.mean_distances(_vectors(spark, sf_dir), "vec_id", "v", "label", digits=None)
+    return means.withColumn("mean_distance", round_even(F.col("mean_distance"), 5))
 
 
 @query("jaccard_topk", "WITH p AS (SELECT p_partkey, list_distinct(string_split(p_name, ' ')) AS w FROM part), j AS (SELECT a.p_partkey AS a, b.p_partkey AS b, round_even(len(list_intersect(a.w, b.w))::DOUBLE / len(list_distinct(list_concat(a.w, b.w))), 6) AS j FROM p a JOIN p b ON a.p_partkey % 100 = 0 AND a.p_partkey <> b.p_partkey AND list_has_any(a.w, b.w)) SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY a ORDER BY j DESC, b) <= 10")
