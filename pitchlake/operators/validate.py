@@ -26,7 +26,8 @@ def own_season_report(df: DataFrame, key: str, vector: str, by: str, person: str
 
     Each ordered pair of a player's rows is tested by its exact rank among all rows of the group; ranks are counted in blocks, no list of neighbours is made.
     """
-    ranks = blocks.own_ranks(df, key, vector, by, person, metric)
+    ranks, places = blocks.counted_ranks(df, key, vector, by, person, metric)
+    ranks = ranks.join(places.select(F.col("at").alias("a"), by), "a")
     sizes = df.where(F.col(vector).isNotNull() & F.col(key).isNotNull()).groupBy(by).agg((F.count("*") - 1).alias("candidates"))
     per = ranks.groupBy(by).agg(F.count("*").alias("tested"), F.avg((F.col("rank") <= k).cast("double")).alias("_hit"), F.floor(F.median("rank")).cast("int").alias("median_rank"))
     chance = F.lit(float(k)) / F.greatest(F.col("candidates"), F.lit(1))
