@@ -169,12 +169,15 @@ def knn_uniqueness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("jaccard_topk", "WITH p AS (SELECT p_partkey, list_distinct(string_split(p_name, ' ')) AS w FROM part), j AS (SELECT a.p_partkey AS a, b.p_partkey AS b, round_even(len(list_intersect(a.w, b.w))::DOUBLE / len(list_distinct(list_concat(a.w, b.w))), 6) AS j FROM p a JOIN p b ON a.p_partkey % 100 = 0 AND a.p_partkey <> b.p_partkey AND list_has_any(a.w, b.w)) SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY a ORDER BY j DESC, b) <= 10")
 def jaccard_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten parts most like every hundredth one, among all; they meet on the words they share, and a pair counts at the first."""
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("b"), F.array_distinct(F.split("p_name", " ")).alias("wb"))
-    asked = p.where("b % 100 = 0").select(F.col("b").alias("a"), F.col("wb").alias("wa"), F.explode("wb").alias("t"))
-    met = asked.join(p.withColumn("t", F.explode("wb")), "t").where((F.col("a") != F.col("b")) & (F.array_min(F.array_intersect("wa", "wb")) == F.col("t")))
-    scores = met.select("a", "b", round_even(jaccard(F.col("wa"), F.col("wb")), 6).alias("j"))
-    return scores.withColumn("_r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("j"), "b"))).where("_r <= 10").drop("_r")
+    """The ten parts most like every hundredth one, among all. Sets of words meet on the words they share; of a set's parts, and for one asked for, the first eleven can be among the ten."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("b"), F.array_sort(F.array_distinct(F.split("p_name", " "))).alias("wb")).where("wb IS NOT NULL")
+    first = lambda df, by, order: df.withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where("_r <= 11").drop("_r")
+    asked = p.where("b % 100 = 0").select(F.col("b").alias("a"), F.col("wb").alias("wa"))
+    sets = p.select("wb").distinct().withColumn("t", F.explode("wb"))
+    met = asked.select("wa").distinct().withColumn("t", F.explode("wa")).join(sets, "t").where(F.array_min(F.array_intersect("wa", "wb")) == F.col("t"))
+    scores = met.select("wa", "wb", round_even(jaccard(F.col("wa"), F.col("wb")), 6).alias("j")).join(first(p, "wb", ["b"]), "wb").select("wa", "j", "b")
+    near = asked.join(first(scores, "wa", [F.desc("j"), "b"]), "wa").where("a <> b").select("a", "b", "j")
+    return near.withColumn("_r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("j"), "b"))).where("_r <= 10").drop("_r")
 
 
 GROW = f"""{PS}, q AS (SELECT *, dense_rank() OVER (ORDER BY season) AS s FROM ps), g AS (SELECT a.*, CASE WHEN a.attempts > 0 AND b.attempts > 0 THEN log10(b.attempts / a.attempts) END AS growth, 1 AS one FROM q a LEFT JOIN q b ON a.player_id = b.player_id AND b.s = a.s + 2)"""
