@@ -1,7 +1,9 @@
 """Positions, links, floors, names and reports on small tables with known results."""
 
 import random
+from datetime import datetime, timedelta, timezone
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from pitchlake.operators import assembly as A
 from pitchlake.operators import events as E
 from pitchlake.operators import blocks, clusters, features, joins, models, moments, naming, positions, ranking, report, validate
+from pitchlake.plans import catalog, library  # noqa: F401
 from pitchlake.platform import Platform, across_seasons, season_index
 from pitchlake.registry import metrics as M
 from pitchlake.sources import readers
@@ -416,3 +419,47 @@ def test_mean_distances_are_not_rounded_before(spark):
     df = spark.createDataFrame([(k, 0, [k * 0.0000004]) for k in range(3)], "k int, g int, v array<double>")
     got = {r.k: r.mean_distance for r in models.mean_distances(df, "k", "v", "g", digits=None).collect()}
     assert got == pytest.approx({0: 6e-7, 1: 4e-7, 2: 6e-7})
+
+
+def test_first_after(spark):
+    left = spark.createDataFrame([(1, "m", 5), (2, "m", 10), (3, "m", 99), (4, "n", 5), (5, None, 5)], "id int, k string, at int")
+    right = spark.createDataFrame([("m", 5, "a"), ("m", 10, "c"), ("m", 10, "b"), ("m", 40, "d"), (None, 7, "e")], "k string, s int, who string")
+    got = {r.id: (r._start, r.who) for r in joins.first_after(left, right, ["k"], "at", "s", ["who"]).collect()}
+    assert {k: got[k] for k in (1, 2, 3, 4)} == {1: (10, "b"), 2: (40, "d"), 3: (None, None), 4: (None, None)}
+
+
+def test_pairs_by_set(spark):
+    rows = [(k, "abc"[k % 3], [*"xyz"[: k % 4]]) for k in range(40)] + [(99, None, ["x"])]
+    df = spark.createDataFrame(rows, "id int, g string, w array<string>")
+    seen = []
+
+    def within(sets):
+        seen.append(sets.count())
+        a, b = sets.select("g", F.col("set").alias("x"), F.col("w").alias("wa")), sets.select("g", F.col("set").alias("y"), F.col("w").alias("wb"))
+        return a.join(b, "g").where(F.size(F.array_except("wa", "wb")) == 0).select("x", "y")
+
+    got = sorted((r.a, r.b, r.same) for r in joins.pairs_by_set(df, "id", ["g", "w"], within, size=2).collect())
+    assert got == sorted((a, b, v == w) for a, g, v in rows for b, h, w in rows if g == h and g and set(v) <= set(w)) and seen == [12]
+
+
+def _events(spark, folder, rows):
+    schema = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
+    stamp = lambda s: datetime(2024, 1, 1, 23, 50, tzinfo=timezone.utc) + timedelta(seconds=s)
+    spark.createDataFrame([(k, stamp(s), u, t, 1.0, "{}") for k, (s, u, t) in enumerate(rows)], schema).coalesce(1).write.parquet(f"{folder}/events.parquet")
+    return {r[0] for r in duckdb.sql(catalog.ORACLES["within_window"].replace("FROM events", f"FROM '{folder}/events.parquet/*.parquet'")).fetchall()}
+
+
+def test_windows_end_with_the_day(spark, tmp_path):
+    rows = [(590, 1, "error"), (620, 2, "purchase"), (10, 1, "error"), (20, 1, "purchase"), (20, 1, "purchase"), (310, 3, "purchase"), (11, 3, "error"), (330, 3, "error"), (700, 4, "error"), (1000, 5, "purchase"), (700, 4, "purchase"), (701, 4, "purchase"), (1001, 6, "purchase")]
+    want = _events(spark, tmp_path, rows)
+    assert {r.event_id for r in catalog.QUERIES["within_window"](spark, str(tmp_path)).collect()} == want == {2, 6, 8}
+
+
+def test_parts_alike_are_met_once(spark, tmp_path):
+    names = ["big ring", "ring big", "big bolt", "old bolt", "old ring", "red"]
+    rows = [(k, names[k * 7 % 6], "AB"[k % 2], "XY"[k // 2 % 2], k % 3, 1.0) for k in range(300)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_type string, p_brand string, p_size int, p_retailprice double").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    for name in ("jaccard_topk", "token_subset_join", "token_overlap_join"):
+        got = catalog.QUERIES[name](spark, str(tmp_path))
+        want = duckdb.sql(catalog.ORACLES[name].replace("FROM part", f"FROM '{tmp_path}/part.parquet/*.parquet'"))
+        assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(want.fetchall())
