@@ -226,7 +226,9 @@ def keeper_context(events: DataFrame, spells: DataFrame) -> DataFrame:
         "match_id", "id", F.col("team.name").alias("attacking"), minute.alias("m"), F.floor(minute / 10).alias("cell"), on_target.alias("on_target"), scored.alias("scored"), crossed.alias("crossed")
     )
     last = F.coalesce(F.col("end"), F.lit(200.0))
-    cells = spells.select("match_id", "team", "player_id", "start", last.alias("end"), F.explode(F.sequence(F.floor(F.col("start") / 10), F.floor(last / 10))).alias("cell"))
+    # Of spells of one length and team only the first keeper's can count.
+    alike = spells.groupBy("match_id", "team", "start", last.alias("end")).agg(F.min("player_id").alias("player_id"))
+    cells = alike.select("match_id", "team", "player_id", "start", "end", F.explode(F.sequence(F.floor(F.col("start") / 10), F.floor(F.col("end") / 10))).alias("cell"))
     met = some.join(cells, ["match_id", "cell"]).where((F.col("team") != F.col("attacking")) & (F.col("start") <= F.col("m")) & (F.col("m") < F.col("end")))
     one = met.groupBy("match_id", "id", "on_target", "scored", "crossed").agg(F.min_by("player_id", F.struct("start", "player_id")).alias("player_id"))
     return one.groupBy("match_id", "player_id").agg(count_if(F.col("on_target")).alias("gk_shots_on_target_against"), count_if(F.col("scored")).alias("gk_goals_against"), count_if(F.col("crossed")).alias("gk_crosses_faced"))
