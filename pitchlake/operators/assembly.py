@@ -169,20 +169,27 @@ def link_internationals(ours: DataFrame, profiles: DataFrame) -> DataFrame:
     me = ours.select("player_id", "season", (F.substring("season", 1, 4).try_cast("int") + 1).alias("year"), country(F.col("nationality")).alias("country"), normalise_name(F.col("player")).alias("name"), normalise_name(F.col("full_name")).alias("full"))
     able = (F.col("year") - F.col("born")).between(*TOURNAMENT_AGES)
     same = (F.col("country") == F.col("tm_country")) | (F.col("country") == "") | (F.col("tm_country") == "")
+    # Profiles alike in what is asked are met as one, by the first and the last of them; where these are one, one is left standing.
+    alike = lambda df, *by: df.groupBy(*by).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    one = lambda df, how: alike(df, "player_id", "season").where("lo = hi").select("player_id", "season", F.col("lo").alias("tm_id"), F.lit(how).alias("how"))
+    tm = alike(tm.withColumns({"lo": F.col("tm_id"), "hi": F.col("tm_id")}), "tm_key", "tm_country", "born")
     named = me.select("player_id", "season", "year", "country", F.explode(F.array_distinct(F.array_compact(F.array("name", "full")))).alias("tm_key"))
-    one = lambda df, how: df.groupBy("player_id", "season").agg(F.countDistinct("tm_id").alias("_n"), F.min("tm_id").alias("tm_id")).where("_n = 1").select("player_id", "season", "tm_id", F.lit(how).alias("how"))
     exact = one(named.join(tm, "tm_key").where(able & same), "name")
     rest = me.join(exact.select("player_id"), "player_id", "left_anti")
-    mine = F.array_union(F.split(F.coalesce("name", F.lit("")), " "), F.split(F.coalesce("full", F.lit("")), " "))
-    # A profile's words are all among mine only if its first one is.
+    mine = F.array_sort(F.array_union(F.split(F.coalesce("name", F.lit("")), " "), F.split(F.coalesce("full", F.lit("")), " ")))
+    # A profile's words are all among mine only if its first and its last one are.
     theirs = tm.where("tm_country <> ''").withColumn("words", F.split("tm_key", " "))
-    spread = rest.withColumn("mine", mine).withColumn("word", F.explode("mine"))
-    by_words = spread.join(theirs.where(F.size("words") >= 2).withColumn("word", F.col("words")[0]), (F.col("country") == F.col("tm_country")) & (spread["word"] == F.col("words")[0]))
-    by_words = by_words.where(able & (F.size(F.array_except("words", "mine")) == 0))
+    rest = rest.withColumn("mine", mine)
+    spread = rest.select("country", "mine").distinct().withColumn("_a", F.explode("mine")).withColumn("_z", F.explode("mine"))
+    long = theirs.where(F.size("words") >= 2).select(F.col("tm_country").alias("country"), F.col("words")[0].alias("_a"), F.element_at("words", -1).alias("_z"), "words", "born", "lo", "hi")
+    fit = alike(spread.join(long, ["country", "_a", "_z"]).where(F.size(F.array_except("words", "mine")) == 0), "country", "mine", "born")
+    by_words = rest.join(fit, ["country", "mine"]).where(able)
     words = one(by_words, "words")
     left = rest.join(by_words.select("player_id", "season").distinct(), ["player_id", "season"], "left_anti")
     surname = left.withColumn("last", F.element_at(F.split("name", " "), -1)).where(F.length("last") >= 4)
-    last = surname.join(theirs.withColumn("tm_last", F.element_at("words", -1)), (F.col("country") == F.col("tm_country")) & (F.col("last") == F.col("tm_last"))).where(able)
+    lasts = alike(theirs.select(F.col("tm_country").alias("country"), F.element_at("words", -1).alias("last"), "born", "lo", "hi"), "country", "last", "born")
+    asked = surname.select("country", "last", "year").distinct()
+    last = surname.join(alike(asked.join(lasts, ["country", "last"]).where(able), "country", "last", "year"), ["country", "last", "year"])
     found = exact.union(words).union(one(last, "surname"))
     votes = found.groupBy("player_id", "tm_id").agg(F.count("*").alias("n"), F.min_by("how", "season").alias("how"))
     top = best_of(votes, ["player_id"], [F.desc("n"), "tm_id"])

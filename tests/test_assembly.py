@@ -463,3 +463,22 @@ def test_parts_alike_are_met_once(spark, tmp_path):
         got = catalog.QUERIES[name](spark, str(tmp_path))
         want = duckdb.sql(catalog.ORACLES[name].replace("FROM part", f"FROM '{tmp_path}/part.parquet/*.parquet'"))
         assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(want.fetchall())
+
+
+def test_nearest_minutes(spark):
+    ours = spark.createDataFrame([("a", 1, "x", 100.0), ("b", 1, "x", 10.0), ("c", 1, "x", None), ("d", 1, "y", 5.0), ("e", 2, "x", 7.0)], "player_id string, season int, k string, mins double")
+    theirs = spark.createDataFrame([(9, 1, "x", 90.0), (8, 1, "x", 90.0), (7, 1, "x", 110.0), (6, 1, "x", 111.0), (5, 1, "x", None), (3, 1, "y", 5.0), (4, 1, "y", 5.0)], "tm_id int, season int, k string, tm_mins double")
+    got = sorted((r.player_id, r.tm_id, r.gap) for r in joins.nearest_minutes(ours, theirs, ["season", "k"]).collect() if r.gap is not None)
+    assert got == [("a", 7, 10.0), ("a", 8, 10.0), ("b", 8, 80.0), ("d", 3, 0.0), ("d", 3, 0.0)]
+    blank = {(r.player_id, r.tm_id) for r in joins.nearest_minutes(ours, theirs, ["season", "k"]).where("gap IS NULL").collect()}
+    assert blank == {("a", 5), ("b", 5), ("c", 5)}
+
+
+def test_keepers_of_one_spell(spark):
+    """Many keepers of one spell are met as the first of them."""
+    events = spark.createDataFrame([(1, "e1", "Shot", "A", 30, 0)], "match_id int, id string, t string, team string, minute int, second int").selectExpr(
+        "match_id", "id", "named_struct('name', t) AS type", "named_struct('name', team) AS team", "minute", "second", "named_struct('outcome', named_struct('name', 'Goal')) AS shot", "named_struct('cross', false, 'end_location', array(0.0D, 0.0D)) AS pass"
+    )
+    spells = spark.createDataFrame([(1, "B", k, 0.0, 90.0) for k in range(5, 50)] + [(1, "A", 1, 0.0, 90.0), (1, "B", 2, 40.0, 90.0)], "match_id int, team string, player_id int, start double, end double")
+    got = E.keeper_context(events, spells).collect()
+    assert [(r.player_id, r.gk_goals_against) for r in got] == [(5, 1.0)]
