@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import count_if, round_even, true
 from ..functions.text import mapped, normalise_name
+from ..scratch import held
 from .aggregates import defensive_bar, main_value
 from .joins import as_of, unique_on
 from .ranking import best_of
@@ -172,7 +173,7 @@ def link_internationals(ours: DataFrame, profiles: DataFrame) -> DataFrame:
     # Profiles alike in what is asked are met as one, by the first and the last of them; where these are one, one is left standing.
     alike = lambda df, *by: df.groupBy(*by).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     one = lambda df, how: alike(df, "player_id", "season").where("lo = hi").select("player_id", "season", F.col("lo").alias("tm_id"), F.lit(how).alias("how"))
-    tm = alike(tm.withColumns({"lo": F.col("tm_id"), "hi": F.col("tm_id")}), "tm_key", "tm_country", "born")
+    tm, me = held(alike(tm.withColumns({"lo": F.col("tm_id"), "hi": F.col("tm_id")}), "tm_key", "tm_country", "born")), held(me)
     named = me.select("player_id", "season", "year", "country", F.explode(F.array_distinct(F.array_compact(F.array("name", "full")))).alias("tm_key"))
     exact = one(named.join(tm, "tm_key").where(able & same), "name")
     rest = me.join(exact.select("player_id"), "player_id", "left_anti")
