@@ -165,7 +165,7 @@ class ByteEncoder:
             return np.empty(0, np.uint32)
         if "<" in text or UNSIMPLE.search(text):
             return np.frombuffer(self.careful(text), "<u4")
-        return np.array(self.whole(text), np.uint32)
+        return np.frombuffer(array.array("I", self.whole(text)), np.uint32)  # a third of the time of np.array
 
 
 class WordEncoder:

@@ -116,14 +116,14 @@ class Matrix:
 
     def all(self) -> np.ndarray:
         """All ids in order."""
-        now = np.zeros(self.n, np.uint32)
+        now = np.zeros(self.n, np.uint16 if len(self.zeros) <= 16 else np.uint32)
         for level in range(len(self.zeros) - 1, -1, -1):
             up = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
             out = np.empty_like(now)
             out[np.flatnonzero(~up)] = now[: self.zeros[level]]
-            out[np.flatnonzero(up)] = now[self.zeros[level] :] | np.uint32(1 << (len(self.zeros) - 1 - level))
+            out[np.flatnonzero(up)] = now[self.zeros[level] :] | now.dtype.type(1 << (len(self.zeros) - 1 - level))
             now = out
-        return now
+        return now.astype(np.uint32)
 
 
 def _before(plane: np.ndarray) -> np.ndarray:
@@ -201,7 +201,7 @@ def _files(spark: SparkSession, out: str) -> DataFrame:
     ranges = ranges.select("_r", F.coalesce(F.sum("n").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row a range
     inside = Window.partitionBy("_r").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.join(ranges, "_r").select("shard", (F.col("before") + F.coalesce(F.sum("n").over(inside), F.lit(0))).alias("base"))
-    return files.join(bases, "shard")
+    return files.join(F.broadcast(bases), "shard")  # a row of two numbers a shard, so planes stay where they are read
 
 
 def read(spark: SparkSession, out: str) -> DataFrame:
@@ -213,7 +213,7 @@ def read(spark: SparkSession, out: str) -> DataFrame:
         for batch in batches:
             for row in range(len(batch)):
                 lengths = batch.column(1)[row].values.to_numpy(zero_copy_only=False)
-                ids = opened(batch, row).all().astype("<u4")
+                ids = opened(batch, row).all().astype("<u4", copy=False)
                 ends = np.cumsum(lengths)
                 starts = ends - lengths
                 crc = [zlib.crc32(ids[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]

@@ -213,6 +213,17 @@ def test_wavelet_questions(spark, docs, texts, tmp_path):
     assert found == [(p, *where[p]) for p, t in enumerate(stream) if t == common_one]
 
 
+def test_wavelet_planes_stay_where_they_are_read(spark, docs, tmp_path):
+    wavelet.write(docs, BYTES, out := str(tmp_path / "w"), shard_bytes=60_000)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = wavelet._files(spark, out)._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    joins = [x.strip(" :+-") for x in plan.splitlines() if "Join" in x]
+    assert joins[0].startswith("BroadcastHashJoin [shard")
+
+
 def test_wavelet_ids_of_other_types(spark, tmp_path):
     for k, (kind, ids) in enumerate((("string", ["b", "a"]), ("short", [2, 1]), ("date", [None, __import__("datetime").date(2020, 1, 2)]), ("decimal(20,0)", [None, __import__("decimal").Decimal(7)]))):
         df = spark.createDataFrame([(i, "some text") for i in ids], f"doc_id {kind}, text string")
