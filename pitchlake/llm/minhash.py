@@ -179,7 +179,7 @@ def _lists(reps: DataFrame, percent: int, k: int) -> DataFrame:
     short = F.when(F.col("n") <= WHOLE, named(F.col("sketch"), True)).otherwise(none)
     long = F.when(F.col("n") * 100 > WHOLE * percent, named(F.slice("sketch", 1, k), False)).otherwise(none)
     post = reps.select("a", "n", F.explode(F.concat(short, long)).alias("p")).select("a", "n", "p.v", "p.whole")
-    shared = common.by_salted_key(post, "v", "a", {"f": (F.count("*"), F.sum)}).where("f > 1")
+    shared = common.by_salted_key(post, "v", "a", {"f": F.count("*")}).where("f > 1")
     mine = post.withColumn("_s", common.salt("a")).join(shared, ["v", "_s"]).groupBy("a", "n", "whole").agg(F.array_sort(F.collect_list(F.struct("f", "v"))).alias("vs"))
     need = F.when(F.col("whole"), F.ceil(F.col("n") * percent / 100)).otherwise(least_overlap(k, percent)).cast("int")
     mine = mine.where(F.size("vs") >= need).withColumns({"most": F.size("vs"), "vs": F.slice("vs", 1, F.size("vs") - need + 1)["v"]})
@@ -289,7 +289,7 @@ def _join_lists(live: DataFrame, sketched: DataFrame, sets: DataFrame, percent:
         known = scratch.write(common.connected_components(spark, links, scratch), "components")
         live = live.drop("comp").join(known.select(F.col("node").alias("a"), F.col("component").alias("comp")), "a", "left").withColumn("comp", F.coalesce("comp", "a"))
     for turn in range(1_000_000):
-        every = {"c0": (F.min("comp"), F.min), "c1": (F.max("comp"), F.max), "least": (F.min("n"), F.min)}
+        every = {"c0": F.min("comp"), "c1": F.max("comp"), "least": F.min("n")}
         lists = common.by_salted_key(live, "v", "a", every).where("c0 < c1").select("v", "_s", "least")
         live = scratch.write(live.join(lists, ["v", "_s"]), "live")
         if turn:

@@ -107,11 +107,14 @@ def _scaled(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
 def fit(texts: list[str | None], labels: list[int], shares: dict[int, float], latent: int = LATENT, seed: int = 20_261) -> Model:
     """From a sample; ``shares``: how common each label is among all labelled documents."""
     y = np.array(labels)
-    x = np.stack([terms(t) for t in texts])
+    scaled = x = np.empty((len(texts), TRIGRAMS + _SHAPES * _BINS), np.float32)  # scaled in place: one such table is all that the driver holds
+    for k, t in enumerate(texts):
+        x[k] = terms(t)
     seen = (x[:, :TRIGRAMS] > 0).sum(axis=0)
     weights = np.ones(x.shape[1], np.float32)
     weights[:TRIGRAMS] = np.log((1 + len(x)) / (1 + seen)) + 0.1
-    scaled = _scaled(x, weights)
+    for k in range(0, len(x), 256):
+        x[k : k + 256] = _scaled(x[k : k + 256], weights)
     rng = np.random.default_rng(seed)
     wide = min(latent + 16, *scaled.shape)
     q = np.linalg.qr(scaled @ rng.standard_normal((scaled.shape[1], wide)).astype(np.float32))[0]
@@ -158,6 +161,7 @@ def score_column(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id",
     common.ship(spark)
     texts, y, shares = sample(docs, labels, doc_id=doc_id, text=text, label=label, per_class=per_class)
     model = spark.sparkContext.broadcast(fit(texts, y, shares) if texts else None)
+    common.give_back()  # what learning took on the driver
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

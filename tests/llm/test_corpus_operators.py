@@ -4,6 +4,7 @@ import array
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -13,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from pitchlake.llm import cap_filters, credentials, decontaminate, encoding, minhash, packing, pii, quality, sharding, token_counts, wavelet
+from pitchlake.llm import cap_filters, common, credentials, decontaminate, encoding, minhash, packing, pii, quality, sharding, token_counts, wavelet
 
 SF = "/root/testdata/sf0.001"
 BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -709,3 +710,23 @@ def test_credentials_glued_to_text(formats):
         at = text.index(secret)
         assert ("format", at, at + len(secret)) in [x[:3] for x in credentials.spans(text, formats)], text
     assert not credentials.spans("https://www.example.com/internationalisation2024/page-of-2021=version-10.2.3-beta.4-linux", formats)
+
+
+def test_quality_learns_in_one_table():
+    rng = random.Random(5)
+    texts = ["".join(rng.choices("abcdefgh ", k=400)) for _ in range(1_000)]
+    table = 4 * len(texts) * len(quality.terms("x"))
+    tracemalloc.start()
+    quality.fit(texts, [k % 2 for k in range(len(texts))], {0: 0.5, 1: 0.5})
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2 * table, (peak, table)
+
+
+def test_salted_keys_are_added_up_in_one_step(spark):
+    rows = spark.range(5_000).select((F.col("id") % 3).alias("k"), "id").where("k < 2 OR id < 5")
+    found = common.by_salted_key(rows, "k", "id", {"n": F.count("*"), "least": F.min("id")})
+    assert found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Exchange") == 1
+    ids = {k: [r.id for r in rows.where(F.col("k") == k).collect()] for k in range(3)}
+    salts = {k: {r._s for r in rows.where(F.col("k") == k).select(common.salt("id").alias("_s")).collect()} for k in range(3)}
+    assert sorted((r.k, r._s, r.n, r.least) for r in found.collect()) == sorted((k, s, len(ids[k]), min(ids[k])) for k in range(3) for s in salts[k])
