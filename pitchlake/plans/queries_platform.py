@@ -26,9 +26,9 @@ _D = "round_even(1 - list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.
 _SIM = "round_even(GREATEST(LEAST((1 - distance) * 100, 100), 0), 1)"
 
 
-def platform(spark: SparkSession, sf_dir: str) -> Platform:
-    """Player-seasons of 100 minutes and more, as the tables' quantities are smaller."""
-    return Platform.build(player_seasons(spark, sf_dir), list(METRICS), BASKETS, min_minutes=100)
+def platform(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> Platform:
+    """Player-seasons of 100 minutes and more, as the tables' quantities are smaller; from ``rows``, where the caller holds them already."""
+    return Platform.build(held(player_seasons(spark, sf_dir)) if rows is None else rows, list(METRICS), BASKETS, min_minutes=100)
 
 
 def _somebody(p: Platform) -> tuple:
@@ -74,8 +74,8 @@ def platform_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def platform_project(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Players of fewer minutes on the regulars' scale, each as if he alone joined them."""
-    p = platform(spark, sf_dir)
-    new = player_seasons(spark, sf_dir).where("minutes >= 50 AND minutes < 100")
+    rows = held(player_seasons(spark, sf_dir))
+    p, new = platform(spark, sf_dir, rows), rows.where("minutes >= 50 AND minutes < 100")
     return p.project(new).select("player_id", "season", "pct_shots", "pct_tackles", "cat_attack", round_even(F.col("z_shots"), 5).alias("z_shots"))
 
 

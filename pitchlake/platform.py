@@ -11,6 +11,7 @@ from .functions.numbers import cosine, euclid, round_even
 from .operators import assembly, blocks, clusters, models, naming, ranking, recruit, report, validate
 from .operators.features import category_scores
 from .registry.metrics import BOUNDS, LOWER_IS_BETTER, PARENTS
+from .scratch import held
 
 KEY = ["player_id", "season"]
 #: Groups of fewer rows get no model.
@@ -50,7 +51,7 @@ class Platform:
         long = models.long_form(pool, [*KEY, *[p for p in peers if p not in KEY]], metrics)
         ranked = ranking.percentiles(long, "value", [*peers, "metric"], "pct", F.col("metric").isin(*lower_is_better) if lower_is_better else False)
         wide = ranked.groupBy(*KEY).agg(*[F.max(F.when(F.col("metric") == m, F.col("pct"))).alias(f"pct_{m}") for m in metrics])
-        scored = category_scores(pool.join(wide, KEY), baskets)
+        scored = held(category_scores(pool.join(wide, KEY), baskets))  # the scaler and every question read it
         scaler = models.fitted_scaler(scored, metrics, ["position_group"])
         w = {m: float((weights or {}).get(m, 1.0)) for m in metrics}
         return cls(cls._with_vectors(models.apply_scaler(scored, scaler, metrics, ["position_group"]), metrics, w), metrics, peers, scaler, baskets, lower_is_better, w)

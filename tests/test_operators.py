@@ -194,3 +194,10 @@ def test_platform(spark):
     assert p.league_table().first().players == 80 and p.strengths("p79", 2024).count() >= 1
     new = spark.createDataFrame([("n", 2024, "CB", 500.0)], "player_id string, season int, position_group string, shots double")
     assert p.project(new, ["shots"]).first().pct_shots == 100.0
+
+
+def test_platform_reads_the_tables_once(spark):
+    from pitchlake.plans import catalog, library  # noqa: F401
+
+    found = catalog.QUERIES["platform_project"](spark, "/root/testdata/sf0.001")
+    assert found.inputFiles() and not [f for f in found.inputFiles() if "lineitem" in f]
