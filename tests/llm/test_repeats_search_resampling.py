@@ -83,6 +83,23 @@ def test_repeats_over_pieces_of_a_long_text(spark, monkeypatch):
     assert got == {1: [(at, at + 600), (len(long) - 500, len(long))], 2: [(1, 501)]}
 
 
+def test_parts_of_a_hot_anchor_are_not_grouped_in_one_task(spark, monkeypatch, passages):
+    """Parts are added up as dealt by all their columns, never by the anchor alone."""
+    write, plans = repeats.common.Scratch.write, []
+
+    def watched(self, df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(self, df, name)
+
+    monkeypatch.setattr(repeats.common.Scratch, "write", watched)
+    monkeypatch.setattr(repeats, "_compared", lambda contexts, length: spark.createDataFrame([], f"h long, c long, r {repeats._RANGES_SQL}"))
+    repeats.without_repeats(spark.createDataFrame(list(enumerate(passages)), "doc_id long, text string"), 40, 20, 20)
+    grouped = [p for p in plans if "SortAggregate(key=[h#" in p and "first(s#" in p and "o#" in p]
+    assert grouped
+    for p in grouped:
+        assert not re.search(r"hashpartitioning\(h#\d+L?, \d+\)", p[p.index("first(s#") :])
+
+
 def test_column_bwt():
     """The order, symbols and common prefixes of each column are those of sorting by what begins there."""
     rng = random.Random(6)
