@@ -58,10 +58,27 @@ def value_counts(df: DataFrame, group: str, value: str) -> DataFrame:
 def drop_stale_seasons(block: DataFrame, reference: DataFrame, key: list[str], minutes: str, season: str, least: float = 0.95) -> DataFrame:
     """Without seasons whose minutes, over rows that both tables have, are under 95 % of the reference's."""
     both = block.select(*key, F.col(minutes).alias("_mine")).join(reference.select(*key, F.col(minutes).alias("_all")), key)
-    stale = both.groupBy(season).agg((F.sum("_mine") / F.sum("_all")).alias("_r")).where(F.col("_r") < least).select(season)
+    return drop_stale(block, both, "_mine", "_all", season, least)
+
+
+def drop_stale(block: DataFrame, both: DataFrame, mine: str, whole: str, season: str, least: float = 0.95) -> DataFrame:
+    """``drop_stale_seasons`` where rows already have both tables' minutes side by side, so that nothing is joined but a row a season."""
+    stale = both.groupBy(season).agg((F.sum(mine) / F.sum(whole)).alias("_r")).where(F.col("_r") < least).select(season)
     return block.join(F.broadcast(stale), season, "left_anti")
 
 
+#: Rows of a part of ``dealt``.
+PART_ROWS = 1 << 18
+
+
+def dealt(df: DataFrame, key: list[str], rows: int = PART_ROWS) -> DataFrame:
+    """``df`` by key in parts of about so many rows, so that a grouping of nearly as many keys as rows takes as much memory a task at any size.
+
+    Counts the rows first. For keys of few rows each.
+    """
+    return df.repartition(max(1, -(-df.count() // rows)), *key)
+
+
 def defensive_bar(df: DataFrame, key: list[str], actions: str, bars: dict[str, int], position: str = "position") -> DataFrame:
     """Matches that reach their position's bar of defensive actions, in number and percent; only where any action was recorded."""
     bar = F.create_map(*[F.lit(x) for kv in bars.items() for x in kv])[F.col(position)]

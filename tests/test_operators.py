@@ -75,6 +75,17 @@ def test_eras_and_stale_blocks(spark):
     assert [r.y for r in aggregates.drop_stale_seasons(block, reference, ["k", "y"], "m", "y").collect()] == [2024]
 
 
+def test_rows_are_dealt_in_parts_of_a_size_and_seasons_dropped_without_a_join_of_rows(spark):
+    rows = spark.range(1000).select((F.col("id") % 500).alias("k"), (2023 + F.col("id") % 2).alias("y"), F.lit(10.0).alias("all"))
+    dealt = aggregates.dealt(rows, ["k", "y"], 100)
+    assert dealt.rdd.getNumPartitions() == 10 and dealt.count() == 1000 and aggregates.dealt(rows.limit(0), ["k"]).count() == 0
+    assert dealt.select("k", "y", F.spark_partition_id().alias("p")).distinct().groupBy("k", "y").count().where("count > 1").isEmpty()
+    both = dealt.withColumn("mine", F.when(F.col("y") == 2024, F.col("all") * 0.9).otherwise(F.col("all")))
+    kept = aggregates.drop_stale(both, both, "mine", "all", "y")
+    assert {r.y for r in kept.select("y").distinct().collect()} == {2023} and kept.count() == 500
+    assert "SortMergeJoin" not in kept._jdf.queryExecution().executedPlan().toString()
+
+
 def test_links(spark):
     ours = spark.createDataFrame(
         [("1", "Jean-Pierre Martin", 2024, "L1", "FC Lyon", 1800.0), ("2", "Luis Suárez", 2024, "ES1", "Real Betis", 900.0), ("3", "Luis Suarez", 2024, "FR1", "Lens", 900.0), ("4", "Alexander Petrovsky", 2024, "RU1", "Dynamo", 3000.0)],
