@@ -13,7 +13,7 @@ from ..functions.numbers import euclid, round_even
 from ..scratch import held
 from . import blocks
 from .joins import unique_both_sides
-from .models import neighbours, weighted_vector
+from .models import weighted_neighbours
 from .ranking import deciles, quintiles, rank_share, rank_share_of_all
 
 
@@ -203,15 +203,13 @@ def compared(base: DataFrame, other: DataFrame, key: str) -> DataFrame:
 def sensitivity(rows: DataFrame, queries: DataFrame, key: str, vector: str, group: str, features: list[str], weights: list[float], changes: dict[str, dict[str, float]], k: int = 10) -> DataFrame:
     """(change, top_k_overlap, rank_correlation): how much of the neighbours stays if weights are multiplied; ``changes``: {name: {feature: factor}}.
 
-    A factor of 0 takes a feature out. ``queries`` are rows of the table, all of them if wanted; they meet it in blocks, once a change.
+    A factor of 0 takes a feature out. ``queries`` are rows of the table, all of them if wanted; they meet it in blocks, once for all changes.
     """
-
-    def nearest(ws: list[float]) -> DataFrame:
-        return neighbours(rows.withColumn("_w", weighted_vector(F.col(vector), ws)), queries, key, "_w", k, by=group)
-
-    base, out = held(nearest(weights)), None
-    for name, factors in changes.items():
-        row = compared(base, nearest([w * factors.get(f, 1.0) for f, w in zip(features, weights, strict=True)]), key).select(F.lit(name).alias("change"), "*")
+    weighted = [weights, *([w * factors.get(f, 1.0) for f, w in zip(features, weights, strict=True)] for factors in changes.values())]
+    found, out = held(weighted_neighbours(rows, queries, key, vector, k, weighted, by=group)), None
+    of = lambda at: found.where(F.col("scale") == at).drop("scale")
+    for at, name in enumerate(changes, 1):
+        row = compared(of(0), of(at), key).select(F.lit(name).alias("change"), "*")
         out = row if out is None else out.union(row)
     return out
 

@@ -5,6 +5,7 @@ from datetime import datetime, timedelta, timezone
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -320,6 +321,37 @@ def test_platform_questions(spark):
     assert p.watched(watch).count() == 1
 
 
+@pytest.mark.parametrize("metric", ["cosine", "euclid"])
+def test_nearest_of_a_block_are_those_of_all_distances(metric):
+    """With spans and with all distances alike: ties by place, copies, zero vectors, excluded rows, figures that aren't finite."""
+    rng = np.random.default_rng(5)
+    y = rng.normal(size=(700, 6)).round(2)
+    y[100:104], y[200], y[300:303] = y[99], 0.0, 1e-4 * y[299]
+    many = np.concatenate([np.tile(y[:2], (330, 1)), y[:40]])
+    broken = y.copy()
+    broken[[7, 400], [0, 3]] = [np.nan, np.inf]
+    for rows in (y, many, broken, y[:30]):
+        x, names = rows[::2], np.arange(len(rows))
+        mine, theirs = (pa.table({"key": pa.array(n), "person": pa.array([None if v % 5 == 0 else int(v) // 4 for v in n], pa.int64())}) for n in (names[::2], names))
+        excluded = blocks._exclusions(mine, theirs, ["key", "person"])
+        i, j, d = blocks.least_of_each(x, rows, metric, 10, excluded)
+        with np.errstate(invalid="ignore"):
+            every = blocks.distances(x, rows, metric)
+        person = np.array([-1 - n if n % 5 == 0 else n // 4 for n in names.tolist()])
+        every[(names[::2, None] == names[None, :]) | ((person[::2, None] == person[None, :]) & (names[None, :] % 5 != 0))] = np.inf
+        for at in range(len(x)):
+            order = [q for q in np.lexsort((names, every[at])) if np.isfinite(every[at][q])][:10]
+            assert j[i == at].tolist() == order and d[i == at].tolist() == pytest.approx(every[at][order].tolist(), abs=1e-9)
+
+
+def test_sensitivity_meets_blocks_once_for_all_changes(spark, monkeypatch):
+    met, calls = blocks.met, []
+    monkeypatch.setattr(blocks, "met", lambda *a, **b: calls.append(1) or met(*a, **b))
+    v = spark.range(12).select(F.col("id").alias("k"), F.lit(0).alias("g"), F.array(F.col("id").cast("double"), F.lit(1.0), F.col("id") % 3 + F.lit(0.0)).alias("v"))
+    assert validate.sensitivity(v, v, "k", "v", "g", ["a", "b", "c"], [1.0] * 3, validate.dropped(["a", "b", "c"]), 4).count() == 3
+    assert len(calls) == 1
+
+
 def test_checks_of_models(spark):
     base = spark.createDataFrame([("q", k, f"k{k}") for k in range(1, 6)], "query string, rank int, key string")
     assert tuple(validate.compared(base, base, "key").first()) == (1.0, 1.0)
