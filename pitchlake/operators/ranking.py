@@ -102,6 +102,21 @@ def numbered(df: DataFrame, by: list[str], order: list[str | Column], out: str)
     return whole.join(first, same).withColumn(out, F.col("_nth") - F.col("_first") + 1).select(*df.columns, out)
 
 
+def medians(df: DataFrame, by: str, value: str, out: str, width: int = 4096) -> DataFrame:
+    """(by, out): exact medians of whole numbers from 0. Rows are counted in cells of values, then by value in the one or two cells that the middle is in. ``df`` is read twice."""
+    cell = F.floor(F.col(value) / width).alias("_cell")
+    peers = Window.partitionBy(by)  # a row a cell
+    before = lambda order: F.sum("_n").over(peers.orderBy(order)) - F.col("_n")
+    cells = df.groupBy(by, cell).agg(F.count("*").alias("_n")).withColumn("_all", F.sum("_n").over(peers)).withColumn("_before", before("_cell"))
+    ends = F.array(F.floor((F.col("_all") - 1) / 2), F.floor(F.col("_all") / 2))
+    holds = F.exists("_ends", lambda e: (e >= F.col("_before")) & (e < F.col("_before") + F.col("_n")))
+    middle = cells.withColumn("_ends", ends).where(holds).select(by, "_cell", "_ends", F.min("_before").over(peers).alias("_first"))
+    inside = df.withColumn("_cell", cell).join(F.broadcast(middle), [by, "_cell"]).groupBy(by, value, "_ends", "_first").agg(F.count("*").alias("_n"))  # two rows a group
+    placed = inside.withColumn("_before", F.col("_first") + before(value))
+    hits = F.size(F.filter("_ends", lambda e: (e >= F.col("_before")) & (e < F.col("_before") + F.col("_n"))))
+    return placed.groupBy(by).agg((F.sum(F.col(value) * hits) / 2).alias(out))
+
+
 def deciles(share: Column) -> Column:
     """1 to 10 from a rank share."""
     return (F.floor(F.least(share * 10, F.lit(9.999))) + 1).cast("int")

@@ -14,7 +14,7 @@ from ..scratch import held
 from . import blocks
 from .joins import unique_both_sides
 from .models import weighted_neighbours
-from .ranking import deciles, quintiles, rank_share, rank_share_of_all
+from .ranking import deciles, medians, quintiles, rank_share, rank_share_of_all
 
 
 # Balanced accuracies from which two positions are different jobs, and up to which they are one.
@@ -26,10 +26,10 @@ def own_season_report(df: DataFrame, key: str, vector: str, by: str, person: str
 
     Each ordered pair of a player's rows is tested by its exact rank among all rows of the group; ranks are counted in blocks, no list of neighbours is made.
     """
-    ranks, places = blocks.counted_ranks(df, key, vector, by, person, metric)
-    ranks = ranks.join(places.select(F.col("at").alias("a"), by), "a")
+    ranks, _ = blocks.counted_ranks(df, key, vector, by, person, metric)
     sizes = df.where(F.col(vector).isNotNull() & F.col(key).isNotNull()).groupBy(by).agg((F.count("*") - 1).alias("candidates"))
-    per = ranks.groupBy(by).agg(F.count("*").alias("tested"), F.avg((F.col("rank") <= k).cast("double")).alias("_hit"), F.floor(F.median("rank")).cast("int").alias("median_rank"))
+    per = ranks.groupBy(by).agg(F.count("*").alias("tested"), F.avg((F.col("rank") <= k).cast("double")).alias("_hit"))
+    per = per.join(medians(ranks, by, "rank", "_median").select(by, F.floor("_median").cast("int").alias("median_rank")), by)
     chance = F.lit(float(k)) / F.greatest(F.col("candidates"), F.lit(1))
     return per.join(sizes, by).select(
         by, "tested", "candidates", round_even(F.col("_hit"), 3).alias("hit_rate"), round_even(chance, 3).alias("chance"), round_even(F.col("_hit") / chance, 1).alias("lift"), "median_rank"

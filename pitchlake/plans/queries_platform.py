@@ -26,9 +26,9 @@ _D = "round_even(1 - list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.
 _SIM = "round_even(GREATEST(LEAST((1 - distance) * 100, 100), 0), 1)"
 
 
-def platform(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> Platform:
+def platform(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None, ranked: bool = True) -> Platform:
     """Player-seasons of 100 minutes and more, as the tables' quantities are smaller; from ``rows``, where the caller holds them already."""
-    return Platform.build(held(player_seasons(spark, sf_dir)) if rows is None else rows, list(METRICS), BASKETS, min_minutes=100)
+    return Platform.build(held(player_seasons(spark, sf_dir)) if rows is None else rows, list(METRICS), BASKETS, min_minutes=100, ranked=ranked)
 
 
 def _somebody(p: Platform) -> tuple:
@@ -88,7 +88,7 @@ def platform_project(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def platform_own_seasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How well all seasons of a player find each other, by exact ranks."""
-    return platform(spark, sf_dir).own_seasons()
+    return platform(spark, sf_dir, ranked=False).own_seasons()
 
 
 @query("platform_team_profile", f"WITH {POOL} SELECT pv.team, pv.season, round_even(SUM(pv.cat_attack * pv.mins) / SUM(pv.mins), 4) AS team_mean, (SELECT round_even(median(l.cat_attack), 4) FROM pv l, me WHERE l.season = me.season AND l.league = me.league) AS league_median FROM pv, me WHERE pv.team = me.team AND pv.season = me.season GROUP BY ALL")

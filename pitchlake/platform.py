@@ -35,9 +35,12 @@ class Platform:
     @classmethod
     def build(
         cls, rows: DataFrame, metrics: list[str], baskets: dict[str, tuple[str, ...]], *, min_minutes: float = 900, seasons=None, leagues=None,
-        lower_is_better: frozenset = LOWER_IS_BETTER, weights: dict[str, float] | None = None,
+        lower_is_better: frozenset = LOWER_IS_BETTER, weights: dict[str, float] | None = None, ranked: bool = True,
     ) -> Platform:
-        """Scope, fold thin groups, rank every metric among peers in one long window, score categories, scale features."""
+        """Scope, fold thin groups, rank every metric among peers in one long window, score categories, scale features.
+
+        Without ``ranked``, the pool has no percentiles and categories, for questions that are about vectors alone.
+        """
         pool = rows.where(F.col("minutes") >= min_minutes)
         if seasons:
             pool = pool.where(F.col("season").isin(*seasons))
@@ -48,10 +51,13 @@ class Platform:
         # Only a pool of both genders is split by it.
         if "gender" in pool.columns and pool.agg(F.countDistinct("gender")).first()[0] > 1:
             peers.append("gender")
-        long = models.long_form(pool, [*KEY, *[p for p in peers if p not in KEY]], metrics)
-        ranked = ranking.percentiles(long, "value", [*peers, "metric"], "pct", F.col("metric").isin(*lower_is_better) if lower_is_better else False)
-        wide = ranked.groupBy(*KEY).agg(*[F.max(F.when(F.col("metric") == m, F.col("pct"))).alias(f"pct_{m}") for m in metrics])
-        scored = held(category_scores(pool.join(wide, KEY), baskets))  # the scaler and every question read it
+        if ranked:
+            long = models.long_form(pool, [*KEY, *[p for p in peers if p not in KEY]], metrics)
+            pct = ranking.percentiles(long, "value", [*peers, "metric"], "pct", F.col("metric").isin(*lower_is_better) if lower_is_better else False)
+            wide = pct.groupBy(*KEY).agg(*[F.max(F.when(F.col("metric") == m, F.col("pct"))).alias(f"pct_{m}") for m in metrics])
+            scored = held(category_scores(pool.join(wide, KEY), baskets))  # the scaler and every question read it
+        else:
+            scored = pool.dropna(subset=KEY)
         scaler = models.fitted_scaler(scored, metrics, ["position_group"])
         w = {m: float((weights or {}).get(m, 1.0)) for m in metrics}
         return cls(cls._with_vectors(models.apply_scaler(scored, scaler, metrics, ["position_group"]), metrics, w), metrics, peers, scaler, baskets, lower_is_better, w)

@@ -1,6 +1,7 @@
 """Positions, links, floors, names and reports on small tables with known results."""
 
 import random
+import statistics
 from datetime import datetime, timedelta, timezone
 
 import duckdb
@@ -447,6 +448,38 @@ def test_equal_vectors_are_met_as_one(spark):
         assert {(r.query, r.k): r["rank"] for r in blocks.own_ranks(df, "k", "v", "g", "p", metric).collect()} == want
 
 
+def test_rows_of_a_person_meet_by_class(spark, monkeypatch):
+    """Copies of a table are as much work for the blocks as the table; ranks are those of all rows, also where many vectors tie."""
+    shapes = [[float(a), float(b)] for a in (-1, 0, 1) for b in (-2, -1, 0, 1, 2)]
+    rows = [(f"r{k:03d}", k % 2, None if k % 13 == 0 else f"p{k // 6}", None if k % 29 == 0 else shapes[(k * 7 + k // 15) % 15]) for k in range(130)]
+    table = lambda some: spark.createDataFrame(some, "k string, g int, p string, v array<double>")
+    size = lambda x: sum(a * a for a in x)
+    cos = lambda x, y: 1 - sum(a * b for a, b in zip(x, y, strict=True)) / ((size(x) * size(y)) ** 0.5 or 1)
+    dist = lambda x, y: size([a - b for a, b in zip(x, y, strict=True)]) ** 0.5
+    for metric, d in (("cosine", cos), ("euclid", dist)):
+        want = {}
+        for k, g, p, v in rows:
+            line = sorted((round(d(v, w), 6) + 0.0, j, q) for j, h, q, w in rows if v and w and h == g and j != k)
+            want |= {(g, k, j): i + 1 for i, (_, j, q) in enumerate(line) if p and q == p}
+        for most in (2, 64) if metric == "cosine" else (4,):
+            ranks, places = blocks.counted_ranks(table(rows), "k", "v", "g", "p", metric, size=4, unit=(3, 7), wide=5, most=most)
+            name = {r["at"]: r.key for r in places.collect()}
+            assert {(r.g, name[r.a], name[r.b]): r["rank"] for r in ranks.collect()} == want
+
+    targets, met = [], blocks.met
+    monkeypatch.setattr(blocks, "met", lambda asked, *rest: targets.append(asked.agg(F.sum(F.size("targets"))).first()[0]) or met(asked, *rest))
+    copies = [(f"{c}{k}", g, p and f"{c}{p}", v) for c in range(3) for k, g, p, v in rows]
+    blocks.counted_ranks(table(rows), "k", "v", "g", "p")
+    blocks.counted_ranks(table(copies), "k", "v", "g", "p")
+    assert targets[0] == targets[1]
+
+
+def test_medians_of_whole_numbers(spark):
+    rows = [("a", n * n % 23) for n in range(40)] + [("b", n) for n in (0, 5)] + [("c", 7)] + [("d", n) for n in (1, 1, 2, 900)]
+    got = {r.g: r.m for r in ranking.medians(spark.createDataFrame(rows, "g string, n int"), "g", "n", "m", width=3).collect()}
+    assert got == {g: statistics.median(n for h, n in rows if h == g) for g in "abcd"}
+
+
 def test_mean_distances_are_not_rounded_before(spark):
     df = spark.createDataFrame([(k, 0, [k * 0.0000004]) for k in range(3)], "k int, g int, v array<double>")
     got = {r.k: r.mean_distance for r in models.mean_distances(df, "k", "v", "g", digits=None).collect()}
