@@ -11,12 +11,14 @@ every capitalised word replaced, where there are any.
 
 from __future__ import annotations
 
+import itertools
 import re
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +33,8 @@ BROADCAST_WINDOWS = 200_000
 #: Bits of the filter that spares the join document windows which no item has; it only ever lets too many through.
 FILTER_BITS = 22
 MEMO_ENTRIES = 300_000
+#: Characters of documents whose tokens are made at once.
+CHUNK = 1 << 20
 
 # Fixed word lists of the placeholders.
 UNITS = frozenset(
@@ -54,68 +58,93 @@ class Canon:
 
     def _forget(self) -> None:
         self.memo: dict[str, int] = {}
-        self.core: list[str] = []
-        self.hash, self.kind, self.ends, self.unit = np.zeros(1024, np.uint64), np.zeros(1024, np.int8), np.zeros(1024, bool), np.full(1024, -1, np.int64)
+        self.new: list[tuple[int, int, bool]] = []
+        self.hash, self.kind, self.ends, self.unit = np.zeros(0, np.uint64), np.zeros(0, np.int8), np.zeros(0, bool), np.zeros(0, np.int64)
+        self.joined: dict[int, int] = {}
 
     def _kind(self, core: str, low: str) -> int:
         if not core:
             return -1
-        if (core[0].isdigit() and core.translate(str.maketrans("", "", ".,")).isdigit()) or low in NUMERALS:
+        alone = core.isalpha()
+        if low in NUMERALS or (not alone and core[0].isdigit() and core.translate(str.maketrans("", "", ".,")).isdigit()):
             return NUMBER
         if low in UNITS:
             return UNIT
-        return TITLE if len(core) > 1 and core[0].isupper() and not core.isupper() and NAME.fullmatch(core) else PLAIN
+        return TITLE if len(core) > 1 and core[0].isupper() and not core.isupper() and (alone or NAME.fullmatch(core)) else PLAIN
 
     def _learn(self, word: str) -> int:
-        core = word.strip("".join({c for c in word if not c.isalnum()})) if not word.isalnum() else word
-        joined = JOINED.fullmatch(core)
-        if joined and joined[2].lower() in UNITS:
+        start, end = 0, len(word)
+        while start < end and not word[start].isalnum():
+            start += 1
+        while start < end and not word[end - 1].isalnum():
+            end -= 1
+        core = word[start:end]
+        if "0" <= core[:1] <= "9" and (joined := JOINED.fullmatch(core)) and joined[2].lower() in UNITS:
             # Two tokens: the number's, which points to the unit's.
-            number, unit = self._add(joined[1], joined[1], NUMBER, False), self._add(joined[2], joined[2].lower(), UNIT, word[-1] in ".!?:")
-            self.unit[number] = unit
+            number, unit = self._add(joined[1], NUMBER, False), self._add(joined[2].lower(), UNIT, word[-1] in ".!?:")
+            self.joined[number] = unit
             self.memo[word] = number
             return number
         low = core.lower()
-        self.memo[word] = k = self._add(core, low, self._kind(core, low), word[-1] in ".!?:")
+        self.memo[word] = k = self._add(low, self._kind(core, low), word[-1] in ".!?:")
         return k
 
-    def _add(self, core: str, low: str, kind: int, ends: bool) -> int:
-        k = len(self.core)
-        if k == len(self.hash):
-            self.hash, self.kind, self.ends = (np.concatenate([x, np.zeros_like(x)]) for x in (self.hash, self.kind, self.ends))
-            self.unit = np.concatenate([self.unit, np.full(k, -1, np.int64)])
-        self.hash[k], self.kind[k], self.ends[k] = xxhash.xxh3_64_intdigest(low), kind, ends
-        self.core.append(low)
-        return k
+    def _add(self, low: str, kind: int, ends: bool) -> int:
+        self.new.append((xxhash.xxh3_64_intdigest(low), kind, ends))
+        return len(self.hash) + len(self.new) - 1
+
+    def _keep(self) -> None:
+        """Puts what was learned where arrays of tokens look it up."""
+        if self.new:
+            for name, values in zip(("hash", "kind", "ends"), zip(*self.new, strict=True), strict=True):
+                old = getattr(self, name)
+                setattr(self, name, np.concatenate([old, np.array(values, old.dtype)]))
+            self.unit = np.concatenate([self.unit, np.full(len(self.new), -1, np.int64)])
+            self.unit[list(self.joined)] = list(self.joined.values())
+            self.new, self.joined = [], {}
 
     def tokens(self, text: str) -> tuple[np.ndarray, list[np.ndarray]]:
         """The hash of each word, and for each variant the hash of each template token; where they differ is a slot.
 
         Variant 0 leaves names as they are, variant 1 replaces those inside sentences, variant 2 every capitalised word. A variant that replaces no more than the one before is the same array.
         """
-        if len(self.core) > MEMO_ENTRIES:
+        h, variants, _ = self.batch([text])
+        return h, variants
+
+    def batch(self, texts: list[str]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+        """``tokens`` of texts one after another, and where each begins, with the end of the last."""
+        if len(self.hash) > MEMO_ENTRIES:
             self._forget()
-        get, learn, words = self.memo.get, self._learn, text.split()
-        at = np.array([k if (k := get(w)) is not None else learn(w) for w in words], np.int64)
+        get, learn = self.memo.get, self._learn
+        split = [text.split() for text in texts]
+        first = np.concatenate([[0], np.cumsum([len(words) for words in split], dtype=np.int64)])
+        words = pa.array(list(itertools.chain.from_iterable(split)), pa.string()).dictionary_encode()
+        known = np.array([k if (k := get(w)) is not None else learn(w) for w in words.dictionary.to_numpy(zero_copy_only=False).tolist()], np.int64)
+        self._keep()
+        at = known[words.indices.to_numpy()]
         joined = np.flatnonzero(self.unit[at] >= 0)
         if len(joined):
             at = np.insert(at, joined + 1, self.unit[at[joined]])
+            first = first + np.searchsorted(joined, first)
         kind, ends = self.kind[at], self.ends[at]
         starts = np.ones(len(at), bool)
         starts[1:] = ends[:-1]
+        starts[first[:-1][first[:-1] < len(at)]] = True
         if (kind < 0).any():
             real = np.flatnonzero(kind >= 0)
             at, kind, starts = at[real], kind[real], starts[real]
+            first = np.searchsorted(real, first)
         h = self.hash[at]
         number, typed = kind == NUMBER, h
         if number.any():
             unit = np.zeros(len(at), bool)
             unit[1:] = (kind[1:] == UNIT) & number[:-1]
+            unit[first[:-1][first[:-1] < len(at)]] = False
             typed = np.where(number, self.placeholder[NUMBER], np.where(unit, self.placeholder[UNIT], h))
         variants, title = [typed], kind == TITLE
         for names in (title & ~starts, title & starts):
             variants.append(np.where(names, self.placeholder[TITLE], variants[-1]) if names.any() else variants[-1])
-        return h, variants
+        return h, variants, first
 
 
 def _hashed(h: np.ndarray, at: np.ndarray | slice, n: int) -> np.ndarray:
@@ -131,18 +160,25 @@ def _windows(h: np.ndarray) -> np.ndarray:
     return _hashed(h, slice(None), max(len(h) - WORDS + 1, 1)) if len(h) else h
 
 
-def _all_windows(variants: list[np.ndarray]) -> np.ndarray:
-    """Hashes of the windows of all variants; a window that a variant leaves as it was is not hashed again."""
-    out = [_windows(variants[0])]
+def _all_windows(variants: list[np.ndarray], first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the text, hash) of the windows of all variants of texts one after another; a window that a variant leaves as it was is not hashed again."""
+    size, n = np.diff(first), len(variants[0]) - WORDS + 1
+    text = np.repeat(np.arange(len(size)), size)
+    inside = text[: max(n, 0)] == text[WORDS - 1 :]  # windows that don't run over a text's end
+    at, hashes = [text[: max(n, 0)][inside]], [_windows(variants[0])[inside] if n > 0 else variants[0][:0]]
     for before, after in zip(variants, variants[1:], strict=False):
-        if after is not before:
-            n, touched = len(out[0]), np.zeros(len(after), bool)
-            changed = np.flatnonzero(before != after)
+        if after is not before and n > 0:
+            touched, changed = np.zeros(len(after), bool), np.flatnonzero(before != after)
             for k in range(WORDS):
                 touched[np.maximum(changed - k, 0)] = True
-            at = np.flatnonzero(touched[:n])
-            out.append(_hashed(after, at, len(at)))
-    return np.concatenate(out)
+            places = np.flatnonzero(touched[:n] & inside)
+            at.append(text[places])
+            hashes.append(_hashed(after, places, len(places)))
+    for k in np.flatnonzero((size > 0) & (size < WORDS)):  # one window each
+        for v in variants:
+            at.append(np.array([k]))
+            hashes.append(_windows(v[first[k] : first[k + 1]]))
+    return np.concatenate(at), np.concatenate(hashes)
 
 
 def _item_windows(items: DataFrame) -> DataFrame:
@@ -174,20 +210,16 @@ def _doc_windows(docs: DataFrame, keep) -> DataFrame:
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         canon, wanted = Canon(), np.frombuffer(keep.value, np.uint8)
         for batch in batches:
-            at, hashes = [], [np.zeros(0, np.uint64)]
-            for row, text in enumerate(batch.column(2)):
-                text = text.as_py()
-                if not text:
-                    continue
-                h = _all_windows(canon.tokens(text)[1])
+            size = pc.fill_null(pc.utf8_length(batch.column(2)), 0).to_numpy().cumsum()
+            edges = [0, *(np.flatnonzero(np.diff(size // CHUNK)) + 1).tolist(), batch.num_rows]
+            for start, end in itertools.pairwise(edges):
+                part = batch.slice(start, end - start)
+                at, h = _all_windows(*canon.batch([text or "" for text in part.column(2).to_pylist()])[1:])
                 low = h >> np.uint64(64 - FILTER_BITS)
-                h = h[(wanted[(low >> np.uint64(3)).astype(np.int64)] >> (low & np.uint64(7)).astype(np.uint8) & 1).astype(bool)]
-                if len(h):
-                    h = np.unique(h)
-                    at += [row] * len(h)
-                    hashes.append(h)
-            rows = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(rows) for c in (0, 1)), pa.array(np.concatenate(hashes).view(np.int64))], ["id", "key", "h"])
+                passed = np.flatnonzero(wanted[(low >> np.uint64(3)).astype(np.int64)] >> (low & np.uint64(7)).astype(np.uint8) & 1)
+                at, h = np.unique(np.stack([at[passed].astype(np.uint64), h[passed]]), axis=1)
+                rows = pa.array(at.astype(np.int64))
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(rows) for c in (0, 1)), pa.array(h.view(np.int64))], ["id", "key", "h"])
 
     return docs.mapInArrow(make, f"id {kind}, key long, h long")
 

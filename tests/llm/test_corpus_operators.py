@@ -619,6 +619,19 @@ def test_numbers_joined_to_units(spark):
     assert {r.doc_id: r.kind for r in decontaminate.leaks(spark.createDataFrame(data, "doc_id long, text string"), item).collect()} == {1: "reparameterised"}
 
 
+def test_texts_are_tokenised_together_as_alone():
+    """Units, sentence starts and windows don't run from one text into the next; words joined to units and marks shift what follows."""
+    texts = ["", "5", "kg", "km of road", "Ana", "met Bob. 5kg --- of Rice. 12", "Miles! 3 cm O'Neil-Smith went 3km, ×× Home", "twenty", "A b c d", "... 7", "Tom buys 12 kg of rice from Ana. Ana's shop"]
+    h, variants, first = decontaminate.Canon().batch(texts)
+    at, found = decontaminate._all_windows(variants, first)
+    for k, text in enumerate(texts):
+        alone, theirs = decontaminate.Canon().tokens(text)
+        part = slice(first[k], first[k + 1])
+        assert h[part].tolist() == alone.tolist() and [v[part].tolist() for v in variants] == [v.tolist() for v in theirs]
+        assert set(found[at == k].tolist()) == {x for v in theirs for x in decontaminate._windows(v).tolist()}
+    assert first.tolist()[:6] == [0, 0, 1, 2, 5, 6]
+
+
 def test_decontaminated_keeps_clashing_columns(spark):
     item = spark.createDataFrame([(1, "one two three four five six seven eight nine")], "item_id long, text string")
     df = spark.createDataFrame([(1, "say one two three four five six seven eight nine", 7, "x"), (2, "clean", 8, "y"), (None, None, 9, "z")], "doc_id long, text string, _bad_id long, _bad_key string")
